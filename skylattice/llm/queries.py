@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import quality, secrets
 
-QUERIES = {"op1_quality_rules": quality.op1_quality_rules}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_quality_rules": quality.op1_quality_rules, "op8_secret_scans": secrets.op8_secret_scans}
+ORACLES: dict[str, str] = {"op8_secret_scans": secrets.ORACLE}
