@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality, secrets
+from . import chat, fingerprint, quality, secrets
 
-QUERIES = {"op1_quality_rules": quality.op1_quality_rules, "op8_secret_scans": secrets.op8_secret_scans}
-ORACLES: dict[str, str] = {"op8_secret_scans": secrets.ORACLE}
+QUERIES = {"op1_quality_rules": quality.op1_quality_rules, "op3_document_fingerprints": fingerprint.op3_document_fingerprints, "op8_secret_scans": secrets.op8_secret_scans, "op10_chat_formatting": chat.op10_chat_formatting}
+ORACLES: dict[str, str] = {"op8_secret_scans": secrets.ORACLE, "op10_chat_formatting": chat.ORACLE}
