@@ -72,14 +72,14 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 with numbered as (
-  select conv_id, role, text, row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as at
+  select conv_id, role, text, row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as pos
   from (select distinct conv_id, turn, role, text from conversations)),
-turns as (select conv_id, at, role, text, list({'r': role, 't': text}) over (partition by conv_id order by at rows between unbounded preceding and current row) as so_far,
+turns as (select conv_id, pos, role, text, list({'r': role, 't': text}) over (partition by conv_id order by pos rows between unbounded preceding and current row) as so_far,
   count(*) over (partition by conv_id) as n from numbered),
-inner_prefix as (select distinct so_far from turns where at < n),
-whole as (select so_far, min(conv_id) as conv_id, count(*) as n_copies from turns where at = n group by so_far),
+inner_prefix as (select distinct so_far from turns where pos < n),
+whole as (select so_far, min(conv_id) as conv_id, count(*) as n_copies from turns where pos = n group by so_far),
 kept as (select * from whole where so_far not in (select so_far from inner_prefix))
 select k.conv_id, count(*) as n_turns, any_value(n_copies) as n_copies,
-  string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' order by at) as rendered
+  string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' order by pos) as rendered
 from kept k join turns t on k.conv_id is not distinct from t.conv_id group by k.conv_id
 """
