@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprint, quality, secrets
+from . import chat, fingerprint, packing, quality, secrets, warc
 
-QUERIES = {"op1_quality_rules": quality.op1_quality_rules, "op3_document_fingerprints": fingerprint.op3_document_fingerprints, "op8_secret_scans": secrets.op8_secret_scans, "op10_chat_formatting": chat.op10_chat_formatting}
-ORACLES: dict[str, str] = {"op8_secret_scans": secrets.ORACLE, "op10_chat_formatting": chat.ORACLE}
+QUERIES = {
+    "op1_quality_rules": quality.op1_quality_rules,
+    "op2_not_modified_revisits": warc.op2_not_modified_revisits,
+    "op3_document_fingerprints": fingerprint.op3_document_fingerprints,
+    "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op8_secret_scans": secrets.op8_secret_scans,
+    "op10_chat_formatting": chat.op10_chat_formatting,
+}
+ORACLES = {"op2_not_modified_revisits": warc.ORACLE, "op8_secret_scans": secrets.ORACLE, "op10_chat_formatting": chat.ORACLE}
