@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprint, packing, quality, secrets, warc
+from . import chat, fingerprint, packing, pieces, quality, secrets, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_document_fingerprints": fingerprint.op3_document_fingerprints,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op8_secret_scans": secrets.op8_secret_scans,
+    "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_chat_formatting": chat.op10_chat_formatting,
 }
 ORACLES = {"op2_not_modified_revisits": warc.ORACLE, "op8_secret_scans": secrets.ORACLE, "op10_chat_formatting": chat.ORACLE}
