@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprint, packing, pieces, quality, secrets, warc
+from . import chat, fingerprint, jaccard, packing, pieces, quality, secrets, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_not_modified_revisits": warc.op2_not_modified_revisits,
     "op3_document_fingerprints": fingerprint.op3_document_fingerprints,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op6_ngram_jaccard_join": jaccard.op6_ngram_jaccard_join,
     "op8_secret_scans": secrets.op8_secret_scans,
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_chat_formatting": chat.op10_chat_formatting,
 }
-ORACLES = {"op2_not_modified_revisits": warc.ORACLE, "op8_secret_scans": secrets.ORACLE, "op10_chat_formatting": chat.ORACLE}
+ORACLES = {"op2_not_modified_revisits": warc.ORACLE, "op6_ngram_jaccard_join": jaccard.ORACLE, "op8_secret_scans": secrets.ORACLE, "op10_chat_formatting": chat.ORACLE}

@@ -11,7 +11,8 @@ that a third of all captures name is spread over its slices, and no slice waits
 
 Defined results: earlier means a smaller time, or the same time and a smaller record id; records
 without URL or time stay unresolved ("no_response"); null headers count as none; a response that
-repeats is as good as one; status is one of resolved, no_response, no_validator, mismatch.
+repeats is as good as one; status is one of resolved, no_response, no_validator, mismatch; unless
+resolved, response_id is -1 and payload and headers are empty.
 """
 
 from __future__ import annotations
@@ -85,9 +86,9 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
         F.col("key").alias("canonical_url"),
         "at",
         "status",
-        F.when(ok, F.col("full.record_id")).alias("response_id"),
-        F.when(ok, F.col("full.payload")).alias("payload"),
-        F.when(ok, F.array_join(F.array_sort(F.transform(F.map_entries("merged"), lambda e: F.concat_ws(": ", e["key"], e["value"]))), "\n")).alias("headers"),
+        F.when(ok, F.col("full.record_id")).otherwise(-1).alias("response_id"),
+        F.when(ok, F.coalesce("full.payload", F.lit(""))).otherwise("").alias("payload"),
+        F.when(ok, F.array_join(F.array_sort(F.transform(F.map_entries("merged"), lambda e: F.concat_ws(": ", e["key"], e["value"]))), "\n")).otherwise("").alias("headers"),
     )
 
 
@@ -146,8 +147,8 @@ judged as (select *, case when f is null then 'no_response'
     when (case when etag is not null and f.etag is not null then regexp_replace(etag, '^W/', '') = regexp_replace(f.etag, '^W/', '') else modified = f.modified end) then 'resolved'
     else 'mismatch' end as status from found)
 select record_id, key as canonical_url, ts as "at", status,
-  case when status = 'resolved' then f.record_id end as response_id, case when status = 'resolved' then f.payload end as payload,
+  case when status = 'resolved' then f.record_id else -1 end as response_id, case when status = 'resolved' then f.payload else '' end as payload,
   case when status = 'resolved' then concat_ws(chr(10), 'cache-control: ' || cache, 'content-length: 0', 'content-type: text/html', 'date: ' || ts,
-    'etag: ' || coalesce(etag, f.etag), 'last-modified: ' || coalesce(modified, f.modified)) end as headers
+    'etag: ' || coalesce(etag, f.etag), 'last-modified: ' || coalesce(modified, f.modified)) else '' end as headers
 from judged
 """
