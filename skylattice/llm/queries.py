@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprint, jaccard, packing, pieces, quality, secrets, warc
+from . import chat, fingerprint, jaccard, packing, pieces, pitman, quality, secrets, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_document_fingerprints": fingerprint.op3_document_fingerprints,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op6_ngram_jaccard_join": jaccard.op6_ngram_jaccard_join,
+    "op7_pitman_yor_scores": pitman.op7_pitman_yor_scores,
     "op8_secret_scans": secrets.op8_secret_scans,
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_chat_formatting": chat.op10_chat_formatting,
