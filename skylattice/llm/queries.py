@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprint, jaccard, packing, pieces, pitman, quality, secrets, warc
+from . import chat, extract, fingerprint, jaccard, packing, pieces, pitman, quality, secrets, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_not_modified_revisits": warc.op2_not_modified_revisits,
     "op3_document_fingerprints": fingerprint.op3_document_fingerprints,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op5_html_extraction": extract.op5_html_extraction,
     "op6_ngram_jaccard_join": jaccard.op6_ngram_jaccard_join,
     "op7_pitman_yor_scores": pitman.op7_pitman_yor_scores,
     "op8_secret_scans": secrets.op8_secret_scans,
