@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import spatial, tracks
+from . import kpis, models, spatial, tracks
 
-QUERIES = tracks.QUERIES | spatial.QUERIES
-ORACLES = tracks.ORACLES | spatial.ORACLES
+QUERIES = tracks.QUERIES | spatial.QUERIES | kpis.QUERIES | models.QUERIES
+ORACLES = tracks.ORACLES | spatial.ORACLES | kpis.ORACLES | models.ORACLES
