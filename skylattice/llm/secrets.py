@@ -198,7 +198,8 @@ def redact_secrets(spark: SparkSession, documents: DataFrame, rules: tuple[Rule,
     """documents with every secret replaced by the mark; spans that touch or overlap get one mark."""
     spans = scan_secrets(spark, documents, rules).where(F.size("spans") > 0)
     spans = spans.select(F.col("doc_id").alias("id"), F.col("row_no").alias("number"), "spans")
-    rows = numbered(documents).join(spans, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row_no") == F.col("number")), "left")
+    whole = documents.select("doc_id", "text", F.struct(*(documents[c] for c in documents.columns)).alias("whole"))
+    rows = numbered(whole).join(spans, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row_no") == F.col("number")), "left")
 
     def piece(s: Column, i: Column) -> Column:
         before = F.aggregate(F.slice("spans", 1, i), F.lit(0).cast("bigint"), lambda m, x: F.greatest(m, x["end"]))
@@ -209,7 +210,7 @@ def redact_secrets(spark: SparkSession, documents: DataFrame, rules: tuple[Rule,
     rest = F.expr("substring(text, cast(last_end + 1 as int))")
     cut = F.concat(F.array_join(F.transform("spans", piece), ""), rest)
     rows = rows.withColumn("last_end", last).withColumn("clean", F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut))
-    return rows.select(*(F.col("clean").alias(c) if c == "text" else F.col(c) for c in documents.columns))
+    return rows.select(*(F.col("clean").alias(c) if c == "text" else F.col("whole")[c].alias(c) for c in documents.columns))
 
 
 def joined(spans: Column, rules: tuple[Rule, ...]) -> Column:
