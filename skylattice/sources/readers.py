@@ -8,12 +8,10 @@ from datetime import date, timedelta
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import exprs as X
 
 STATE_FIELDS = {"time_utc": "timestamp", "icao24": "string", "callsign": "string", "lon_wgs": "float", "lat_wgs": "float", "baro_alt_m": "float", "geo_alt_m": "float", "velocity_ms": "float", "track_deg": "float", "vert_rate_ms": "float", "on_ground": "boolean"}
-STATE_SCHEMA = T.StructType.fromDDL(", ".join(f"{k} {v}" for k, v in STATE_FIELDS.items()))
 
 
 def state_vectors(spark: SparkSession, path: str | list[str]) -> DataFrame:
