@@ -198,7 +198,8 @@ def redact_secrets(spark: SparkSession, documents: DataFrame, rules: tuple[Rule,
     """documents with every secret replaced by the mark; spans that touch or overlap get one mark."""
     spans = scan_secrets(spark, documents, rules).where(F.size("spans") > 0)
     spans = spans.select(F.col("doc_id").alias("id"), F.col("row_no").alias("number"), "spans")
-    whole = documents.select("doc_id", "text", F.struct(*(documents[c] for c in documents.columns)).alias("whole"))
+    others = F.struct(*(documents[c] for c in documents.columns if c != "text"))
+    whole = documents.select("doc_id", "text", others.alias("whole"))
     rows = numbered(whole).join(spans, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row_no") == F.col("number")), "left")
 
     def piece(s: Column, i: Column) -> Column:
