@@ -5,16 +5,18 @@
 shingles. A point belongs to the regions of its prefix, the shingles that come first in one fixed
 order of all shingles: two sets with similarity t or more always share one within the first
 n - ceil(t n) + 1, which is the window that replicates a point to every region it can have a
-partner in. The order puts shingles last that a sample finds frequent, so passages that many
-documents share make no regions; the order decides only speed.
+partner in. The order is by hash, but shingles that several documents hold come last, so passages
+that documents share make no regions unless a document consists of them; the order decides only
+speed. As most prefixes lie among the smallest hashes, only those are counted over all documents,
+and the others over the documents whose prefixes reach further.
 
 Within a region a document is the pivot, and its distance to every other point is bounded: both
 prefixes are complete up to the smaller of their ends, so they show how much the sets differ at
 least. Where that leaves a link possible the whole sets are compared. Points at distance r = 1 - t
 or less are links. Two others of the region are compared only if the bounds of their distances to
 the pivot come within r of each other (triangle inequality), and only if no chain of links joins
-them already. Regions that remain larger than LEAF take another pivot and repeat; smaller ones
-compare what is left.
+them already. Regions with more than LEAF pairs left for each point take another pivot and repeat;
+the others compare what is left, so pairs grow no faster than points.
 
 Defined results: a null or wordless text has no shingles and no links; fewer words than a shingle
 make one shingle of the whole sequence; equal sets are told by 128 bits of hashes, shingles by 48;
@@ -28,16 +30,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .components import connected_components
 
 WORDS, PERCENT = 4, 85
-#: Layout only: shingles that FEWEST documents of a hashed one in SAMPLE_OF hold are frequent; FREQUENT_MOST of them are known to all tasks.
-SAMPLE_OF, FEWEST, FREQUENT_MOST = 8, 4, 500_000
-LEAF, MOST_PIVOTS = 256, 8
+#: Layout only: of the lowest LOWEST of all hashes, shingles that FEWEST documents hold are frequent; FREQUENT_MOST of these and as many others are known to all tasks.
+LOWEST, FEWEST, FREQUENT_MOST = 0.22, 6, 400_000
+SMALL, LEAF, MOST_PIVOTS = 16, 1024, 6
 TOKEN = np.uint64((1 << 48) - 1)
 MOST_TEXTS = 1 << 14
 POINTS = "doc_id long, n_shingles long, h1 long, h2 long, prefix array<long>"
@@ -83,11 +85,10 @@ def pointing(words: int, percent: int, frequent: np.ndarray):
                 np.add.at(total, text, tk.mix(token + np.uint64(1)))
                 np.add.at(odd, text, tk.mix(token ^ np.uint64(0x9E3779B97F4A7C15)))
                 if len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, token), len(frequent) - 1)
-                    token = token | ((frequent[at] == token).astype(np.uint64) << np.uint64(48))
+                    token = token | (known(frequent, token).astype(np.uint64) << np.uint64(48))
                     order = np.lexsort((token, text))
                     text, token = text[order], token[order]
-                length = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
+                length = prefix_length(n, percent)
                 rank = np.arange(len(text)) - (np.cumsum(n) - n)[text]
                 columns = [part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(total.view(np.int64)), pa.array(odd.view(np.int64)), lists(token[rank < length[text]], length)]
                 yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in POINTS.split(", ")])
@@ -108,49 +109,92 @@ def listing(words: int):
     return run
 
 
-def frequent_shingles(documents: DataFrame, words: int) -> np.ndarray:
-    """Shingles that many documents of a hashed sample hold, FREQUENT_MOST at most, sorted."""
-    sample = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_OF)) == 0)
-    held = sample.mapInArrow(listing(words), "doc_id long, shingles array<long>")
-    counts = held.select(F.explode("shingles").alias("token")).groupBy("token").count().where(F.col("count") >= FEWEST)
-    top = counts.orderBy(F.desc("count"), "token").limit(FREQUENT_MOST).select("token")
-    return np.sort(np.array([r["token"] for r in top.collect()], np.uint64))
+def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
+    return np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
+
+
+def counting(words: int, percent: int, frequent: np.ndarray | None):
+    """Texts to (token, n): how many texts of a slice hold each of the lowest shingles, or, given the
+    frequent ones of these, each of the others, in texts whose prefix reaches beyond the lowest."""
+    lowest = np.uint64(LOWEST * 2**48)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in small_slices(batch):
+                text, token = shingle_keys(tk.string_block(part.column("text")), words)
+                wanted = token < lowest
+                if frequent is not None:
+                    rare = wanted & ~known(frequent, token)
+                    needed = prefix_length(np.bincount(text, minlength=part.num_rows), percent)
+                    wanted = ~wanted & (np.bincount(text[rare], minlength=part.num_rows) < needed)[text]
+                token, n = np.unique(token[wanted], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(token.astype(np.int64)), pa.array(n)], ["token", "n"])
+
+    return run
+
+
+def known(sorted_tokens: np.ndarray, token: np.ndarray) -> np.ndarray:
+    if not len(sorted_tokens):
+        return np.zeros(len(token), bool)
+    return sorted_tokens[np.minimum(np.searchsorted(sorted_tokens, token), len(sorted_tokens) - 1)] == token
+
+
+def frequent_shingles(documents: DataFrame, words: int, percent: int) -> np.ndarray:
+    """Shingles that many documents hold, FREQUENT_MOST at most of the lowest and of the others, sorted."""
+    found: list[np.ndarray] = []
+    for _ in range(2):
+        counts = documents.mapInArrow(counting(words, percent, found[0] if found else None), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FEWEST)
+        top = counts.orderBy(F.desc("n"), "token").limit(FREQUENT_MOST).select("token")
+        found.append(np.sort(top.toPandas()["token"].to_numpy(np.int64).astype(np.uint64)))
+    return np.concatenate(found)
+
+
+def whole_sets(spark: SparkSession, documents: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(doc_id, shingles) of the documents with these ids."""
+    texts = documents.join(ids, documents.doc_id == ids.id, "left_semi")
+    return tk.materialize(spark, texts.mapInArrow(listing(words), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
 
 
 def common_shingles(spark: SparkSession, documents: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     """pairs (a, b, n_a, n_b) with common, the size of the intersection of their whole sets."""
     needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = documents.join(needed, documents.doc_id == needed.id, "left_semi")
-    sets = tk.materialize(spark, texts.mapInArrow(listing(words), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
+    sets = whole_sets(spark, documents, needed, words)
     first, second = (sets.select(F.col("doc_id").alias(f"id_{k}"), F.col("shingles").alias(f"s_{k}")) for k in "ab")
     both = pairs.join(first, F.col("a") == F.col("id_a")).join(second, F.col("b") == F.col("id_b"))
     return both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("s_a", "s_b")).cast("long").alias("common"))
 
 
-def measured_pairs(spark: SparkSession, documents: DataFrame, prefixes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """pairs (a, b, n_a, n_b) with near, and the least and most that their distance can be.
-
-    The pairs that prefixes leave possible, which are few besides the links, are compared whole."""
+def bounded(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """pairs (a, b, n_a, n_b) with differ, how many shingles only one of them has at least."""
     first, second = (prefixes.select(F.col("doc_id").alias(f"id_{k}"), F.col("prefix").alias(f"p_{k}")) for k in "ab")
     both = pairs.join(first, F.col("a") == F.col("id_a")).join(second, F.col("b") == F.col("id_b"))
-    end = F.least(F.element_at("p_a", -1), F.element_at("p_b", -1))
-    seen = F.size(F.filter("p_a", lambda t: t <= F.col("end"))) + F.size(F.filter("p_b", lambda t: t <= F.col("end")))
-    differ = seen - 2 * F.size(F.array_intersect("p_a", "p_b"))
-    bounded = both.withColumn("end", end).select("a", "b", "n_a", "n_b", differ.cast("long").alias("differ"))
-    bounded = tk.materialize(spark, bounded, "bounded")
-    possible = f"100 * (n_a + n_b - differ) >= {percent} * (n_a + n_b + differ)"
-    whole = common_shingles(spark, documents, bounded.where(possible).drop("differ"), words)
+    return both.select("a", "b", "n_a", "n_b", differ(F.col("p_a"), F.col("p_b")).alias("differ"))
+
+
+def differ(a: Column, b: Column) -> Column:
+    """Of two prefixes, which are whole up to the smaller of their ends, the shingles up to there that only one has."""
+    end = F.least(F.element_at(a, -1), F.element_at(b, -1))
+    seen = F.size(F.filter(a, lambda t: t <= end)) + F.size(F.filter(b, lambda t: t <= end))
+    return (seen - 2 * F.size(F.array_intersect(a, b))).cast("long")
+
+
+def possible(percent: int) -> str:
+    """SQL for whether sets of n_a and n_b shingles that differ in `differ` at least can be near."""
+    return f"100 * (n_a + n_b - differ) >= {percent} * (n_a + n_b + differ)"
+
+
+def compared(spark: SparkSession, documents: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b, near, least, most): pairs with their distance, whole sets compared."""
+    whole = common_shingles(spark, documents, pairs, words)
     distance = F.expr("1 - common / (n_a + n_b - common)")
     near = F.expr(f"100 * common >= {percent} * (n_a + n_b - common)")
-    exact = whole.select("a", "b", near.alias("near"), distance.alias("least"), distance.alias("most"))
-    apart = bounded.where(f"not ({possible})").select("a", "b", F.lit(False).alias("near"), F.expr("2 * differ / (n_a + n_b + differ)").alias("least"), F.lit(1.0).alias("most"))
-    return tk.materialize(spark, exact.unionByName(apart), "measured")
+    return whole.select("a", "b", near.alias("near"), distance.alias("least"), distance.alias("most"))
 
 
 def near_classes(spark: SparkSession, documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) of every document (doc_id, text)."""
     documents = tk.only(documents, "doc_id", "text")
-    points = tk.materialize(spark, documents.mapInArrow(pointing(words, percent, frequent_shingles(documents, words)), POINTS), "points")
+    points = tk.materialize(spark, documents.mapInArrow(pointing(words, percent, frequent_shingles(documents, words, percent)), POINTS), "points")
     key = ["n_shingles", "h1", "h2"]
     classes = points.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("class_id"))
     members = points.select("doc_id", *key).join(classes, key, "left")
@@ -158,57 +202,85 @@ def near_classes(spark: SparkSession, documents: DataFrame, words: int = WORDS,
 
     heads = points.where("n_shingles > 0").join(classes.select(F.col("class_id").alias("head")), F.col("doc_id") == F.col("head"), "left_semi").dropDuplicates(["doc_id"])
     regions = heads.select(F.explode("prefix").alias("region"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
-    links = joined_regions(spark, documents, heads.select("doc_id", "prefix"), regions, words, percent)
-    component = connected_components(spark, links).select(F.col("id").alias("class_id"), "component")
+    component = joined_regions(spark, documents, heads.select("doc_id", "prefix"), regions, words, percent).select(F.col("id").alias("class_id"), "component")
     found = members.join(component, "class_id", "left")
     return found.select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
 
 
 def joined_regions(spark: SparkSession, documents: DataFrame, prefixes: DataFrame, regions: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b): links that join all points of each component; every link is joined by a chain of these."""
+    """(id, component) of all points that have a link; pairs that a chain of links joins are not compared."""
     fits = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
     reach = (100 - percent) / 100 + 1e-9
     prefixes = tk.materialize(spark, prefixes, "prefixes")
     all_links, rest = None, regions
     for turn in range(MOST_PIVOTS):
-        order = F.xxhash64("id", F.lit(turn)) if turn else F.col("id")
+        order = F.struct("id")
+        if turn:  # the point that shares most, as from the middle of a cloud a pivot reaches more of it
+            shared = rest.join(rest.groupBy("region").agg(F.count("*").alias("size")), "region").groupBy("id").agg((-F.sum("size")).alias("outer"))
+            rest, order = rest.join(shared, "id"), F.struct("outer", "id")
         pivots = rest.groupBy("region").agg(F.min_by(F.struct("id", "n"), order).alias("pivot"), F.count("*").alias("size")).where("size > 1")
         pivots = pivots.select("region", F.col("pivot.id").alias("pivot"), F.col("pivot.n").alias("n_pivot"))
-        held = tk.materialize(spark, rest.join(pivots, "region").where("id <> pivot"), "regions")
+        held = tk.materialize(spark, rest.join(pivots, "region").where("id <> pivot").select("region", "id", "n", "pivot", "n_pivot"), "regions")
         pairs = held.select(F.col("id").alias("a"), F.col("pivot").alias("b"), F.col("n").alias("n_a"), F.col("n_pivot").alias("n_b")).where(fits).distinct()
-        measured = measured_pairs(spark, documents, prefixes, tk.materialize(spark, pairs, "pairs"), words, percent)
+        near_or_far = tk.materialize(spark, bounded(pairs, prefixes), "bounded")
+        exact = compared(spark, documents, near_or_far.where(possible(percent)).drop("differ"), words, percent)
+        apart = near_or_far.where(f"not ({possible(percent)})").select("a", "b", F.lit(False).alias("near"), F.expr("2 * differ / (n_a + n_b + differ)").alias("least"), F.lit(1.0).alias("most"))
+        measured = tk.materialize(spark, exact.unionByName(apart), "measured")
         links = measured.where("near").select("a", "b")
         all_links = links if all_links is None else all_links.unionByName(links)
         component = connected_components(spark, all_links)
 
         left = held.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        spread = left.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("left_size")).where("low <> high")
+        parts = left.groupBy("region", "component").agg(F.count("*").alias("c")).groupBy("region").agg(F.sum("c").alias("points"), F.sum(F.col("c") * F.col("c")).alias("same"))
+        spread = parts.where("same < points * points").select("region", ((F.col("points") - F.col("same") / F.col("points")) / 2).alias("pairs_each"))
         away = measured.select(F.col("a").alias("id"), F.col("b").alias("pivot"), "least", "most")
-        left = left.join(spread.select("region", "left_size"), "region").join(away, ["id", "pivot"], "left")
-        left = tk.materialize(spark, left.select("region", "id", "n", "component", "least", "most", "left_size"), "left")
+        left = left.join(spread, "region").join(away, ["id", "pivot"], "left")
+        left = tk.materialize(spark, left.select("region", "id", "n", "component", "least", "most", "pairs_each"), "left")
         last = turn + 1 == MOST_PIVOTS
-        rest = left.where(F.col("left_size") > LEAF).select("region", "id", "n")
-        pairs = windowed_pairs(left if last else left.where(F.col("left_size") <= LEAF), fits, reach)
-        measured = measured_pairs(spark, documents, prefixes, tk.materialize(spark, pairs, "pairs"), words, percent)
-        all_links = all_links.unionByName(measured.where("near").select("a", "b"))
+        rest = left.where(F.col("pairs_each") > LEAF).select("region", "id", "n")
+        kept = left.join(prefixes.withColumnRenamed("doc_id", "id"), "id").withColumn("earlier", F.expr("slice(prefix, 1, cast(array_position(prefix, region) as int) - 1)"))
+        pairs = windowed(kept.where(F.col("pairs_each") <= SMALL), "prefix", fits, reach, likely(percent))
+        more = compared(spark, documents, tk.materialize(spark, pairs, "pairs"), words, percent).where("near").select("a", "b")
+        crowd = tk.materialize(spark, kept.where((F.col("pairs_each") > SMALL) & (F.lit(last) | (F.col("pairs_each") <= LEAF))).drop("prefix"), "crowd")
+        sets = whole_sets(spark, documents, crowd.select("id").distinct(), words)
+        held_sets = crowd.join(sets.withColumnRenamed("doc_id", "id"), "id")
+        more = tk.materialize(spark, more.unionByName(windowed(held_sets, "shingles", fits, reach, surely(percent)).select("a", "b")), "links")
+        if not more.isEmpty():
+            all_links, component = all_links.unionByName(more), None
         if last or rest.isEmpty():
             break
-    return all_links
+    return component if component is not None else connected_components(spark, all_links)
+
+
+def likely(percent: int) -> Column:
+    """Whether the prefixes of a pair leave a link possible."""
+    missing, both = differ(F.col("prefix_a"), F.col("prefix_b")), F.col("n_a") + F.col("n_b")
+    return 100 * (both - missing) >= percent * (both + missing)
+
+
+def surely(percent: int) -> Column:
+    """Whether the whole sets of a pair are near."""
+    common = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    return 100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)
 
 
-def windowed_pairs(left: DataFrame, fits: str, reach: float) -> DataFrame:
-    """Pairs of one region whose sizes fit, whose distances to the pivot may lie within reach, and that no chain joins."""
-    a, b = (left.select("region", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "component", "least", "most"))) for k in "ab")
+def windowed(left: DataFrame, held: str, fits: str, reach: float, near: Column) -> DataFrame:
+    """Pairs (a, b, n_a, n_b) in the first region that both are in, whose sizes fit, whose distances to
+    its pivot may lie within reach, that no chain joins, and that are near by what the rows hold.
+    All is tested inside the join, so only links, or likely ones, leave it."""
+    a, b = (left.select("region", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "component", "least", "most", "earlier", held))) for k in "ab")
     window = F.coalesce((F.col("least_a") - F.col("most_b") <= reach) & (F.col("least_b") - F.col("most_a") <= reach), F.lit(True))
     apart = (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b"))
-    return a.join(b, "region").where(apart & F.expr(fits) & window).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "n_a", "n_b").distinct()
+    first = ~F.arrays_overlap("earlier_a", "earlier_b")
+    found = a.join(b, (a["region"] == b["region"]) & apart & F.expr(fits) & window & first & near)
+    return found.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "n_a", "n_b").distinct()
 
 
 def near_filter(spark: SparkSession, documents: DataFrame, words: int, percent: int) -> DataFrame:
     """documents of which one stays of each component: the one of the smallest id; others whole."""
     found = near_classes(spark, documents, words, percent)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = documents.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    kept = documents.join(gone, documents["doc_id"] == gone["gone_id"], "left_anti")
     return kept
 
 
