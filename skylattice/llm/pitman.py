@@ -1,17 +1,19 @@
 """Hierarchical Pitman-Yor language model: context restaurants share a unigram parent.
 
-Words and an end make the tokens; a token's context is the token before it, if that is one of the
-TOP commonest, else one restaurant shared by all others. Seats are sampled: in each sweep the
-customers of a dish leave and are seated again one by one, given the tables of all others (the
-first EXACT exactly, the rest by the Poisson count of tables that they open). Each table of a
-context is a customer of the unigram restaurant, whose parent is uniform over the vocabulary and
-one unknown word. The probability of a token is the mean over SAMPLES seatings of the predictive
-probability, which sums to one over known words and the unknown one.
-
-Counts of common tokens in each context fit a fixed table. All other tokens travel once, packed by
-the hash of the word: a task has all customers of a word, so it seats them and keeps seats and
-occurrences together. When the totals of all restaurants are known, occurrences are scored where
-they lie and only sums by document are shuffled.
+Words and an end make the tokens; a token's context is the token before it, an end before the
+first, and every context has a restaurant. Seats are sampled: in each sweep the customers of a dish
+leave and are seated again one by one (the first EXACT exactly, the rest by the Poisson count of
+tables that they open), given the tables that all restaurants had after the sweep before. Each
+table of a context is a customer of the unigram restaurant, whose parent is uniform over the
+vocabulary and one unknown word. The probability of a token is the mean over SAMPLES seatings of
+the predictive probability, which sums to one over known words and the unknown one.
+
+Pairs (context, word) are rows. A sweep joins the sums of tables by word and by context over all
+rows, draws new tables with random numbers that hash the pair and the sweep, and keeps only their
+sums, so no result depends on how rows are laid out and tables can be drawn again. The sums of the
+TOP commonest words are joined in SALTS copies. Scores of pairs then meet the occurrences, packed by part of the pair's hash: a task holds
+the scores of its parts, occurrences stream through, and sums by document go back to the deal that
+the document came from.
 
 Defined results: a null text is the empty text, one end; a null id is held out (crc32 of no text);
 rows that repeat an id are scored by themselves; without training tokens every token is unknown.
@@ -21,9 +23,11 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,14 +35,17 @@ from . import textkit as tk
 
 TOP, SAMPLES, SWEEPS, EXACT = 512, 3, 4, 16
 STRENGTH = 0.5
-#: One document in SAMPLE_OF tells which words are common; which words it names only sets contexts and layout.
-SAMPLE_OF = 16
-#: Tokens that a task holds at once when it deals them out, and that it scores before it adds up documents.
-CHUNK, DEAL, ADD_UP = 1 << 15, 300_000, 1_000_000
+#: Layout only: copies of the sums of common words; tokens that a task counts or deals out at once, and pairs that it packs.
+SALTS, DEAL = 8, 1_000_000
+#: Poisson counts of a greater mean have a generator of their own.
+INVERTED = 30.0
 FOLDS = 10
 END = np.uint64(0xE0F_E0F_E0F_E0F)
-SPREAD = "part int, words binary, contexts binary, docs binary, runs binary, train binary"
-SEATED = "docs binary, runs binary, contexts binary, pair_count binary, pair_tables binary, word_of binary, word_count binary, word_tables binary, word_heads binary, stats array<double>, cells array<int>, counts array<long>"
+#: kind 0: pairs, scores, base scores, known; 1: ids, nulls, held out, tokens of a deal's rows; 2: pairs, runs, rows of a deal's tokens.
+DEALT = "part int, kind int, deal long, a binary, b binary, c binary, d binary"
+#: kind 1 as above; 2: rows, known tokens, base scores, scores.
+SUMMED = "deal long, kind int, a binary, b binary, c binary, d binary"
+SUMS = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def held_out(ids: list) -> np.ndarray:
@@ -46,116 +53,115 @@ def held_out(ids: list) -> np.ndarray:
 
 
 class Tokens:
-    """Token hashes of a record batch in order, ends included, with their rows; row_key tells rows apart."""
+    """Token hashes of a record batch in order, ends included, with their contexts and rows."""
 
     def __init__(self, part: pa.RecordBatch):
-        text = tk.string_block(part.column("text"))
-        low = text.lowered()
+        low = tk.string_block(part.column("text")).lowered()
         starts, ends, owner = low.words()
-        n, words = text.n, np.bincount(owner, minlength=text.n)
+        n, words = low.n, np.bincount(owner, minlength=low.n)
         self.row = np.repeat(np.arange(n), words + 1)
         last = np.cumsum(words + 1) - 1
         self.hash = np.full(len(self.row), END)
         inner = np.ones(len(self.row), bool)
         inner[last] = False
         self.hash[inner] = low.spans(starts, ends)
-        ids = part.column("doc_id").to_pylist()
-        self.held = held_out(ids)
-        keys = np.array([zlib.crc32(str(i).encode()) for i in ids], np.uint64) << np.uint64(32)
-        numbers = np.array([0 if i is None else i for i in ids], np.int64).view(np.uint64)
-        self.row_key = tk.mix(text.spans(text.offsets[:-1], text.offsets[1:]) + tk.mix(numbers) * np.uint64(3) + keys).view(np.int64)
+        self.context = np.concatenate([[END], self.hash[:-1]])  # the end of the row before stands before the first
+        self.ids = part.column("doc_id").to_pylist()
+        self.held = held_out(self.ids)
         self.n_tokens = words + 1
 
-    def common(self, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(dish, context): number among the sorted common tokens, -1 and len(top) for all others."""
-        at = np.minimum(np.searchsorted(top, self.hash), len(top) - 1)
-        dish = np.where(top[at] == self.hash, at, -1)
-        context = np.empty(len(dish), np.int64)
-        context[1:] = np.where(dish[:-1] < 0, len(top), dish[:-1])
-        opening = np.cumsum(self.n_tokens) - self.n_tokens
-        context[opening] = np.searchsorted(top, END)
-        return dish, context
 
+def pair_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return tk.mix(context * np.uint64(tk.BASE) + word)
 
-def common_tokens(documents: DataFrame) -> np.ndarray:
-    """The hashes of the end and the TOP - 1 commonest words of a hashed sample, sorted."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in tk.slices(batch, "text"):
-                low = tk.string_block(part.column("text")).lowered()
-                starts, ends, _ = low.words()
-                word, n = np.unique(low.spans(starts, ends), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "n"])
+def counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts to (context, word, n): occurrences in training documents, 0 for pairs of held-out ones alone."""
+
+    def flush(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        context, word, trained = (np.concatenate(x) for x in zip(*held, strict=True))
+        _, first, at = np.unique(pair_keys(context, word), return_index=True, return_inverse=True)
+        n = np.bincount(at, weights=trained, minlength=len(first)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(context[first].view(np.int64)), pa.array(word[first].view(np.int64)), pa.array(n)], ["context", "word", "n"])
+
+    held, size = [], 0
+    for batch in batches:
+        for part in tk.slices(batch, "text"):
+            tokens = Tokens(part)
+            held.append((tokens.context, tokens.hash, ~tokens.held[tokens.row]))
+            size += len(tokens.hash)
+            if size > DEAL:
+                yield flush(held)
+                held, size = [], 0
+    if held:
+        yield flush(held)
+
+
+def pair_counts(documents: DataFrame) -> DataFrame:
+    """(context, word, n) of every pair of the documents (doc_id, text)."""
+    return documents.mapInArrow(counting, "context long, word long, n long").groupBy("context", "word").agg(F.sum("n").alias("n"))
 
-    sample = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_OF)) == 0)
-    counts = sample.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+def commonest(pairs: DataFrame) -> np.ndarray:
+    """The hashes of the end and the TOP - 1 commonest words of all training documents, sorted."""
+    counts = pairs.where(F.col("word") != int(END.view(np.int64))).groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
     words = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(TOP - 1).collect()]
     return np.unique(np.append(np.array(words, np.int64).view(np.uint64), END))
 
 
-def spreading(top: np.ndarray, parts: int):
-    """Texts to SPREAD: other tokens by the part of their word; counts of common tokens in parts below 0."""
-    width = len(top)
+def common_tokens(documents: DataFrame) -> np.ndarray:
+    return commonest(pair_counts(tk.only(documents, "doc_id", "text")))
 
-    names = [x.split()[0] for x in SPREAD.split(", ")]
 
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*rows, strict=True))], names)
+class Hashed:
+    """Random numbers that depend only on the seed of their row."""
 
-    def dealt(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        word, context, doc, trained = (np.concatenate(x) for x in zip(*held, strict=True))
-        place = (word % np.uint64(parts)).astype(np.int32)
-        order = np.argsort(place, kind="stable")
-        edges = np.searchsorted(place[order], np.arange(parts + 1))
-        rows = []
-        for p in np.flatnonzero(np.diff(edges)):
-            at = order[edges[p] : edges[p + 1]]
-            own = doc[at]
-            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-            runs = np.diff(np.append(first, len(at))).astype(np.uint32)
-            rows.append((int(p), word[at].tobytes(), context[at].tobytes(), own[first].tobytes(), runs.tobytes(), trained[at][first].tobytes()))
-        if rows:
-            yield batch_of(rows)
+    def __init__(self, seeds: np.ndarray):
+        self.seeds = seeds
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros((width + 1) * width, np.int64)
-        held: list[tuple[np.ndarray, ...]] = []
-        for batch in batches:
-            for part in tk.slices(batch, "text"):
-                tokens = Tokens(part)
-                dish, context = tokens.common(top)
-                trained = ~tokens.held[tokens.row]
-                known = (dish >= 0) & trained
-                cells += np.bincount(context[known] * width + dish[known], minlength=len(cells))
-                other = np.flatnonzero(dish < 0)
-                held.append((tokens.hash[other], context[other].astype(np.uint16), tokens.row_key[tokens.row[other]], trained[other]))
-                if sum(len(x[0]) for x in held) > DEAL:
-                    yield from dealt(held)
-                    held = []
-        if held:
-            yield from dealt(held)
-        shelves = np.flatnonzero(cells) % 32
-        rows = []
-        for shelf in np.unique(shelves):
-            at = np.flatnonzero(cells)[shelves == shelf]
-            rows.append((-1 - int(shelf), at.astype(np.int64).tobytes(), b"", cells[at].tobytes(), b"", b""))
-        if rows:
-            yield batch_of(rows)
+    def uniform(self, at: np.ndarray, turn: int) -> np.ndarray:
+        return (tk.mix(self.seeds[at] + np.uint64(turn + 1) * np.uint64(tk.BASE)) >> np.uint64(11)) / 2.0**53
 
-    return run
+    def poisson(self, at: np.ndarray, mean: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(at), np.int64)
+        large = np.flatnonzero(mean > INVERTED)
+        out[large] = [np.random.Generator(np.random.PCG64(int(s))).poisson(m) for s, m in zip(self.seeds[at[large]], mean[large], strict=True)]
+        live = np.flatnonzero(mean <= INVERTED)
+        left, chance, k = self.uniform(at[live], EXACT), np.exp(-mean[live]), 0
+        while len(live):
+            left = left - chance
+            more = (left >= 0) & (chance > 1e-300)
+            live, left, chance = live[more], left[more], chance[more]
+            k += 1
+            out[live] = k
+            chance = chance * mean[live] / k
+        return out
+
+
+class Drawn:
+    """Random numbers of a generator, in order."""
+
+    def __init__(self, rng: np.random.Generator):
+        self.rng = rng
+
+    def uniform(self, at: np.ndarray, turn: int) -> np.ndarray:
+        return self.rng.random(len(at))
 
+    def poisson(self, at: np.ndarray, mean: np.ndarray) -> np.ndarray:
+        return self.rng.poisson(mean)
 
-def seat(customers: np.ndarray, opening: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+
+def seat(customers: np.ndarray, opening: np.ndarray, discount: float, rng: np.random.Generator | Hashed) -> np.ndarray:
     """Tables of each dish after its customers sat down one by one; opening weighs a new table."""
+    source = Drawn(rng) if isinstance(rng, np.random.Generator) else rng
     tables = (customers > 0).astype(np.int64)
     for i in range(1, EXACT):
         at = np.flatnonzero(customers > i)
         new = opening[at] / (np.maximum(i - discount * tables[at], 1e-9) + opening[at])
-        tables[at] += rng.random(len(at)) < new
+        tables[at] += source.uniform(at, i) < new
     at = np.flatnonzero(customers > EXACT)
     base = EXACT - discount * tables[at] + opening[at]
-    more = rng.poisson(opening[at] * np.log((customers[at] - EXACT + base) / base))
+    more = source.poisson(at, opening[at] * np.log((customers[at] - EXACT + base) / base))
     tables[at] = np.minimum(customers[at], tables[at] + more)
     return tables
 
@@ -170,249 +176,306 @@ def discount_of(one: float, two: float) -> float:
     return float(np.clip(one / max(one + 2 * two, 1), 0.1, 0.95))
 
 
-def seatings(count: np.ndarray, context: np.ndarray, word: np.ndarray, n_words: int, width: int, share: int, seed: int):
-    """Yields SAMPLES times (tables of pairs, customers and tables of words in the parent, both discounts).
+@dataclass(frozen=True)
+class Totals:
+    """Of all restaurants: customers and dishes of the parent, known words, and both discounts."""
 
-    share: such groups of words there are about; totals are taken to be as many times those seen here."""
-    rng = np.random.default_rng(seed)
-    tables = (count > 0).astype(np.int64)
-    discount = discount_of(*few(count))
-    for sweep in range(SWEEPS + SAMPLES - 1):
-        customers = np.bincount(word, weights=tables, minlength=n_words)
-        parent = discount_of(*few(customers))
-        total = share * customers.sum() + STRENGTH
-        rest = (STRENGTH + parent * share * (customers > 0).sum()) / total / max(1, share * n_words)
-        likely = np.maximum(customers - parent, 0) / total + rest
-        seats = share * np.bincount(context, weights=tables, minlength=width + 1)
-        tables = seat(count, (STRENGTH + discount * seats)[context] * likely[word], discount, rng)
-        if sweep >= SWEEPS - 1:
-            customers = np.bincount(word, weights=tables, minlength=n_words).astype(np.int64)
-            heads = seat(customers, np.full(n_words, max(parent, 1e-3)), parent, rng)
-            yield tables, customers, heads
-
-
-def stats_of(tables, customers, heads, context: np.ndarray, width: int) -> np.ndarray:
-    """Tables by context, then customers and tables of the parent."""
-    return np.concatenate([np.bincount(context, weights=tables, minlength=width + 1), [customers.sum(), heads.sum()]])
-
-
-def seat_part(columns: tuple[np.ndarray, ...], width: int, parts: int, number: int) -> Iterator[tuple]:
-    """SEATED rows of all occurrences of a part's words; the first one has the statistics."""
-    hashes, context, doc, trained = columns
-    words, word = np.unique(hashes, return_inverse=True)
-    pair = word * (width + 1) + context
-    order = np.argsort(pair, kind="stable")
-    pair, doc, trained = pair[order], doc[order], trained[order]
-    first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
-    seen = np.concatenate([[0], np.cumsum(trained)])
-    bounds = np.append(first, len(pair))
-    count = seen[bounds[1:]] - seen[bounds[:-1]]
-    pair_word, pair_context = pair[first] // (width + 1), pair[first] % (width + 1)
-    word_count = np.bincount(pair_word, weights=count, minlength=len(words)).astype(np.int64)
-    drawn = list(seatings(count, pair_context, pair_word, len(words), width, parts, number))
-    stats = np.concatenate([*(stats_of(*d, pair_context, width) for d in drawn), np.bincount(pair_context, weights=count, minlength=width + 1), [(word_count > 0).sum(), *few(count), *few(drawn[-1][1])]])
-    chunk = bounds[:-1] // CHUNK
-    edges = np.concatenate([[0], np.flatnonzero(np.diff(chunk)) + 1, [len(first)]])
-    for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-        low, high = pair_word[a], pair_word[b - 1] + 1
-        yield (
-            doc[bounds[a] : bounds[b]].tobytes(), np.diff(bounds[a : b + 1]).astype(np.uint32).tobytes(), pair_context[a:b].astype(np.uint16).tobytes(),
-            count[a:b].astype(np.uint32).tobytes(), np.stack([d[0][a:b] for d in drawn]).astype(np.uint32).tobytes(), (pair_word[a:b] - low).astype(np.uint32).tobytes(),
-            word_count[low:high].tobytes(), np.stack([d[1][low:high] for d in drawn]).tobytes(), np.stack([d[2][low:high] for d in drawn]).tobytes(),
-            stats.tolist() if k == 0 else None, None, None,
-        )
-
-
-def rows_of(batch: pa.RecordBatch, n: int) -> Iterator[tuple]:
-    """The first n columns row by row, so that one row at a time is copied."""
-    for i in range(batch.num_rows):
-        yield tuple(batch.column(k)[i].as_py() for k in range(n))
+    customers: int
+    dishes: int
+    vocabulary: int
+    discount: float
+    parent: float
 
 
-def seating(width: int, parts: int):
-    """SPREAD, sorted by part, to SEATED."""
-    kinds = {"binary": pa.binary(), "array<double>": pa.list_(pa.float64()), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
-    fields = [x.split() for x in SEATED.split(", ")]
+def opening_of(seats: np.ndarray, customers: np.ndarray, t: Totals) -> np.ndarray:
+    """Weight of a new table: tables of the context, and customers of the word in the parent."""
+    total = t.customers + STRENGTH
+    rest = (STRENGTH + t.parent * t.dishes) / total / (t.vocabulary + 1)
+    return (STRENGTH + t.discount * seats) * (np.maximum(customers - t.parent, 0) / total + rest)
 
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
 
-    def finished(part: int | None, held: list, cells: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if part is None:
-            return
-        if part < 0:
-            at = np.flatnonzero(cells)
-            yield batch_of([(*[None] * 10, at.tolist(), cells[at].tolist())])
-        else:
-            for row in seat_part(tuple(np.concatenate(x) for x in zip(*held, strict=True)), width, parts, part):
-                yield batch_of([row])
+def heads_of(customers: np.ndarray, parent: float, rng: np.random.Generator | Hashed) -> np.ndarray:
+    """Tables of the words in the parent."""
+    return seat(customers, np.full(len(customers), max(parent, 1e-3)), parent, rng)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held, cells = None, [], np.zeros((width + 1) * width, np.int64)
-        for batch in batches:
-            for number, words, contexts, docs, runs, train in rows_of(batch, 6):
-                if number != part:
-                    yield from finished(part, held, cells)
-                    part, held, cells = number, [], np.zeros_like(cells)
-                if number < 0:
-                    cells[np.frombuffer(words, np.int64)] += np.frombuffer(docs, np.int64)
-                else:
-                    times = np.frombuffer(runs, np.uint32)
-                    held.append((np.frombuffer(words, np.uint64), np.frombuffer(contexts, np.uint16).astype(np.int64), np.repeat(np.frombuffer(docs, np.int64), times), np.repeat(np.frombuffer(train, bool), times)))
-        yield from finished(part, held, cells)
 
-    return run
+def predictive(count, tables, seats, guests, customers, heads, t: Totals, parent_customers, parent_tables) -> np.ndarray:
+    """Mean predictive probability: count and tables of the dish, tables and guests of its context, customers and tables of its word in the parent."""
+    total = 0.0
+    for s in range(SAMPLES):
+        above = (customers[s] - t.parent * heads[s] + (STRENGTH + t.parent * parent_tables[s]) / (t.vocabulary + 1)) / (STRENGTH + parent_customers[s])
+        total = total + (count - t.discount * tables[s] + (STRENGTH + t.discount * seats[s]) * above) / (STRENGTH + guests)
+    return total / SAMPLES
 
 
 class Model:
-    """Totals of all restaurants for each sample, and the probabilities of common tokens."""
+    """The same model of one grid of counts (contexts by words) held whole, and its probabilities."""
 
-    def __init__(self, top: np.ndarray, cells: np.ndarray, stats: np.ndarray):
-        width = self.width = len(top)
+    def __init__(self, top: np.ndarray, cells: np.ndarray, others: np.ndarray):
+        """others: customers of each context that the grid does not hold, or empty."""
+        width = len(top)
         counts = cells.reshape(width + 1, width)
-        each = width + 3
-        other = stats[: SAMPLES * each].reshape(SAMPLES, each) if len(stats) else np.zeros((SAMPLES, each))
-        tail, rare = (stats[SAMPLES * each : -5], stats[-5:]) if len(stats) else (np.zeros(width + 1), np.zeros(5))
-        context, dish = np.nonzero(counts)
-        count = counts[context, dish]
-        drawn = list(seatings(count, context, dish, width, width, 1, 0))
-        self.known = counts.sum(axis=0)
-        self.vocabulary = int((self.known > 0).sum() + rare[0])
-        self.customers = counts.sum(axis=1) + tail
-        self.train_tokens = int(self.customers.sum())
-        own = np.array([stats_of(*d, context, width) for d in drawn])
-        total = other + own
-        self.tables, self.parent_customers, self.parent_tables = total[:, :-2], total[:, -2], total[:, -1]
-        self.discount = discount_of(*(rare[1:3] + few(count)))
-        self.parent_discount = discount_of(*(rare[3:5] + few(drawn[-1][1])))
-        tables = np.zeros((SAMPLES, width + 1, width))
-        for s, d in enumerate(drawn):
-            tables[s, context, dish] = d[0]
-        grid = np.repeat(np.arange(width + 1), width)
-        self.common = self.probability(counts.ravel(), tables.reshape(SAMPLES, -1), grid, *(np.tile(np.stack([d[k] for d in drawn]), width + 1) for k in (1, 2))).reshape(width + 1, width)
+        context, dish = (x.ravel() for x in np.indices(counts.shape))
+        count, rng = counts.ravel(), np.random.default_rng(0)
+        tables, drawn = (count > 0).astype(np.int64), []
+        vocabulary, discount = int((counts.sum(axis=0) > 0).sum()), discount_of(*few(count))
+        for sweep in range(SWEEPS + SAMPLES - 1):
+            customers = np.bincount(dish, weights=tables, minlength=width)
+            t = Totals(int(customers.sum()), int((customers > 0).sum()), vocabulary, discount, discount_of(*few(customers)))
+            tables = seat(count, opening_of(np.bincount(context, weights=tables)[context], customers[dish], t), discount, rng)
+            if sweep >= SWEEPS - 1:
+                customers = np.bincount(dish, weights=tables, minlength=width).astype(np.int64)
+                drawn.append((tables, np.bincount(context, weights=tables), customers, heads_of(customers, t.parent, rng)))
+        tables, self.seats, customers, heads = (np.stack(x) for x in zip(*drawn, strict=True))
+        self.totals = Totals(int(customers[-1].sum()), int((customers[-1] > 0).sum()), vocabulary, discount, discount_of(*few(customers[-1])))
+        self.guests = counts.sum(axis=1) + (others if len(others) else 0)
+        self.parent_customers, self.parent_tables = customers.sum(axis=1), heads.sum(axis=1)
+        self.common = self.probability(count, tables, context, customers[:, dish], heads[:, dish]).reshape(counts.shape)
 
     def probability(self, count, tables, context, customers, heads) -> np.ndarray:
-        """Mean predictive probability of tokens: their counts and tables here, customers and tables in the parent."""
-        d, p = self.discount, self.parent_discount
-        unseen = 1 / (self.vocabulary + 1)
-        total = 0.0
-        for s in range(SAMPLES):
-            above = (customers[s] - p * heads[s] + (STRENGTH + p * self.parent_tables[s]) * unseen) / (STRENGTH + self.parent_customers[s])
-            here = count - d * tables[s] + (STRENGTH + d * self.tables[s][context]) * above
-            total = total + here / (STRENGTH + self.customers[context])
-        return total / SAMPLES
+        return predictive(count, tables, self.seats[:, context], self.guests[context], customers, heads, self.totals, self.parent_customers, self.parent_tables)
 
-    def base(self, count: np.ndarray) -> np.ndarray:
-        return np.log10((count + 0.1) / (self.train_tokens + 0.1 * (self.vocabulary + 1)))
 
+def column(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False)
 
-SUMS = "row_key long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rows long"
 
+def columns_of(batch: pa.RecordBatch, name: str, first: int = 1) -> np.ndarray:
+    return np.stack([column(batch, f"{name}{s}") for s in range(first, first + SAMPLES)])
 
-PACKED = "bucket int, docs binary, known binary, base binary, score binary"
 
+def drawn(context: np.ndarray, word: np.ndarray, n: np.ndarray, seats: np.ndarray, customers: np.ndarray, t: Totals, sweep: int) -> np.ndarray:
+    """Tables of pairs in a sweep, by the sums of the sweep before; what a dish had itself is in no need of keeping."""
+    seeds = tk.mix(pair_keys(context.view(np.uint64), word.view(np.uint64)) + np.uint64(sweep + 1))
+    return seat(n, opening_of(seats, customers, t), t.discount, Hashed(seeds))
 
-def scoring_others(model: Model, buckets: int):
-    """SEATED to PACKED: sums by document over what a task reads, packed by bucket of documents."""
 
-    def flush(held: list) -> Iterator[pa.RecordBatch]:
-        doc, known, base, score = (np.concatenate(x) for x in zip(*held, strict=True))
-        key, at = np.unique(doc, return_inverse=True)
-        known, base, score = (np.bincount(at, weights=x, minlength=len(key)).astype(np.float32) for x in (known, base, score))
-        place = (key.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(place, kind="stable")
-        edges = np.searchsorted(place[order], np.arange(buckets + 1))
-        rows = []
-        for b in np.flatnonzero(np.diff(edges)):
-            at = order[edges[b] : edges[b + 1]]
-            rows.append((int(b), key[at].tobytes(), *(x[at].tobytes() for x in (known, base, score))))
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*rows, strict=True))], [x.split()[0] for x in PACKED.split(", ")])
+def sweeping(t: Totals, sweep: int):
+    """Pairs with seats and customers to their new tables, twice: for their word (kind 0) and their context (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
         for batch in batches:
-            for row in rows_of(batch, 9):
-                if row[0] is None:
-                    continue
-                kinds = (np.int64, np.uint32, np.uint16, np.uint32, np.uint32, np.uint32, np.int64, np.int64, np.int64)
-                doc, runs, context, count, tables, word, word_count, customers, heads = (np.frombuffer(x, k) for x, k in zip(row, kinds, strict=True))
-                tables, customers, heads = (x.reshape(SAMPLES, -1) for x in (tables, customers, heads))
-                likely = model.probability(count.astype(np.float64), tables, context, customers[:, word], heads[:, word])
-                seen = word_count[word]
-                held.append((doc, np.repeat(seen > 0, runs), np.repeat(model.base(seen), runs), np.repeat(np.log10(likely), runs)))
-                size += len(doc)
-                if size > ADD_UP:
-                    yield from flush(held)
-                    held, size = [], 0
-        if held:
-            yield from flush(held)
+            tables = pa.array(drawn(*(column(batch, c) for c in ("context", "word", "n", "seats", "customers")), t, sweep))
+            for kind, key in enumerate(("word", "context")):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, kind, np.int32)), batch.column(key), tables], ["kind", "key", "tables"])
 
     return run
 
 
-def adding_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """PACKED, sorted by bucket, to SUMS: one row for each document of a bucket."""
+def heading(parent: float, names: list[str]):
+    """Words with customers c1.. to the same with tables h1.. in the parent."""
 
-    def flush(held: list) -> pa.RecordBatch:
-        doc, known, base, score = (np.concatenate(x) for x in zip(*held, strict=True))
-        key, at = np.unique(doc, return_inverse=True)
-        known, base, score = (np.bincount(at, weights=x, minlength=len(key)) for x in (known, base, score))
-        none, zero = pa.nulls(len(key), pa.int64()), pa.array(np.zeros(len(key), np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(key), none, pa.nulls(len(key), pa.bool_()), zero, pa.array(np.rint(known).astype(np.int64)), pa.array(base), pa.array(score), zero], [x.split()[0] for x in SUMS.split(", ")])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word = column(batch, "word").view(np.uint64)
+            heads = [heads_of(column(batch, f"c{s}"), parent, Hashed(tk.mix(word + np.uint64(1000 + s)))) for s in range(1, SAMPLES + 1)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *map(pa.array, heads)], [*names, *(f"h{s}" for s in range(1, SAMPLES + 1))])
 
-    bucket, held = None, []
-    for batch in batches:
-        for number, doc, known, base, score in rows_of(batch, 5):
-            if number != bucket and held:
+    return run
+
+
+def with_sums(pairs: DataFrame, sums: DataFrame, key: str, other: str, top: np.ndarray) -> DataFrame:
+    """pairs with the sums of their key; those of common words lie in SALTS copies."""
+    common = F.col(key).isin([int(x) for x in top.view(np.int64)])
+    salt = F.when(common, F.pmod(F.xxhash64(other), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    copies = F.when(common, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return pairs.withColumn("salt", salt).join(sums.withColumn("salt", F.explode(copies)), [key, "salt"]).drop("salt")
+
+
+def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Row by row, so that one row at a time is copied."""
+    for i in range(batch.num_rows):
+        yield tuple(batch.column(k)[i].as_py() for k in range(batch.num_columns))
+
+
+def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
+
+
+def by_part(key: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, edges): places of the sorted keys of each part."""
+    place = (key % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(place, kind="stable")
+    return order, np.searchsorted(place[order], np.arange(parts + 1))
+
+
+def scoring_pairs(t: Totals, before: list[Totals], parent_customers: list, parent_tables: list, train_tokens: int, parts: int):
+    """Pairs with all their sums to DEALT of kind 0; their tables of the last sweeps are drawn as in these."""
+
+    def flush(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        key, score, base, known = (np.concatenate(x) for x in zip(*held, strict=True))
+        order, edges = by_part(key, parts)
+        rows = []
+        for p in np.flatnonzero(np.diff(edges)):
+            at = order[edges[p] : edges[p + 1]]
+            rows.append((int(p), 0, 0, *(x[at].tobytes() for x in (key, score, base, known))))
+        return batch_of(rows, DEALT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            key = pair_keys(column(batch, "context").view(np.uint64), column(batch, "word").view(np.uint64))
+            n, seats, customers = column(batch, "n"), columns_of(batch, "s", 0), columns_of(batch, "c", 0)
+            tables = [drawn(column(batch, "context"), column(batch, "word"), n, seats[k], customers[k], x, SWEEPS - 1 + k) for k, x in enumerate(before)]
+            likely = predictive(n, tables, columns_of(batch, "s"), column(batch, "guests"), columns_of(batch, "c"), columns_of(batch, "h"), t, parent_customers, parent_tables)
+            count = column(batch, "word_n")
+            base = np.log10((count + 0.1) / (train_tokens + 0.1 * (t.vocabulary + 1)))
+            held.append((key, np.log10(likely).astype(np.float32), base.astype(np.float32), count > 0))
+            size += len(key)
+            if size > DEAL:
                 yield flush(held)
-                held = []
-            bucket = number
-            held.append((np.frombuffer(doc, np.int64), *(np.frombuffer(x, np.float32) for x in (known, base, score))))
-    if held:
-        yield flush(held)
+                held, size = [], 0
+        if size:
+            yield flush(held)
+
+    return run
+
 
+def dealing(parts: int):
+    """Texts to DEALT of kinds 1 and 2: rows of a deal, and its tokens by part of their pairs."""
 
-def scoring_common(model: Model, top: np.ndarray):
-    """Texts to sums by row over their common tokens, with the row's other columns."""
-    score_of, base_of, known_of = np.log10(model.common), model.base(model.known), (model.known > 0)
+    def flush(held: list[Tokens], deal: int) -> pa.RecordBatch:
+        ids = [i for x in held for i in x.ids]
+        shift = np.cumsum([0, *(len(x.ids) for x in held[:-1])])
+        key = np.concatenate([pair_keys(x.context, x.hash) for x in held])
+        row = np.concatenate([x.row + k for x, k in zip(held, shift, strict=True)]).astype(np.uint32)
+        null, numbers = np.array([i is None for i in ids], bool), np.array([i or 0 for i in ids], np.int64)
+        rows = [(deal % parts, 1, deal, numbers.tobytes(), null.tobytes(), np.concatenate([x.held for x in held]).tobytes(), np.concatenate([x.n_tokens for x in held]).astype(np.int64).tobytes())]
+        order = np.argsort(key, kind="stable")
+        key, row = key[order], row[order]
+        order, edges = by_part(key, parts)
+        for p in np.flatnonzero(np.diff(edges)):
+            at = order[edges[p] : edges[p + 1]]
+            own = key[at]
+            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            rows.append((int(p), 2, deal, own[first].tobytes(), np.diff(np.append(first, len(at))).astype(np.uint32).tobytes(), row[at].tobytes(), b""))
+        return batch_of(rows, DEALT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, deal = [], 0, TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in tk.slices(batch, "text"):
-                tokens = Tokens(part)
-                dish, context = tokens.common(top)
-                at = np.flatnonzero(dish >= 0)
-                row, n = tokens.row[at], part.num_rows
-                score = np.bincount(row, weights=score_of[context[at], dish[at]], minlength=n)
-                base = np.bincount(row, weights=base_of[dish[at]], minlength=n)
-                known = np.bincount(row, weights=known_of[dish[at]], minlength=n).astype(np.int64)
-                columns = [pa.array(tokens.row_key), part.column("doc_id"), pa.array(tokens.held), pa.array(tokens.n_tokens.astype(np.int64)), pa.array(known), pa.array(base), pa.array(score), pa.array(np.ones(n, np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SUMS.split(", ")])
+                held.append(Tokens(part))
+                size += len(held[-1].hash)
+                if size > DEAL:
+                    yield flush(held, deal)
+                    held, size, deal = [], 0, deal + 1
+        if held:
+            yield flush(held, deal)
 
     return run
 
 
+def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """DEALT, sorted by kind and deal, to SUMMED: sums by row of a deal over the parts of a task."""
+
+    def summed(deal: int, held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        row, at = (np.concatenate(x) for x in zip(*held, strict=True))
+        rows, at_row = np.unique(row, return_inverse=True)
+        n, base_, score_ = (np.bincount(at_row, weights=x[at], minlength=len(rows)) for x in (known, base, score))
+        return batch_of([(deal, 2, rows.tobytes(), np.rint(n).astype(np.uint32).tobytes(), base_.astype(np.float32).tobytes(), score_.astype(np.float32).tobytes())], SUMMED)
+
+    scores, held, current, key = [], [], None, None
+    for batch in batches:
+        for _, kind, deal, a, b, c, d in rows_of(batch):
+            if kind == 0:
+                scores.append((np.frombuffer(a, np.uint64), np.frombuffer(b, np.float32), np.frombuffer(c, np.float32), np.frombuffer(d, bool)))
+            elif kind == 1:
+                yield batch_of([(deal, 1, a, b, c, d)], SUMMED)
+            else:
+                if key is None:
+                    key, score, base, known = (np.concatenate(x) for x in zip(*scores, strict=True))
+                    order = np.argsort(key)
+                    key, score, base, known, scores = key[order], score[order], base[order], known[order], []
+                if deal != current and held:
+                    yield summed(current, held)
+                    held = []
+                current, runs = deal, np.frombuffer(b, np.uint32)
+                held.append((np.frombuffer(c, np.uint32), np.repeat(np.searchsorted(key, np.frombuffer(a, np.uint64)), runs)))
+    if held:
+        yield summed(current, held)
+
+
+def adding_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SUMMED, sorted by deal and kind, to SUMS."""
+
+    def finished(head: tuple | None, sums: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        if head is not None:
+            ids, null, held, n = head
+            columns = [pa.array(ids, mask=null), pa.array(held), pa.array(n), pa.array(np.rint(sums[0]).astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SUMS.split(", ")])
+
+    head = sums = None
+    for batch in batches:
+        for _, kind, a, b, c, d in rows_of(batch):
+            if kind == 1:
+                yield from finished(head, sums)
+                head = (np.frombuffer(a, np.int64), np.frombuffer(b, bool), np.frombuffer(c, bool), np.frombuffer(d, np.int64))
+                sums = np.zeros((3, len(head[0])))
+            else:
+                sums[:, np.frombuffer(a, np.uint32)] += np.stack([np.frombuffer(b, np.uint32), np.frombuffer(c, np.float32), np.frombuffer(d, np.float32)])
+    yield from finished(head, sums)
+
+
+def seated(spark: SparkSession, counts: DataFrame, top: np.ndarray) -> tuple[DataFrame, list[Totals]]:
+    """((kind, key, n, t0..), totals): of words (kind 0) and contexts (1) the customers n and the tables before
+    the first sample and after each, and the totals that each sample was drawn by; of counts (context, word, n)."""
+    both = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("key")) for k, c in enumerate(("word", "context")))))
+    n = F.col("n")
+    known = counts.select("n", both.alias("x")).groupBy("x.kind", "x.key").agg(F.sum("n").alias("n"), F.count_if(n == 1).alias("single"), F.count_if(n > 0).alias("dishes"))
+    known = tk.materialize(spark, known, "known")
+    one, two = counts.agg(F.count_if(n == 1), F.count_if(n == 2)).first()
+    vocabulary = known.where("kind = 0 and n > 0").count()
+    # One customer has one table, whatever the others do, so only dishes of more take part in the sweeps.
+    single = known.where("single > 0").select("kind", "key", F.col("single").alias("tables"))
+    sums, totals, series = known.select("kind", "key", F.col("dishes").alias("tables")), [], []
+    for sweep in range(SWEEPS + SAMPLES - 1):
+        totals.append(Totals(*parent_sums(sums), vocabulary, discount_of(one, two), discount_of(*parent_few(sums))))
+        series.append(sums)
+        words, contexts = (sums.where(F.col("kind") == k).select(F.col("key").alias(c), F.col("tables").alias(t)) for k, (c, t) in enumerate((("word", "customers"), ("context", "seats"))))
+        given = with_sums(with_sums(counts.where("n > 1"), words, "word", "context", top), contexts, "context", "word", top)
+        new = given.mapInArrow(sweeping(totals[-1], sweep), "kind int, key long, tables long").unionByName(single)
+        sums = tk.materialize(spark, new.groupBy("kind", "key").agg(F.sum("tables").alias("tables")), "tables")
+    found = known.select("kind", "key", "n")
+    for k, each in enumerate([*series[SWEEPS - 1 :], sums]):
+        found = found.join(each.withColumnRenamed("tables", f"t{k}"), ["kind", "key"], "left")
+    return found.na.fill(0), totals[SWEEPS - 1 :]
+
+
+def parent_sums(sums: DataFrame) -> tuple[int, int]:
+    """Customers and dishes of the parent."""
+    return tuple(sums.where("kind = 0").agg(F.coalesce(F.sum("tables"), F.lit(0)), F.count_if(F.col("tables") > 0)).first())
+
+
+def parent_few(sums: DataFrame) -> tuple[int, int]:
+    """How many dishes of the parent have one customer, and two."""
+    return tuple(sums.where("kind = 0").agg(F.count_if(F.col("tables") == 1), F.count_if(F.col("tables") == 2)).first())
+
+
 def score_documents(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) of each document."""
     documents = tk.only(documents, "doc_id", "text")
-    top = common_tokens(documents)
-    parts = max(8, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    spread = documents.mapInArrow(spreading(top, parts), SPREAD).repartition("part").sortWithinPartitions("part")
+    counts = tk.materialize(spark, pair_counts(documents).sortWithinPartitions("word", "context"), "counts")
+    top = commonest(counts)
+    sums, before = seated(spark, counts, top)
+    each = range(SAMPLES + 1)
+    words, contexts = (sums.where(F.col("kind") == k).select(F.col("key").alias(c), F.col("n").alias(n), *(F.col(f"t{s}").alias(f"{t}{s}") for s in each)) for k, (c, n, t) in enumerate((("word", "word_n", "c"), ("context", "guests", "s"))))
+    words, contexts = tk.materialize(spark, words, "words"), tk.materialize(spark, contexts, "contexts")
+    last = F.col(f"c{SAMPLES}")
+    parent = discount_of(*words.agg(F.count_if(last == 1), F.count_if(last == 2)).first())
+    words = tk.materialize(spark, words.mapInArrow(heading(parent, words.columns), ", ".join(f"{c} long" for c in [*words.columns, *(f"h{s}" for s in each[1:])])), "heads")
+    train_tokens, dishes, *parents = words.agg(*(F.coalesce(x, F.lit(0)) for x in (F.sum("word_n"), F.count_if(last > 0), *(F.sum(f"{k}{s}") for k in "ch" for s in each[1:])))).first()
+    t = Totals(parents[SAMPLES - 1], dishes, before[0].vocabulary, before[0].discount, parent)
+    given = with_sums(with_sums(counts, words, "word", "context", top), contexts, "context", "word", top)
+    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    scores = given.mapInArrow(scoring_pairs(t, before, parents[:SAMPLES], parents[SAMPLES:], train_tokens, parts), DEALT)
     with tk.batch_bytes(spark, "4m"):
-        seated = tk.materialize(spark, spread.mapInArrow(seating(len(top), parts), SEATED), "seated")
-        cells = np.zeros((len(top) + 1) * len(top), np.int64)
-        dense = seated.where("cells is not null").select(F.explode(F.arrays_zip("cells", "counts")).alias("x")).groupBy("x.cells").agg(F.sum("x.counts").alias("n")).toPandas()
-        cells[dense["cells"].to_numpy(np.int64)] = dense["n"].to_numpy(np.int64)
-        totals = seated.where("stats is not null").select(F.posexplode("stats")).groupBy("pos").agg(F.sum("col").alias("n")).toPandas().sort_values("pos")
-        model = Model(top, cells, totals["n"].to_numpy(float))
-        packed = seated.where("docs is not null").drop("stats", "cells", "counts").mapInArrow(scoring_others(model, parts), PACKED)
-        others = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(adding_up, SUMS)
-        sums = tk.materialize(spark, others, "sums").unionByName(documents.mapInArrow(scoring_common(model, top), SUMS))
-    added = ("n_tokens", "n_known", "base_score", "score", "rows")
-    by_row = sums.groupBy("row_key").agg(F.max("doc_id").alias("doc_id"), F.bool_or("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in added))
-    each = {c: F.col(c) / F.col("rows") for c in ("base_score", "score")} | {c: F.expr(f"{c} div rows") for c in ("n_tokens", "n_known")}
-    rows = by_row.withColumns(each).withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("rows").cast("int"))))
-    n = F.lit(model.train_tokens).cast("long").alias("train_tokens")
+        dealt = scores.unionByName(documents.mapInArrow(dealing(parts), DEALT)).repartition("part").sortWithinPartitions("kind", "deal")
+        summed = dealt.mapInArrow(meeting, SUMMED).repartition("deal").sortWithinPartitions("deal", "kind")
+        rows = tk.materialize(spark, summed.mapInArrow(adding_up, SUMS), "sums")
+    n = F.lit(train_tokens).cast("long").alias("train_tokens")
     return rows.select("doc_id", "held_out", "n_tokens", "n_known", n, "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 

@@ -374,3 +374,17 @@ def test_components_of_chains_and_hubs(spark):
     links = [(k, k + 1) for k in range(20)] + [(100, 100 + k) for k in range(1, 30)] + [(50, 40), (40, 50), (7, 7)]
     got = {r["id"]: r["component"] for r in connected_components(spark, spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(21)}, **{k: 100 for k in range(100, 130)}, 40: 40, 50: 40}
+
+
+def test_bigrams_after_rare_words_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(pitman, "TOP", 4)  # common words set the layout alone
+    pairs = [(f"head{k}", f"tail{k}") for k in range(40)]
+    text = {i: " ".join(f"{a} {b}" for a, b in random.Random(i).sample(pairs, 20)) for i in range(60)}
+    swapped = " ".join(f"{pairs[k][0]} {pairs[(k + 7) % 40][1]}" for k in range(20))
+    straight = " ".join(f"{a} {b}" for a, b in pairs[:20])
+    held = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    rows = [*text.items(), (held[0], straight), (held[1], swapped)]
+    got = {r["doc_id"]: r["score"] for r in pitman.score_documents(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[held[0]] > got[held[1]] + 15
+    counts = {(r["context"], r["word"]): r["n"] for r in pitman.pair_counts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len({c for c, _ in counts}) == 81
