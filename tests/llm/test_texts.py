@@ -388,3 +388,18 @@ def test_bigrams_after_rare_words_are_learned(spark, monkeypatch):
     assert got[held[0]] > got[held[1]] + 15
     counts = {(r["context"], r["word"]): r["n"] for r in pitman.pair_counts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len({c for c, _ in counts}) == 81
+
+
+def test_layout_does_not_change_language_model_scores(spark):
+    rng = random.Random(6)
+    words = [f"v{k}" for k in range(50)]
+    rows = [(k, "the " * 30 + " ".join(rng.choice(words[: rng.randint(2, 50)]) for _ in range(60))) for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for shuffles, deals in ((2, 1), (9, 5)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(shuffles))
+            found.append({r["doc_id"]: r["score"] for r in pitman.score_documents(spark, df.repartition(deals)).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == pytest.approx(found[1], rel=1e-5)
