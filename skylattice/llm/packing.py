@@ -4,8 +4,9 @@ Documents become token ids plus an end id; one longer than the capacity is cut i
 sequences after a shorter first piece. How pieces share sequences depends only on how many there
 are of each length, so the search runs on that histogram, CAPACITY numbers whatever the corpus: a
 pattern is a filling around the largest remaining length, taken as often as the counts allow. The
-search enumerates fillings that no other dominates, best fit first; its first descent gives the
-incumbent, and branches whose waste already exceeds what a better packing could have are pruned.
+search enumerates fillings of any number of pieces that leave no room for another, the fullest
+first; best-fit decreasing gives the incumbent, and branches whose waste already exceeds what a
+better packing could have are pruned.
 
 Pieces then find their places without meeting: each has a rank among those of its length (the task
 that made it, then its order there), and a pattern owns a range of ranks of each of its lengths.
@@ -33,7 +34,7 @@ from . import textkit as tk
 
 CAPACITY = 2048
 END = 0
-MOST_ITEMS, BRANCHES, MOST_NODES = 6, 3, 1_000
+MOST_NODES = 1_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"
 
 
@@ -113,60 +114,36 @@ def least_sequences(counts: np.ndarray) -> int:
     return best
 
 
-def fillings(counts: np.ndarray, room: int) -> list[tuple[int, ...]]:
-    """Undominated sets of lengths that fit into room: the one of the largest lengths, then the fullest."""
-    if room <= 0:
-        return [()]
-    if counts[room]:
-        return [(room,)]  # one piece that fills all dominates every other filling
-    at = np.where(counts[: room + 1] > 0, np.arange(room + 1), 0)
-    below = np.maximum.accumulate(at)
-    first = np.unique(below)[::-1]
-    first = first[first > 0]
-    if not len(first):
-        return [()]
-
-    def grow(sets: list[np.ndarray]) -> np.ndarray:
-        items = [*sets]
-        left = room - sum(items)
-        for _ in range(MOST_ITEMS - len(items)):
-            nxt = below[np.minimum(items[-1], np.maximum(left, 0))]
-            used = sum((x == nxt).astype(np.int64) for x in items)
-            short = (nxt > 0) & (used >= counts[nxt])
-            nxt = np.where(short, below[np.maximum(nxt - 1, 0)], nxt)
-            items.append(nxt)
-            left = left - nxt
-        return np.stack(items, axis=1)
-
-    grown = grow([first])
-    if grown.sum(axis=1).max() < room and len(first) <= 600:
-        a, b = np.meshgrid(first, first, indexing="ij")
-        pair = (b <= a) & (a + b <= room) & ((a != b) | (counts[a] > 1))
-        if pair.any():
-            grown = np.concatenate([grown, grow([a[pair], b[pair]])])
-    filled = grown.sum(axis=1)
-    order = np.lexsort((*(-grown[:, k] for k in range(MOST_ITEMS - 1, -1, -1)), -filled))
-    found: list[tuple[int, ...]] = []
-    for k in [0, *order[: 16 * BRANCHES]]:
-        items = tuple(int(x) for x in grown[k] if x)
-        lengths, uses = np.unique(items, return_counts=True)
-        if items not in found and (uses <= counts[lengths]).all() and not any(dominates(x, items) for x in found):
-            found.append(items)
-        if len(found) == BRANCHES:
-            break
-    return found or [(int(first[0]),)]
-
-
-def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
-    """Whether the pieces of b can be laid into those of a, each into one (found greedily)."""
-    rooms = sorted(a)
-    for x in sorted(b, reverse=True):
-        fit = next((i for i, r in enumerate(rooms) if r >= x), None)
-        if fit is None:
-            return False
-        rooms[fit] -= x
-        rooms.sort()
-    return True
+def fillings(counts: np.ndarray, room: int) -> Iterator[tuple[int, ...]]:
+    """Sets of any number of lengths that fit into room and leave none that would, the fullest first, then of the largest lengths; made as they are asked for."""
+    lengths = np.flatnonzero(counts[: max(room, 0) + 1]).tolist()
+    uses = [min(int(counts[x]), room // x) for x in lengths]
+    sums, mask = [1], (1 << (max(room, 0) + 1)) - 1  # bit t of sums[j]: whether t is a sum of the first j lengths
+    for x, n in zip(lengths, uses, strict=True):
+        bits, step = sums[-1], 1
+        while n:
+            step = min(step, n)
+            bits |= (bits << (x * step)) & mask
+            n, step = n - step, 2 * step
+        sums.append(bits)
+
+    def of_sum(j: int, total: int) -> Iterator[tuple[int, ...]]:
+        if not total:
+            yield ()
+            return
+        while j and sums[j] >> total & 1:
+            x = lengths[j - 1]
+            for k in range(min(uses[j - 1], total // x), 0, -1):
+                if sums[j - 1] >> (total - k * x) & 1:
+                    for others in of_sum(j - 1, total - k * x):
+                        yield (x,) * k + others
+            j -= 1
+
+    for total in range(max(room, 0), -1, -1):
+        if sums[-1] >> total & 1:
+            for found in of_sum(len(lengths), total):
+                if not any(x <= room - total and found.count(x) < counts[x] for x in lengths):
+                    yield found
 
 
 def best_fit_decreasing(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
@@ -201,37 +178,52 @@ def best_fit_decreasing(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]
 def bin_completion(counts: np.ndarray, most_nodes: int = MOST_NODES) -> list[tuple[tuple[int, ...], int]]:
     """Patterns of lengths and how often each is used, so that every piece has a place.
 
-    counts[x] is the number of pieces of length x, 0 < x < len(counts) = capacity + 1."""
+    counts[x] is the number of pieces of length x, 0 < x < len(counts) = capacity + 1. A filling is taken
+    as often as the counts allow, or once, so that no packing is out of reach; the search ends when the
+    bound is met, when nothing is left to try, or after most_nodes nodes and four for each length."""
     capacity = len(counts) - 1
     total, bound = int((counts * np.arange(capacity + 1)).sum()), least_sequences(counts)
     best = best_fit_decreasing(counts)
     best_bins = sum(times for _, times in best)
-    stack: list[tuple] = [(counts.copy(), 0, 0, None, None, 0)]
-    nodes = 0
+
+    def children(left: np.ndarray) -> Iterator[tuple[tuple[int, ...], int]]:
+        largest = int(np.flatnonzero(left)[-1])
+        rest = left.copy()
+        rest[largest] -= 1
+        for filling in fillings(rest, capacity - largest):
+            pattern = (largest, *filling)
+            lengths, uses = np.unique(pattern, return_counts=True)
+            most = int((left[lengths] // uses).min())
+            yield from [(pattern, most), (pattern, 1)][: 1 + (most > 1)]
+
+    if best_bins <= bound:
+        return best
+    stack = [(counts.copy(), 0, 0, None, children(counts))]
+    seen: set[bytes] = set()
+    nodes, most_nodes = 0, most_nodes + 4 * int(np.count_nonzero(counts))
     while stack and best_bins > bound and nodes < most_nodes:
-        left, bins, waste, path, pattern, times = stack.pop()
-        if pattern is not None:
-            left = left.copy()
-            np.subtract.at(left, list(pattern), times)
-            bins, waste, path = bins + times, waste + times * (capacity - sum(pattern)), (path, pattern, times)
-        if waste > (best_bins - 1) * capacity - total:
+        left, bins, waste, path, more = stack[-1]
+        pattern, times = next(more, (None, 0))
+        slack = (best_bins - 1) * capacity - total
+        if pattern is None or waste + capacity - sum(pattern) > slack:  # fillings come by waste, so all others waste more
+            stack.pop()
             continue
         nodes += 1
-        there = np.flatnonzero(left)
-        if not len(there):
+        waste += times * (capacity - sum(pattern))
+        if waste > slack:
+            continue
+        left = left.copy()
+        np.subtract.at(left, list(pattern), times)
+        bins, path = bins + times, (path, pattern, times)
+        if not left.any():
             best_bins, best = bins, []
             while path:
-                path, pattern, times = path[0], path[1], path[2]
+                path, pattern, times = path
                 best.append((pattern, times))
             best.reverse()
-            continue
-        largest = int(there[-1])
-        rest = left.copy()
-        rest[largest] -= 1
-        for filling in reversed(fillings(rest, capacity - largest)):
-            pattern = (largest, *filling)
-            lengths, uses = np.unique(pattern, return_counts=True)
-            stack.append((left, bins, waste, path, pattern, int((left[lengths] // uses).min())))
+        elif (state := left.tobytes() + bins.to_bytes(8, "big")) not in seen:
+            seen.add(state)
+            stack.append((left, bins, waste, path, children(left)))
     return best
 
 

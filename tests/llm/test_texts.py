@@ -403,3 +403,16 @@ def test_layout_does_not_change_language_model_scores(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert found[0] == pytest.approx(found[1], rel=1e-5)
+
+
+def test_bin_completion_finds_fillings_of_many_pieces():
+    counts = np.zeros(101, np.int64)
+    counts[7:14] = [5, 9, 7, 9, 7, 7, 13]  # sequences need eight pieces and more
+    patterns = packing.bin_completion(counts)
+    used = collections.Counter()
+    for p, k in patterns:
+        assert sum(p) <= 100
+        used.update({x: p.count(x) * k for x in set(p)})
+    assert used == {x: counts[x] for x in range(7, 14)}
+    assert sum(k for _, k in packing.best_fit_decreasing(counts)) == 7
+    assert sum(k for _, k in patterns) == packing.least_sequences(counts) == 6
