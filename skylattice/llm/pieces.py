@@ -1,7 +1,7 @@
 """SentencePiece encoding by batched Viterbi, and decoding, over a published vocabulary file.
 
 A text is escaped as the vocabulary asks (one mark before it and for every space) and falls into
-units at marks and line feeds, which no piece with a usable score crosses. The distinct units of a
+units at runs of marks and line feeds, which no piece crosses. The distinct units of a
 block that are equally long advance together: at each end position the hashes of the substrings of
 every length probe the sorted keys of the pieces, the vectorised maximum of the path scores wins,
 and its length is the backpointer. The longer piece wins ties. The lone mark,
@@ -32,7 +32,6 @@ from . import textkit as tk
 VOCABULARY = "piece_bpe_32k.model"
 MARK, LINE_FEED = 0x2581, 0x0A
 UNKNOWN_COST = 10.0
-UNUSABLE = -1e8
 DIGEST = "doc_id long, n_chars long, n_pieces long, ids_crc32 long, decoded_sha256 string, same boolean"
 
 
@@ -55,15 +54,14 @@ class Vocabulary:
                 raw.append(b"")
             else:
                 raw.append(word.replace(chr(MARK), " ").encode())
-                if model.get_score(i) > UNUSABLE or word == chr(MARK):
-                    usable.append(i)
+                usable.append(i)
         points, offsets = code_points([words[i] for i in usable])
         keys = tk.Block(points, offsets).spans(offsets[:-1], offsets[1:])
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(usable)[order]
-        scores = np.array([model.get_score(i) for i in usable])
-        worst = scores[scores > UNUSABLE].min()
-        self.scores = np.where(scores > UNUSABLE, scores, worst - 1)[order]
+        self.scores = np.array([model.get_score(i) for i in usable], float)[order]
+        if any(chr(MARK) in words[i].lstrip(chr(MARK)) or "\n" in words[i][1:] for i in usable):
+            raise ValueError("a piece crosses the start of a unit")
         self.unknown = float(self.scores.min()) - UNKNOWN_COST
         self.longest = int(np.diff(offsets).max())
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
@@ -140,6 +138,7 @@ def encode_texts(texts: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarra
     block = tk.Block(points, offsets)
     feed = points == LINE_FEED
     opens = (points == MARK) | feed
+    opens[1:] &= (points[:-1] != MARK) | feed[1:]  # a run of marks stays with what follows it
     opens[1:] |= feed[:-1]
     opens[offsets[:-1]] = True
     starts = np.flatnonzero(opens)

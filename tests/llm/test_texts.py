@@ -416,3 +416,23 @@ def test_bin_completion_finds_fillings_of_many_pieces():
     assert used == {x: counts[x] for x in range(7, 14)}
     assert sum(k for _, k in packing.best_fit_decreasing(counts)) == 7
     assert sum(k for _, k in patterns) == packing.least_sequences(counts) == 6
+
+
+def test_runs_of_spaces_are_pieces_by_the_scores_of_the_file():
+    import public_tokenizers as P
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=P.path(pieces.VOCABULARY))
+    score = {model.id_to_piece(i): model.get_score(i) for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))}
+    longest = max(map(len, score))
+    v = pieces.vocabulary(pieces.VOCABULARY)
+    for text in ("a  b   c", "x\n        return y", " lead", "tail     ", "one" + " " * 40 + "two"):
+        s = "▁" + text.replace(" ", "▁")
+        best = [0.0] + [-math.inf] * len(s)
+        for end in range(1, len(s) + 1):
+            best[end] = max(best[end - n] + score.get(s[end - n : end], -math.inf) for n in range(1, min(end, longest) + 1))
+        ids = [i for i in pieces.encode_texts([text], v)[0].tolist() if not model.is_byte(i)]
+        feeds = text.count("\n") * score.get("\n", 0.0)
+        if math.isfinite(best[-1]):
+            assert sum(model.get_score(i) for i in ids) + feeds == pytest.approx(best[-1], abs=1e-3, rel=0)
+    assert pieces.encode_texts(["a  b   c"], v)[0].tolist() == model.encode("a  b   c")
