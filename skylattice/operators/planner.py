@@ -131,19 +131,34 @@ def search(voxels: pd.DataFrame, start: tuple[int, int, int], goal: tuple[int, i
 PATHS = "query long, feasible boolean, cost double, n_expansions long, n_waypoints int, path array<struct<ix:int,iy:int,iz:int>>"
 
 
-def plan(queries: DataFrame, voxels: DataFrame, cell: tuple[float, float, float], baseline: str = "B3", v: Vehicle = Vehicle(), w: Weights = Weights()) -> DataFrame:
-    """PATHS of queries (query, s_ix.., g_ix..) over voxels (query, ix, iy, iz, sdf, open, risk)."""
-    gates = BASELINES[baseline]
-
-    def one(key: tuple, ask: pd.DataFrame, grid: pd.DataFrame) -> pd.DataFrame:
+def answering(cell: tuple[float, float, float], gates: tuple[bool, bool, bool, bool], v: Vehicle, w: Weights):
+    def one(ask: pd.DataFrame, grid: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for a in ask.itertuples(index=False):
             path, cost, n = search(grid, (a.s_ix, a.s_iy, a.s_iz), (a.g_ix, a.g_iy, a.g_iz), cell, gates, v, w)
             rows.append((a.query, bool(path), cost if path else None, n, len(path), [{"ix": int(i), "iy": int(j), "iz": int(k)} for i, j, k in path]))
         return pd.DataFrame(rows, columns=["query", "feasible", "cost", "n_expansions", "n_waypoints", "path"])
 
+    return one
+
+
+def plan(queries: DataFrame, voxels: DataFrame, cell: tuple[float, float, float], baseline: str = "B3", v: Vehicle = Vehicle(), w: Weights = Weights()) -> DataFrame:
+    """PATHS of queries (query, s_ix.., g_ix..) over voxels (query, ix, iy, iz, sdf, open, risk)."""
+    one = answering(cell, BASELINES[baseline], v, w)
     grid = voxels.select(F.col("query").alias("of_query"), "ix", "iy", "iz", "sdf", "open", "risk")
-    return queries.groupBy("query").cogroup(grid.groupBy("of_query")).applyInPandas(one, PATHS)
+    return queries.groupBy("query").cogroup(grid.groupBy("of_query")).applyInPandas(lambda key, ask, own: one(ask, own), PATHS)
+
+
+#: Voxels of a grid that every query shares.
+SHARED_MOST = 100_000
+
+
+def plan_shared(queries: DataFrame, grid: pd.DataFrame, cell: tuple[float, float, float], baseline: str = "B3", v: Vehicle = Vehicle(), w: Weights = Weights()) -> DataFrame:
+    """PATHS of queries over one grid (ix, iy, iz, sdf, open, risk) of bounded size, which goes to each executor once."""
+    if len(grid) > SHARED_MOST:
+        raise ValueError(f"{len(grid)} voxels are more than {SHARED_MOST}")
+    one, shared = answering(cell, BASELINES[baseline], v, w), queries.sparkSession.sparkContext.broadcast(grid)
+    return queries.groupBy("query").applyInPandas(lambda ask: one(ask, shared.value), PATHS)
 
 
 def simplify_line(points: np.ndarray, epsilon: float) -> np.ndarray:

@@ -51,10 +51,9 @@ def snap_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def plan_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corridors between derived ends, one for each supplier, over the voxels that traffic leaves open."""
     k = F.col("s_suppkey")
-    asks = table(spark, sf_dir, "supplier").select(k.alias("query"), *((k * a % n).cast("int").alias(c) for c, a, n in (("s_ix", 7, 20), ("s_iy", 11, 20), ("s_iz", 5, 3), ("g_ix", 13, 20), ("g_iy", 17, 20), ("g_iz", 5, 3))))
-    grid = busy_grid(spark, sf_dir).where("iz < 3").select(*V.KEY, (F.lit(1000.0) - F.col("n") * 40).alias("sdf"), (F.col("n") < 20).alias("open"), (F.col("n") / 50.0).alias("risk"))
-    around = asks.crossJoin(F.broadcast(grid)).select("query", *V.KEY, "sdf", "open", "risk")
-    found = P.plan(asks, around, (1000.0, 1000.0, 150.0), "B3", P.Vehicle(descent_limit=None))
+    asks = table(spark, sf_dir, "supplier").select(k.alias("query"), *((k * a % n).cast("int").alias(c) for c, a, n in (("s_ix", 7, 20), ("s_iy", 11, 20), ("s_iz", 5, 12), ("g_ix", 13, 20), ("g_iy", 17, 20), ("g_iz", 5, 12))))
+    grid = busy_grid(spark, sf_dir).select(*V.KEY, (F.lit(1000.0) - F.col("n") * 40).alias("sdf"), (F.col("n") < 20).alias("open"), (F.col("n") / 50.0).alias("risk"))
+    found = P.plan_shared(asks, grid.orderBy(*V.KEY).toPandas(), (1000.0, 1000.0, 150.0), "B3", P.Vehicle(descent_limit=None))
     return found.select("query", "feasible", F.round("cost", 6).alias("cost"), "n_expansions", "n_waypoints")
 
 

@@ -281,3 +281,15 @@ def test_streams_run_to_completion(spark, sf, tmp_path):
         q = out.writeStream.outputMode("append").format("memory").queryName(f"s{k}").option("checkpointLocation", str(tmp_path / f"c{k}")).trigger(availableNow=True).start()
         q.awaitTermination(120)
         assert spark.table(f"s{k}").count() > 0
+
+
+def test_planned_corridors_climb_over_closed_layers(spark, sf, monkeypatch):
+    from skylattice.plans import models
+
+    n = F.when((F.col("ix") == 10) & (F.col("iz") < 5), 24).otherwise(0)
+    wall = spark.range(4800).select((F.col("id") % 20).alias("ix"), (F.floor(F.col("id") / 20) % 20).alias("iy"), F.floor(F.col("id") / 400).alias("iz")).withColumn("n", n)
+    monkeypatch.setattr(models, "busy_grid", lambda spark, sf_dir: wall)
+    got = {r["query"]: r["feasible"] for r in models.plan_paths(spark, sf).collect()}
+    ends = {k: [(k * a % 20, k * 5 % 12) for a in (7, 13)] for k in got}
+    assert any((a[0] < 10) != (b[0] < 10) for a, b in ends.values())
+    assert all(got[k] == all(x != 10 or z >= 5 for x, z in e) for k, e in ends.items())
