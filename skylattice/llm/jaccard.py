@@ -193,18 +193,36 @@ def compared(spark: SparkSession, documents: DataFrame, pairs: DataFrame, words:
 
 def near_classes(spark: SparkSession, documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) of every document (doc_id, text)."""
-    documents = tk.only(documents, "doc_id", "text")
-    points = tk.materialize(spark, documents.mapInArrow(pointing(words, percent, frequent_shingles(documents, words, percent)), POINTS), "points")
-    key = ["n_shingles", "h1", "h2"]
-    classes = points.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("class_id"))
-    members = points.select("doc_id", *key).join(classes, key, "left")
-    members = members.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
+    found, _ = near_points(spark, documents, words, percent)
+    return found.select("doc_id", "n_shingles", "class_id", "component_id")
+
 
-    heads = points.where("n_shingles > 0").join(classes.select(F.col("class_id").alias("head")), F.col("doc_id") == F.col("head"), "left_semi").dropDuplicates(["doc_id"])
+def near_points(spark: SparkSession, documents: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, n_shingles, class_id, component_id, text_key, point) of every document, the same smallest by point).
+
+    Documents are told apart by a hash of the text, and a point is the least of its class; ids, which can
+    be null or repeat, only name what comes out."""
+    texts = tk.only(documents, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    keyed = texts.select(F.col("text_key").alias("doc_id"), "text").where("text is not null").dropDuplicates(["doc_id"])
+    keyed = tk.materialize(spark, keyed, "texts")
+    points = tk.materialize(spark, keyed.mapInArrow(pointing(words, percent, frequent_shingles(keyed, words, percent)), POINTS), "points")
+    key = ["n_shingles", "h1", "h2"]
+    full = points.where("n_shingles > 0")
+    classes = full.groupBy(*key).agg(F.min("doc_id").alias("head"))
+    heads = full.join(classes.select("head"), F.col("doc_id") == F.col("head"), "left_semi")
     regions = heads.select(F.explode("prefix").alias("region"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
-    component = joined_regions(spark, documents, heads.select("doc_id", "prefix"), regions, words, percent).select(F.col("id").alias("class_id"), "component")
-    found = members.join(component, "class_id", "left")
-    return found.select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    component = joined_regions(spark, keyed, heads.select("doc_id", "prefix"), regions, words, percent).select(F.col("id").alias("head"), "component")
+    of_text = full.select(F.col("doc_id").alias("text_key"), *key).join(classes, key).join(component, "head", "left")
+    of_text = of_text.select("text_key", "n_shingles", "head", F.coalesce("component", "head").alias("point"))
+    members = tk.materialize(spark, texts.select("doc_id", "text_key").join(of_text, "text_key", "left"), "members")
+    there = members.where("point is not null")
+    classes_ = there.groupBy("head").agg(F.min("doc_id").alias("least_class"))
+    components = there.groupBy("point").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first"))
+    found = members.join(classes_, "head", "left").join(components.select("point", "least"), "point", "left")
+    alone = F.col("point").isNull()
+    names = (F.when(alone, F.col("doc_id")).otherwise(F.col(c)).alias(n) for c, n in (("least_class", "class_id"), ("least", "component_id")))
+    found = found.select("doc_id", F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), *names, "text_key", "point")
+    return found, components.select(F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_key"))
 
 
 def joined_regions(spark: SparkSession, documents: DataFrame, prefixes: DataFrame, regions: DataFrame, words: int, percent: int) -> DataFrame:
@@ -277,11 +295,13 @@ def windowed(left: DataFrame, held: str, fits: str, reach: float, near: Column)
 
 
 def near_filter(spark: SparkSession, documents: DataFrame, words: int, percent: int) -> DataFrame:
-    """documents of which one stays of each component: the one of the smallest id; others whole."""
-    found = near_classes(spark, documents, words, percent)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = documents.join(gone, documents["doc_id"] == gone["gone_id"], "left_anti")
-    return kept
+    """documents of which one stays of each component: the one of the smallest id; those without words stay."""
+    found, first = near_points(spark, documents, words, percent)
+    key = F.xxhash64("text")
+    alone = found.where("point is null").select("text_key").distinct()
+    wordless = documents.join(alone, key == F.col("text_key"), "left_semi")
+    chosen = documents.join(first, (key == F.col("first_key")) & documents["doc_id"].eqNullSafe(F.col("first_id")), "left_semi")
+    return wordless.unionByName(chosen.withColumn("text_key", key).dropDuplicates(["text_key", "doc_id"]).drop("text_key"))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -436,3 +436,22 @@ def test_runs_of_spaces_are_pieces_by_the_scores_of_the_file():
         if math.isfinite(best[-1]):
             assert sum(model.get_score(i) for i in ids) + feeds == pytest.approx(best[-1], abs=1e-3, rel=0)
     assert pieces.encode_texts(["a  b   c"], v)[0].tolist() == model.encode("a  b   c")
+
+
+def test_rows_of_null_or_repeated_ids_keep_their_links(spark):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(300)}" for _ in range(100)]
+    chain = [" ".join([f"x{k}_{j}" if j < 4 * k else w for j, w in enumerate(base)]) for k in range(3)]
+    chain[2] = chain[1].replace(base[50], "changed", 1)
+    extra = [(None, chain[0]), (None, chain[0]), (70, chain[1]), (70, "quite another text of the same id " * 3), (71, chain[2]), (72, "quite another text of the same id " * 3), (71, chain[2])]
+    rows = [*ROWS, *((i, t, "en", "s", 1, 1, "") for i, t in extra)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    expected = brute_components(rows, 4, 85)
+    assert table(jaccard.near_classes(spark, df), "doc_id", "n_shingles", "component_id") == sorted(((i, n, c if n else i) for i, n, c in expected), key=repr)
+    kept = jaccard.near_filter(spark, df, 4, 85)
+    assert kept.columns == df.columns
+    groups = collections.defaultdict(list)  # told apart by place, as two components can have one smallest id
+    for (_, n, low), (i, *_) in zip(brute_components([(k, *r[1:]) for k, r in enumerate(rows)], 4, 85), rows, strict=True):
+        groups[low if n else (i, low)].append(i)
+    brute = [min((i for i in ids if i is not None), default=None) for ids in groups.values()]
+    assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted(brute, key=repr)
