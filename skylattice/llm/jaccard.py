@@ -1,27 +1,28 @@
 """Exact Jaccard join of word-shingle sets in their metric space.
 
 1 - Jaccard is a metric. Documents with equal sets are one point. Almost all points are at distance
-1 from any given document, so documents make no useful first pivots; the first pivots are single
-shingles. A point belongs to the regions of its prefix, the shingles that come first in one fixed
-order of all shingles: two sets with similarity t or more always share one within the first
-n - ceil(t n) + 1, which is the window that replicates a point to every region it can have a
-partner in. The order is by hash, but shingles that several documents hold come last, so passages
-that documents share make no regions unless a document consists of them; the order decides only
-speed. As most prefixes lie among the smallest hashes, only those are counted over all documents,
-and the others over the documents whose prefixes reach further.
-
-Within a region a document is the pivot, and its distance to every other point is bounded: both
-prefixes are complete up to the smaller of their ends, so they show how much the sets differ at
-least. Where that leaves a link possible the whole sets are compared. Points at distance r = 1 - t
-or less are links. Two others of the region are compared only if the bounds of their distances to
-the pivot come within r of each other (triangle inequality), and only if no chain of links joins
-them already. Regions with more than LEAF pairs left for each point take another pivot and repeat;
-the others compare what is left, so pairs grow no faster than points.
+1 from any given document, where windows around document pivots exclude nothing, so the pivots of
+the first level are single shingles. A point belongs to the regions of its prefix, the shingles
+that come first in one order of all shingles: two sets with similarity t or more always share one
+within the first n - ceil(t n) + 1, which is the window that replicates a point to every region it
+can have a partner in. The order is by hash, but shingles that several documents hold come after the
+others, commonest last, so passages that documents share make no regions unless a document consists
+of them; the order decides only speed. As most prefixes lie among the smallest hashes, only those
+are counted over all documents, and the others over the documents whose prefixes reach further.
+
+The pairs of a region of at most SMALL points are listed, and how often a pair met bounds what its
+sets share, so that few pairs need their whole sets compared. In larger regions PIVOTS of the
+documents become pivots. Points at distance r = 1 - t or less from one are links. Every point goes
+to the Voronoi region of its nearest pivot, and as a guest to all whose pivot is at most 2 r further
+away: by the triangle inequality two points within r then meet in the home of either. Regions join
+recursively. A region is compared once few pairs for each point are left that no chain of links
+joins, or when its points are so far from all pivots that a split did not part them; then the points
+outside of its largest component meet all others, in blocks.
 
 Defined results: a null or wordless text has no shingles and no links; fewer words than a shingle
-make one shingle of the whole sequence; equal sets are told by 128 bits of hashes, shingles by 48;
-repeated rows and copies share the class of the smallest id; a null id is in a class but never the
-smallest of one with other ids.
+make one shingle of the whole sequence; shingles are told by 64 bits of hashes, equal sets by 64 of
+their own and the size; repeated rows and copies share the class of the smallest id; a null id is in
+a class but never the smallest of one with other ids.
 """
 
 from __future__ import annotations
@@ -30,26 +31,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .components import connected_components
+from .components import connected_components, joined_components
 
 WORDS, PERCENT = 4, 85
-#: Layout only: of the lowest LOWEST of all hashes, shingles that FEWEST documents hold are frequent; FREQUENT_MOST of these and as many others are known to all tasks.
-LOWEST, FEWEST, FREQUENT_MOST = 0.22, 6, 400_000
-SMALL, LEAF, MOST_PIVOTS = 16, 1024, 6
-TOKEN = np.uint64((1 << 48) - 1)
-MOST_TEXTS = 1 << 14
-POINTS = "doc_id long, n_shingles long, h1 long, h2 long, prefix array<long>"
-
-
-def shingle_keys(block: tk.Block, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, 48-bit shingle), sorted, each once a text; words are lower-cased in ASCII."""
+#: Layout only: of the lowest hashes, reach times the share of a prefix, shingles that FEWEST documents hold are frequent; FREQUENT_MOST of these and as many others are known to all tasks.
+REACH, FEWEST, FREQUENT_MOST = 1.5, 6, 400_000
+#: Points of a region whose pairs are listed; pivots of a larger one; pairs for each point of a region that is compared; points of a block; of its region's points, those that a region may have after a split that parted them.
+SMALL, PIVOTS, LEAF, BLOCK, PARTED = 32, 3, 64, 4096, 0.8
+#: Bits of the filter of the texts whose whole sets are needed; beyond so many texts it only lets more through.
+FILTER_BITS = 1 << 25
+POINTS = "doc_id long, text_key long, point long, n long, prefix array<long>, rest string"
+REGIONS = "a long, b long, n_a long, n_b long, region long"
+
+
+def shingles(block: tk.Block, words: int, below: np.uint64 | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, 64-bit shingle), sorted, each once a text; words are lower-cased in ASCII. Only hashes under `below`, if given."""
     block = block.lowered()
     starts, ends, owner = block.words()
-    hashes = block.spans(starts, ends)
+    hashes = block.apart(starts, ends)
     window, at = tk.word_windows(hashes, owner, words)
     count = np.bincount(owner, minlength=block.n)
     short = np.flatnonzero((count > 0) & (count < words))
@@ -57,251 +60,369 @@ def shingle_keys(block: tk.Block, words: int) -> tuple[np.ndarray, np.ndarray]:
     for k in range(words - 1):
         more = count[short] > k
         whole[more] = tk.mix(whole[more] * np.uint64(tk.BASE) + hashes[first[more] + k] + np.uint64(k + 1))
-    text = np.concatenate([owner[at], short]).astype(np.uint64)
-    keys = np.unique((text << np.uint64(48)) | (np.concatenate([window, whole]) & TOKEN))
-    return (keys >> np.uint64(48)).astype(np.int64), keys & TOKEN
+    text, token = owner[at], window
+    if len(short):
+        place = np.searchsorted(text, short)
+        text, token = np.insert(text, place, short), np.insert(token, place, whole)
+    if below is not None:
+        low = token < below
+        text, token = text[low], token[low]
+    edges = np.searchsorted(text, np.arange(block.n + 1))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        token[a:b].sort()
+    new = np.ones(len(text), bool)
+    new[1:] = (text[1:] != text[:-1]) | (token[1:] != token[:-1])
+    return text[new], token[new]
 
 
-def small_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for part in tk.slices(batch, "text"):
-        for k in range(0, part.num_rows, MOST_TEXTS):
-            yield part.slice(k, MOST_TEXTS)
+def lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(values.astype(np.int64)))
+def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
+    return np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
 
 
-def pointing(words: int, percent: int, frequent: np.ndarray):
-    """Texts to POINTS."""
+def lowest(percent: int) -> np.uint64:
+    """Hashes below are counted over all documents."""
+    return np.uint64(min(0.9, REACH * (100 - percent) / 100) * 2**64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in small_slices(batch):
-                block = tk.string_block(part.column("text"))
-                text, token = shingle_keys(block, words)
-                n = np.bincount(text, minlength=block.n)
-                total, odd = np.zeros(block.n, np.uint64), np.zeros(block.n, np.uint64)
-                np.add.at(total, text, tk.mix(token + np.uint64(1)))
-                np.add.at(odd, text, tk.mix(token ^ np.uint64(0x9E3779B97F4A7C15)))
-                if len(frequent):
-                    token = token | (known(frequent, token).astype(np.uint64) << np.uint64(48))
-                    order = np.lexsort((token, text))
-                    text, token = text[order], token[order]
-                length = prefix_length(n, percent)
-                rank = np.arange(len(text)) - (np.cumsum(n) - n)[text]
-                columns = [part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(total.view(np.int64)), pa.array(odd.view(np.int64)), lists(token[rank < length[text]], length)]
-                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in POINTS.split(", ")])
 
-    return run
+class Frequent:
+    """Frequent shingles, sorted, with the power of two of their counts."""
+
+    def __init__(self, token: np.ndarray, n: np.ndarray):
+        order = np.argsort(token)
+        self.token, self.level = token[order], np.log2(np.maximum(n[order], 1)).astype(np.uint8)
+
+    def levels(self, token: np.ndarray) -> np.ndarray:
+        """0 for those that are not frequent."""
+        if not len(self.token):
+            return np.zeros(len(token), np.uint8)
+        at = np.minimum(np.searchsorted(self.token, token), len(self.token) - 1)
+        return np.where(self.token[at] == token, self.level[at], 0).astype(np.uint8)
 
+    def joined(self, other: Frequent) -> Frequent:
+        both = Frequent(np.concatenate([self.token, other.token]), np.ones(len(self.token) + len(other.token)))
+        both.level = np.concatenate([self.level, other.level])[np.argsort(np.concatenate([self.token, other.token]))]
+        return both
 
-def listing(words: int):
-    """Texts to (doc_id, shingles): the whole sets."""
+
+def counting(words: int, low: np.uint64, beyond: bool):
+    """Texts to (token, n): how many texts of a batch hold each shingle below `low`, or beyond."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in small_slices(batch):
-                block = tk.string_block(part.column("text"))
-                text, token = shingle_keys(block, words)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists(token, np.bincount(text, minlength=block.n))], ["doc_id", "shingles"])
+            held = [np.zeros(0, np.uint64)]
+            for part in tk.slices(batch, "text"):
+                _, token = shingles(tk.string_block(part.column("text")), words, None if beyond else low)
+                held.append(token[token >= low] if beyond else token)
+            token, n = np.unique(np.concatenate(held), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], ["token", "n"])
 
     return run
 
 
-def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
-    return np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
+def frequent_shingles(spark: SparkSession, texts: DataFrame, words: int, low: np.uint64, beyond: bool) -> Frequent:
+    """The commonest of the shingles that FEWEST texts hold, FREQUENT_MOST at most: a count bounds them before they are fetched."""
+    counts = texts.mapInArrow(counting(words, low, beyond), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FEWEST)
+    counts = tk.materialize(spark, counts, "counts")
+    least, held = FEWEST, 0
+    for level, found in sorted(((r[0], r[1]) for r in counts.groupBy(F.floor(F.log2("n"))).count().collect()), reverse=True):
+        if held + found > FREQUENT_MOST:
+            least = 2 ** (level + 1)
+            break
+        held += found
+    found = counts.where(F.col("n") >= least).toPandas()
+    tk.discard(spark, counts)
+    return Frequent(found["token"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64))
 
 
-def counting(words: int, percent: int, frequent: np.ndarray | None):
-    """Texts to (token, n): how many texts of a slice hold each of the lowest shingles, or, given the
-    frequent ones of these, each of the others, in texts whose prefix reaches beyond the lowest."""
-    lowest = np.uint64(LOWEST * 2**48)
+def pointing(words: int, percent: int, frequent: Frequent, low: np.uint64, last: bool):
+    """Texts to POINTS. Texts whose prefix reaches shingles that were not counted come out as rest, unless this is the last turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in small_slices(batch):
-                text, token = shingle_keys(tk.string_block(part.column("text")), words)
-                wanted = token < lowest
-                if frequent is not None:
-                    rare = wanted & ~known(frequent, token)
-                    needed = prefix_length(np.bincount(text, minlength=part.num_rows), percent)
-                    wanted = ~wanted & (np.bincount(text[rare], minlength=part.num_rows) < needed)[text]
-                token, n = np.unique(token[wanted], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(token.astype(np.int64)), pa.array(n)], ["token", "n"])
+            for part in tk.slices(batch, "text"):
+                block = tk.string_block(part.column("text"))
+                text, token = shingles(block, words)
+                n = np.bincount(text, minlength=block.n)
+                total = np.concatenate([[np.uint64(0)], np.cumsum(tk.mix(token + np.uint64(1)), dtype=np.uint64)])
+                edges = np.concatenate([[0], np.cumsum(n)])
+                point = tk.mix((total[edges[1:]] - total[edges[:-1]]) * np.uint64(tk.BASE) + n.astype(np.uint64))
+                length = prefix_length(n, percent)
+                counted = np.ones(len(token), bool) if last else token < low
+                level = np.zeros(len(token), np.uint8)
+                level[counted] = frequent.levels(token[counted])
+                rest = np.zeros(block.n, bool) if last else np.bincount(text[counted & (level == 0)], minlength=block.n) < length
+                kept = ~rest[text] & (counted & (level == 0) if not last else True)
+                text, token, level = text[kept], token[kept], level[kept]
+                if last:
+                    order = np.lexsort((token, level, text))
+                    text, token = text[order], token[order]
+                rank = np.arange(len(text)) - np.searchsorted(text, np.arange(block.n))[text]
+                length = np.where(rest, 0, length)
+                prefix = lists(token[rank < length[text]], length)
+                texts = part.column("text")
+                unfinished = texts.filter(pa.array(rest)).to_pylist() if rest.any() else []
+                where = np.full(block.n, -1)
+                where[rest] = np.arange(len(unfinished))
+                column = pa.array([unfinished[k] if k >= 0 else None for k in where], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(point.view(np.int64)), pa.array(n.astype(np.int64)), prefix, column], [x.split()[0] for x in POINTS.split(", ")])
 
     return run
 
 
-def known(sorted_tokens: np.ndarray, token: np.ndarray) -> np.ndarray:
-    if not len(sorted_tokens):
-        return np.zeros(len(token), bool)
-    return sorted_tokens[np.minimum(np.searchsorted(sorted_tokens, token), len(sorted_tokens) - 1)] == token
-
-
-def frequent_shingles(documents: DataFrame, words: int, percent: int) -> np.ndarray:
-    """Shingles that many documents hold, FREQUENT_MOST at most of the lowest and of the others, sorted."""
-    found: list[np.ndarray] = []
-    for _ in range(2):
-        counts = documents.mapInArrow(counting(words, percent, found[0] if found else None), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FEWEST)
-        top = counts.orderBy(F.desc("n"), "token").limit(FREQUENT_MOST).select("token")
-        found.append(np.sort(top.toPandas()["token"].to_numpy(np.int64).astype(np.uint64)))
-    return np.concatenate(found)
+def meeting(percent: int):
+    """(region, point, n), sorted by region and point, to REGIONS: the pairs of regions of 2 to SMALL points whose
+    sizes can be near, and with b null the points of larger ones."""
+    names = [x.split()[0] for x in REGIONS.split(", ")]
+
+    def out(a, b, n_a, n_b, region) -> pa.RecordBatch:
+        missing = None if b is not None else np.ones(len(a), bool)
+        b, n_b = (np.zeros(len(a), np.int64) if x is None else x for x in (b, n_b))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=missing), pa.array(n_a), pa.array(n_b), pa.array(region)], names)
+
+    def complete(region, point, n, large) -> Iterator[pa.RecordBatch]:
+        """Whole regions; large: one that began earlier as a large one, or None."""
+        start = np.flatnonzero(np.append(True, region[1:] != region[:-1]))
+        size = np.diff(np.append(start, len(region)))
+        big = size > SMALL
+        if large is not None and len(region):
+            big[0] |= region[0] == large
+        held = np.repeat(big, size)
+        if held.any():
+            yield out(point[held], None, n[held], None, region[held])
+        for s in np.unique(size[~big & (size > 1)]):
+            at = start[~big & (size == s)][:, None]
+            i, j = np.triu_indices(s, 1)
+            x, y = (at + i).ravel(), (at + j).ravel()
+            near = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
+            x, y = x[near], y[near]
+            yield out(point[x], point[y], n[x], n[y], region[x])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, large = [np.zeros(0, np.int64)] * 3, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(held)]
+            last = int(np.searchsorted(rows[0], rows[0][-1]))  # where the last region begins
+            yield from complete(*(x[:last] for x in rows), large)
+            held = [x[last:] for x in rows]
+            if large is not None and held[0][0] != large:
+                large = None
+            if len(held[0]) > SMALL or large is not None:
+                large = int(held[0][0])
+                yield out(held[1], None, held[2], None, held[0])
+                held = [x[:0] for x in held]
+        yield from complete(*held, large)
 
-def whole_sets(spark: SparkSession, documents: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(doc_id, shingles) of the documents with these ids."""
-    texts = documents.join(ids, documents.doc_id == ids.id, "left_semi")
-    return tk.materialize(spark, texts.mapInArrow(listing(words), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
+    return run
 
 
-def common_shingles(spark: SparkSession, documents: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """pairs (a, b, n_a, n_b) with common, the size of the intersection of their whole sets."""
-    needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = whole_sets(spark, documents, needed, words)
-    first, second = (sets.select(F.col("doc_id").alias(f"id_{k}"), F.col("shingles").alias(f"s_{k}")) for k in "ab")
-    both = pairs.join(first, F.col("a") == F.col("id_a")).join(second, F.col("b") == F.col("id_b"))
-    return both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("s_a", "s_b")).cast("long").alias("common"))
+def needed_filter(keys: DataFrame) -> np.ndarray:
+    """FILTER_BITS flags, packed by 64, those of the keys (text_key) set; as large whatever the keys are."""
+    flagged = keys.select(F.pmod("text_key", F.lit(FILTER_BITS)).alias("bit")).selectExpr("bit div 64 as word", "shiftleft(1L, cast(bit % 64 as int)) as flag")
+    found = flagged.groupBy("word").agg(F.bit_or("flag").alias("flags")).toPandas()
+    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    out[found["word"].to_numpy(np.int64)] = found["flags"].to_numpy(np.int64).view(np.uint64)
+    return out
 
 
-def bounded(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """pairs (a, b, n_a, n_b) with differ, how many shingles only one of them has at least."""
-    first, second = (prefixes.select(F.col("doc_id").alias(f"id_{k}"), F.col("prefix").alias(f"p_{k}")) for k in "ab")
-    both = pairs.join(first, F.col("a") == F.col("id_a")).join(second, F.col("b") == F.col("id_b"))
-    return both.select("a", "b", "n_a", "n_b", differ(F.col("p_a"), F.col("p_b")).alias("differ"))
+def listing(words: int, needed: np.ndarray):
+    """Texts that pass the filter to (text_key, shingles), each text once a task."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            key = batch.column("text_key").to_numpy(zero_copy_only=False)
+            bit = (key % FILTER_BITS).astype(np.uint64)
+            through = (needed[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+            for k in np.flatnonzero(through):
+                through[k] = int(key[k]) not in seen
+                seen.add(int(key[k]))
+            for part in tk.slices(batch.filter(pa.array(through)), "text"):
+                block = tk.string_block(part.column("text"))
+                text, token = shingles(block, words)
+                yield pa.RecordBatch.from_arrays([part.column("text_key"), lists(token, np.bincount(text, minlength=block.n))], ["text_key", "shingles"])
 
-def differ(a: Column, b: Column) -> Column:
-    """Of two prefixes, which are whole up to the smaller of their ends, the shingles up to there that only one has."""
-    end = F.least(F.element_at(a, -1), F.element_at(b, -1))
-    seen = F.size(F.filter(a, lambda t: t <= end)) + F.size(F.filter(b, lambda t: t <= end))
-    return (seen - 2 * F.size(F.array_intersect(a, b))).cast("long")
+    return run
 
 
-def possible(percent: int) -> str:
-    """SQL for whether sets of n_a and n_b shingles that differ in `differ` at least can be near."""
-    return f"100 * (n_a + n_b - differ) >= {percent} * (n_a + n_b + differ)"
+def whole_sets(spark: SparkSession, texts: DataFrame, heads: DataFrame, points: DataFrame, words: int) -> DataFrame:
+    """(point, shingles) of the points, from the texts that stand for them."""
+    wanted = tk.materialize(spark, heads.join(points, "point", "left_semi").select("point", "text_key"), "wanted")
+    found = texts.mapInArrow(listing(words, needed_filter(wanted)), "text_key long, shingles array<long>")
+    sets = tk.materialize(spark, wanted.join(found, "text_key").dropDuplicates(["point"]).select("point", "shingles"), "sets")
+    tk.discard(spark, wanted)
+    return sets
 
 
-def compared(spark: SparkSession, documents: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b, near, least, most): pairs with their distance, whole sets compared."""
-    whole = common_shingles(spark, documents, pairs, words)
-    distance = F.expr("1 - common / (n_a + n_b - common)")
-    near = F.expr(f"100 * common >= {percent} * (n_a + n_b - common)")
-    return whole.select("a", "b", near.alias("near"), distance.alias("least"), distance.alias("most"))
+def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs with common, the size of the intersection of their whole sets."""
+    first, second = (sets.select(F.col("point").alias(f"id_{k}"), F.col("shingles").alias(f"s_{k}")) for k in "ab")
+    both = pairs.join(first, F.col("a") == F.col("id_a")).join(second, F.col("b") == F.col("id_b"))
+    return both.withColumn("common", F.size(F.array_intersect("s_a", "s_b")).cast("long")).drop("s_a", "s_b", "id_a", "id_b")
+
+
+def near(percent: int) -> str:
+    return f"100 * common >= {percent} * (n_a + n_b - common)"
+
+
+def unjoined(pairs: DataFrame, component: DataFrame) -> DataFrame:
+    """Those pairs (a, b, ..) that no chain of links joins."""
+    sides = (component.select(F.col("id").alias(f"id_{k}"), F.col("component").alias(f"component_{k}")) for k in "ab")
+    for k, side in zip("ab", sides, strict=True):
+        pairs = pairs.join(side, F.col(k) == F.col(f"id_{k}"), "left").withColumn(f"component_{k}", F.coalesce(f"component_{k}", k)).drop(f"id_{k}")
+    return pairs.where("component_a <> component_b").drop("component_a", "component_b")
+
+
+def candidates(regions: DataFrame, percent: int) -> DataFrame:
+    """(a, b, n_a, n_b, met): pairs of small regions that can be near. Beyond what they share in their prefixes, met
+    in small regions and at most the fewer large regions of the two, they share no more than one of them has left."""
+    met = regions.where("b is not null").groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("met"))
+    large = regions.where("b is null").groupBy("a").agg(F.count("*").alias("large"))
+    for k in "ab":
+        side = large.select(F.col("a").alias("id"), F.col("large").alias(f"large_{k}"))
+        met = met.join(side, F.col(k) == F.col("id"), "left").drop("id")
+    shared = "met + least(coalesce(large_a, 0), coalesce(large_b, 0))"
+    left = f"ceil({percent} * greatest(n_a, n_b) / 100D) - 1"
+    return met.where(f"(100 + {percent}) * ({shared} + {left}) >= {percent} * (n_a + n_b)").drop("large_a", "large_b")
+
+
+def regions_of(spark: SparkSession, heads: DataFrame, percent: int) -> DataFrame:
+    rows = heads.select(F.explode("prefix").alias("region"), "point", "n")
+    ordered = rows.repartition("region").sortWithinPartitions("region", "point")
+    return tk.materialize(spark, ordered.mapInArrow(meeting(percent), REGIONS), "regions")
+
+
+def linked_points(spark: SparkSession, texts: DataFrame, heads: DataFrame, words: int, percent: int) -> DataFrame:
+    """(id, component) of all points that have a link."""
+    regions = regions_of(spark, heads, percent)
+    pairs = tk.materialize(spark, candidates(regions, percent), "pairs")
+    cells = regions.where("b is null").select(F.col("region").alias("cell"), F.col("a").alias("point"), F.col("n_a").alias("n"))
+    points = pairs.select(F.col("a").alias("point")).unionByName(pairs.select(F.col("b").alias("point"))).unionByName(cells.select("point")).distinct()
+    sets = whole_sets(spark, texts, heads, points, words)
+    # First each point's best partner, then the pairs that the links so far do not join.
+    best = pairs.groupBy("b").agg(F.max_by(F.struct("a", "n_a", "n_b"), F.struct("met", "a")).alias("x")).select("x.a", "b", "x.n_a", "x.n_b")
+    links = tk.materialize(spark, measured(best, sets).where(near(percent)).select("a", "b"), "links")
+    component = connected_components(spark, links)
+    more = tk.materialize(spark, measured(unjoined(pairs, component), sets).where(near(percent)).select("a", "b"), "links")
+    component = joined_components(spark, component, more)
+    tk.discard(spark, pairs, links, more)
+    found = voronoi(spark, cells, component, sets, percent)
+    tk.discard(spark, regions, sets)
+    return found
+
+
+def voronoi(spark: SparkSession, cells: DataFrame, component: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """component with the links inside of cells (cell, point, n): Voronoi regions of pivots, recursively."""
+    reach = (100 - percent) / 100 + 1e-9
+    fits = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+    rest = cells.withColumns({"home": F.lit(True), "before": F.lit(None).cast("long")})
+    written = None
+    for turn in range(1 << 30):
+        # A region whose points are all in one component has nothing left to find.
+        held = rest.join(component.withColumnRenamed("id", "point"), "point", "left").withColumn("component", F.coalesce("component", "point"))
+        parts = held.groupBy("cell", "component").agg(F.count("*").alias("c")).groupBy("cell")
+        parts = parts.agg(F.sum("c").alias("points"), F.sum(F.col("c") * F.col("c")).alias("same"), F.max_by("component", F.struct("c", "component")).alias("main"))
+        parts = parts.where("same < points * points").selectExpr("cell", "points", "main", "(points - same / points) / 2 as pairs_each")
+        held = held.join(parts, "cell").withColumn("split", F.expr(f"pairs_each > {LEAF} and (before is null or points <= {PARTED} * before)"))
+        held = tk.materialize(spark, held, "cells")
+        tk.discard(spark, written)
+        found = tk.materialize(spark, measured(leaf_pairs(held.where("not split"), fits), sets).where(near(percent)).select("a", "b"), "links")
+        component = joined_components(spark, component, found)
+        split = held.where("split")
+        if split.isEmpty():
+            tk.discard(spark, held, found)
+            return component
+        assigned = tk.materialize(spark, distances(split, sets, turn), "distances")
+        links = assigned.where(near(percent)).select(F.col("point").alias("a"), F.col("pivot").alias("b")).where("a <> b").distinct()
+        component = joined_components(spark, component, links)
+        choice = F.struct("distance", "pivot")
+        nearest = assigned.groupBy("cell", "point").agg(F.min(choice).alias("least"))
+        moved = assigned.join(nearest, ["cell", "point"]).where(f"distance <= least.distance + {2 * reach}")
+        moved = moved.select(F.xxhash64("cell", "pivot").alias("cell"), "point", "n", (F.col("home") & (F.col("pivot") == F.col("least.pivot"))).alias("home"), F.col("points").alias("before"))
+        rest = written = tk.materialize(spark, moved, "moved")
+        tk.discard(spark, held, found, assigned)
+
+
+def distances(split: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
+    """(cell, point, n, home, points, pivot, n_a, n_b, common, distance): each point of a cell and each of its pivots.
+    Pivots are chosen by hashes of the points alone, so cells of the same points mostly share them."""
+    key = F.xxhash64(F.lit(turn), "point")
+    chosen = F.array(*(F.min(F.when(F.pmod(key, F.lit(PIVOTS)) == k, F.struct(key.alias("key"), "point", "n"))) for k in range(PIVOTS)))
+    pivots = split.groupBy("cell").agg(chosen.alias("x")).select("cell", F.explode("x").alias("x")).where("x is not null")
+    rows = split.select("cell", "point", "n", "home", "points").join(pivots.select("cell", F.col("x.point").alias("pivot"), F.col("x.n").alias("n_b")), "cell")
+    pairs = rows.select(F.col("point").alias("a"), F.col("pivot").alias("b"), F.col("n").alias("n_a"), "n_b").where("a <> b").distinct()
+    common = measured(pairs, sets).select(F.col("a").alias("point"), F.col("b").alias("pivot"), "common")
+    rows = rows.join(common, ["point", "pivot"], "left").withColumn("n_a", F.col("n")).withColumn("common", F.coalesce("common", "n"))
+    return rows.withColumn("distance", F.expr("1 - common / (n_a + n_b - common)"))
+
+
+def leaf_pairs(held: DataFrame, fits: str) -> DataFrame:
+    """Pairs of cells that links do not join: points outside of the largest component meet all, in blocks of BLOCK."""
+    blocks = F.expr(f"cast(1 + points div {BLOCK} as int)")
+    columns = ("point", "n", "home", "component")
+    a, b = (held.select("cell", "main", blocks.alias("blocks"), *(F.col(c).alias(f"{c}_{k}") for c in columns)) for k in "ab")
+    a = a.where("component_a <> main").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).drop("blocks")
+    b = b.withColumn("block", F.expr("cast(pmod(xxhash64(point_b), blocks) as int)")).drop("blocks", "main")
+    met = a.join(b, ["cell", "block"]).where(f"(home_a or home_b) and component_a <> component_b and (component_b = main or point_a < point_b) and {fits}")
+    return met.select(F.least("point_a", "point_b").alias("a"), F.greatest("point_a", "point_b").alias("b"), F.expr("if(point_a < point_b, n_a, n_b)").alias("n_a"), F.expr("if(point_a < point_b, n_b, n_a)").alias("n_b")).distinct()
+
+
+def near_points(spark: SparkSession, documents: DataFrame, words: int, percent: int) -> DataFrame:
+    """(doc_id, text_key, n, point, component) of every document; component is a point, null without shingles.
+
+    Documents are told apart by a hash of the text; ids, which can be null or repeat, only name what comes out."""
+    texts = tk.only(documents, "doc_id", "text").select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    low = lowest(percent)
+    frequent = frequent_shingles(spark, texts, words, low, beyond=False)
+    first = tk.materialize(spark, texts.mapInArrow(pointing(words, percent, frequent, low, last=False), POINTS), "points")
+    rest = first.where("rest is not null").select("doc_id", F.col("rest").alias("text"), "text_key")
+    frequent = frequent.joined(frequent_shingles(spark, rest, words, low, beyond=True))
+    second = tk.materialize(spark, rest.mapInArrow(pointing(words, percent, frequent, low, last=True), POINTS), "points")
+    points = first.where("rest is null").unionByName(second).drop("rest")
+    heads = points.where("n > 0").groupBy("point").agg(F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    heads = tk.materialize(spark, heads, "heads")
+    component = linked_points(spark, texts, heads, words, percent)
+    found = points.select("doc_id", "text_key", "n", "point").join(component.withColumnRenamed("id", "point"), "point", "left")
+    found = found.withColumn("component", F.expr("if(n > 0, coalesce(component, point), null)"))
+    found = tk.materialize(spark, found, "found")
+    tk.discard(spark, first, second, heads, component)
+    return found
 
 
 def near_classes(spark: SparkSession, documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) of every document (doc_id, text)."""
-    found, _ = near_points(spark, documents, words, percent)
-    return found.select("doc_id", "n_shingles", "class_id", "component_id")
-
-
-def near_points(spark: SparkSession, documents: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, n_shingles, class_id, component_id, text_key, point) of every document, the same smallest by point).
-
-    Documents are told apart by a hash of the text, and a point is the least of its class; ids, which can
-    be null or repeat, only name what comes out."""
-    texts = tk.only(documents, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    keyed = texts.select(F.col("text_key").alias("doc_id"), "text").where("text is not null").dropDuplicates(["doc_id"])
-    keyed = tk.materialize(spark, keyed, "texts")
-    points = tk.materialize(spark, keyed.mapInArrow(pointing(words, percent, frequent_shingles(keyed, words, percent)), POINTS), "points")
-    key = ["n_shingles", "h1", "h2"]
-    full = points.where("n_shingles > 0")
-    classes = full.groupBy(*key).agg(F.min("doc_id").alias("head"))
-    heads = full.join(classes.select("head"), F.col("doc_id") == F.col("head"), "left_semi")
-    regions = heads.select(F.explode("prefix").alias("region"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
-    component = joined_regions(spark, keyed, heads.select("doc_id", "prefix"), regions, words, percent).select(F.col("id").alias("head"), "component")
-    of_text = full.select(F.col("doc_id").alias("text_key"), *key).join(classes, key).join(component, "head", "left")
-    of_text = of_text.select("text_key", "n_shingles", "head", F.coalesce("component", "head").alias("point"))
-    members = tk.materialize(spark, texts.select("doc_id", "text_key").join(of_text, "text_key", "left"), "members")
-    there = members.where("point is not null")
-    classes_ = there.groupBy("head").agg(F.min("doc_id").alias("least_class"))
-    components = there.groupBy("point").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first"))
-    found = members.join(classes_, "head", "left").join(components.select("point", "least"), "point", "left")
-    alone = F.col("point").isNull()
-    names = (F.when(alone, F.col("doc_id")).otherwise(F.col(c)).alias(n) for c, n in (("least_class", "class_id"), ("least", "component_id")))
-    found = found.select("doc_id", F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), *names, "text_key", "point")
-    return found, components.select(F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_key"))
-
-
-def joined_regions(spark: SparkSession, documents: DataFrame, prefixes: DataFrame, regions: DataFrame, words: int, percent: int) -> DataFrame:
-    """(id, component) of all points that have a link; pairs that a chain of links joins are not compared."""
-    fits = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
-    reach = (100 - percent) / 100 + 1e-9
-    prefixes = tk.materialize(spark, prefixes, "prefixes")
-    all_links, rest = None, regions
-    for turn in range(MOST_PIVOTS):
-        order = F.struct("id")
-        if turn:  # the point that shares most, as from the middle of a cloud a pivot reaches more of it
-            shared = rest.join(rest.groupBy("region").agg(F.count("*").alias("size")), "region").groupBy("id").agg((-F.sum("size")).alias("outer"))
-            rest, order = rest.join(shared, "id"), F.struct("outer", "id")
-        pivots = rest.groupBy("region").agg(F.min_by(F.struct("id", "n"), order).alias("pivot"), F.count("*").alias("size")).where("size > 1")
-        pivots = pivots.select("region", F.col("pivot.id").alias("pivot"), F.col("pivot.n").alias("n_pivot"))
-        held = tk.materialize(spark, rest.join(pivots, "region").where("id <> pivot").select("region", "id", "n", "pivot", "n_pivot"), "regions")
-        pairs = held.select(F.col("id").alias("a"), F.col("pivot").alias("b"), F.col("n").alias("n_a"), F.col("n_pivot").alias("n_b")).where(fits).distinct()
-        near_or_far = tk.materialize(spark, bounded(pairs, prefixes), "bounded")
-        exact = compared(spark, documents, near_or_far.where(possible(percent)).drop("differ"), words, percent)
-        apart = near_or_far.where(f"not ({possible(percent)})").select("a", "b", F.lit(False).alias("near"), F.expr("2 * differ / (n_a + n_b + differ)").alias("least"), F.lit(1.0).alias("most"))
-        measured = tk.materialize(spark, exact.unionByName(apart), "measured")
-        links = measured.where("near").select("a", "b")
-        all_links = links if all_links is None else all_links.unionByName(links)
-        component = connected_components(spark, all_links)
-
-        left = held.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        parts = left.groupBy("region", "component").agg(F.count("*").alias("c")).groupBy("region").agg(F.sum("c").alias("points"), F.sum(F.col("c") * F.col("c")).alias("same"))
-        spread = parts.where("same < points * points").select("region", ((F.col("points") - F.col("same") / F.col("points")) / 2).alias("pairs_each"))
-        away = measured.select(F.col("a").alias("id"), F.col("b").alias("pivot"), "least", "most")
-        left = left.join(spread, "region").join(away, ["id", "pivot"], "left")
-        left = tk.materialize(spark, left.select("region", "id", "n", "component", "least", "most", "pairs_each"), "left")
-        last = turn + 1 == MOST_PIVOTS
-        rest = left.where(F.col("pairs_each") > LEAF).select("region", "id", "n")
-        kept = left.join(prefixes.withColumnRenamed("doc_id", "id"), "id").withColumn("earlier", F.expr("slice(prefix, 1, cast(array_position(prefix, region) as int) - 1)"))
-        pairs = windowed(kept.where(F.col("pairs_each") <= SMALL), "prefix", fits, reach, likely(percent))
-        more = compared(spark, documents, tk.materialize(spark, pairs, "pairs"), words, percent).where("near").select("a", "b")
-        crowd = tk.materialize(spark, kept.where((F.col("pairs_each") > SMALL) & (F.lit(last) | (F.col("pairs_each") <= LEAF))).drop("prefix"), "crowd")
-        sets = whole_sets(spark, documents, crowd.select("id").distinct(), words)
-        held_sets = crowd.join(sets.withColumnRenamed("doc_id", "id"), "id")
-        more = tk.materialize(spark, more.unionByName(windowed(held_sets, "shingles", fits, reach, surely(percent)).select("a", "b")), "links")
-        if not more.isEmpty():
-            all_links, component = all_links.unionByName(more), None
-        if last or rest.isEmpty():
-            break
-    return component if component is not None else connected_components(spark, all_links)
-
-
-def likely(percent: int) -> Column:
-    """Whether the prefixes of a pair leave a link possible."""
-    missing, both = differ(F.col("prefix_a"), F.col("prefix_b")), F.col("n_a") + F.col("n_b")
-    return 100 * (both - missing) >= percent * (both + missing)
-
-
-def surely(percent: int) -> Column:
-    """Whether the whole sets of a pair are near."""
-    common = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    return 100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)
-
-
-def windowed(left: DataFrame, held: str, fits: str, reach: float, near: Column) -> DataFrame:
-    """Pairs (a, b, n_a, n_b) in the first region that both are in, whose sizes fit, whose distances to
-    its pivot may lie within reach, that no chain joins, and that are near by what the rows hold.
-    All is tested inside the join, so only links, or likely ones, leave it."""
-    a, b = (left.select("region", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "component", "least", "most", "earlier", held))) for k in "ab")
-    window = F.coalesce((F.col("least_a") - F.col("most_b") <= reach) & (F.col("least_b") - F.col("most_a") <= reach), F.lit(True))
-    apart = (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b"))
-    first = ~F.arrays_overlap("earlier_a", "earlier_b")
-    found = a.join(b, (a["region"] == b["region"]) & apart & F.expr(fits) & window & first & near)
-    return found.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "n_a", "n_b").distinct()
+    found = near_points(spark, documents, words, percent)
+    there = found.where("n > 0").groupBy("component", "point").agg(F.min("doc_id").alias("class_id"))
+    there = there.join(there.groupBy("component").agg(F.min("class_id").alias("component_id")), "component").select("point", "class_id", "component_id")
+    found = found.join(there, "point", "left")
+    ids = (F.expr(f"if(n > 0, {c}, doc_id)").alias(c) for c in ("class_id", "component_id"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), *ids)
 
 
 def near_filter(spark: SparkSession, documents: DataFrame, words: int, percent: int) -> DataFrame:
     """documents of which one stays of each component: the one of the smallest id; those without words stay."""
-    found, first = near_points(spark, documents, words, percent)
-    key = F.xxhash64("text")
-    alone = found.where("point is null").select("text_key").distinct()
-    wordless = documents.join(alone, key == F.col("text_key"), "left_semi")
-    chosen = documents.join(first, (key == F.col("first_key")) & documents["doc_id"].eqNullSafe(F.col("first_id")), "left_semi")
-    return wordless.unionByName(chosen.withColumn("text_key", key).dropDuplicates(["text_key", "doc_id"]).drop("text_key"))
+    found = near_points(spark, documents, words, percent)
+    full = found.where("n > 0")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
+    kept = full.groupBy("component").agg(F.min(order).alias("x")).select("x.doc_id", "x.text_key")
+    repeated = same_rows(full.groupBy("doc_id", "text_key").agg(F.count("*").alias("copies")).where("copies > 1"), kept, "left_semi")
+    repeated = tk.materialize(spark, repeated.select("doc_id", "text_key"), "repeated")
+    keyed = documents.withColumn("text_key", F.xxhash64("text"))
+    wordless = found.where("n = 0").select("doc_id", "text_key").distinct()
+    once = same_rows(kept, repeated, "left_anti").unionByName(wordless)
+    out = same_rows(keyed, once, "left_semi")
+    if not repeated.isEmpty():
+        out = out.unionByName(same_rows(keyed, repeated, "left_semi").dropDuplicates(["doc_id", "text_key"]))
+    return out.drop("text_key")
+
+
+def same_rows(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    return left.join(right, left["doc_id"].eqNullSafe(right["doc_id"]) & (left["text_key"] == right["text_key"]), how)
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,7 +46,7 @@ def count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for part in tk.slices(batch, "text"):
             block = tk.string_block(part.column("text"))
             starts, ends, owner = block.words()
-            bucket, text = ngram_buckets(block.spans(starts, ends), owner)
+            bucket, text = ngram_buckets(block.apart(starts, ends), owner)
             raw += np.bincount(bucket, minlength=BUCKETS)
             good = np.asarray(part.column("trusted").to_numpy(zero_copy_only=False), bool)
             trusted += np.bincount(bucket[good[text]], minlength=BUCKETS)
@@ -57,7 +57,7 @@ def count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
     """Ids of at most `most` rows labelled good and not toxic, by hashed id: a bounded sample."""
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id")
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).distinct()
+    return tk.lowest_hashed(good, most, "doc_id").distinct()
 
 
 def fit_ratio(documents: DataFrame, labels: DataFrame) -> np.ndarray:
@@ -83,7 +83,7 @@ def judge(block: tk.Block, ratio: np.ndarray, threshold: float) -> list[np.ndarr
     """The columns after doc_id of FEATURES for each text of a block."""
     n = block.n
     starts, ends, owner = block.words()
-    hashes = block.spans(starts, ends)
+    hashes = block.apart(starts, ends)
     salt = tk.mix(np.arange(n, dtype=tk.U64) + tk.U64(1))
     n_words = np.bincount(owner, minlength=n)
     inside = block.word_mask()
@@ -99,11 +99,10 @@ def judge(block: tk.Block, ratio: np.ndarray, threshold: float) -> list[np.ndarr
     b = np.append(a[1:], block.offsets[-1]) - 1
     closing = np.append(text[1:] != text[:-1], True)
     b[closing] = block.offsets[text[closing] + 1]
-    seen = np.zeros(len(inside) + 1, np.int64)
-    np.cumsum(inside, out=seen[1:])
-    full = seen[b] > seen[a] if len(a) else np.zeros(0, bool)
+    word_after = np.searchsorted(starts, a)
+    full = (word_after < len(starts)) & (np.append(starts, 0)[word_after] < b)
     a, b, text = a[full], b[full], text[full]
-    lines = tk.mix(block.spans(a, b) + salt[text])
+    lines = tk.mix(block.apart(a, b) + salt[text])
     dup_lines = np.bincount(text, minlength=n) - distinct_per_text(lines, text, n)
 
     windows, at = tk.word_windows(hashes, owner, 3)

@@ -17,28 +17,34 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 500_000
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
+_local: dict[str, str] = {}
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i < n, kept for the life of the worker."""
+    """BASE**i and BASE**-i for i < n; those of a usual block are kept for the life of the worker."""
+
+    def made(base: int, size: int) -> np.ndarray:
+        steps = np.full(size, base, U64)
+        steps[0] = 1
+        return np.cumprod(steps, dtype=U64, out=steps)
+
+    if n > 2 * BLOCK_BYTES:
+        return made(BASE, n), made(BASE_INVERSE, n)
     if len(_powers[0]) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        for k, base in enumerate((BASE, BASE_INVERSE)):
-            steps = np.full(size, base, U64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=U64)
+        _powers[:] = (made(b, 2 * BLOCK_BYTES) for b in (BASE, BASE_INVERSE))
     return _powers[0][:n], _powers[1][:n]
 
 
@@ -62,9 +68,10 @@ class Block:
 
     def per_text(self, flags: np.ndarray) -> np.ndarray:
         """Sum of flags (one per byte) over each text."""
-        total = np.zeros(len(flags) + 1, np.int64)
-        np.cumsum(flags, out=total[1:])
-        return total[self.offsets[1:]] - total[self.offsets[:-1]]
+        total, full = np.zeros(self.n, np.int64), np.diff(self.offsets) > 0
+        if full.any():
+            total[full] = np.add.reduceat(flags, self.offsets[:-1][full], dtype=np.int64)
+        return total
 
     def word_mask(self) -> np.ndarray:
         return ~SPACE[self.data]
@@ -80,6 +87,18 @@ class Block:
         starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
         return starts, ends, np.searchsorted(self.offsets, starts, "right") - 1
 
+    def apart(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """As spans, of spans in order that don't overlap: stretch by stretch, so that a very long text takes
+        no more memory than a block does (unless one span itself is longer)."""
+        if len(self.data) <= BLOCK_BYTES:
+            return self.spans(starts, ends)
+        out = np.empty(len(starts), U64)
+        cut = np.append(np.flatnonzero(np.diff(starts // BLOCK_BYTES, prepend=-1)), len(starts))
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            low, high = int(starts[a]), int(ends[b - 1])
+            out[a:b] = Block(self.data[low:high], np.array([0, high - low])).spans(starts[a:b] - low, ends[a:b] - low)
+        return out
+
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """64-bit hash of every span; equal bytes give equal hashes wherever they stand."""
         ahead, back = powers(len(self.data) + 1)
@@ -128,8 +147,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="skylattice-")
-        spark.conf.set("spark.checkpoint.dir", folder) if spark.conf.isModifiable("spark.checkpoint.dir") else None
+        if "folder" not in _local:
+            _local["folder"] = tempfile.mkdtemp(prefix="skylattice-")
+        folder = _local["folder"]
     return folder
 
 
@@ -137,7 +157,17 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read back; cuts lineage and survives lost executors."""
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(spark: SparkSession, *tables: DataFrame | None) -> None:
+    """Deletes what materialize wrote; only for tables that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "written_to", None):
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 @contextmanager
@@ -159,3 +189,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns alone, so that further ones with clashing names do no harm."""
     return df.select(*(df[c] for c in columns))
+
+
+def lowest_hashed(df: DataFrame, most: int, *keys: str) -> DataFrame:
+    """At most `most` rows, those whose hashed keys are smallest: a bounded sample that no layout changes.
+    A threshold on the hash comes first, so that partitions send about 2 * most rows together, not each."""
+    rows, hashed = df.count(), F.xxhash64(*keys)
+    if rows > 4 * most:  # twice as many as asked for lie below the threshold, give or take a few hundredths
+        df = df.where(hashed < int(-(2**63) + 2**64 * (2 * most + 1000) / rows))
+    return df.orderBy(hashed, *keys).limit(most)

@@ -229,16 +229,41 @@ def test_jaccard_join_matches_brute_force(spark, docs, none):
     assert jaccard.near_classes(spark, docs).count() == len(ROWS)
 
 
-def test_large_regions_take_more_pivots(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "LEAF", 2)
-    monkeypatch.setattr(jaccard, "FEWEST", 10**9)
+@pytest.mark.parametrize(("leaf", "parted", "block"), [(1, 0.9, 3), (1, 0.0, 3), (64, 0.8, 4096)])
+def test_large_regions_join_recursively_and_exactly(spark, monkeypatch, leaf, parted, block):
+    for name, value in (("SMALL", 2), ("LEAF", leaf), ("PARTED", parted), ("BLOCK", block), ("FEWEST", 10**9)):
+        monkeypatch.setattr(jaccard, name, value)
     rng = random.Random(8)
     common = [f"c{k}" for k in range(30)]
     rows = [(k, " ".join(common + [f"u{k}_{j}" for j in range(rng.randint(1, 12))]), "", "", 1, 1, "") for k in range(24)]
+    for k in range(20):  # a cloud of copies around one text, some of which only a chain joins
+        copy = [f"v{j}" for j in range(60)]
+        for _ in range(rng.randint(1, 3)):
+            copy[rng.randrange(60)] = f"x{k}"
+        rows.append((100 + k, " ".join(copy), "", "", 1, 1, ""))
     got = table(jaccard.near_classes(spark, spark.createDataFrame(rows, SCHEMA), 4, 70), "doc_id", "n_shingles", "component_id")
     assert got == sorted(brute_components(rows, 4, 70), key=repr)
 
 
+def test_regions_that_span_batches_stay_whole():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    region = np.sort(rng.integers(0, 12, 400))
+    region[100:260] = region[100]
+    region.sort()
+    point, n = np.arange(400), np.full(400, 9)
+    cuts = [0, *np.sort(rng.integers(0, 400, 30)), 400]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x[a:b]) for x in (region, point, n)], ["region", "point", "n"]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    rows = [r for out in jaccard.meeting(85)(iter(batches)) for r in out.to_pylist()]
+    members = collections.defaultdict(list)
+    for r, p in zip(region.tolist(), point.tolist(), strict=True):
+        members[r].append(p)
+    pairs = {(a, b, r) for r, m in members.items() if len(m) <= jaccard.SMALL for a, b in itertools.combinations(m, 2)}
+    large = {(p, None, r) for r, m in members.items() if len(m) > jaccard.SMALL for p in m}
+    assert len(rows) == len(pairs) + len(large) and {(x["a"], x["b"], x["region"]) for x in rows} == pairs | large
+
+
 def test_packing_fills_sequences_and_keeps_every_id(spark, docs, none):
     import public_tokenizers as P
     from tokenizers import Tokenizer
