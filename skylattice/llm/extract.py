@@ -12,7 +12,8 @@ with menus, sidebars, notices, comments, forms and adverts around and inside an
 place. Every page is then scored whole.
 
 Defined results: null, empty or text-less html gives the empty text; repeated rows are extracted
-each; unclosed tags close where HTML closes them; a tag that never ends is text.
+each; unclosed tags close where HTML closes them; a tag that never ends is text; a
+script, style, title, textarea or select that never ends reaches to the end of the page.
 """
 
 from __future__ import annotations
@@ -42,7 +43,8 @@ TAG = re.compile(
 )
 NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 TOKEN = re.compile(r"[a-z]+")
-RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "object", "select", "head"}
+#: Elements that hold no text of the page, with what ends each; the source itself is searched, as lower() changes lengths.
+RAW = {t: re.compile(rf"</{t}(?![a-zA-Z0-9])", re.I | re.A) for t in ("script", "style", "title", "textarea", "select", "head")}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = {
     "html", "body", "article", "main", "section", "div", "p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption",
@@ -68,7 +70,7 @@ class Page:
         self.links: dict[int, int] = {}
         self.stack, self.inline = [0], []
         self.run: list[str] = []
-        at, low = 0, None
+        at = 0
         while (m := TAG.search(source, at)) is not None:
             if m.start() > at:
                 self.text(source[at : m.start()])
@@ -81,11 +83,8 @@ class Page:
                 self.close(name)
             elif name in RAW:
                 if name != "head" and not (m[3] or m[6] or "").endswith("/"):
-                    low = low if low is not None else source.lower()
-                    end = low.find(f"</{name}", at)
-                    at = len(source) if end < 0 else end
-                    if end >= 0:
-                        at = source.find(">", end) + 1 or len(source)
+                    end = RAW[name].search(source, at)
+                    at = source.find(">", end.start()) + 1 or len(source) if end else len(source)
             elif name == "br" or name == "hr":
                 self.run.append(" ")
             elif name in BLOCKS:

@@ -138,7 +138,7 @@ def likeness(x: Prints, y: Prints, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def range_cuts(ids: DataFrame, ranges: int) -> np.ndarray:
     """First ids of up to `ranges` ranges of about equal size, from a bounded sample of hashed ids."""
-    sample = ids.select("key").orderBy(F.xxhash64("key"), "key").limit(SAMPLE)
+    sample = tk.lowest_hashed(ids.select("key"), SAMPLE, "key")
     keys = np.sort(np.array([r["key"] for r in sample.collect()], np.int64))
     return np.unique(keys[(np.arange(1, ranges) * len(keys)) // ranges]) if len(keys) else keys
 

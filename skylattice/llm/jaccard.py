@@ -39,13 +39,13 @@ from .components import connected_components, joined_components
 
 WORDS, PERCENT = 4, 85
 #: Layout only: of the lowest hashes, reach times the share of a prefix, shingles that FEWEST documents hold are frequent; FREQUENT_MOST of these and as many others are known to all tasks.
-REACH, FEWEST, FREQUENT_MOST = 1.5, 6, 400_000
+REACH, FEWEST, FREQUENT_MOST = 1.3, 6, 400_000
 #: Points of a region whose pairs are listed; pivots of a larger one; pairs for each point of a region that is compared; points of a block; of its region's points, those that a region may have after a split that parted them.
 SMALL, PIVOTS, LEAF, BLOCK, PARTED = 32, 3, 64, 4096, 0.8
 #: Bits of the filter of the texts whose whole sets are needed; beyond so many texts it only lets more through.
 FILTER_BITS = 1 << 25
 POINTS = "doc_id long, text_key long, point long, n long, prefix array<long>, rest string"
-REGIONS = "a long, b long, n_a long, n_b long, region long"
+REGIONS = "a long, b long, n_a long, n_b long, region long, place int"
 
 
 def shingles(block: tk.Block, words: int, below: np.uint64 | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -174,16 +174,15 @@ def pointing(words: int, percent: int, frequent: Frequent, low: np.uint64, last:
 
 
 def meeting(percent: int):
-    """(region, point, n), sorted by region and point, to REGIONS: the pairs of regions of 2 to SMALL points whose
-    sizes can be near, and with b null the points of larger ones."""
+    """(region, point, n, place), sorted by region and point, to REGIONS: the pairs of regions of 2 to SMALL points
+    whose sizes can be near, and with b null the points of larger ones. place: of the shingle in the point's prefix."""
     names = [x.split()[0] for x in REGIONS.split(", ")]
 
-    def out(a, b, n_a, n_b, region) -> pa.RecordBatch:
-        missing = None if b is not None else np.ones(len(a), bool)
-        b, n_b = (np.zeros(len(a), np.int64) if x is None else x for x in (b, n_b))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=missing), pa.array(n_a), pa.array(n_b), pa.array(region)], names)
+    def out(a, b, n_a, n_b, region, place) -> pa.RecordBatch:
+        filled = [pa.nulls(len(a), pa.int32() if name == "place" else pa.int64()) if x is None else pa.array(x) for name, x in zip(names, (a, b, n_a, n_b, region, place), strict=True)]
+        return pa.RecordBatch.from_arrays(filled, names)
 
-    def complete(region, point, n, large) -> Iterator[pa.RecordBatch]:
+    def complete(region, point, n, place, large) -> Iterator[pa.RecordBatch]:
         """Whole regions; large: one that began earlier as a large one, or None."""
         start = np.flatnonzero(np.append(True, region[1:] != region[:-1]))
         size = np.diff(np.append(start, len(region)))
@@ -192,17 +191,17 @@ def meeting(percent: int):
             big[0] |= region[0] == large
         held = np.repeat(big, size)
         if held.any():
-            yield out(point[held], None, n[held], None, region[held])
+            yield out(point[held], None, n[held], None, region[held], place[held])
         for s in np.unique(size[~big & (size > 1)]):
             at = start[~big & (size == s)][:, None]
             i, j = np.triu_indices(s, 1)
             x, y = (at + i).ravel(), (at + j).ravel()
             near = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
             x, y = x[near], y[near]
-            yield out(point[x], point[y], n[x], n[y], region[x])
+            yield out(point[x], point[y], n[x], n[y], region[x], None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, large = [np.zeros(0, np.int64)] * 3, None
+        held, large = [*[np.zeros(0, np.int64)] * 3, np.zeros(0, np.int32)], None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -214,7 +213,7 @@ def meeting(percent: int):
                 large = None
             if len(held[0]) > SMALL or large is not None:
                 large = int(held[0][0])
-                yield out(held[1], None, held[2], None, held[0])
+                yield out(held[1], None, held[2], None, held[0], held[3])
                 held = [x[:0] for x in held]
         yield from complete(*held, large)
 
@@ -292,7 +291,7 @@ def candidates(regions: DataFrame, percent: int) -> DataFrame:
 
 
 def regions_of(spark: SparkSession, heads: DataFrame, percent: int) -> DataFrame:
-    rows = heads.select(F.explode("prefix").alias("region"), "point", "n")
+    rows = heads.select(F.posexplode("prefix").alias("place", "region"), "point", "n").select("region", "point", "n", "place")
     ordered = rows.repartition("region").sortWithinPartitions("region", "point")
     return tk.materialize(spark, ordered.mapInArrow(meeting(percent), REGIONS), "regions")
 
@@ -301,7 +300,7 @@ def linked_points(spark: SparkSession, texts: DataFrame, heads: DataFrame, words
     """(id, component) of all points that have a link."""
     regions = regions_of(spark, heads, percent)
     pairs = tk.materialize(spark, candidates(regions, percent), "pairs")
-    cells = regions.where("b is null").select(F.col("region").alias("cell"), F.col("a").alias("point"), F.col("n_a").alias("n"))
+    cells = regions.where("b is null").select(F.col("region").alias("cell"), F.col("a").alias("point"), F.col("n_a").alias("n"), "place")
     points = pairs.select(F.col("a").alias("point")).unionByName(pairs.select(F.col("b").alias("point"))).unionByName(cells.select("point")).distinct()
     sets = whole_sets(spark, texts, heads, points, words)
     # First each point's best partner, then the pairs that the links so far do not join.
@@ -317,9 +316,8 @@ def linked_points(spark: SparkSession, texts: DataFrame, heads: DataFrame, words
 
 
 def voronoi(spark: SparkSession, cells: DataFrame, component: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """component with the links inside of cells (cell, point, n): Voronoi regions of pivots, recursively."""
+    """component with the links inside of cells (cell, point, n, place): Voronoi regions of pivots, recursively."""
     reach = (100 - percent) / 100 + 1e-9
-    fits = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
     rest = cells.withColumns({"home": F.lit(True), "before": F.lit(None).cast("long")})
     written = None
     for turn in range(1 << 30):
@@ -331,7 +329,7 @@ def voronoi(spark: SparkSession, cells: DataFrame, component: DataFrame, sets: D
         held = held.join(parts, "cell").withColumn("split", F.expr(f"pairs_each > {LEAF} and (before is null or points <= {PARTED} * before)"))
         held = tk.materialize(spark, held, "cells")
         tk.discard(spark, written)
-        found = tk.materialize(spark, measured(leaf_pairs(held.where("not split"), fits), sets).where(near(percent)).select("a", "b"), "links")
+        found = tk.materialize(spark, measured(leaf_pairs(held.where("not split"), percent), sets).where(near(percent)).select("a", "b"), "links")
         component = joined_components(spark, component, found)
         split = held.where("split")
         if split.isEmpty():
@@ -343,32 +341,40 @@ def voronoi(spark: SparkSession, cells: DataFrame, component: DataFrame, sets: D
         choice = F.struct("distance", "pivot")
         nearest = assigned.groupBy("cell", "point").agg(F.min(choice).alias("least"))
         moved = assigned.join(nearest, ["cell", "point"]).where(f"distance <= least.distance + {2 * reach}")
-        moved = moved.select(F.xxhash64("cell", "pivot").alias("cell"), "point", "n", (F.col("home") & (F.col("pivot") == F.col("least.pivot"))).alias("home"), F.col("points").alias("before"))
+        moved = moved.select(F.xxhash64("cell", "pivot").alias("cell"), "point", "n", "place", (F.col("home") & (F.col("pivot") == F.col("least.pivot"))).alias("home"), F.col("points").alias("before"))
         rest = written = tk.materialize(spark, moved, "moved")
         tk.discard(spark, held, found, assigned)
 
 
 def distances(split: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
-    """(cell, point, n, home, points, pivot, n_a, n_b, common, distance): each point of a cell and each of its pivots.
-    Pivots are chosen by hashes of the points alone, so cells of the same points mostly share them."""
+    """(cell, point, n, place, home, points, pivot, n_a, n_b, common, distance): each point of a cell and each of its pivots.
+    The first pivot is a point in the middle, with least before what the cell shares; the others are chosen by
+    hashes of the points alone, so cells of the same points mostly share them."""
     key = F.xxhash64(F.lit(turn), "point")
-    chosen = F.array(*(F.min(F.when(F.pmod(key, F.lit(PIVOTS)) == k, F.struct(key.alias("key"), "point", "n"))) for k in range(PIVOTS)))
-    pivots = split.groupBy("cell").agg(chosen.alias("x")).select("cell", F.explode("x").alias("x")).where("x is not null")
-    rows = split.select("cell", "point", "n", "home", "points").join(pivots.select("cell", F.col("x.point").alias("pivot"), F.col("x.n").alias("n_b")), "cell")
+    middle = F.min(F.struct(F.col("place").cast("long").alias("order"), key.alias("key"), "point", "n"))
+    others = (F.min(F.when(F.pmod(key, F.lit(PIVOTS)) == k, F.struct(F.lit(0).cast("long").alias("order"), key.alias("key"), "point", "n"))) for k in range(1, PIVOTS))
+    pivots = split.groupBy("cell").agg(F.array(middle, *others).alias("x")).select("cell", F.explode("x").alias("x")).where("x is not null")
+    pivots = pivots.select("cell", F.col("x.point").alias("pivot"), F.col("x.n").alias("n_b")).distinct()
+    rows = split.select("cell", "point", "n", "place", "home", "points").join(pivots, "cell")
     pairs = rows.select(F.col("point").alias("a"), F.col("pivot").alias("b"), F.col("n").alias("n_a"), "n_b").where("a <> b").distinct()
     common = measured(pairs, sets).select(F.col("a").alias("point"), F.col("b").alias("pivot"), "common")
     rows = rows.join(common, ["point", "pivot"], "left").withColumn("n_a", F.col("n")).withColumn("common", F.coalesce("common", "n"))
     return rows.withColumn("distance", F.expr("1 - common / (n_a + n_b - common)"))
 
 
-def leaf_pairs(held: DataFrame, fits: str) -> DataFrame:
-    """Pairs of cells that links do not join: points outside of the largest component meet all, in blocks of BLOCK."""
+def leaf_pairs(held: DataFrame, percent: int) -> DataFrame:
+    """Pairs of cells that links do not join: points outside of the largest component meet all, in blocks of BLOCK.
+
+    Two points that share nothing before the cell's shingle share no more than either has from there on (those that
+    do share something earlier meet there); what that rules out never leaves the join."""
     blocks = F.expr(f"cast(1 + points div {BLOCK} as int)")
-    columns = ("point", "n", "home", "component")
+    columns = ("point", "n", "place", "home", "component")
     a, b = (held.select("cell", "main", blocks.alias("blocks"), *(F.col(c).alias(f"{c}_{k}") for c in columns)) for k in "ab")
     a = a.where("component_a <> main").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).drop("blocks")
-    b = b.withColumn("block", F.expr("cast(pmod(xxhash64(point_b), blocks) as int)")).drop("blocks", "main")
-    met = a.join(b, ["cell", "block"]).where(f"(home_a or home_b) and component_a <> component_b and (component_b = main or point_a < point_b) and {fits}")
+    b = b.withColumn("block", F.expr("cast(pmod(xxhash64(point_b), blocks) as int)")).drop("blocks", "main").withColumnsRenamed({"cell": "cell_b", "block": "block_b"})
+    new = "(home_a or home_b) and component_a <> component_b and (component_b = main or point_a < point_b)"
+    fits = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and (100 + {percent}) * least(n_a - place_a, n_b - place_b) >= {percent} * (n_a + n_b)"
+    met = a.join(b, (a["cell"] == b["cell_b"]) & (a["block"] == b["block_b"]) & F.expr(new) & F.expr(fits))
     return met.select(F.least("point_a", "point_b").alias("a"), F.greatest("point_a", "point_b").alias("b"), F.expr("if(point_a < point_b, n_a, n_b)").alias("n_a"), F.expr("if(point_a < point_b, n_b, n_a)").alias("n_b")).distinct()
 
 
@@ -412,13 +418,14 @@ def near_filter(spark: SparkSession, documents: DataFrame, words: int, percent:
     kept = full.groupBy("component").agg(F.min(order).alias("x")).select("x.doc_id", "x.text_key")
     repeated = same_rows(full.groupBy("doc_id", "text_key").agg(F.count("*").alias("copies")).where("copies > 1"), kept, "left_semi")
     repeated = tk.materialize(spark, repeated.select("doc_id", "text_key"), "repeated")
-    keyed = documents.withColumn("text_key", F.xxhash64("text"))
+    columns = F.struct(*(documents[c] for c in documents.columns))
+    keyed = documents.select(columns.alias("row"), documents["doc_id"], F.xxhash64(documents["text"]).alias("text_key"))
     wordless = found.where("n = 0").select("doc_id", "text_key").distinct()
     once = same_rows(kept, repeated, "left_anti").unionByName(wordless)
     out = same_rows(keyed, once, "left_semi")
     if not repeated.isEmpty():
         out = out.unionByName(same_rows(keyed, repeated, "left_semi").dropDuplicates(["doc_id", "text_key"]))
-    return out.drop("text_key")
+    return out.select("row.*")
 
 
 def same_rows(left: DataFrame, right: DataFrame, how: str) -> DataFrame:

@@ -18,6 +18,7 @@ null id is kept; no document gives no rows.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -40,17 +41,17 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task
 
 @lru_cache(maxsize=2)
 def tokenizers(vocabulary: str, ranks: str):
-    """The tokenizer of the vocabulary file, and a faster encoder of the same merges."""
+    """The tokenizer of the vocabulary file, a faster encoder of the same merges, and a pattern of the special tokens, which only the first knows."""
     import public_tokenizers
     import tiktoken
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-    exact.encode_special_tokens = True
     with open(public_tokenizers.path(ranks), "rb") as lines:
         merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     fast = tiktoken.Encoding("fast", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
-    return exact, fast
+    special = [t.content for t in exact.get_added_tokens_decoder().values()]
+    return exact, fast, re.compile("|".join(map(re.escape, special))) if special else None
 
 
 def unusual(block: tk.Block) -> np.ndarray:
@@ -62,11 +63,11 @@ def unusual(block: tk.Block) -> np.ndarray:
 
 def encode(texts: list[str], odd: np.ndarray, vocabulary: str, ranks: str) -> list[np.ndarray]:
     """Token ids with the end id of each text."""
-    exact, fast = tokenizers(vocabulary, ranks)
+    exact, fast, special = tokenizers(vocabulary, ranks)
     seen: dict[str, np.ndarray] = {}
     for text, rare in zip(texts, odd, strict=True):
         if text not in seen:
-            ids = exact.encode(text, add_special_tokens=False).ids if rare else fast.encode_to_numpy(text, disallowed_special=())
+            ids = exact.encode(text, add_special_tokens=False).ids if rare or (special and special.search(text)) else fast.encode_to_numpy(text, disallowed_special=())
             seen[text] = np.append(np.asarray(ids, "<u4"), np.uint32(END))
     return [seen[t] for t in texts]
 

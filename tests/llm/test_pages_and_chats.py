@@ -37,6 +37,12 @@ def test_decoding_keeps_rooted_subtrees():
         assert sum(w if f else -w for w, f in zip(weight, kept, strict=True)) == pytest.approx(best)
 
 
+def test_raw_elements_end_where_the_source_says():
+    p = extract.Page("<p>" + "İ" * 40 + "</p><script>x</SCRIPT><p>hello first</p><title>t</title><p>a <math>x<mo>+</mo>y</math> <svg><text>z</text></svg><noscript>n</noscript></p><p>second</p>")
+    assert [t for _, t in p.blocks] == ["İ" * 40, "hello first", "a x+y zn", "second"]
+    assert [t for _, t in extract.Page("<p>a</p><script>var x = '</scripted>';").blocks] == ["a"]
+
+
 def test_extraction_finds_articles_it_has_not_seen(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     trees = extract.fit_trees(pages)
@@ -165,3 +171,21 @@ def test_pipeline_stages_match_brute_force(spark, sf):
     assert {r["doc_id"] for r in packed} == expected
     assert max(collections.Counter(r["sequence_id"] for r in packed for _ in range(r["length"])).values()) <= packing.CAPACITY
     assert jaccard.PERCENT == 85 and pipeline.NEAR_PERCENT == 80
+
+
+def test_pipeline_stages_of_odd_rows(spark, sf, tmp_path):
+    import corpus_pipeline as pipeline
+
+    text = " ".join(f"word{k % 70} token{k % 41}" for k in range(90)) + ' api_key = "0123456789abcdef0123"'
+    columns = "doc_id long, text string, text_key int, row_no string, spans int, rules int, whole int, point int"
+    rows = [(1, text, 1, "a", 2, 3, 4, 5), (1, text, 1, "a", 2, 3, 4, 5), (None, text, 0, "b", 0, 0, 0, 0), (None, text.upper(), 0, "b", 0, 0, 0, 0), (3, None, 0, "c", 0, 0, 0, 0), (4, "", 0, "c", 0, 0, 0, 0), (5, "x" * 9, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, columns)
+    kept = jaccard.near_filter(spark, docs, pipeline.NEAR_WORDS, pipeline.NEAR_PERCENT)
+    assert sorted((r["doc_id"], r["row_no"]) for r in kept.collect()) == [(1, "a"), (3, "c"), (4, "c"), (5, None)] and kept.columns == docs.columns
+    for table in (docs, docs.where("false")):
+        out = table
+        for name, stage in pipeline.STAGES[:-1]:
+            out = stage(spark, out, sf)
+            assert out.columns == docs.columns, name
+        assert all("0123456789abcdef0123" not in (r["text"] or "") for r in out.collect())
+        assert pipeline.STAGES[-1][1](spark, out, sf).count() == out.count()

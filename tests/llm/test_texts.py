@@ -252,9 +252,9 @@ def test_regions_that_span_batches_stay_whole():
     region = np.sort(rng.integers(0, 12, 400))
     region[100:260] = region[100]
     region.sort()
-    point, n = np.arange(400), np.full(400, 9)
+    point, n, place = np.arange(400), np.full(400, 9), np.zeros(400, np.int32)
     cuts = [0, *np.sort(rng.integers(0, 400, 30)), 400]
-    batches = [pa.RecordBatch.from_arrays([pa.array(x[a:b]) for x in (region, point, n)], ["region", "point", "n"]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x[a:b]) for x in (region, point, n, place)], ["region", "point", "n", "place"]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     rows = [r for out in jaccard.meeting(85)(iter(batches)) for r in out.to_pylist()]
     members = collections.defaultdict(list)
     for r, p in zip(region.tolist(), point.tolist(), strict=True):
@@ -323,6 +323,30 @@ def test_bin_completion_is_optimal_on_small_cases_and_bounded_on_large():
     assert sum(k for _, k in packing.bin_completion(big)) <= packing.least_sequences(big) * 1.01 + 1
 
 
+def test_special_tokens_in_texts_are_ids_as_the_tokenizer_gives_them(spark):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|> é <|endoftext|", "plain"]
+    got = table(packing.pack(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "doc_id", "length", "ids_crc32")
+    ids = [np.array([*exact.encode(t, add_special_tokens=False).ids, 0], "<u4") for t in texts]
+    assert got == [(k, len(x), zlib.crc32(x.tobytes())) for k, x in enumerate(ids)] and len(ids[1]) == 2
+
+
+def test_bin_completion_beats_best_fit_decreasing():
+    better = 0
+    for seed in range(60):
+        counts = np.zeros(101, np.int64)
+        rng = random.Random(seed)
+        for _ in range(rng.randint(8, 40)):
+            counts[rng.randint(18, 55)] += rng.randint(1, 3)
+        greedy, found = (sum(k for _, k in p) for p in (packing.best_fit_decreasing(counts), packing.bin_completion(counts)))
+        assert packing.least_sequences(counts) <= found <= greedy
+        better += found < greedy
+    assert better >= 5
+
+
 def test_unusual_texts_go_to_the_exact_tokenizer():
     import pyarrow as pa
 
