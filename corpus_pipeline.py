@@ -1,4 +1,9 @@
-"""The corpus pipeline: quality rules, near duplicates, secrets, packing, each over all the one before kept."""
+"""The corpus pipeline: quality rules, near duplicates, secrets, packing, each over all the one before kept.
+
+Defined results: a document without text fails the quality rules; rows that repeat an id are rows of their
+own, of which exact repeats stay once; a null id stays null; further columns, whatever their names, pass
+through all stages but the last; n_chars is counted again where it is a column; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -23,7 +28,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced by a mark and n_chars counted again."""
-    return secrets.redact_secrets(spark, docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    clean = secrets.redact_secrets(spark, docs)
+    return clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +48,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over documents; what a stage wrote goes when the next has been written."""
     docs = tk.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = tk.materialize(spark, stage(spark, docs, sf_dir), name)
+        kept = tk.materialize(spark, stage(spark, docs, sf_dir), name)
+        tk.discard(spark, docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
