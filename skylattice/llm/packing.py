@@ -18,10 +18,12 @@ null id is kept; no document gives no rows.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -197,34 +199,42 @@ def bin_completion(counts: np.ndarray, most_nodes: int = MOST_NODES) -> list[tup
             most = int((left[lengths] // uses).min())
             yield from [(pattern, most), (pattern, 1)][: 1 + (most > 1)]
 
-    if best_bins <= bound:
-        return best
-    stack = [(counts.copy(), 0, 0, None, children(counts))]
+    # The moves on the way to the node at hand; only that node has a live generator, which would hold all sums of
+    # its lengths. A node that is come back to makes its own anew and skips what it has tried.
+    left, bins, waste = counts.astype(np.int64), 0, 0
+    moves: list[tuple[tuple[int, ...], int]] = []
+    tried, more = [0], children(left)
     seen: set[bytes] = set()
     nodes, most_nodes = 0, most_nodes + 4 * int(np.count_nonzero(counts))
-    while stack and best_bins > bound and nodes < most_nodes:
-        left, bins, waste, path, more = stack[-1]
+
+    def move(pattern: tuple[int, ...], times: int) -> None:
+        nonlocal bins, waste
+        np.subtract.at(left, list(pattern), times)
+        bins, waste = bins + times, waste + times * (capacity - sum(pattern))
+
+    while tried and best_bins > bound and nodes < most_nodes:
         pattern, times = next(more, (None, 0))
+        tried[-1] += 1
         slack = (best_bins - 1) * capacity - total
         if pattern is None or waste + capacity - sum(pattern) > slack:  # fillings come by waste, so all others waste more
-            stack.pop()
+            tried.pop()
+            if moves:
+                undone, times = moves.pop()
+                move(undone, -times)
+                more = islice(children(left), tried[-1], None)
             continue
         nodes += 1
-        waste += times * (capacity - sum(pattern))
-        if waste > slack:
+        move(pattern, times)
+        if waste <= slack and not left.any():
+            best_bins, best = bins, [*moves, (pattern, times)]
+        state = hashlib.blake2b(left.tobytes() + bins.to_bytes(8, "big"), digest_size=16).digest()
+        if waste > slack or not left.any() or state in seen:
+            move(pattern, -times)
             continue
-        left = left.copy()
-        np.subtract.at(left, list(pattern), times)
-        bins, path = bins + times, (path, pattern, times)
-        if not left.any():
-            best_bins, best = bins, []
-            while path:
-                path, pattern, times = path
-                best.append((pattern, times))
-            best.reverse()
-        elif (state := left.tobytes() + bins.to_bytes(8, "big")) not in seen:
-            seen.add(state)
-            stack.append((left, bins, waste, path, children(left)))
+        seen.add(state)
+        moves.append((pattern, times))
+        tried.append(0)
+        more = children(left)
     return best
 
 
