@@ -17,12 +17,13 @@ def resample(points: DataFrame, key: str, time: str, width: int, medians: list[s
 
 def track_summary(points: DataFrame, key: str, time: str, least: int = 4) -> DataFrame:
     """First and last state, smallest distance from the origin and mean climb of tracks of `least` points or more."""
-    state = F.struct("x", "y", "z", "speed")
+    ground = F.col("on_ground") if "on_ground" in points.columns else F.lit(False)
+    state = F.struct("x", "y", "z", "speed", F.coalesce(ground, F.lit(False)).alias("ground"))
     return (
         points.groupBy(key)
         .agg(F.count("*").alias("n_points"), F.min(time).alias("t_start"), F.max(time).alias("t_end"), F.min_by(state, time).alias("entry"), F.max_by(state, time).alias("exit"), F.min(F.sqrt(F.col("x") ** 2 + F.col("y") ** 2)).alias("min_dist_m"), F.min("z").alias("min_z"))
         .where(F.col("n_points") >= least)
-        .select(key, "n_points", "t_start", "t_end", "min_dist_m", "min_z", *(F.col(f"{e}.{c}").alias(f"{e}_{c}") for e in ("entry", "exit") for c in ("x", "y", "z", "speed")))
+        .select(key, "n_points", "t_start", "t_end", "min_dist_m", "min_z", *(F.col(f"{e}.{c}").alias(f"{e}_{c}") for e in ("entry", "exit") for c in ("x", "y", "z", "speed", "ground")))
     )
 
 
@@ -34,8 +35,8 @@ def movement(horizon_m: float = 25_000, low_m: float = 50, over_m: float = 1500,
     down, up = climb < -step_m, climb > step_m
     start_speed, end_speed = (F.coalesce(F.col(c), F.lit(70.0)) for c in ("entry_speed", "exit_speed"))
     return (
-        F.when((F.col("exit_z") <= low_m) & near_end & down & (F.col("min_dist_m") < horizon_m), "arrival")
-        .when((F.col("entry_z") <= low_m) & near_start & up & (start_speed >= takeoff_ms), "departure")
+        F.when(((F.col("exit_z") < low_m) | F.col("exit_ground")) & near_end & down & (F.col("min_dist_m") < horizon_m), "arrival")
+        .when(((F.col("entry_z") < low_m) | F.col("entry_ground")) & near_start & up & (start_speed >= takeoff_ms), "departure")
         .when(F.col("min_z") > over_m, "overflight")
         .when(near_end & down & end_speed.between(*approach), "arrival")
         .otherwise("unknown")

@@ -11,35 +11,50 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def asof_nearest(left: DataFrame, right: DataFrame, time: str, by: list[str], values: list[str], tie: str, tolerance: int | None = None, slice_: int = 86_400_000_000) -> DataFrame:
+def configured(df: DataFrame, most: int = 5_000) -> DataFrame:
+    """df to be broadcast, after its rows were counted: more than `most` are an error, as configuration is small."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows are no configuration")
+    return F.broadcast(df)
+
+
+#: Rows of a time slice of asof_nearest where no key spreads them, about.
+SLICE_ROWS = 200_000
+
+
+def slice_width(left: DataFrame, right: DataFrame, time: str) -> int:
+    """Width of slices that hold about SLICE_ROWS rows of evenly spread times."""
+    found = left.select(time).unionByName(right.select(time)).agg(F.count(time), F.min(time), F.max(time)).first()
+    return max(1, (found[2] - found[1]) // max(1, found[0] // SLICE_ROWS) + 1) if found[0] else 1
+
+
+def asof_nearest(left: DataFrame, right: DataFrame, time: str, by: list[str], values: list[str], tie: str, tolerance: int | None = None, slice_: int | None = None) -> DataFrame:
     """left with the values of the row of right whose time is nearest, by equal keys; ties go to the earlier row.
 
-    Times are longs. History is cut into slices of slice_ time units; the last right row before a
-    slice and the first after it are found on one row for each slice and stand at its edges, so a
-    key with very much history is spread. Of right rows at one time, an
-    earlier one counts by its largest tie, a later one by its smallest."""
+    Times are longs. History is cut into slices of slice_ time units (by default as many as the rows ask for); the
+    last right row before a slice and the first after it are found on one row for each slice and stand at its edges,
+    so a key with very much history is spread. Rows look back in both orders of time, as a frame of all that
+    follows would be scanned anew for every row. Of right rows at one time, an earlier one counts by its largest
+    tie, a later one by its smallest."""
+    slice_ = slice_ or (86_400_000_000 if by else slice_width(left, right, time))
     found = F.struct(F.col(time).alias("t"), F.col(tie).alias("k"), *values)
     rows = right.where(F.col(time).isNotNull()).withColumns({"__slice": F.floor(F.col(time) / slice_), "__row": found})
     keys = [*by, "__slice"]
     edges = rows.groupBy(*keys).agg(F.min("__row").alias("__first"), F.max("__row").alias("__last"))
     asked = left.withColumn("__slice", F.floor(F.col(time) / slice_))
     spine = asked.select(*keys).unionByName(rows.select(*keys)).distinct().join(edges, keys, "left")
-    order = Window.partitionBy(*by).orderBy("__slice")
-    carried = spine.select(
-        *keys,
-        F.last("__last", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"),
-        F.first("__first", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("__after"),
-    )
-    inner = Window.partitionBy(*keys).orderBy("__t", "__side", "__k")
+    earlier, later = (Window.partitionBy(*by).orderBy(c).rowsBetween(Window.unboundedPreceding, -1) for c in (F.asc("__slice"), F.desc("__slice")))
+    carried = spine.select(*keys, F.last("__last", True).over(earlier).alias("__before"), F.last("__first", True).over(later).alias("__after"))
     one = asked.withColumns({"__t": F.col(time), "__side": F.lit(1), "__k": F.lit(None).cast(right.schema[tie].dataType), "__row": F.lit(None).cast(rows.schema["__row"].dataType)})
     two = rows.select(*keys, F.col(time).alias("__t"), F.lit(0).alias("__side"), F.col(tie).alias("__k"), "__row")
     both = one.unionByName(two, allowMissingColumns=True)
-    near = both.withColumns({"__b": F.last("__row", True).over(inner.rowsBetween(Window.unboundedPreceding, 0)), "__a": F.first("__row", True).over(inner.rowsBetween(0, Window.unboundedFollowing))}).where("__side = 1")
+    back, ahead = (Window.partitionBy(*keys).orderBy(*(way(c) for c in ("__t", "__side", "__k"))).rowsBetween(Window.unboundedPreceding, 0) for way in (F.asc, F.desc))
+    near = both.withColumn("__b", F.last("__row", True).over(back)).withColumn("__a", F.last("__row", True).over(ahead)).where("__side = 1")
     near = near.join(carried, keys, "left").withColumns({"__b": F.coalesce("__b", "__before"), "__a": F.coalesce("__a", "__after")})
-    back, ahead = F.col("__t") - F.col("__b.t"), F.col("__a.t") - F.col("__t")
-    pick = F.when(F.col("__a").isNull() | (back <= ahead), F.col("__b")).otherwise(F.col("__a"))
+    since, until = F.col("__t") - F.col("__b.t"), F.col("__a.t") - F.col("__t")
+    pick = F.when(F.col("__a").isNull() | (since <= until), F.col("__b")).otherwise(F.col("__a"))
     if tolerance is not None:
-        pick = F.when(F.least(back, ahead) <= tolerance, pick)
+        pick = F.when(F.least(since, until) <= tolerance, pick)
     near = near.withColumn("__pick", pick)
     return near.select(*(c for c in left.columns), *(F.col(f"__pick.{v}").alias(v) for v in values))
 
@@ -73,6 +88,18 @@ def box_join(a: DataFrame, b: DataFrame, reach: dict[tuple[str, str], float], co
     return a.join(b, on).drop(*(f"__{s}{k}" for k in range(len(reach)) for s in "cd"))
 
 
+def nearest_within(a: DataFrame, b: DataFrame, on: list[tuple[str, str]], distance: Column, key: list[str], reach: float) -> DataFrame:
+    """(key, distance) of the nearest row of b for each distinct key of a that has one within reach.
+
+    on names pairs of columns; a fifth of the reach is searched first, and what finds nothing there looks further."""
+    def within(left: DataFrame, far: float) -> DataFrame:
+        hit = box_join(left, b, dict.fromkeys(on, far), distance <= far)
+        return hit.groupBy(*key).agg(F.min(distance).alias("distance"))
+
+    close = within(a, reach / 5)
+    return close.unionByName(within(a.join(close, key, "left_anti"), reach))
+
+
 def best_match(pairs: DataFrame, key: list[str], score: str, order: str, values: list[str]) -> DataFrame:
     """The pair of least score for each key; the smaller order wins ties."""
     return pairs.groupBy(*key).agg(F.min_by(F.struct(score, *values), F.struct(score, order)).alias("__best")).select(*key, "__best.*")

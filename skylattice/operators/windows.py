@@ -127,11 +127,16 @@ def temporal_holdout(df: DataFrame, day: str, key: list[str], share: float = 0.2
     return df.crossJoin(F.broadcast(ends)).withColumn("held_out", held).drop("__first", "__last")
 
 
-def running_sums(df: DataFrame, order: str, sums: dict[str, str], ranges: int = 64) -> DataFrame:
-    """Running sums over the whole table in the order of a column of distinct values.
+#: Rows of a range of running_sums, about.
+RANGE_ROWS = 100_000
+
+
+def running_sums(df: DataFrame, order: str, sums: dict[str, str], ranges: int | None = None) -> DataFrame:
+    """Running sums over the whole table in the order of a column of distinct values, by default in ranges of about RANGE_ROWS.
 
     The table is cut into ranges of values, of which the driver knows only the cuts; each range is
     summed by itself and shifted by the totals of those before it, one row for each range."""
+    ranges = ranges or max(1, min(1024, df.count() // RANGE_ROWS))
     cuts = sorted(set(df.approxQuantile(order, [k / ranges for k in range(1, ranges)], 0.5 / ranges))) if ranges > 1 else []
     place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(order))) if cuts else F.lit(0)
     placed = df.withColumn("__range", place)

@@ -60,7 +60,7 @@ def cartesian_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The sweep's sides are configuration: a few vertiports, days, hours and baselines.
     n = table(spark, sf_dir, "nation")
     a, b = n.select(F.col("n_nationkey").alias("ka"), F.col("n_name").alias("src")), n.select(F.col("n_nationkey").alias("kb"), F.col("n_name").alias("dst"))
-    sweep = a.crossJoin(F.broadcast(b)).where("ka <> kb").crossJoin(F.broadcast(table(spark, sf_dir, "region").select(F.col("r_name").alias("day"))))
+    sweep = a.crossJoin(J.configured(b)).where("ka <> kb").crossJoin(J.configured(table(spark, sf_dir, "region").select(F.col("r_name").alias("day"))))
     hours, lines = F.array(*map(F.lit, (8, 11, 17))), F.array(*(F.lit(f"B{k}") for k in range(4)))
     return sweep.withColumn("hour", F.explode(hours)).withColumn("baseline", F.explode(lines)).select("src", "dst", "day", "hour", "baseline")
 
@@ -73,7 +73,7 @@ def origin_or_dest(spark: SparkSession, sf_dir: str) -> DataFrame:
     touched = t.withColumn("n_nationkey", F.explode(F.array_distinct(F.array("origin", "dest"))))
     weight = F.greatest(F.sum("pax") / 1e6, F.lit(0.1))
     nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"))
-    return touched.join(F.broadcast(nations), "n_nationkey").groupBy(F.col("n_nationkey").cast("int").alias("n_nationkey")).agg(F.count("*").alias("n_markets"), F.round(weight, 4).alias("weight"))
+    return touched.join(J.configured(nations), "n_nationkey").groupBy(F.col("n_nationkey").cast("int").alias("n_nationkey")).agg(F.count("*").alias("n_markets"), F.round(weight, 4).alias("weight"))
 
 
 @query("""with m as (select o_orderpriority as pair, avg(o_totalprice) filter (o_orderkey % 4 = 2) as b2, avg(o_totalprice) filter (o_orderkey % 4 = 3) as b3 from orders group by 1)

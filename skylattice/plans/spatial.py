@@ -33,11 +33,11 @@ def prism_rows() -> tuple[str, str]:
     for k, ux, uy in AXES:
         x0, y0, length = k * 400 - 800, k * 300 - 600, 3000.0
 
-        def add(surface, origin, axis, s0, w0, s1, w1, height, slope, low=0.0, k=k, at=None):
+        def add(surface, origin, axis, s0, w0, s1, w1, height, slope, k=k, at=None):
             (ox, oy), (ax, ay) = origin, axis
             ring = [(ox + s * ax - q * ay, oy + s * ay + q * ax) for s, q in ((s0, -w0), (s1, -w1), (s1, w1), (s0, w0))] if at is None else at
             n = len(prisms)
-            prisms.append(f"({n}, {k}, '{surface}', {slope * ax!r}::double, {slope * ay!r}::double, {height - slope * (ox * ax + oy * ay + s0)!r}::double, {low!r}::double)")
+            prisms.append(f"({n}, {k}, '{surface}', {slope * ax!r}::double, {slope * ay!r}::double, {height - slope * (ox * ax + oy * ay + s0)!r}::double, null::double, null::double, 0::double, 0::double)")
             sides.extend(f"({n}, {a!r}::double, {b!r}::double, {c!r}::double, {d!r}::double)" for (a, b), (c, d) in zip(ring, ring[1:] + ring[:1], strict=True))
 
         s, h = 60.0, 0.0
@@ -47,26 +47,42 @@ def prism_rows() -> tuple[str, str]:
         far = (x0 + length * ux, y0 + length * uy)
         add("takeoff", far, (ux, uy), 60.0, 90.0, 60 + 6480.0, 900.0, 0.0, 0.02)
         add("takeoff", far, (ux, uy), 60 + 6480.0, 900.0, 60 + 15000.0, 900.0, 129.6, 0.02)
-        for side in (1.0, -1.0):
-            vx, vy = -side * uy, side * ux
-            at = [(x0 + p * vx + q * ux, y0 + p * vy + q * uy) for p, q in ((150.0, 0.0), (465.0, 0.0), (465.0, length), (150.0, length))]
-            add("transitional", (x0, y0), (vx, vy), 150.0, 0, 465.0, 0, 0.0, 1 / 7, at=at)
-        add("strip", (x0, y0), (ux, uy), -60.0, 140.0, length + 60, 140.0, 0.0, 0.0)
+        for surface, slope in (("transitional", 1 / 7), ("ofz_inner_transitional", 0.333)):
+            for side in (1.0, -1.0):
+                vx, vy = -side * uy, side * ux
+                at = [(x0 + p * vx + q * ux, y0 + p * vy + q * uy) for p, q in ((150.0, 0.0), (150 + 45 / slope, 0.0), (150 + 45 / slope, length), (150.0, length))]
+                add(surface, (x0, y0), (vx, vy), 150.0, 0, 0, 0, 0.0, slope, at=at)
+        add("ofz_inner_approach", (x0, y0), (-ux, -uy), 60.0, 60.0, 960.0, 60.0, 0.0, 0.02)
+        add("strip", (x0, y0), (ux, uy), -60.0, 150.0, length + 60, 150.0, 0.0, 0.0)
+        add("resa", far, (ux, uy), 0.0, 75.0, 240.0, 75.0, 0.0, 0.0)
+    n = len(prisms)
+    prisms.append(f"({n}, -1, 'inner_horizontal', 0::double, 0::double, 45::double, -1e9::double, 4000::double, 0::double, 0::double)")
+    prisms.append(f"({n + 1}, -1, 'conical', 0::double, 0::double, 45::double, 4000::double, 6000::double, 0.05::double, 4000::double)")
     return ", ".join(prisms), ", ".join(sides)
 
 
 PRISMS, SIDES = prism_rows()
-DISTANCES = f"""{ENDS}, {OBS}, prisms(p, k, surface, a, b, c, low) as (values {PRISMS}), sides(p, ax, ay, qx, qy) as (values {SIDES}),
-plane as (select o.event_id, s.p, min(sqrt(pow(x - ax - u * (qx - ax), 2) + pow(y - ay - u * (qy - ay), 2))) as gap,
+
+
+def distances(points: str, key: str) -> str:
+    """CTEs up to boxed: the signed distance sd of every prism from each of the points (key, x, y, z)."""
+    return f"""prisms(p, k, surface, a, b, c, r_in, r_out, slope, r0) as (values {PRISMS}), sides(p, ax, ay, qx, qy) as (values {SIDES}),
+gaps as (select {key}, s.p, min(sqrt(pow(x - ax - u * (qx - ax), 2) + pow(y - ay - u * (qy - ay), 2))) as gap,
   count_if((ay > y) <> (qy > y) and x < ax + (y - ay) * (qx - ax) / case when qy = ay then 1 else qy - ay end) % 2 = 1 as inside
-  from (select *, least(greatest(((x - ax) * (qx - ax) + (y - ay) * (qy - ay)) / greatest((qx - ax) * (qx - ax) + (qy - ay) * (qy - ay), 1e-12), 0), 1) as u from obs, sides) o join sides s using (p, ax, ay, qx, qy) group by all),
-solid as (select q.event_id, end_id, surface, case when inside then -gap else gap end as d, greatest(z - (a * x + b * y + c), low - z) as dz from plane q join prisms using (p) join ends on pos = k join obs o on o.event_id = q.event_id),
+  from (select *, least(greatest(((x - ax) * (qx - ax) + (y - ay) * (qy - ay)) / greatest((qx - ax) * (qx - ax) + (qy - ay) * (qy - ay), 1e-12), 0), 1) as u from {points}, sides) o join sides s using (p, ax, ay, qx, qy) group by all),
+plane as (select {key}, p, case when inside then -gap else gap end as d from gaps union all
+  select {key}, p, greatest(sqrt(x * x + y * y) - r_out, r_in - sqrt(x * x + y * y)) from {points}, prisms where r_out is not null),
+solid as (select q.{key}, coalesce(end_id, 'arp') as end_id, surface, d, greatest(z - case when slope > 0 then c + slope * (sqrt(x * x + y * y) - r0) else a * x + b * y + c end, -z) as dz
+  from plane q join prisms using (p) left join ends on pos = k join {points} o on o.{key} = q.{key}),
 boxed as (select *, case when d <= 0 and dz <= 0 then greatest(d, dz) else sqrt(pow(greatest(d, 0), 2) + pow(greatest(dz, 0), 2)) end as sd from solid)"""
 
 
-@query(f"with {DISTANCES} select event_id, cast(count_if(sd <= 0) as bigint) as n_inside from boxed where surface <> 'strip' group by event_id")
+DISTANCES = f"{ENDS}, {OBS}, {distances('obs', 'event_id')}"
+
+
+@query(f"with {DISTANCES} select event_id, cast(count_if(sd <= 0) as bigint) as n_inside from boxed where surface not in ('strip', 'resa') group by event_id")
 def point_in_prism(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prisms = S.prisms_of(ends(spark, sf_dir)).where("surface <> 'strip'")
+    prisms = S.prisms_of(ends(spark, sf_dir)).where("surface not in ('strip', 'resa')")
     return S.near_prisms(obs(spark, sf_dir), prisms, ["event_id"]).select("event_id", "n_inside")
 
 
@@ -76,6 +92,13 @@ def nearest_prism(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.near_prisms(obs(spark, sf_dir), prisms, ["event_id"]).select("event_id", F.round("sd", 3).alias("sd"), "surface")
 
 
+@query(f"with {DISTANCES} select surface, cast(count(distinct end_id) as bigint) as n_ends, cast(count(*) as bigint) as n_pairs, cast(count_if(sd <= 0) as bigint) as n_inside, round(min(sd), 3) as sd from boxed group by surface")
+def prism_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each kind of surface, its ends and how many observations are in one of its prisms."""
+    pairs = S.prism_distances(obs(spark, sf_dir), S.prisms_of(ends(spark, sf_dir)), ["event_id"])
+    return pairs.groupBy("surface").agg(F.count_distinct("end_id").alias("n_ends"), F.count("*").alias("n_pairs"), F.count_if(F.col("sd") <= 0).alias("n_inside"), F.round(F.min("sd"), 3).alias("sd"))
+
+
 @query(f"with {OBS} select event_id, round(greatest(sqrt((x - 500) * (x - 500) + y * y) - (8 + 72 * least(greatest(z / 300.0, 0), 1)), -z, z - 300.0), 4) as sd from obs")
 def funnel_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return obs(spark, sf_dir).select("event_id", F.round(S.funnel_distance((F.col("x") - 500).cast("double"), F.col("y").cast("double"), F.col("z").cast("double")), 4).alias("sd"))
@@ -136,7 +159,7 @@ t as (select *, c0 / (c0 - c1) as t from c where c0 <> c1)
 select seg_id, cast(count(*) as bigint) as n_crossed, string_agg(end_id, ',' order by end_id) as ends from t where t between 0 and 1 and a0 + t * (a1 - a0) between -200 and length + 200 and z0 + t * (z1 - z0) <= 609.6 group by seg_id""")
 def axis_crossing(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = segments(spark, sf_dir).select("seg_id", F.col("x0").alias("px"), F.col("y0").alias("py"), (-F.col("x1")).alias("qx"), (-F.col("y1")).alias("qy"), "z0", "z1")
-    pairs = seg.crossJoin(F.broadcast(ends(spark, sf_dir)))
+    pairs = seg.crossJoin(J.configured(ends(spark, sf_dir)))
     axis = tuple(F.col(c) for c in ("x0", "y0", "ux", "uy"))
     (a0, c0), (a1, c1) = X.along_across(F.col("px"), F.col("py"), *axis), X.along_across(F.col("qx"), F.col("qy"), *axis)
     pairs = pairs.withColumns({"a0": a0, "c0": c0, "a1": a1, "c1": c1}).where("c0 <> c1").withColumn("s", F.col("c0") / (F.col("c0") - F.col("c1")))
@@ -149,11 +172,16 @@ w as (select *, unnest([-1, 0, 1]) + cast(floor(x / 500.0) as bigint) as wx, cas
 d as (select path, icao24, sqrt(pow(v.x - c.x, 2) + pow(v.y - c.y, 2)) as lat, abs(v.z - c.z) as vert from v join cells c on c.cx = wx and c.cy = wy)
 select path, round(min(lat), 4) as min_lat, cast(count(distinct case when vert < 152.4 then icao24 end) as bigint) as n_aircraft from d where lat <= 500 group by path""")
 def proximity_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Paths share positions, so each position looks around itself once, and paths gather what theirs found.
+    w = waypoints(spark, sf_dir).select("path", "x", "y", "z")
     o = obs(spark, sf_dir).select("icao24", *(F.col(c).alias(f"o{c}") for c in "xyz"))
     near = F.sqrt(F.pow(F.col("x") - F.col("ox"), 2) + F.pow(F.col("y") - F.col("oy"), 2))
-    hit = J.box_join(waypoints(spark, sf_dir), o, {("x", "ox"): 500, ("y", "oy"): 500}, near <= 500)
-    low = F.abs(F.col("z") - F.col("oz")) < 152.4
-    return hit.groupBy("path").agg(F.round(F.min(near), 4).alias("min_lat"), F.count_distinct(F.when(low, F.col("icao24"))).alias("n_aircraft"))
+    places = w.select("x", "y", "z").distinct()
+    lat = J.nearest_within(places.select("x", "y").distinct(), o.select("ox", "oy"), [("x", "ox"), ("y", "oy")], near, ["x", "y"], 500.0)
+    low = J.box_join(places, o, {("x", "ox"): 500, ("y", "oy"): 500, ("z", "oz"): 152.4}, (near <= 500) & (F.abs(F.col("z") - F.col("oz")) < 152.4))
+    aircraft = low.groupBy("x", "y", "z").agg(F.collect_set("icao24").alias("aircraft"))
+    found = w.distinct().join(lat, ["x", "y"]).join(aircraft, ["x", "y", "z"], "left").groupBy("path").agg(F.min("distance").alias("lat"), F.collect_list("aircraft").alias("aircraft"))
+    return found.select("path", F.round("lat", 4).alias("min_lat"), F.size(F.array_distinct(F.flatten("aircraft"))).cast("long").alias("n_aircraft"))
 
 
 @query(f"""with {WAYPOINTS}, {ENDS}, p as (select w.*, (w.x - e.x0) * -ux + (w.y - e.y0) * -uy as along, abs((w.y - e.y0) * -ux - (w.x - e.x0) * -uy) as across, end_id from waypoints w, ends e),
@@ -163,7 +191,7 @@ select path, round(sum(sec), 4) as seconds from s group by path""")
 def cone_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql.window import Window
 
-    pairs = waypoints(spark, sf_dir).crossJoin(F.broadcast(ends(spark, sf_dir)))
+    pairs = waypoints(spark, sf_dir).crossJoin(J.configured(ends(spark, sf_dir)))
     along, across = X.along_across(F.col("x"), F.col("y"), F.col("x0"), F.col("y0"), -F.col("ux"), -F.col("uy"))
     w = Window.partitionBy("path", "end_id").orderBy(*PATH_ORDER)
     inside = along.between(0, 5000) & (F.abs(across) <= 150 + 0.15 * along)
@@ -253,9 +281,9 @@ def voxel_closure_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Closures are worked out once for each end and use, then joined to the slices that have it.
     grid = spark.range(SHAPE[0] * SHAPE[1] * SHAPE[2]).select((F.col("id") % 20).alias("ix"), (F.floor(F.col("id") / 20) % 20).alias("iy"), F.floor(F.col("id") / 400).alias("iz"))
     grid = grid.withColumns({"x": F.col("ix") * 1000.0 - 9500, "y": F.col("iy") * 1000.0 - 9500, "z": F.col("iz") * 150.0 + 75})
-    uses = active.select("pos", "landing").distinct().join(F.broadcast(ends(spark, sf_dir)), "pos")
+    uses = active.select("pos", "landing").distinct().join(J.configured(ends(spark, sf_dir)), "pos")
     along, across = X.along_across(F.col("x"), F.col("y"), F.col("x0"), F.col("y0"), F.col("ux"), F.col("uy"))
-    shut = grid.crossJoin(F.broadcast(uses)).where(V.closed(along, across, F.col("z"), F.col("landing"), F.col("length"), F.lit(False))).select("pos", "landing", *V.KEY)
+    shut = grid.crossJoin(J.configured(uses)).where(V.closed(along, across, F.col("z"), F.col("landing"), F.col("length"), F.lit(False))).select("pos", "landing", *V.KEY)
     w = waypoints(spark, sf_dir).select("path", *(V.index(c, a, s).alias(i) for c, a, s, i in zip("xyz", LOW, STEP, V.KEY, strict=True))).distinct()
     hit = w.join(shut, V.KEY).select("path", "pos", "landing").distinct().join(active, ["pos", "landing"]).groupBy("path").agg(F.count_distinct("slice").alias("n"))
     slices = active.agg(F.count_distinct("slice").alias("slices"))
@@ -267,7 +295,7 @@ def voxel_closure_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 s as (select *, sign(across) as sg from a where abs(along) <= 9260), c as (select path, abs(sg - lag(sg) over (partition by path order by k1, k2, k3)) >= 1 as hit from s)
 select path, cast(coalesce(sum(hit::int), 0) as bigint) as crossings from c group by path""")
 def crossings_sign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = waypoints(spark, sf_dir).withColumn("pos", (F.col("path") % 5).cast("int")).join(F.broadcast(ends(spark, sf_dir)), "pos")
+    w = waypoints(spark, sf_dir).withColumn("pos", (F.col("path") % 5).cast("int")).join(J.configured(ends(spark, sf_dir)), "pos")
     along, across = X.along_across(F.col("x"), F.col("y"), F.col("x0"), F.col("y0"), F.col("ux"), F.col("uy"))
     return W.axis_crossings(w.withColumns({"along": along, "across": across}), ["path"], PATH_ORDER, "along", "across", 9260)
 

@@ -55,21 +55,25 @@ def dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.first_rows(e, ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "ts", "event_id", "value")
 
 
+def grounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return obs(spark, sf_dir).withColumn("on_ground", F.col("event_id") % 13 == 0)
+
+
 SUMMARY = f"""{OBS}, tracks as (select icao24, count(*) as n_points, min(t) as t_start, max(t) as t_end, min(sqrt(x * x + y * y)) as min_dist_m, min(z) as min_z,
-  arg_min({{'x': x, 'y': y, 'z': z, 's': speed}}, t) as a, arg_max({{'x': x, 'y': y, 'z': z, 's': speed}}, t) as b from obs group by icao24 having count(*) >= 4),
-named as (select *, case when b.z <= 50 and sqrt(b.x * b.x + b.y * b.y) < 25000 and b.z - a.z < -150 and min_dist_m < 25000 then 'arrival'
-  when a.z <= 50 and sqrt(a.x * a.x + a.y * a.y) < 25000 and b.z - a.z > 150 and coalesce(a.s, 70) >= 40 then 'departure' when min_z > 1500 then 'overflight'
+  arg_min({{'x': x, 'y': y, 'z': z, 's': speed, 'g': event_id % 13 = 0}}, t) as a, arg_max({{'x': x, 'y': y, 'z': z, 's': speed, 'g': event_id % 13 = 0}}, t) as b from obs group by icao24 having count(*) >= 4),
+named as (select *, case when (b.z < 50 or b.g) and sqrt(b.x * b.x + b.y * b.y) < 25000 and b.z - a.z < -150 and min_dist_m < 25000 then 'arrival'
+  when (a.z < 50 or a.g) and sqrt(a.x * a.x + a.y * a.y) < 25000 and b.z - a.z > 150 and coalesce(a.s, 70) >= 40 then 'departure' when min_z > 1500 then 'overflight'
   when sqrt(b.x * b.x + b.y * b.y) < 25000 and b.z - a.z < -150 and coalesce(b.s, 70) between 30 and 120 then 'arrival' else 'unknown' end as category from tracks)"""
 
 
 @query(f"with {SUMMARY} select icao24, n_points, t_start, t_end, round(min_dist_m, 4) as min_dist_m, category from named")
 def track_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.track_summary(obs(spark, sf_dir), "icao24", "t").select("icao24", "n_points", "t_start", "t_end", F.round("min_dist_m", 4).alias("min_dist_m"), A.movement().alias("category"))
+    return A.track_summary(grounded(spark, sf_dir), "icao24", "t").select("icao24", "n_points", "t_start", "t_end", F.round("min_dist_m", 4).alias("min_dist_m"), A.movement().alias("category"))
 
 
 @query(f"with {SUMMARY} select category, count(*) as n_tracks, round(avg(n_points), 4) as mean_points from named group by category")
 def movement_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tracks = A.track_summary(obs(spark, sf_dir), "icao24", "t").withColumn("category", A.movement())
+    tracks = A.track_summary(grounded(spark, sf_dir), "icao24", "t").withColumn("category", A.movement())
     return tracks.groupBy("category").agg(F.count("*").alias("n_tracks"), F.round(F.avg("n_points"), 4).alias("mean_points"))
 
 
@@ -134,7 +138,7 @@ def interval_margin_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
 s as (select event_id, pos, end_id, abs(across) + 0.3 * (greatest(0, -along) + greatest(0, along - 1.2 * length)) + 50 * abs(d) as score from m where abs(d) <= 15 and abs(across) <= 2000)
 select event_id, arg_min(end_id, (score, pos)) as end_id, round(min(score), 4) as score from s group by event_id""".replace("with obs", f"with {ENDS}, obs"))
 def theta_best_runway(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runways = F.broadcast(ends(spark, sf_dir))  # at most a few hundred ends, from configuration
+    runways = J.configured(ends(spark, sf_dir))  # at most a few hundred ends, from configuration
     pairs = obs(spark, sf_dir).crossJoin(runways)
     along, across = X.along_across(F.col("x"), F.col("y"), F.col("x0"), F.col("y0"), F.col("ux"), F.col("uy"))
     d = X.turn(((F.col("event_id") * 53) % 360).cast("double"), F.col("bearing"))
@@ -147,7 +151,7 @@ def theta_best_runway(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {WX}, {ENDS}, d as (select event_id, t // {SLICE * 96} as day, min(abs((bearing - wind_dir + 180) - 360 * floor((bearing - wind_dir + 180) / 360) - 180)) as off from wx, ends where pos <> event_id % 5 group by all)
 select day, count(*) as n_reports, cast(count_if(off <= 60) as bigint) as n_match, round(avg(case when off <= 60 then 1.0 else 0.0 end), 6) as match_rate from d group by day""")
 def wind_match_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = wx(spark, sf_dir).crossJoin(F.broadcast(ends(spark, sf_dir))).where(F.col("pos") != F.col("event_id") % 5)
+    pairs = wx(spark, sf_dir).crossJoin(J.configured(ends(spark, sf_dir))).where(F.col("pos") != F.col("event_id") % 5)
     off = F.abs(X.turn(F.col("bearing"), F.col("wind_dir").cast("double")))
     near = pairs.groupBy("event_id", F.floor(F.col("t") / (SLICE * 96)).cast("long").alias("day")).agg(F.min(off).alias("off"))
     return near.groupBy("day").agg(F.count("*").alias("n_reports"), F.count_if(F.col("off") <= 60).alias("n_match"), F.round(F.avg((F.col("off") <= 60).cast("double")), 6).alias("match_rate"))

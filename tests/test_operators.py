@@ -86,7 +86,7 @@ def test_weather_fields_and_rules(spark):
 
 def test_prisms_enclose_what_they_should(spark):
     ends = spark.createDataFrame([("09", 0.0, 0.0, 1.0, 0.0, 3000.0)], "end_id string, x0 double, y0 double, ux double, uy double, length double")
-    prisms = S.prisms_of(ends)
+    prisms = S.prisms_of(ends, airport=False)
     points = spark.createDataFrame([(0, -1060.0, 0.0, 10.0), (1, -1060.0, 0.0, 30.0), (2, -1060.0, 400.0, 5.0), (3, 4060.0, 0.0, 10.0), (4, 1500.0, 300.0, 10.0), (5, 1500.0, -300.0, 10.0), (6, 1500.0, 0.0, 0.0)], "id long, x double, y double, z double")
     got = {r["id"]: r for r in S.near_prisms(points, prisms, ["id"]).collect()}
     assert [got[k]["n_inside"] > 0 for k in range(7)] == [True, False, False, True, True, True, True]
@@ -94,6 +94,11 @@ def test_prisms_enclose_what_they_should(spark):
     subset = S.active_prisms(prisms, [], None)
     less = {r["id"]: r["sd"] for r in S.near_prisms(points, subset, ["id"]).collect()}
     assert all(less[k] >= got[k]["sd"] - 1e-9 for k in less)
+    around = spark.createDataFrame(S.round_prisms(), S.PRISM)
+    away = {(r["surface"], r["id"]): r["sd"] for r in S.prism_distances(spark.createDataFrame([(0, 0.0, 0.0, 40.0), (1, 3900.0, 0.0, 0.0), (2, 5000.0, 0.0, 95.0), (3, 0.0, 6003.0, 149.0)], "id long, x double, y double, z double"), around, ["id"]).collect()}
+    assert away["inner_horizontal", 0] == -5.0 and away["inner_horizontal", 1] == 0.0 and away["inner_horizontal", 2] == pytest.approx(math.hypot(1000, 50))
+    assert away["conical", 2] == pytest.approx(0.0) and away["conical", 1] == 100.0 and away["conical", 3] == pytest.approx(3.0)
+    assert {r["surface"] for r in S.prisms_of(ends).collect()} == {"approach", "takeoff", "transitional", "strip", "resa", "ofz_inner_approach", "ofz_inner_transitional", "inner_horizontal", "conical"}
     ring = [r["ring"] for r in prisms.collect()]
     assert all(sum(a["x"] * b["y"] - b["x"] * a["y"] for a, b in zip(r, r[1:] + r[:1], strict=True)) > 0 for r in ring)
 
