@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+import math
+
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -11,12 +13,18 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import clip, uniform
 from .aggs import conformal_level, higher_quantile, ranking_metrics
+from .joins import configured
 
 TRIES = 20
 CAUSES = ("adsb_near", "axis_cross", "approach_prism", "departure_prism", "missed_approach", "sdf_buffer")
 
 
-def sample_segments(slices: DataFrame, n: int, half_m: float, low_m: float, high_m: float, least_m: float = 200.0, climb_deg: float = 12.0) -> DataFrame:
+def angle_limits(climb_ms: float = 30.0, climb_limit: float = 7.0, descent_ms: float = 25.0, descent_limit: float = 5.0) -> tuple[float, float]:
+    """Steepest climb and descent in degrees, by vertical limits and the speeds flown in them."""
+    return tuple(math.degrees(math.asin(min(1.0, limit / max(speed, 1.0)))) for limit, speed in ((climb_limit, climb_ms), (descent_limit, descent_ms)))
+
+
+def sample_segments(slices: DataFrame, n: int, half_m: float, low_m: float, high_m: float, least_m: float = 200.0, climb_deg: float = angle_limits()[0], descent_deg: float = angle_limits()[1]) -> DataFrame:
     """n flight segments over slices (slice_no from 0): the first feasible of TRIES draws each, by hashed draws, so no partitioning changes them."""
     spark = slices.sparkSession
     total = slices.count()
@@ -24,8 +32,8 @@ def sample_segments(slices: DataFrame, n: int, half_m: float, low_m: float, high
     place = {c: (uniform("seg_no", "try_no", salt=k) * 2 - 1) * half_m if c[0] != "z" else low_m + uniform("seg_no", "try_no", salt=k) * (high_m - low_m) for k, c in enumerate(("x0", "y0", "z0", "x1", "y1", "z1"))}
     draws = draws.withColumns(place)
     flat = F.sqrt(F.pow(F.col("x1") - F.col("x0"), 2) + F.pow(F.col("y1") - F.col("y0"), 2))
-    angle = F.degrees(F.atan2(F.abs(F.col("z1") - F.col("z0")), flat))
-    fit = draws.where((flat >= least_m) & (angle <= climb_deg))
+    angle = F.degrees(F.atan2(F.col("z1") - F.col("z0"), flat))
+    fit = draws.where((flat >= least_m) & angle.between(-descent_deg, climb_deg))
     chosen = fit.groupBy("seg_no").agg(F.min_by(F.struct(*place), "try_no").alias("s")).select("seg_no", "s.*")
     return chosen.withColumn("slice_no", F.floor(uniform("seg_no", salt=99) * total).cast("long")).join(slices, "slice_no")
 
@@ -62,6 +70,30 @@ def score(model, df: DataFrame) -> DataFrame:
     return model.transform(ready.withColumn("weight", F.lit(1.0))).withColumn("p", vector_to_array("probability")[1])
 
 
+def save(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def logistic(df: DataFrame, weights: dict[str, float], bias: float = 0.0) -> DataFrame:
+    """df with p by a logistic model of given weights."""
+    logit = sum((F.col(c) * w for c, w in weights.items()), F.lit(bias))
+    return df.withColumn("p", 1 / (1 + F.exp(-logit)))
+
+
+def hourly_slices(spark, first_hour: int, hours: int) -> DataFrame:
+    """(hour) of that many hours from the first, counted from 1970."""
+    return spark.range(first_hour, first_hour + hours).withColumnRenamed("id", "hour")
+
+
+def score_grid(model: PipelineModel, slices: DataFrame, voxels: DataFrame) -> DataFrame:
+    """p of every voxel in every slice; slices are few, voxels meet them where they are."""
+    return score(model, voxels.crossJoin(configured(slices, 10_000)))
+
+
 def calibrated(train_scored: DataFrame, test_scored: DataFrame, label: str, alpha: float = 0.1) -> DataFrame:
     """Test rows with a conformal interval (low, high) and whether it covers the label."""
     q = higher_quantile(train_scored.select(F.abs(F.col("p") - F.col(label)).alias("s")), "s", conformal_level(alpha)).select("quantile")

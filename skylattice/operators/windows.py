@@ -74,6 +74,13 @@ def arc_length(points: DataFrame, key: list[str], order: list[str], *axes: str)
     return stepped.withColumn("arc", F.sum("step").over(w.rowsBetween(*RUNNING)))
 
 
+def strided(points: DataFrame, key: list[str], order: list[str], keep: int) -> DataFrame:
+    """Every k-th point of each polyline, counted from 0 as at, with k such that about `keep` of them stay."""
+    at = F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1
+    stride = F.greatest(F.lit(1).cast("long"), F.expr(f"n div {keep}"))
+    return points.withColumns({"at": at, "n": F.count("*").over(Window.partitionBy(*key))}).where(F.col("at") % stride == 0).drop("n")
+
+
 def axis_crossings(points: DataFrame, key: list[str], order: list[str], along: str, across: str, reach: float) -> DataFrame:
     """How often each path changes side of an axis within reach of its origin; a touch of zero counts twice."""
     w = Window.partitionBy(*key).orderBy(*order)

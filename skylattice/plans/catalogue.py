@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import kpis, models, spatial, tracks
+from . import airspace, kpis, models, spatial, tracks
 
-QUERIES = tracks.QUERIES | spatial.QUERIES | kpis.QUERIES | models.QUERIES
-ORACLES = tracks.ORACLES | spatial.ORACLES | kpis.ORACLES | models.ORACLES
+QUERIES = tracks.QUERIES | spatial.QUERIES | kpis.QUERIES | airspace.QUERIES | models.QUERIES
+ORACLES = tracks.ORACLES | spatial.ORACLES | kpis.ORACLES | airspace.ORACLES | models.ORACLES

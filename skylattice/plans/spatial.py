@@ -137,6 +137,15 @@ SEGMENTS = f"""segments as (select o_orderkey as seg_id, ({EPOCH} + o_orderkey *
   o_orderkey * 31 % 900 as z0, o_orderkey * 37 % 900 as z1 from orders)"""
 
 
+def traffic_of(spark: SparkSession, sf_dir: str, seg: DataFrame) -> DataFrame:
+    """(seg_id, min_lat, min_vert, near): least distances of segments from the traffic of their time, and whether some comes near in both at once."""
+    hit = J.interval_join(obs(spark, sf_dir), "t", seg.select("seg_id", "t0", "t1", *(f"{c}{k}" for c in "xyz" for k in (0, 1))), F.col("t0"), F.col("t1") + 1, SLICE)
+    f = (F.col("t") - F.col("t0")) / (F.col("t1") - F.col("t0")).cast("double")
+    off = {c: F.col(c) - F.col(f"{c}0") - f * (F.col(f"{c}1") - F.col(f"{c}0")) for c in "xyz"}
+    d = hit.select("seg_id", F.sqrt(F.pow(off["x"], 2) + F.pow(off["y"], 2)).alias("lat"), F.abs(off["z"]).alias("vert"))
+    return d.groupBy("seg_id").agg(F.round(F.min("lat"), 4).alias("min_lat"), F.round(F.min("vert"), 4).alias("min_vert"), F.bool_or((F.col("lat") < 2778) & (F.col("vert") < 304.8)).alias("near"))
+
+
 @query(f"""with {OBS}, {SEGMENTS}, b as (select *, unnest(range(t0 // {SLICE}, t1 // {SLICE} + 1)) as bucket from segments), o as (select *, t // {SLICE} as ob from obs),
 hit as (select seg_id, (o.t - t0) / (t1 - t0)::double as f, o.x, o.y, o.z, x0, x1, y0, y1, z0, z1 from b join o on ob = bucket and o.t >= t0 and o.t <= t1),
 d as (select seg_id, sqrt(pow(x - x0 - f * (x1 - x0), 2) + pow(y - y0 - f * (y1 - y0), 2)) as lat, abs(z - z0 - f * (z1 - z0)) as vert from hit),
@@ -144,11 +153,7 @@ m as (select seg_id, round(min(lat), 4) as min_lat, round(min(vert), 4) as min_v
 select s.seg_id, coalesce(min_lat, -1) as min_lat, coalesce(min_vert, -1) as min_vert, coalesce(near, false) as near from segments s left join m on m.seg_id = s.seg_id""")
 def moving_segment_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = segments(spark, sf_dir)
-    hit = J.interval_join(obs(spark, sf_dir), "t", seg, F.col("t0"), F.col("t1") + 1, SLICE)
-    f = (F.col("t") - F.col("t0")) / (F.col("t1") - F.col("t0")).cast("double")
-    off = {c: F.col(c) - F.col(f"{c}0") - f * (F.col(f"{c}1") - F.col(f"{c}0")) for c in "xyz"}
-    d = hit.select("seg_id", F.sqrt(F.pow(off["x"], 2) + F.pow(off["y"], 2)).alias("lat"), F.abs(off["z"]).alias("vert"))
-    m = d.groupBy("seg_id").agg(F.round(F.min("lat"), 4).alias("min_lat"), F.round(F.min("vert"), 4).alias("min_vert"), F.bool_or((F.col("lat") < 2778) & (F.col("vert") < 304.8)).alias("near"))
+    m = traffic_of(spark, sf_dir, seg)
     none = {"min_lat": -1.0, "min_vert": -1.0, "near": False}
     return seg.select("seg_id").join(m, "seg_id", "left").select("seg_id", *(F.coalesce(c, F.lit(v)).alias(c) for c, v in none.items()))
 

@@ -204,3 +204,178 @@ def buildings(lines: DataFrame, value: str) -> DataFrame:
     lon = F.aggregate(ring, F.lit(0.0), lambda s, p: s + p["lon"]) / F.size(ring)
     closed = F.get(ring, F.lit(0)) == F.element_at(ring, -1)
     return ways.select("id", lat.alias("lat"), lon.alias("lon"), F.abs(area).alias("area_deg2"), height.alias("height_m"), closed.alias("closed"), F.try_element_at("tags", F.lit("building")).alias("building"))
+
+
+SNAPSHOT = "time double, states array<array<string>>"
+# Places of the fields in a state of a snapshot.
+SNAPSHOT_PLACES = {"icao24": 0, "callsign": 1, "lon_wgs": 5, "lat_wgs": 6, "baro_alt_m": 7, "on_ground": 8, "velocity_ms": 9, "track_deg": 10, "vert_rate_ms": 11, "geo_alt_m": 13}
+
+
+def snapshot_lines(lines: DataFrame, value: str) -> DataFrame:
+    """States of snapshot documents, whose states are arrays by place; numbers that do not parse are null, documents without states give no rows."""
+    others = [c for c in lines.columns if c != value]
+    doc = lines.select(*others, F.from_json(value, SNAPSHOT).alias("d")).select(*others, F.timestamp_seconds("d.time").alias("time_utc"), F.explode("d.states").alias("s"))
+
+    def at(name: str) -> Column:
+        text = F.trim(F.get("s", F.lit(SNAPSHOT_PLACES[name])))
+        return text if name in ("icao24", "callsign") else F.coalesce(text.try_cast("boolean"), F.lit(False)) if name == "on_ground" else text.try_cast("double")
+
+    return doc.select(*others, "time_utc", *(at(n).alias(n) for n in SNAPSHOT_PLACES))
+
+
+def enriched(states: DataFrame, elevation_m: float, origin: tuple[float, float] | None = None) -> DataFrame:
+    """states with z_msl_m (satellite height, else pressure height) and z_agl_m above the field, and x_m, y_m around an origin
+    (lat, lon) if one is given; states without a position are left out."""
+    placed = states.where("lon_wgs is not null and lat_wgs is not null").withColumn("z_msl_m", F.coalesce("geo_alt_m", "baro_alt_m"))
+    placed = placed.withColumn("z_agl_m", F.col("z_msl_m") - elevation_m)
+    if origin is None:
+        return placed
+    x, y = X.to_local(F.col("lat_wgs"), F.col("lon_wgs"), *origin)
+    return placed.withColumns({"x_m": x, "y_m": y})
+
+
+LINES = "features array<struct<geometry:struct<type:string,coordinates:array<array<double>>>>>"
+
+
+def line_strings(lines: DataFrame, value: str, key: str) -> DataFrame:
+    """(key, at, lon, lat, z) of the first feature of each document, if it is a line string of points with heights."""
+    line = F.get(F.from_json(value, LINES)["features"], F.lit(0))["geometry"]
+    points = lines.select(key, line.alias("g")).where("g.type = 'LineString'").select(key, F.posexplode("g.coordinates").alias("at", "p")).where("size(p) >= 3")
+    return points.select(key, "at", *(F.get("p", F.lit(k)).alias(n) for k, n in enumerate(("lon", "lat", "z"))))
+
+
+# Trips of a peak hour by direction and mode.
+PEAK_TRIPS = """
+08-09 in private_vehicle 3200
+08-09 in shuttle 1100
+08-09 in taxi 310
+08-09 in rideshare 980
+08-09 in transit 150
+08-09 in employee_bus 520
+08-09 out private_vehicle 2900
+08-09 out shuttle 1050
+08-09 out taxi 290
+08-09 out rideshare 930
+08-09 out transit 140
+08-09 out employee_bus 490
+11-12 in private_vehicle 3500
+11-12 in shuttle 1250
+11-12 in taxi 340
+11-12 in rideshare 1110
+11-12 in transit 175
+11-12 in employee_bus 400
+11-12 out private_vehicle 3380
+11-12 out shuttle 1200
+11-12 out taxi 325
+11-12 out rideshare 1080
+11-12 out transit 170
+11-12 out employee_bus 380
+17-18 in private_vehicle 3700
+17-18 in shuttle 1320
+17-18 in taxi 370
+17-18 in rideshare 1180
+17-18 in transit 185
+17-18 in employee_bus 450
+17-18 out private_vehicle 3600
+17-18 out shuttle 1290
+17-18 out taxi 360
+17-18 out rideshare 1140
+17-18 out transit 180
+17-18 out employee_bus 435
+"""
+
+
+def peak_trips(spark: SparkSession, airport: str, year: int) -> DataFrame:
+    """(year, airport, peak_hour, direction, mode, trips) of the report of peak hours."""
+    rows = [(year, airport, *words[:3], int(words[3])) for words in map(str.split, PEAK_TRIPS.split("\n")) if words]
+    return spark.createDataFrame(rows, "year int, airport string, peak_hour string, direction string, mode string, trips int")
+
+
+def peak_shares() -> dict[int, float]:
+    """Of all trips, the share of those that come in in each peak hour."""
+    rows = [words for words in map(str.split, PEAK_TRIPS.split("\n")) if words]
+    total, inward = sum(int(w[3]) for w in rows), {}
+    for hour, direction, _, trips in rows:
+        if direction == "in":
+            inward[int(hour[:2])] = inward.get(int(hour[:2]), 0) + int(trips)
+    return {h: n / total for h, n in inward.items()}
+
+
+RUNWAY = "id string, thr_lat double, thr_lon double, end_lat double, end_lon double, thr_elev_m double, end_elev_m double, width_m double, bearing_deg double, code_letter string, code_number int, precision boolean"
+RUNWAY_DEFAULTS = {"thr_elev_m": 0.0, "end_elev_m": 0.0, "code_letter": "F", "code_number": 4, "precision": True}
+
+
+def runway_frame(spark: SparkSession, configuration: list[dict], lat0: float, lon0: float) -> DataFrame:
+    """Runways of a configuration with the frame of each around (lat0, lon0): threshold (x0, y0), unit axis (ux, uy), left-hand
+    normal (px, py) and length. One shorter than a metre is an error."""
+    names = [f.split()[0] for f in RUNWAY.split(", ")]
+    rows = spark.createDataFrame([tuple((RUNWAY_DEFAULTS | r).get(n) for n in names) for r in configuration], RUNWAY)
+    (x0, y0), (x1, y1) = (X.to_local(F.col(f"{k}_lat"), F.col(f"{k}_lon"), lat0, lon0) for k in ("thr", "end"))
+    placed = rows.withColumns({"x0": x0, "y0": y0, "x1": x1, "y1": y1}).withColumn("length", F.sqrt(F.pow(F.col("x1") - F.col("x0"), 2) + F.pow(F.col("y1") - F.col("y0"), 2)))
+    placed = placed.withColumn("length", F.when(F.col("length") >= 1, F.col("length")).otherwise(F.raise_error(F.concat(F.lit("degenerate runway "), F.col("id")))))
+    ux, uy = (F.col("x1") - F.col("x0")) / F.col("length"), (F.col("y1") - F.col("y0")) / F.col("length")
+    return placed.withColumns({"ux": ux, "uy": uy, "px": -uy, "py": ux})
+
+
+def vertiport_anchor(lat: Column, lon: Column, elevation_ft: Column, lat0: float, lon0: float, clearance_m: float = 30.0) -> tuple[Column, Column, Column]:
+    """Where corridors of a vertiport begin: its place, at its height and a hover above."""
+    x, y = X.to_local(lat, lon, lat0, lon0)
+    return x, y, F.coalesce(elevation_ft, F.lit(0.0)) * X.FT_M + clearance_m
+
+
+def runway_configs(df: DataFrame) -> DataFrame:
+    """Runway use by slice of any of the three layouts: time_utc or slice_start; active_* or *_active or active_runways, as
+    lists, comma lists or semicolon lists; config_id or config, else the two lists joined by a bar."""
+    if not {"time_utc", "slice_start"} & set(df.columns):
+        raise ValueError("runway use has neither time_utc nor slice_start")
+
+    def joined(*names: str) -> Column | None:
+        name = next((n for n in names if n in df.columns), None)
+        if name is None:
+            return None
+        if df.schema[name].dataType.typeName() == "array":
+            return F.array_join(F.filter(F.coalesce(name, F.array().cast("array<string>")), lambda v: v != ""), ";")
+        parts = F.filter(F.transform(F.split(F.coalesce(name, F.lit("")), "[,;]"), lambda v: F.trim(v)), lambda v: v != "")
+        return F.array_join(parts, ";")
+
+    arrivals = joined("active_arrivals", "arrivals_active", "active_runways")
+    arrivals = F.lit("") if arrivals is None else arrivals
+    departures = joined("active_departures", "departures_active", "active_runways")
+    departures = arrivals if departures is None else departures
+    time = F.to_timestamp(F.col("time_utc" if "time_utc" in df.columns else "slice_start"))
+    label = next((F.col(n).cast("string") for n in ("config_id", "config") if n in df.columns), F.concat(arrivals, F.lit("|"), departures))
+    rest = [c for c in df.columns if c not in ("time_utc", "active_arrivals", "active_departures", "config_id")]
+    return df.select(time.alias("time_utc"), arrivals.alias("active_arrivals"), departures.alias("active_departures"), label.alias("config_id"), *rest)
+
+
+def with_sample_date(df: DataFrame, column: str = "sample_date") -> DataFrame:
+    """The day in the name of the file of each row, where the column is missing or null."""
+    found = F.to_date(F.nullif(F.regexp_extract(F.input_file_name(), r"(\d{4}-\d{2}-\d{2})[^/]*$", 1), F.lit(""))).cast("string")
+    return df.withColumn(column, F.coalesce(F.col(column).cast("string"), found) if column in df.columns else found)
+
+
+GRID_FIELDS = "x_min double, y_min double, z_min double, dx double, dy double, dz double, nx int, ny int, nz int"
+
+
+def voxel_table(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """Voxels of a field below path/voxels, and its grid, the one row of path/grid."""
+    grid = spark.read.schema(GRID_FIELDS).parquet(f"{path}/grid").limit(2).collect()
+    if len(grid) != 1:
+        raise ValueError(f"{path} has {len(grid)} grids")
+    return spark.read.parquet(f"{path}/voxels"), grid[0].asDict()
+
+
+def voxel_slice(spark: SparkSession, path: str, at: int) -> DataFrame:
+    """Voxels of the slice that is nearest to a time; slices are partitions, so only one is read. The earlier wins a tie."""
+    voxels = spark.read.parquet(path)
+    nearest = voxels.select("slice").distinct().orderBy(F.abs(F.col("slice") - at), "slice").limit(1).collect()
+    return voxels.where(F.col("slice") == nearest[0][0]) if nearest else voxels.where("false")
+
+
+def map_shapes(elements: DataFrame) -> DataFrame:
+    """(id, shape, points) of map elements (id, type, lon, lat, line array<struct<lon,lat>>): points, polygons (closed, of four
+    points at least), lines of two points at least; what is neither gives no row."""
+    closed = (F.size("line") >= 4) & (F.get("line", F.lit(0)) == F.element_at("line", -1))
+    shape = F.when(F.col("type") == "node", "point").when((F.col("type") == "way") & closed, "polygon").when((F.col("type") == "way") & (F.size("line") >= 2), "line")
+    points = F.when(F.col("type") == "node", F.array(F.struct("lon", "lat"))).otherwise(F.col("line"))
+    return elements.select("id", shape.alias("shape"), points.alias("points")).where("shape is not null")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -41,3 +41,25 @@ def merge_inventory(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows of new, and those of old that new does not replace."""
     kept = old.join(new.select(F.col(key).alias("__key")).distinct(), old[key] == F.col("__key"), "left_anti")
     return new.unionByName(kept, allowMissingColumns=True)
+
+
+def counted(df: DataFrame, stage: str, **counts: Column) -> tuple[DataFrame, Observation]:
+    """df that counts its rows (and what counts name) as it runs; no job of its own."""
+    seen = Observation(stage)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(n) for n, c in counts.items())), seen
+
+
+def write_summary(path: str, name: str, stages: list[Observation], **more) -> dict:
+    """The counts of finished stages and further facts of a run, as one JSON document on the driver."""
+    summary = {"name": name, **more, "stages": {s._name: s.get for s in stages}}
+    with open(path, "w") as out:
+        json.dump(summary, out, default=str, sort_keys=True)
+    return summary
+
+
+def write_voxels(voxels: DataFrame, grid: dict, path: str) -> None:
+    """A field as voxels and its grid, as voxel_table reads them."""
+    voxels.write.mode("overwrite").parquet(f"{path}/voxels")
+    fields = ("x_min", "y_min", "z_min", "dx", "dy", "dz", "nx", "ny", "nz")
+    kinds = ", ".join(f"{f} {'int' if f[0] == 'n' else 'double'}" for f in fields)
+    voxels.sparkSession.createDataFrame([tuple(grid[f] for f in fields)], kinds).coalesce(1).write.mode("overwrite").parquet(f"{path}/grid")

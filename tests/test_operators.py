@@ -95,7 +95,7 @@ def test_prisms_enclose_what_they_should(spark):
     less = {r["id"]: r["sd"] for r in S.near_prisms(points, subset, ["id"]).collect()}
     assert all(less[k] >= got[k]["sd"] - 1e-9 for k in less)
     around = spark.createDataFrame(S.round_prisms(), S.PRISM)
-    away = {(r["surface"], r["id"]): r["sd"] for r in S.prism_distances(spark.createDataFrame([(0, 0.0, 0.0, 40.0), (1, 3900.0, 0.0, 0.0), (2, 5000.0, 0.0, 95.0), (3, 0.0, 6003.0, 149.0)], "id long, x double, y double, z double"), around, ["id"]).collect()}
+    away = {(r["surface"], r["id"]): r["sd"] for r in S.prism_distances(spark.createDataFrame([(0, 0.0, 0.0, 40.0), (1, 3900.0, 0.0, 0.0), (2, 5000.0, 0.0, 95.0), (3, 0.0, 6003.0, 140.0)], "id long, x double, y double, z double"), around, ["id"]).collect()}
     assert away["inner_horizontal", 0] == -5.0 and away["inner_horizontal", 1] == 0.0 and away["inner_horizontal", 2] == pytest.approx(math.hypot(1000, 50))
     assert away["conical", 2] == pytest.approx(0.0) and away["conical", 1] == 100.0 and away["conical", 3] == pytest.approx(3.0)
     assert {r["surface"] for r in S.prisms_of(ends).collect()} == {"approach", "takeoff", "transitional", "strip", "resa", "ofz_inner_approach", "ofz_inner_transitional", "inner_horizontal", "conical"}
@@ -298,3 +298,86 @@ def test_planned_corridors_climb_over_closed_layers(spark, sf, monkeypatch):
     ends = {k: [(k * a % 20, k * 5 % 12) for a in (7, 13)] for k in got}
     assert any((a[0] < 10) != (b[0] < 10) for a, b in ends.values())
     assert all(got[k] == all(x != 10 or z >= 5 for x, z in e) for k, e in ends.items())
+
+
+def test_forests_perceptrons_and_saved_models(spark, tmp_path):
+    rows = [(float(k % 7), float(k % 5), int(k % 7 > 3)) for k in range(210)]
+    df = spark.createDataFrame(rows, "a double, b double, y int")
+    for kind in ("rf", "mlp"):
+        model = M.train(df, ["a", "b"], "y", kind)
+        p = {(r["a"], r["b"]): r["p"] for r in M.score(model, df).collect()}
+        assert all((p[a, b] > 0.5) == bool(y) for a, b, y in rows), kind
+    M.save(model, str(tmp_path / "model"))
+    again = {(r["a"], r["b"]): r["p"] for r in M.score(M.load(str(tmp_path / "model")), df).collect()}
+    assert again == pytest.approx(p)
+    grid = M.score_grid(model, M.hourly_slices(spark, 10, 3), df.select("a", "b").distinct())
+    assert grid.count() == 3 * 35 and {r["hour"] for r in grid.select("hour").distinct().collect()} == {10, 11, 12}
+
+
+def test_angle_limits_and_draws_keep_them(spark):
+    climb, descent = M.angle_limits()
+    assert climb == pytest.approx(13.4934, abs=1e-3) and descent == pytest.approx(11.5370, abs=1e-3)
+    slices = spark.range(3).withColumnRenamed("id", "slice_no")
+    for r in M.sample_segments(slices, 60, 10_000.0, 0.0, 3000.0).collect():
+        flat = math.hypot(r["x1"] - r["x0"], r["y1"] - r["y0"])
+        angle = math.degrees(math.atan2(r["z1"] - r["z0"], flat))
+        assert flat >= 200 and -descent <= angle <= climb
+
+
+def test_runways_of_a_configuration(spark):
+    rows = [{"id": "09", "thr_lat": 34.0, "thr_lon": -118.0, "end_lat": 34.0, "end_lon": -117.97, "bearing_deg": 90.0}]
+    r = R.runway_frame(spark, rows, 34.0, -118.0).first()
+    assert (r["x0"], r["y0"]) == pytest.approx((0, 0), abs=1e-6) and r["length"] == pytest.approx(2771, rel=2e-3)
+    assert (r["ux"], r["uy"], r["px"], r["py"]) == pytest.approx((1, 0, 0, 1), abs=1e-3) and r["code_letter"] == "F"
+    with pytest.raises(Exception, match="degenerate runway"):
+        R.runway_frame(spark, [rows[0] | {"end_lon": -118.0}], 34.0, -118.0).collect()
+    x, y, z = spark.range(1).select(*R.vertiport_anchor(F.lit(34.0), F.lit(-118.0), F.lit(100.0), 34.0, -118.0)).first()
+    assert (x, y, z) == pytest.approx((0, 0, 60.48), abs=1e-6)
+
+
+def test_three_layouts_of_runway_use_agree(spark):
+    when = "2024-01-01 00:00:00"
+    a = spark.createDataFrame([(when, "09;27", "09", "x")], "time_utc string, active_arrivals string, active_departures string, config_id string")
+    b = spark.createDataFrame([(when, ["09", "27"], ["09"])], "slice_start string, arrivals_active array<string>, departures_active array<string>")
+    c = spark.createDataFrame([(when, "09, 27", 7)], "time_utc string, active_runways string, config int")
+    got = [R.runway_configs(x).first() for x in (a, b, c)]
+    assert [r["active_arrivals"] for r in got] == ["09;27"] * 3 and [r["active_departures"] for r in got] == ["09", "09", "09;27"]
+    assert [r["config_id"] for r in got] == ["x", "09;27|09", "7"]
+    with pytest.raises(ValueError, match="neither"):
+        R.runway_configs(spark.createDataFrame([("a",)], "active_runways string"))
+
+
+def test_fields_slices_days_and_summaries(spark, tmp_path):
+    grid = {"x_min": -1.0, "y_min": -2.0, "z_min": 0.0, "dx": 1.0, "dy": 1.0, "dz": 0.5, "nx": 2, "ny": 4, "nz": 3}
+    K.write_voxels(spark.createDataFrame([(0, 1, 2, 5.0)], "ix long, iy long, iz long, sd double"), grid, str(tmp_path / "field"))
+    voxels, meta = R.voxel_table(spark, str(tmp_path / "field"))
+    assert meta == grid and voxels.count() == 1
+    spark.range(6).selectExpr("id", "id % 3 * 10 as slice").write.partitionBy("slice").parquet(str(tmp_path / "slices"))
+    assert {r["slice"] for r in R.voxel_slice(spark, str(tmp_path / "slices"), 14).collect()} == {10}
+    assert {r["slice"] for r in R.voxel_slice(spark, str(tmp_path / "slices"), 15).collect()} == {10}
+    spark.range(2).write.parquet(str(tmp_path / "day" / "seg_2024-01-05.parquet"))
+    named = spark.read.parquet(str(tmp_path / "day" / "seg_2024-01-05.parquet"))
+    assert "sample_date" in R.with_sample_date(named).columns
+    df, seen = K.counted(spark.range(10), "read", even=F.count_if(F.col("id") % 2 == 0))
+    assert df.where("id > 4").count() == 5
+    summary = K.write_summary(str(tmp_path / "run.json"), "run", [seen], day="2024-01-05")
+    assert summary["stages"]["read"] == {"rows": 10, "even": 5} and json.loads((tmp_path / "run.json").read_text()) == summary
+
+
+def test_map_shapes_and_peak_trips(spark):
+    kind = "id long, type string, lon double, lat double, line array<struct<lon:double,lat:double>>"
+    square = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)]
+    rows = [(1, "node", 1.0, 2.0, None), (2, "way", None, None, square), (3, "way", None, None, square[:3]), (4, "way", None, None, square[:1]), (5, "relation", None, None, square)]
+    assert {(r["id"], r["shape"]) for r in R.map_shapes(spark.createDataFrame(rows, kind)).collect()} == {(1, "point"), (2, "polygon"), (3, "line")}
+    trips = R.peak_trips(spark, "LAX", 2024)
+    total = trips.agg(F.sum("trips")).first()[0]
+    shares = {int(r["peak_hour"][:2]): r["n"] / total for r in trips.where("direction = 'in'").groupBy("peak_hour").agg(F.sum("trips").alias("n")).collect()}
+    assert trips.count() == 36 and shares == pytest.approx(R.peak_shares())
+
+
+def test_snapshots_keep_what_they_can(spark):
+    state = ["abc ", "CALL", "US", "1", "1", "-118.4", "33.9", "100", "true", "5", "90", "0", None, None, "7000"]
+    rows = [(json.dumps({"time": 10, "states": [state, [*state[:5], None, *state[6:]]]}),), (json.dumps({"time": 10, "states": None}),), ("no json",)]
+    got = R.enriched(R.snapshot_lines(spark.createDataFrame(rows, "value string"), "value"), 38.0, (33.9, -118.4)).collect()
+    assert len(got) == 1 and (got[0]["icao24"], got[0]["z_msl_m"], got[0]["z_agl_m"], got[0]["on_ground"]) == ("abc", 100.0, 62.0, True)
+    assert (got[0]["x_m"], got[0]["y_m"]) == pytest.approx((0, 0), abs=1e-6)
