@@ -2,8 +2,10 @@
 
 Words and an end make the tokens; a token's context is the token before it, an end before the
 first, and every context has a restaurant. Seats are sampled: in each sweep the customers of a dish
-leave and are seated again one by one (the first EXACT exactly, the rest by the Poisson count of
-tables that they open), given the tables that all restaurants had after the sweep before. Each
+leave and are seated again one by one, given the tables that all restaurants had after the sweep
+before; after the first EXACT, whose turns are cheap, the customer that opens the next table is
+drawn at once from its exact distribution, which is a ratio of gamma functions, so a frequent pair
+costs as many draws as it gets tables. Each
 table of a context is a customer of the unigram restaurant, whose parent is uniform over the
 vocabulary and one unknown word. The probability of a token is the mean over SAMPLES seatings of
 the predictive probability, which sums to one over known words and the unknown one.
@@ -37,8 +39,6 @@ TOP, SAMPLES, SWEEPS, EXACT = 512, 3, 4, 16
 STRENGTH = 0.5
 #: Layout only: copies of the sums of common words; tokens that a task counts or deals out at once, and pairs that it packs.
 SALTS, DEAL = 8, 1_000_000
-#: Poisson counts of a greater mean have a generator of their own.
-INVERTED = 30.0
 FOLDS = 10
 END = np.uint64(0xE0F_E0F_E0F_E0F)
 #: kind 0: pairs, scores, base scores, known; 1: ids, nulls, held out, tokens of a deal's rows; 2: pairs, runs, rows of a deal's tokens.
@@ -64,7 +64,7 @@ class Tokens:
         self.hash = np.full(len(self.row), END)
         inner = np.ones(len(self.row), bool)
         inner[last] = False
-        self.hash[inner] = low.spans(starts, ends)
+        self.hash[inner] = low.apart(starts, ends)
         self.context = np.concatenate([[END], self.hash[:-1]])  # the end of the row before stands before the first
         self.ids = part.column("doc_id").to_pylist()
         self.held = held_out(self.ids)
@@ -122,21 +122,6 @@ class Hashed:
     def uniform(self, at: np.ndarray, turn: int) -> np.ndarray:
         return (tk.mix(self.seeds[at] + np.uint64(turn + 1) * np.uint64(tk.BASE)) >> np.uint64(11)) / 2.0**53
 
-    def poisson(self, at: np.ndarray, mean: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(at), np.int64)
-        large = np.flatnonzero(mean > INVERTED)
-        out[large] = [np.random.Generator(np.random.PCG64(int(s))).poisson(m) for s, m in zip(self.seeds[at[large]], mean[large], strict=True)]
-        live = np.flatnonzero(mean <= INVERTED)
-        left, chance, k = self.uniform(at[live], EXACT), np.exp(-mean[live]), 0
-        while len(live):
-            left = left - chance
-            more = (left >= 0) & (chance > 1e-300)
-            live, left, chance = live[more], left[more], chance[more]
-            k += 1
-            out[live] = k
-            chance = chance * mean[live] / k
-        return out
-
 
 class Drawn:
     """Random numbers of a generator, in order."""
@@ -147,8 +132,35 @@ class Drawn:
     def uniform(self, at: np.ndarray, turn: int) -> np.ndarray:
         return self.rng.random(len(at))
 
-    def poisson(self, at: np.ndarray, mean: np.ndarray) -> np.ndarray:
-        return self.rng.poisson(mean)
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Logarithm of the gamma function of positive numbers: Stirling's series, eight steps further on."""
+    steps = np.zeros_like(x)
+    for k in range(8):
+        steps += np.log(x + k)
+    y = x + 8
+    series = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7)
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + series - steps
+
+
+def next_opening(seated: np.ndarray, tables: np.ndarray, customers: np.ndarray, opening: np.ndarray, discount: float, u: np.ndarray) -> np.ndarray:
+    """Of dishes with that many seated customers, which one opens the next table; one past the last customer if none does.
+
+    With t tables the customers after the i-th up to the j-th all sit at these with the chance
+    G(j - dt) G(i - dt + a) / (G(i - dt) G(j - dt + a)), G the gamma function and a the opening weight; u meets it."""
+    filled = discount * tables
+    fixed = log_gamma(seated - filled + opening) - log_gamma(seated - filled)
+
+    def all_seated(j: np.ndarray) -> np.ndarray:
+        return fixed + log_gamma(j - filled) - log_gamma(j - filled + opening)
+
+    target = np.log(np.maximum(u, 1e-300))
+    low, high = seated.astype(float), customers + 1.0
+    while (wide := high - low > 1).any():
+        middle = np.floor((low + high) / 2)
+        stays = all_seated(middle) >= target
+        low, high = np.where(wide & stays, middle, low), np.where(wide & ~stays, middle, high)
+    return high.astype(np.int64)
 
 
 def seat(customers: np.ndarray, opening: np.ndarray, discount: float, rng: np.random.Generator | Hashed) -> np.ndarray:
@@ -159,10 +171,13 @@ def seat(customers: np.ndarray, opening: np.ndarray, discount: float, rng: np.ra
         at = np.flatnonzero(customers > i)
         new = opening[at] / (np.maximum(i - discount * tables[at], 1e-9) + opening[at])
         tables[at] += source.uniform(at, i) < new
-    at = np.flatnonzero(customers > EXACT)
-    base = EXACT - discount * tables[at] + opening[at]
-    more = source.poisson(at, opening[at] * np.log((customers[at] - EXACT + base) / base))
-    tables[at] = np.minimum(customers[at], tables[at] + more)
+    live, turn = np.flatnonzero(customers > EXACT), EXACT
+    seated = np.full(len(live), EXACT, np.int64)
+    while len(live):
+        opens = next_opening(seated, tables[live], customers[live], opening[live], discount, source.uniform(live, turn))
+        more = opens <= customers[live]
+        live, seated, turn = live[more], opens[more], turn + 1
+        tables[live] += 1
     return tables
 
 
@@ -322,7 +337,7 @@ def scoring_pairs(t: Totals, before: list[Totals], parent_customers: list, paren
             likely = predictive(n, tables, columns_of(batch, "s"), column(batch, "guests"), columns_of(batch, "c"), columns_of(batch, "h"), t, parent_customers, parent_tables)
             count = column(batch, "word_n")
             base = np.log10((count + 0.1) / (train_tokens + 0.1 * (t.vocabulary + 1)))
-            held.append((key, np.log10(likely).astype(np.float32), base.astype(np.float32), count > 0))
+            held.append((key, np.log10(likely), base, count > 0))
             size += len(key)
             if size > DEAL:
                 yield flush(held)
@@ -375,13 +390,13 @@ def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, at = (np.concatenate(x) for x in zip(*held, strict=True))
         rows, at_row = np.unique(row, return_inverse=True)
         n, base_, score_ = (np.bincount(at_row, weights=x[at], minlength=len(rows)) for x in (known, base, score))
-        return batch_of([(deal, 2, rows.tobytes(), np.rint(n).astype(np.uint32).tobytes(), base_.astype(np.float32).tobytes(), score_.astype(np.float32).tobytes())], SUMMED)
+        return batch_of([(deal, 2, rows.tobytes(), np.rint(n).astype(np.uint32).tobytes(), base_.tobytes(), score_.tobytes())], SUMMED)
 
     scores, held, current, key = [], [], None, None
     for batch in batches:
         for _, kind, deal, a, b, c, d in rows_of(batch):
             if kind == 0:
-                scores.append((np.frombuffer(a, np.uint64), np.frombuffer(b, np.float32), np.frombuffer(c, np.float32), np.frombuffer(d, bool)))
+                scores.append((np.frombuffer(a, np.uint64), np.frombuffer(b, np.float64), np.frombuffer(c, np.float64), np.frombuffer(d, bool)))
             elif kind == 1:
                 yield batch_of([(deal, 1, a, b, c, d)], SUMMED)
             else:
@@ -415,7 +430,7 @@ def adding_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 head = (np.frombuffer(a, np.int64), np.frombuffer(b, bool), np.frombuffer(c, bool), np.frombuffer(d, np.int64))
                 sums = np.zeros((3, len(head[0])))
             else:
-                sums[:, np.frombuffer(a, np.uint32)] += np.stack([np.frombuffer(b, np.uint32), np.frombuffer(c, np.float32), np.frombuffer(d, np.float32)])
+                sums[:, np.frombuffer(a, np.uint32)] += np.stack([np.frombuffer(b, np.uint32), np.frombuffer(c, np.float64), np.frombuffer(d, np.float64)])
     yield from finished(head, sums)
 
 

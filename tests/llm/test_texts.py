@@ -264,6 +264,25 @@ def test_regions_that_span_batches_stay_whole():
     assert len(rows) == len(pairs) + len(large) and {(x["a"], x["b"], x["region"]) for x in rows} == pairs | large
 
 
+def test_seats_follow_the_process_at_every_count():
+    import math
+
+    x = np.array([0.05, 0.5, 1.0, 3.7, 20.0, 5e6])
+    assert pitman.log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-12, abs=1e-11)
+    n, a, d, draws = 60, 1.7, 0.6, 4000
+    chance = np.zeros(n + 1)
+    chance[1] = 1.0
+    for i in range(1, n):  # tables after one customer more, exactly
+        t = np.arange(n + 1)
+        new = np.where(t > 0, a / (i - d * t + a), 0.0)
+        new[t > i] = 0.0
+        chance = chance * (1 - new) + np.concatenate([[0.0], (chance * new)[:-1]])
+    tables = pitman.seat(np.full(draws, n), np.full(draws, a), d, pitman.Hashed(np.arange(draws, dtype=np.uint64) * np.uint64(7919)))
+    mean = (np.arange(n + 1) * chance).sum()
+    spread = math.sqrt((np.arange(n + 1) ** 2 * chance).sum() - mean**2)
+    assert abs(tables.mean() - mean) < 4 * spread / math.sqrt(draws) and abs(tables.std() - spread) < 0.08 * spread
+
+
 def test_packing_fills_sequences_and_keeps_every_id(spark, docs, none):
     import public_tokenizers as P
     from tokenizers import Tokenizer
@@ -395,7 +414,7 @@ def test_language_model_counts_and_held_out_gain(spark, docs, none):
         r = got[i, len(ws)]
         assert r["held_out"] == (i is None or zlib.crc32(str(i).encode()) % 10 == 0) and r["train_tokens"] == n
         assert r["n_known"] == sum(counts[w] > 0 for w in ws)
-        assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws))
+        assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), rel=1e-12)
         assert math.isfinite(r["score"]) and r["score"] < 0
     assert sum(r["score"] for r in got.values()) > sum(r["base_score"] for r in got.values())
     assert pitman.score_documents(spark, none).count() == 0
