@@ -252,8 +252,8 @@ def listing(words: int, needed: np.ndarray):
 def whole_sets(spark: SparkSession, texts: DataFrame, heads: DataFrame, points: DataFrame, words: int) -> DataFrame:
     """(point, shingles) of the points, from the texts that stand for them."""
     wanted = tk.materialize(spark, heads.join(points, "point", "left_semi").select("point", "text_key"), "wanted")
-    found = texts.mapInArrow(listing(words, needed_filter(wanted)), "text_key long, shingles array<long>")
-    sets = tk.materialize(spark, wanted.join(found, "text_key").dropDuplicates(["point"]).select("point", "shingles"), "sets")
+    found = texts.mapInArrow(listing(words, needed_filter(wanted)), "text_key long, shingles array<long>").dropDuplicates(["text_key"])
+    sets = tk.materialize(spark, wanted.join(found, "text_key").select("point", "shingles"), "sets")
     tk.discard(spark, wanted)
     return sets
 
