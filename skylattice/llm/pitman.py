@@ -10,12 +10,13 @@ table of a context is a customer of the unigram restaurant, whose parent is unif
 vocabulary and one unknown word. The probability of a token is the mean over SAMPLES seatings of
 the predictive probability, which sums to one over known words and the unknown one.
 
-Pairs (context, word) are rows. A sweep joins the sums of tables by word and by context over all
-rows, draws new tables with random numbers that hash the pair and the sweep, and keeps only their
-sums, so no result depends on how rows are laid out and tables can be drawn again. The sums of the
-TOP commonest words are joined in SALTS copies. Scores of pairs then meet the occurrences, packed by part of the pair's hash: a task holds
-the scores of its parts, occurrences stream through, and sums by document go back to the deal that
-the document came from.
+Tokens are dealt to parts by their context, those after the HOT commonest words by both words, and a
+part's pairs (context, word) are one packed row. A sweep draws the tables of a part's pairs and sends
+their sums by word and by context to buckets of keys, which add them up over all parts and answer every
+part; random numbers hash the pair and the sweep, so no result depends on how rows are laid out, and
+tables can be drawn again instead of kept. At last the tokens are dealt once more, now with their rows:
+a task holds the scores of one part's pairs, occurrences stream through, and sums by document go back
+to the deal that the document came from. The commonest words travel as codes of two bytes.
 
 Defined results: a null text is the empty text, one end; a null id is held out (crc32 of no text);
 rows that repeat an id are scored by themselves; without training tokens every token is unknown.
@@ -26,6 +27,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -35,16 +37,19 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 
-TOP, SAMPLES, SWEEPS, EXACT = 512, 3, 4, 16
+SAMPLES, SWEEPS, EXACT = 3, 4, 16
 STRENGTH = 0.5
-#: Layout only: copies of the sums of common words; tokens that a task counts or deals out at once, and pairs that it packs.
-SALTS, DEAL = 8, 1_000_000
+#: Layout only: words that have codes, those of them whose pairs are dealt by both words, and rows that are looked at to find them.
+TOP, HOT, LOOKED_AT = 65_535, 1024, 4000
+#: Layout only: tokens that a task deals out at once, bytes of text to a part of the pairs, and parts to a bucket of sums.
+DEAL, PART_BYTES, BUCKET_PARTS = 1_000_000, 24_000_000, 8
 FOLDS = 10
 END = np.uint64(0xE0F_E0F_E0F_E0F)
-#: kind 0: pairs, scores, base scores, known; 1: ids, nulls, held out, tokens of a deal's rows; 2: pairs, runs, rows of a deal's tokens.
-DEALT = "part int, kind int, deal long, a binary, b binary, c binary, d binary"
-#: kind 1 as above; 2: rows, known tokens, base scores, scores.
-SUMMED = "deal long, kind int, a binary, b binary, c binary, d binary"
+#: kind 0: pairs of a part; 1: sums of a round for a part (deal: round and bucket); 2: ids of a deal's rows; 3: tokens of a deal. To a
+#: bucket: sums of a part (deal). Beyond the parts: scores of rows by deal.
+PACKED = "part int, kind int, deal long, a binary"
+PAIRED = f"{PACKED}, one long, two long"
+ANSWERED = f"{PACKED}, customers long, dishes long, one long, two long, heads long, words long, tokens long"
 SUMS = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -102,15 +107,21 @@ def pair_counts(documents: DataFrame) -> DataFrame:
     return documents.mapInArrow(counting, "context long, word long, n long").groupBy("context", "word").agg(F.sum("n").alias("n"))
 
 
-def commonest(pairs: DataFrame) -> np.ndarray:
-    """The hashes of the end and the TOP - 1 commonest words of all training documents, sorted."""
-    counts = pairs.where(F.col("word") != int(END.view(np.int64))).groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
-    words = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(TOP - 1).collect()]
-    return np.unique(np.append(np.array(words, np.int64).view(np.uint64), END))
+def word_counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in tk.slices(batch, "text"):
+            words, n = np.unique(Tokens(part).hash, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
 
 
 def common_tokens(documents: DataFrame) -> np.ndarray:
-    return commonest(pair_counts(tk.only(documents, "doc_id", "text")))
+    """Hashes of the end and of at most TOP - 1 words that are common in about LOOKED_AT documents, commonest first."""
+    documents = tk.only(documents, "doc_id", "text")
+    one_of = max(1, documents.count() // LOOKED_AT)
+    some = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_of)) == 0)
+    counts = some.mapInArrow(word_counting, "word long, n long").where(F.col("word") != int(END.view(np.int64))).groupBy("word").agg(F.sum("n").alias("n"))
+    words = counts.orderBy(F.desc("n"), "word").limit(TOP - 1).toArrow().column("word").to_numpy()
+    return np.append(END, words.view(np.uint64))
 
 
 class Hashed:
@@ -216,11 +227,13 @@ def heads_of(customers: np.ndarray, parent: float, rng: np.random.Generator | Ha
 
 def predictive(count, tables, seats, guests, customers, heads, t: Totals, parent_customers, parent_tables) -> np.ndarray:
     """Mean predictive probability: count and tables of the dish, tables and guests of its context, customers and tables of its word in the parent."""
-    total = 0.0
-    for s in range(SAMPLES):
-        above = (customers[s] - t.parent * heads[s] + (STRENGTH + t.parent * parent_tables[s]) / (t.vocabulary + 1)) / (STRENGTH + parent_customers[s])
-        total = total + (count - t.discount * tables[s] + (STRENGTH + t.discount * seats[s]) * above) / (STRENGTH + guests)
-    return total / SAMPLES
+    return sum(predictive_of(count, tables[s], seats[s], guests, customers[s], heads[s], t, parent_customers[s], parent_tables[s]) for s in range(SAMPLES)) / SAMPLES
+
+
+def predictive_of(count, tables, seats, guests, customers, heads, t: Totals, parent_customers, parent_tables) -> np.ndarray:
+    """The same by one seating."""
+    above = (customers - t.parent * heads + (STRENGTH + t.parent * parent_tables) / (t.vocabulary + 1)) / (STRENGTH + parent_customers)
+    return (count - t.discount * tables + (STRENGTH + t.discount * seats) * above) / (STRENGTH + guests)
 
 
 class Model:
@@ -251,56 +264,38 @@ class Model:
         return predictive(count, tables, self.seats[:, context], self.guests[context], customers, heads, self.totals, self.parent_customers, self.parent_tables)
 
 
-def column(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    return batch.column(name).to_numpy(zero_copy_only=False)
-
-
-def columns_of(batch: pa.RecordBatch, name: str, first: int = 1) -> np.ndarray:
-    return np.stack([column(batch, f"{name}{s}") for s in range(first, first + SAMPLES)])
-
-
 def drawn(context: np.ndarray, word: np.ndarray, n: np.ndarray, seats: np.ndarray, customers: np.ndarray, t: Totals, sweep: int) -> np.ndarray:
     """Tables of pairs in a sweep, by the sums of the sweep before; what a dish had itself is in no need of keeping."""
-    seeds = tk.mix(pair_keys(context.view(np.uint64), word.view(np.uint64)) + np.uint64(sweep + 1))
+    seeds = tk.mix(pair_keys(context, word) + np.uint64(sweep + 1))
     return seat(n, opening_of(seats, customers, t), t.discount, Hashed(seeds))
 
 
-def sweeping(t: Totals, sweep: int):
-    """Pairs with seats and customers to their new tables, twice: for their word (kind 0) and their context (kind 1)."""
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays as compressed planes of bytes: first bytes of all numbers, then second ones."""
+    planes = [np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() for x in arrays]
+    raw = np.array([len(x) for x in arrays], np.int64).tobytes() + b"".join(planes)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tables = pa.array(drawn(*(column(batch, c) for c in ("context", "word", "n", "seats", "customers")), t, sweep))
-            for kind, key in enumerate(("word", "context")):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, kind, np.int32)), batch.column(key), tables], ["kind", "key", "tables"])
 
-    return run
-
-
-def heading(parent: float, names: list[str]):
-    """Words with customers c1.. to the same with tables h1.. in the parent."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            word = column(batch, "word").view(np.uint64)
-            heads = [heads_of(column(batch, f"c{s}"), parent, Hashed(tk.mix(word + np.uint64(1000 + s)))) for s in range(1, SAMPLES + 1)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *map(pa.array, heads)], [*names, *(f"h{s}" for s in range(1, SAMPLES + 1))])
-
-    return run
+def unpacked(data: bytes, *kinds: type) -> list[np.ndarray]:
+    raw = np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True), np.uint8)
+    sizes, at, found = raw[: 8 * len(kinds)].view(np.int64), 8 * len(kinds), []
+    for n, kind in zip(sizes, map(np.dtype, kinds), strict=True):
+        found.append(np.ascontiguousarray(raw[at : at + n * kind.itemsize].reshape(kind.itemsize, n).T).view(kind).ravel())
+        at += n * kind.itemsize
+    return found
 
 
-def with_sums(pairs: DataFrame, sums: DataFrame, key: str, other: str, top: np.ndarray) -> DataFrame:
-    """pairs with the sums of their key; those of common words lie in SALTS copies."""
-    common = F.col(key).isin([int(x) for x in top.view(np.int64)])
-    salt = F.when(common, F.pmod(F.xxhash64(other), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
-    copies = F.when(common, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return pairs.withColumn("salt", salt).join(sums.withColumn("salt", F.explode(copies)), [key, "salt"]).drop("salt")
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Row by row, so that one row at a time is copied."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield tuple(batch.column(k)[i].as_py() for k in range(batch.num_columns))
 
 
-def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
-    """Row by row, so that one row at a time is copied."""
-    for i in range(batch.num_rows):
-        yield tuple(batch.column(k)[i].as_py() for k in range(batch.num_columns))
+def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple]]]:
+    """Rows that are sorted by their first column, by that column."""
+    return groupby(rows_of(batches), key=lambda row: row[0])
 
 
 def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -309,190 +304,294 @@ def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
 
 
-def by_part(key: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order, edges): places of the sorted keys of each part."""
-    place = (key % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(place, kind="stable")
-    return order, np.searchsorted(place[order], np.arange(parts + 1))
+def sent(rows: DataFrame, parts: int) -> DataFrame:
+    """Every part in one task, in order of kinds and deals."""
+    return rows.repartitionById(parts, "part").sortWithinPartitions("part", "kind", "deal")
 
 
-def scoring_pairs(t: Totals, before: list[Totals], parent_customers: list, parent_tables: list, train_tokens: int, parts: int):
-    """Pairs with all their sums to DEALT of kind 0; their tables of the last sweeps are drawn as in these."""
+class Codes:
+    """Words as two bytes, if they are common, or 0 and their hash."""
 
-    def flush(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        key, score, base, known = (np.concatenate(x) for x in zip(*held, strict=True))
-        order, edges = by_part(key, parts)
-        rows = []
-        for p in np.flatnonzero(np.diff(edges)):
-            at = order[edges[p] : edges[p + 1]]
-            rows.append((int(p), 0, 0, *(x[at].tobytes() for x in (key, score, base, known))))
-        return batch_of(rows, DEALT)
+    def __init__(self, common: np.ndarray):
+        self.common, self.order = common, np.argsort(common)
+        self.sorted = common[self.order]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            key = pair_keys(column(batch, "context").view(np.uint64), column(batch, "word").view(np.uint64))
-            n, seats, customers = column(batch, "n"), columns_of(batch, "s", 0), columns_of(batch, "c", 0)
-            tables = [drawn(column(batch, "context"), column(batch, "word"), n, seats[k], customers[k], x, SWEEPS - 1 + k) for k, x in enumerate(before)]
-            likely = predictive(n, tables, columns_of(batch, "s"), column(batch, "guests"), columns_of(batch, "c"), columns_of(batch, "h"), t, parent_customers, parent_tables)
-            count = column(batch, "word_n")
-            base = np.log10((count + 0.1) / (train_tokens + 0.1 * (t.vocabulary + 1)))
-            held.append((key, np.log10(likely), base, count > 0))
-            size += len(key)
-            if size > DEAL:
-                yield flush(held)
-                held, size = [], 0
-        if size:
-            yield flush(held)
+    def of(self, words: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.sorted, words), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == words, self.order[at] + 1, 0).astype(np.uint16)
 
-    return run
+    def words(self, codes: np.ndarray, others: np.ndarray) -> np.ndarray:
+        found = self.common[np.maximum(codes, 1) - 1]
+        found[codes == 0] = others
+        return found
 
 
-def dealing(parts: int):
-    """Texts to DEALT of kinds 1 and 2: rows of a deal, and its tokens by part of their pairs."""
+def dealing(common: np.ndarray, parts: int, with_rows: bool):
+    """Texts to PACKED of kind 3, a deal's tokens by part: their pairs with the training occurrences of each or,
+    with rows, in order of documents with the tokens of each; then kind 2 too, what a deal's rows are."""
 
-    def flush(held: list[Tokens], deal: int) -> pa.RecordBatch:
-        ids = [i for x in held for i in x.ids]
+    def flush(held: list[Tokens], deal: int, codes: Codes) -> pa.RecordBatch:
+        context, word = np.concatenate([x.context for x in held]), np.concatenate([x.hash for x in held])
         shift = np.cumsum([0, *(len(x.ids) for x in held[:-1])])
-        key = np.concatenate([pair_keys(x.context, x.hash) for x in held])
-        row = np.concatenate([x.row + k for x, k in zip(held, shift, strict=True)]).astype(np.uint32)
-        null, numbers = np.array([i is None for i in ids], bool), np.array([i or 0 for i in ids], np.int64)
-        rows = [(deal % parts, 1, deal, numbers.tobytes(), null.tobytes(), np.concatenate([x.held for x in held]).tobytes(), np.concatenate([x.n_tokens for x in held]).astype(np.int64).tobytes())]
-        order = np.argsort(key, kind="stable")
-        key, row = key[order], row[order]
-        order, edges = by_part(key, parts)
+        row = np.concatenate([x.row + k for x, k in zip(held, shift, strict=True)])
+        is_held, rows = np.concatenate([x.held for x in held]), []
+        if with_rows:
+            ids = [i for x in held for i in x.ids]
+            null, numbers = np.array([i is None for i in ids], bool), np.array([i or 0 for i in ids], np.int64)
+            rows.append((deal % parts, 2, deal, packed(numbers, null, is_held, np.concatenate([x.n_tokens for x in held]).astype(np.int64))))
+        else:
+            _, first, at = np.unique(pair_keys(context, word), return_index=True, return_inverse=True)
+            context, word, n = context[first], word[first], np.bincount(at, weights=~is_held[row], minlength=len(first)).astype(np.uint64)
+        word_code, context_code = codes.of(word), codes.of(context)
+        hot = (context_code > 0) & (context_code <= HOT)
+        place = (np.where(hot, pair_keys(context, word), context) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        edges = np.searchsorted(place[order], np.arange(parts + 1))
         for p in np.flatnonzero(np.diff(edges)):
             at = order[edges[p] : edges[p + 1]]
-            own = key[at]
-            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-            rows.append((int(p), 2, deal, own[first].tobytes(), np.diff(np.append(first, len(at))).astype(np.uint32).tobytes(), row[at].tobytes(), b""))
-        return batch_of(rows, DEALT)
+            c, w = context_code[at], word_code[at]
+            if with_rows:
+                own = row[at]
+                first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                further = own[first].astype(np.uint32), np.diff(np.append(first, len(at))).astype(np.uint32)
+            else:
+                further = (n[at],)
+            rows.append((int(p), 3, deal, packed(c, w, context[at][c == 0], word[at][w == 0], *further)))
+        return batch_of(rows, PACKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, deal = [], 0, TaskContext.get().partitionId() << 32
+        held, size, deal, codes = [], 0, TaskContext.get().partitionId() << 32, Codes(common)
         for batch in batches:
             for part in tk.slices(batch, "text"):
                 held.append(Tokens(part))
                 size += len(held[-1].hash)
                 if size > DEAL:
-                    yield flush(held, deal)
+                    yield flush(held, deal, codes)
                     held, size, deal = [], 0, deal + 1
         if held:
-            yield flush(held, deal)
+            yield flush(held, deal, codes)
 
     return run
 
 
-def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """DEALT, sorted by kind and deal, to SUMMED: sums by row of a deal over the parts of a task."""
+def dealt_tokens(codes: Codes, data: bytes, *further: type) -> tuple:
+    """(contexts, words, further arrays) of a row of kind 3."""
+    c, w, other_contexts, other_words, *rest = unpacked(data, np.uint16, np.uint16, np.uint64, np.uint64, *further)
+    return codes.words(c, other_contexts), codes.words(w, other_words), *rest
 
-    def summed(deal: int, held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        row, at = (np.concatenate(x) for x in zip(*held, strict=True))
-        rows, at_row = np.unique(row, return_inverse=True)
-        n, base_, score_ = (np.bincount(at_row, weights=x[at], minlength=len(rows)) for x in (known, base, score))
-        return batch_of([(deal, 2, rows.tobytes(), np.rint(n).astype(np.uint32).tobytes(), base_.tobytes(), score_.tobytes())], SUMMED)
 
-    scores, held, current, key = [], [], None, None
-    for batch in batches:
-        for _, kind, deal, a, b, c, d in rows_of(batch):
-            if kind == 0:
-                scores.append((np.frombuffer(a, np.uint64), np.frombuffer(b, np.float64), np.frombuffer(c, np.float64), np.frombuffer(d, bool)))
-            elif kind == 1:
-                yield batch_of([(deal, 1, a, b, c, d)], SUMMED)
-            else:
-                if key is None:
-                    key, score, base, known = (np.concatenate(x) for x in zip(*scores, strict=True))
-                    order = np.argsort(key)
-                    key, score, base, known, scores = key[order], score[order], base[order], known[order], []
-                if deal != current and held:
-                    yield summed(current, held)
-                    held = []
-                current, runs = deal, np.frombuffer(b, np.uint32)
-                held.append((np.frombuffer(c, np.uint32), np.repeat(np.searchsorted(key, np.frombuffer(a, np.uint64)), runs)))
-    if held:
-        yield summed(current, held)
+def pairing(common: np.ndarray):
+    """Tokens of kind 3, without rows, to the pairs of each part."""
 
+    def added(held: list[tuple[np.ndarray, ...]]) -> list[tuple[np.ndarray, ...]]:
+        context, word, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        _, first, at = np.unique(pair_keys(context, word), return_index=True, return_inverse=True)
+        return [(context[first], word[first], np.bincount(at, weights=n).astype(np.uint64))]
 
-def adding_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """SUMMED, sorted by deal and kind, to SUMS."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes(common)
+        for part, rows in by_part(batches):
+            held, size, most = [], 0, 4 * DEAL
+            for *_, data in rows:
+                held.append(dealt_tokens(codes, data, np.uint64))
+                size += len(held[-1][0])
+                if size > most:
+                    held = added(held)
+                    size = len(held[0][0])
+                    most = max(most, 2 * size)
+            context, word, n = added(held)[0]
+            contexts, ci = np.unique(context, return_inverse=True)
+            words, wi = np.unique(word, return_inverse=True)
+            order = np.lexsort((wi, ci))
+            data = packed(words, contexts, np.bincount(ci).astype(np.uint32), wi[order].astype(np.uint32), n[order])
+            yield batch_of([(part, 0, 0, data, int((n == 1).sum()), int((n == 2).sum()))], PAIRED)
 
-    def finished(head: tuple | None, sums: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-        if head is not None:
-            ids, null, held, n = head
-            columns = [pa.array(ids, mask=null), pa.array(held), pa.array(n), pa.array(np.rint(sums[0]).astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])]
-            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SUMS.split(", ")])
+    return run
 
-    head = sums = None
-    for batch in batches:
-        for _, kind, a, b, c, d in rows_of(batch):
-            if kind == 1:
-                yield from finished(head, sums)
-                head = (np.frombuffer(a, np.int64), np.frombuffer(b, bool), np.frombuffer(c, bool), np.frombuffer(d, np.int64))
-                sums = np.zeros((3, len(head[0])))
-            else:
-                sums[:, np.frombuffer(a, np.uint32)] += np.stack([np.frombuffer(b, np.uint32), np.frombuffer(c, np.float64), np.frombuffer(d, np.float64)])
-    yield from finished(head, sums)
-
-
-def seated(spark: SparkSession, counts: DataFrame, top: np.ndarray) -> tuple[DataFrame, list[Totals]]:
-    """((kind, key, n, t0..), totals): of words (kind 0) and contexts (1) the customers n and the tables before
-    the first sample and after each, and the totals that each sample was drawn by; of counts (context, word, n)."""
-    both = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("key")) for k, c in enumerate(("word", "context")))))
-    n = F.col("n")
-    known = counts.select("n", both.alias("x")).groupBy("x.kind", "x.key").agg(F.sum("n").alias("n"), F.count_if(n == 1).alias("single"), F.count_if(n > 0).alias("dishes"))
-    known = tk.materialize(spark, known, "known")
-    one, two = counts.agg(F.count_if(n == 1), F.count_if(n == 2)).first()
-    vocabulary = known.where("kind = 0 and n > 0").count()
-    # One customer has one table, whatever the others do, so only dishes of more take part in the sweeps.
-    single = known.where("single > 0").select("kind", "key", F.col("single").alias("tables"))
-    sums, totals, series = known.select("kind", "key", F.col("dishes").alias("tables")), [], []
-    for sweep in range(SWEEPS + SAMPLES - 1):
-        totals.append(Totals(*parent_sums(sums), vocabulary, discount_of(one, two), discount_of(*parent_few(sums))))
-        series.append(sums)
-        words, contexts = (sums.where(F.col("kind") == k).select(F.col("key").alias(c), F.col("tables").alias(t)) for k, (c, t) in enumerate((("word", "customers"), ("context", "seats"))))
-        given = with_sums(with_sums(counts.where("n > 1"), words, "word", "context", top), contexts, "context", "word", top)
-        new = given.mapInArrow(sweeping(totals[-1], sweep), "kind int, key long, tables long").unionByName(single)
-        sums = tk.materialize(spark, new.groupBy("kind", "key").agg(F.sum("tables").alias("tables")), "tables")
-    found = known.select("kind", "key", "n")
-    for k, each in enumerate([*series[SWEEPS - 1 :], sums]):
-        found = found.join(each.withColumnRenamed("tables", f"t{k}"), ["kind", "key"], "left")
-    return found.na.fill(0), totals[SWEEPS - 1 :]
 
+class Part:
+    """The pairs of a part: places of their contexts and words, and their occurrences in training documents."""
 
-def parent_sums(sums: DataFrame) -> tuple[int, int]:
-    """Customers and dishes of the parent."""
-    return tuple(sums.where("kind = 0").agg(F.coalesce(F.sum("tables"), F.lit(0)), F.count_if(F.col("tables") > 0)).first())
+    def __init__(self, data: bytes):
+        self.words, self.contexts, per_context, self.wi, n = unpacked(data, np.uint64, np.uint64, np.uint32, np.uint32, np.uint64)
+        self.ci, self.n = np.repeat(np.arange(len(self.contexts)), per_context), n.astype(np.int64)
 
+    def by_word(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.wi, weights=x, minlength=len(self.words)).astype(np.uint64)
 
-def parent_few(sums: DataFrame) -> tuple[int, int]:
-    """How many dishes of the parent have one customer, and two."""
-    return tuple(sums.where("kind = 0").agg(F.count_if(F.col("tables") == 1), F.count_if(F.col("tables") == 2)).first())
+    def by_context(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.ci, weights=x, minlength=len(self.contexts)).astype(np.uint64)
+
+    def tables(self, seats: np.ndarray, customers: np.ndarray, t: Totals, sweep: int) -> np.ndarray:
+        """Tables of all pairs by the sums of their contexts and words; one customer has one table, whatever the others do."""
+        tables, at = (self.n > 0).astype(np.int64), np.flatnonzero(self.n > 1)
+        ci, wi = self.ci[at], self.wi[at]
+        tables[at] = drawn(self.contexts[ci], self.words[wi], self.n[at], seats[ci], customers[wi], t, sweep)
+        return tables
+
+    def messages(self, part: int, buckets: int, tables: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        """Sums of tables and n by word and by context, cut by ranges of keys."""
+        bounds = np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
+        sides = [(keys, np.searchsorted(keys, bounds), by(tables), by(n)) for keys, by in ((self.words, self.by_word), (self.contexts, self.by_context))]
+        cut = [zip(*(np.split(x, edges) for x in (keys, *sums)), strict=True) for keys, edges, *sums in sides]
+        return batch_of([(b, 0, part, packed(*w, *c)) for b, (w, c) in enumerate(zip(*cut, strict=True))], PACKED)
+
+
+def beginning(buckets: int):
+    """Pairs to the first messages: every dish has one table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, _, _, data, *_ in rows_of(batches):
+            own = Part(data)
+            yield own.messages(part, buckets, own.n > 0, own.n)
+
+    return run
+
+
+def sums_of(rows: Iterator[tuple]) -> dict[int, list[np.ndarray]]:
+    """round: [tables of words, heads or, in round 0, occurrences of words, the same of contexts], of a part's rows of kind 1."""
+    found: dict[int, list] = {}
+    for _, _, deal, data in rows:
+        found.setdefault(deal >> 32, []).append(unpacked(data, *[np.uint64] * 4))
+    return {k: [np.concatenate(x).astype(np.int64) for x in zip(*each, strict=True)] for k, each in found.items()}
+
+
+def sweeping(t: Totals, sweep: int, buckets: int):
+    """Pairs with the sums of the round before to messages with those of their new tables."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in by_part(batches):
+            own = Part(next(rows)[3])
+            customers, _, seats, _ = sums_of(rows)[sweep]
+            yield own.messages(part, buckets, own.tables(seats, customers, t, sweep), np.zeros(len(own.n)))
+
+    return run
+
+
+def answering(turn: int, t: Totals | None):
+    """Messages to the sums over all parts, for each part in the order that it asked in, and the totals of a bucket (part -1).
+    After round 0 words come with their tables in the parent."""
+
+    def summed(keys: list[np.ndarray], tables: list[np.ndarray], n: list[np.ndarray]) -> tuple:
+        unique, at = np.unique(np.concatenate(keys), return_inverse=True)
+        tables, n = (np.bincount(at, weights=np.concatenate(x), minlength=len(unique)).astype(np.int64) for x in (tables, n))
+        return unique, tables, n, np.split(at, np.cumsum([len(x) for x in keys])[:-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in by_part(batches):
+            parts, held = zip(*((deal, unpacked(data, *[np.uint64] * 6)) for _, _, deal, data in rows), strict=True)
+            sides = list(zip(*held, strict=True))
+            words, tables, n, asked = summed(*sides[:3])
+            _, seats, guests, contexts = summed(*sides[3:])
+            heads = n if t is None else heads_of(tables, t.parent, Hashed(tk.mix(words + np.uint64(1000 + turn))))
+            deal = (turn << 32) + bucket
+            for part, w, c in zip(parts, asked, contexts, strict=True):
+                data = packed(*(x.astype(np.uint64) for x in (tables[w], heads[w], seats[c], guests[c])))
+                yield batch_of([(part, 1, deal, data, *[0] * 7)], ANSWERED)
+            yield batch_of([(-1, 1, deal, b"", *(int(x) for x in (tables.sum(), (tables > 0).sum(), *few(tables), heads.sum(), (n > 0).sum(), n.sum())))], ANSWERED)
+
+    return run
+
+
+def scoring(common: np.ndarray, t: Totals, before: list[Totals], parent_customers: list[int], parent_tables: list[int], train_tokens: int):
+    """Pairs, sums and tokens of each part to sums by row of each deal; ids of rows pass."""
+
+    def scores(own: Part, sums: dict[int, list[np.ndarray]]) -> tuple[np.ndarray, ...]:
+        """(sorted keys of pairs, score, base score, known)."""
+        total, guests, n = 0.0, sums[0][3][own.ci], sums[0][1]
+        key = pair_keys(own.contexts[own.ci], own.words[own.wi])
+        for s in range(SAMPLES):
+            turn = SWEEPS - 1 + s
+            tables = own.tables(sums[turn][2], sums[turn][0], before[s], turn)
+            customers, heads, seats, _ = sums[turn + 1]
+            total = total + predictive_of(own.n, tables, seats[own.ci], guests, customers[own.wi], heads[own.wi], t, parent_customers[s], parent_tables[s])
+        base = np.log10((n + 0.1) / (train_tokens + 0.1 * (t.vocabulary + 1)))
+        order = np.argsort(key)
+        return key[order], np.log10(total / SAMPLES)[order], base[own.wi][order], (n > 0)[own.wi][order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes(common)
+        for _, rows in by_part(batches):
+            own = None
+            for kind, each in groupby(rows, key=lambda row: row[1]):
+                if kind == 0:
+                    own = Part(next(each)[3])
+                elif kind == 1:
+                    key, score, base, known = scores(own, sums_of(each))
+                    own = None
+                else:
+                    for _, _, deal, data in each:
+                        if kind == 3:
+                            context, word, row, run_of = dealt_tokens(codes, data, np.uint32, np.uint32)
+                            at, first = np.searchsorted(key, pair_keys(context, word)), np.cumsum(run_of, dtype=np.int64) - run_of
+                            data = packed(row, *(np.add.reduceat(x[at], first, dtype=k) for x, k in ((known, np.uint32), (base, np.float64), (score, np.float64))))
+                        yield batch_of([(0, kind, deal, data)], PACKED)
+
+    return run
+
+
+def adding_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums by row of each deal, after the ids of its rows, to SUMS."""
+    for _, rows in groupby(rows_of(batches), key=lambda row: row[2]):
+        ids, null, held, n = unpacked(next(rows)[3], np.int64, bool, bool, np.int64)
+        sums = np.zeros((3, len(ids)))
+        for *_, data in rows:
+            row, *more = unpacked(data, np.uint32, np.uint32, np.float64, np.float64)
+            sums[:, row] += np.stack(more)
+        columns = [pa.array(ids, mask=null), pa.array(held), pa.array(n), pa.array(np.rint(sums[0]).astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])]
+        yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SUMS.split(", ")])
 
 
 def score_documents(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) of each document."""
     documents = tk.only(documents, "doc_id", "text")
-    counts = tk.materialize(spark, pair_counts(documents).sortWithinPartitions("word", "context"), "counts")
-    top = commonest(counts)
-    sums, before = seated(spark, counts, top)
-    each = range(SAMPLES + 1)
-    words, contexts = (sums.where(F.col("kind") == k).select(F.col("key").alias(c), F.col("n").alias(n), *(F.col(f"t{s}").alias(f"{t}{s}") for s in each)) for k, (c, n, t) in enumerate((("word", "word_n", "c"), ("context", "guests", "s"))))
-    words, contexts = tk.materialize(spark, words, "words"), tk.materialize(spark, contexts, "contexts")
-    last = F.col(f"c{SAMPLES}")
-    parent = discount_of(*words.agg(F.count_if(last == 1), F.count_if(last == 2)).first())
-    words = tk.materialize(spark, words.mapInArrow(heading(parent, words.columns), ", ".join(f"{c} long" for c in [*words.columns, *(f"h{s}" for s in each[1:])])), "heads")
-    train_tokens, dishes, *parents = words.agg(*(F.coalesce(x, F.lit(0)) for x in (F.sum("word_n"), F.count_if(last > 0), *(F.sum(f"{k}{s}") for k in "ch" for s in each[1:])))).first()
-    t = Totals(parents[SAMPLES - 1], dishes, before[0].vocabulary, before[0].discount, parent)
-    given = with_sums(with_sums(counts, words, "word", "context", top), contexts, "context", "word", top)
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    scores = given.mapInArrow(scoring_pairs(t, before, parents[:SAMPLES], parents[SAMPLES:], train_tokens, parts), DEALT)
-    with tk.batch_bytes(spark, "4m"):
-        dealt = scores.unionByName(documents.mapInArrow(dealing(parts), DEALT)).repartition("part").sortWithinPartitions("kind", "deal")
-        summed = dealt.mapInArrow(meeting, SUMMED).repartition("deal").sortWithinPartitions("deal", "kind")
-        rows = tk.materialize(spark, summed.mapInArrow(adding_up, SUMS), "sums")
+    with tk.settings(spark, {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+        rows, train_tokens = scored(spark, documents)
     n = F.lit(train_tokens).cast("long").alias("train_tokens")
     return rows.select("doc_id", "held_out", "n_tokens", "n_known", n, "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 
+def scored(spark: SparkSession, documents: DataFrame) -> tuple[DataFrame, int]:
+    """(rows of SUMS, training tokens); what a round shuffled goes when its sums are written."""
+    size = documents.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(8, -(-size // PART_BYTES))
+    buckets = max(8, parts // BUCKET_PARTS)
+    common = common_tokens(documents)
+    kinds = [x.split()[0] for x in PACKED.split(", ")]
+    pairs = tk.materialize(spark, sent(documents.mapInArrow(dealing(common, parts, False), PACKED), parts).mapInArrow(pairing(common), PAIRED), "pairs")
+    one, two = pairs.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("one", "two"))).first()
+
+    def answered(messages: DataFrame, turn: int, t: Totals | None) -> tuple[DataFrame, tuple]:
+        table = tk.materialize(spark, sent(messages, buckets).mapInArrow(answering(turn, t), ANSWERED), "sums")
+        totals = table.where("part < 0").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("customers", "dishes", "one", "two", "heads", "words", "tokens"))).first()
+        return table, totals
+
+    rounds = [answered(pairs.mapInArrow(beginning(buckets), PACKED), 0, None)]
+    *_, vocabulary, train_tokens = rounds[0][1]
+    drawn_by = []
+
+    def given(*turns: int) -> DataFrame:
+        found = pairs.select(*kinds)
+        for k in turns:
+            found = found.unionByName(rounds[k][0].where("part >= 0").select(*kinds))
+        return found
+
+    def totals_of(turn: int) -> Totals:
+        customers, dishes, *dishes_of, _, _, _ = rounds[turn][1]
+        return Totals(customers, dishes, vocabulary, discount_of(one, two), discount_of(*dishes_of))
+
+    for sweep in range(SWEEPS + SAMPLES - 1):
+        drawn_by.append(totals_of(sweep))
+        rounds.append(answered(sent(given(sweep), parts).mapInArrow(sweeping(drawn_by[-1], sweep, buckets), PACKED), sweep + 1, drawn_by[-1]))
+        if 0 < sweep < SWEEPS - 1:
+            tk.discard(spark, rounds[sweep][0])
+    last = [stats for _, stats in rounds[SWEEPS:]]
+    everything = given(0, *range(max(SWEEPS - 1, 1), SWEEPS + SAMPLES)).unionByName(documents.mapInArrow(dealing(common, parts, True), PACKED))
+    by_row = sent(everything, parts).mapInArrow(scoring(common, totals_of(-1), drawn_by[SWEEPS - 1 :], [x[0] for x in last], [x[4] for x in last], train_tokens), PACKED)
+    rows = tk.materialize(spark, by_row.repartition("deal").sortWithinPartitions("deal", "kind").mapInArrow(adding_up, SUMS), "scores")
+    tk.discard(spark, pairs, *(table for table, _ in rounds))
+    return rows, train_tokens
+
+
 def op7_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(spark, tk.table(spark, sf_dir, "documents"))

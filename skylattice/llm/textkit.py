@@ -171,15 +171,16 @@ def discard(spark: SparkSession, *tables: DataFrame | None) -> None:
 
 
 @contextmanager
-def batch_bytes(spark: SparkSession, size: str) -> Iterator[None]:
-    """Arrow batches of about size while jobs run inside; for rows that are large."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, size)
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The settings for jobs that run inside."""
+    before = {key: spark.conf.get(key) for key in values}
     try:
+        for key, value in values.items():
+            spark.conf.set(key, value)
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
