@@ -3,10 +3,9 @@
 Words and an end make the tokens; a token's context is the token before it, an end before the
 first, and every context has a restaurant. Seats are sampled: in each sweep the customers of a dish
 leave and are seated again one by one, given the tables that all restaurants had after the sweep
-before; after the first EXACT, whose turns are cheap, the customer that opens the next table is
-drawn at once from its exact distribution, which is a ratio of gamma functions, so a frequent pair
-costs as many draws as it gets tables. Each
-table of a context is a customer of the unigram restaurant, whose parent is uniform over the
+before; after the first EXACT, whose turns are cheap, the gap to the next customer that may open a
+table is drawn at once (thinning, which is exact), so a frequent pair costs about as many draws as it
+gets tables. Each table of a context is a customer of the unigram restaurant, whose parent is uniform over the
 vocabulary and one unknown word. The probability of a token is the mean over SAMPLES seatings of
 the predictive probability, which sums to one over known words and the unknown one.
 
@@ -24,6 +23,7 @@ rows that repeat an id are scored by themselves; without training tokens every t
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,6 +38,8 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 
 SAMPLES, SWEEPS, EXACT = 3, 4, 16
+#: How the same draws are made: dishes that are left to be seated singly, and random numbers made at once for one.
+ALONE, AHEAD = 64, 256
 STRENGTH = 0.5
 #: Layout only: words that have codes, those of them whose pairs are dealt by both words, and rows that are looked at to find them.
 TOP, HOT, LOOKED_AT = 65_535, 1024, 4000
@@ -131,7 +133,14 @@ class Hashed:
         self.seeds = seeds
 
     def uniform(self, at: np.ndarray, turn: int) -> np.ndarray:
-        return (tk.mix(self.seeds[at] + np.uint64(turn + 1) * np.uint64(tk.BASE)) >> np.uint64(11)) / 2.0**53
+        return (tk.mix(self.seeds[at] + np.uint64((turn + 1) * tk.BASE % 2**64)) >> np.uint64(11)) / 2.0**53
+
+    def stream(self, at: int, turn: int) -> Iterator[float]:
+        """Those of one row from a turn on."""
+        while True:
+            steps = np.arange(turn + 1, turn + 1 + AHEAD, dtype=np.uint64) * np.uint64(tk.BASE)
+            yield from ((tk.mix(self.seeds[at] + steps) >> np.uint64(11)) / 2.0**53).tolist()
+            turn += AHEAD
 
 
 class Drawn:
@@ -143,39 +152,18 @@ class Drawn:
     def uniform(self, at: np.ndarray, turn: int) -> np.ndarray:
         return self.rng.random(len(at))
 
-
-def log_gamma(x: np.ndarray) -> np.ndarray:
-    """Logarithm of the gamma function of positive numbers: Stirling's series, eight steps further on."""
-    steps = np.zeros_like(x)
-    for k in range(8):
-        steps += np.log(x + k)
-    y = x + 8
-    series = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7)
-    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + series - steps
-
-
-def next_opening(seated: np.ndarray, tables: np.ndarray, customers: np.ndarray, opening: np.ndarray, discount: float, u: np.ndarray) -> np.ndarray:
-    """Of dishes with that many seated customers, which one opens the next table; one past the last customer if none does.
-
-    With t tables the customers after the i-th up to the j-th all sit at these with the chance
-    G(j - dt) G(i - dt + a) / (G(i - dt) G(j - dt + a)), G the gamma function and a the opening weight; u meets it."""
-    filled = discount * tables
-    fixed = log_gamma(seated - filled + opening) - log_gamma(seated - filled)
-
-    def all_seated(j: np.ndarray) -> np.ndarray:
-        return fixed + log_gamma(j - filled) - log_gamma(j - filled + opening)
-
-    target = np.log(np.maximum(u, 1e-300))
-    low, high = seated.astype(float), customers + 1.0
-    while (wide := high - low > 1).any():
-        middle = np.floor((low + high) / 2)
-        stays = all_seated(middle) >= target
-        low, high = np.where(wide & stays, middle, low), np.where(wide & ~stays, middle, high)
-    return high.astype(np.int64)
+    def stream(self, at: int, turn: int) -> Iterator[float]:
+        while True:
+            yield self.rng.random()
 
 
 def seat(customers: np.ndarray, opening: np.ndarray, discount: float, rng: np.random.Generator | Hashed) -> np.ndarray:
-    """Tables of each dish after its customers sat down one by one; opening weighs a new table."""
+    """Tables of each dish after its customers sat down one by one; opening weighs a new table.
+
+    After i customers and t tables the next opens one with the chance a / (i - dt + a), which no later customer
+    exceeds, as t grows no faster than i. So those that would open a table by the greatest chance are drawn by the
+    gap to the next of them, and one of them does by the ratio of its own chance to that: exact, in as many steps
+    as there are tables, but for few."""
     source = Drawn(rng) if isinstance(rng, np.random.Generator) else rng
     tables = (customers > 0).astype(np.int64)
     for i in range(1, EXACT):
@@ -183,15 +171,32 @@ def seat(customers: np.ndarray, opening: np.ndarray, discount: float, rng: np.ra
         new = opening[at] / (np.maximum(i - discount * tables[at], 1e-9) + opening[at])
         tables[at] += source.uniform(at, i) < new
     live, turn = np.flatnonzero(customers > EXACT), EXACT
-    seated = np.full(len(live), EXACT, np.int64)
-    while len(live):
-        opens = next_opening(seated, tables[live], customers[live], opening[live], discount, source.uniform(live, turn))
-        more = opens <= customers[live]
-        live, seated, turn = live[more], opens[more], turn + 1
-        tables[live] += 1
+    seated = np.full(len(live), EXACT, float)
+    with np.errstate(divide="ignore"):
+        while len(live) > ALONE:
+            a, filled = opening[live], discount * tables[live]
+            most = a / (seated - filled + a)
+            seated = seated + np.floor(np.log(source.uniform(live, turn)) / np.log1p(-most))
+            stays = seated < customers[live]
+            live, seated, a, filled, most = (x[stays] for x in (live, seated, a, filled, most))
+            tables[live] += source.uniform(live, turn + 1) * most < a / (seated - filled + a)
+            seated, turn = seated + 1, turn + 2
+    for k, before in zip(live.tolist(), seated.tolist(), strict=True):
+        tables[k] = seat_alone(int(customers[k]), before, int(tables[k]), float(opening[k]), discount, source.stream(k, turn))
     return tables
 
 
+def seat_alone(customers: int, seated: float, tables: int, opening: float, discount: float, uniform: Iterator[float]) -> int:
+    """The same steps for one dish, so that the commonest few take no array operations of a few numbers."""
+    while True:
+        most = opening / (seated - discount * tables + opening)
+        seated += math.floor(math.log(max(next(uniform), 1e-300)) / math.log1p(-most))
+        if seated >= customers:
+            return tables
+        tables += next(uniform) * most < opening / (seated - discount * tables + opening)
+        seated += 1
+
+
 def few(customers: np.ndarray) -> list[int]:
     """How many dishes one customer has, and two."""
     return [int((customers == 1).sum()), int((customers == 2).sum())]

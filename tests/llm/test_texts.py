@@ -267,8 +267,6 @@ def test_regions_that_span_batches_stay_whole():
 def test_seats_follow_the_process_at_every_count():
     import math
 
-    x = np.array([0.05, 0.5, 1.0, 3.7, 20.0, 5e6])
-    assert pitman.log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-12, abs=1e-11)
     n, a, d, draws = 60, 1.7, 0.6, 4000
     chance = np.zeros(n + 1)
     chance[1] = 1.0
@@ -277,10 +275,16 @@ def test_seats_follow_the_process_at_every_count():
         new = np.where(t > 0, a / (i - d * t + a), 0.0)
         new[t > i] = 0.0
         chance = chance * (1 - new) + np.concatenate([[0.0], (chance * new)[:-1]])
-    tables = pitman.seat(np.full(draws, n), np.full(draws, a), d, pitman.Hashed(np.arange(draws, dtype=np.uint64) * np.uint64(7919)))
+    seeds = np.arange(draws, dtype=np.uint64) * np.uint64(7919)
+    tables = pitman.seat(np.full(draws, n), np.full(draws, a), d, pitman.Hashed(seeds))
+    few = pitman.ALONE  # so few dishes are seated one by one, by the same random numbers
+    alone = [pitman.seat(np.full(few, n), np.full(few, a), d, pitman.Hashed(seeds[k : k + few])) for k in range(0, draws - few + 1, few)]
+    assert (np.concatenate(alone) == tables[: len(alone) * few]).all()
     mean = (np.arange(n + 1) * chance).sum()
     spread = math.sqrt((np.arange(n + 1) ** 2 * chance).sum() - mean**2)
     assert abs(tables.mean() - mean) < 4 * spread / math.sqrt(draws) and abs(tables.std() - spread) < 0.08 * spread
+    # Where a new table weighs next to nothing, the first one stays alone.
+    assert pitman.seat(np.array([10**9]), np.array([1e-12]), 0.6, pitman.Hashed(seeds[:1]))[0] == 1
 
 
 def test_packing_fills_sequences_and_keeps_every_id(spark, docs, none):
