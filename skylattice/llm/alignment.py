@@ -6,8 +6,9 @@ the tokens up to there; after the last that does, the tokens' own decoded bytes
 refines tokens that split a character and byte-fallback pieces. Where a token of either ends at the
 same byte, a group ends.
 
-Neither tokenizer looks across a space between two characters that are no white space, so what stands
-between such spaces, a unit, has the same tokens and groups wherever it stands. A task cuts texts into
+Neither tokenizer looks across a space between two characters that are no white space, nor past a letter that a
+mark follows where no piece of B holds the two, nor past a mark or letter and a single line end. What stands
+between such places, a unit, has the same tokens and groups wherever it stands. A task cuts texts into
 units, told by 64 bits of hash, and encodes each unit once a part (PART_BYTES of text), many in one call.
 A pair of ids is counted by documents in each part; Spark adds the parts up, finds the highest count of
 each id of A, and sends each part the counts of its own pairs. Nothing but these counts leaves a part, and
@@ -21,6 +22,7 @@ their own; a null id is kept; an empty table gives no rows; further columns are
 from __future__ import annotations
 
 import hashlib
+import string
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,9 +36,11 @@ from . import textkit as tk
 
 VOCABULARY, MODEL = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Layout only: bytes of text of a part; of units encoded in one call; links of a group that are listed one by one; units of documents counted at once; pairs of a row.
-PART_BYTES, CALL_BYTES, LISTED, AT_ONCE, KEYS = 32_000_000, 2_000, 4096, 500_000, 50_000
+PART_BYTES, CALL_BYTES, LISTED, AT_ONCE, KEYS = 32_000_000, 2_000, 4096, 100_000, 50_000
 PARTS = "part long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, units binary, base int, keys array<long>, held array<int>, links binary"
 DIGESTS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
+#: A letter for units that begin with a mark or a line end to follow, as in the text.
+LEAD = b" a"
 GROUPS = "doc_id long, groups array<struct<start: long, stop: long, a: array<int>, b: array<int>>>"
 
 
@@ -75,6 +79,10 @@ class Tokenizers:
         self.a_text, self.b_text = (np.array([str(k) for k in range(len(side))], object) for side in (self.a_bytes, self.b_bytes))
         #: Whether no piece goes on after a space that follows another character; otherwise texts are not cut.
         self.parted = not any("▁" in p.lstrip("▁") for p in pieces)
+        #: By first byte, what units begin with besides a space: marks that no piece has after a letter, a line end that none has.
+        after_letter = {b for p in pieces for a, b in zip(p, p[1:], strict=False) if a.isalpha()}
+        self.heads = np.array([k < 0x80 and (chr(k) in string.punctuation and chr(k) not in after_letter) for k in range(256)])
+        self.heads[0x0A] = not any("\n" in p for p in pieces)
 
     def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
         """Ids of A and their ends in bytes, ids of B and theirs, over a space and the text; None where either's bytes are others."""
@@ -98,12 +106,13 @@ def loaded(vocabulary: str, model: str) -> Tokenizers:
     return Tokenizers(vocabulary, model)
 
 
-def cut_units(block: tk.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def cut_units(block: tk.Block, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and text of every unit, in a block of texts that each begin with a space, and whether it can stand
-    beside others: it begins and ends like a unit amid a text. White space is told by its first byte, widely: next to
-    a character of a class that holds some there is no cut."""
+    beside others: it begins and ends like a unit amid a text. heads: bytes besides a space that begin units. White
+    space is told by its first byte, widely: next to a character of a class that holds some there is no cut."""
     data = block.data
     plain = (data > 0x20) & (data < 0x7F)
+    letter = ((data | 0x20) >= 0x61) & ((data | 0x20) <= 0x7A)
     first = ((data >= 0xC3) & (data <= 0xDF)) | (data == 0xE0) | (data >= 0xE4)
     inner = (data & 0xC0) == 0x80
 
@@ -114,13 +123,15 @@ def cut_units(block: tk.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
     after = np.append((plain | first)[1:], False)
     spaces = np.flatnonzero((data == 0x20) & after)
-    spaces = spaces[before(spaces)]
+    marks = np.flatnonzero(heads[data] & ((data != 0x0A) | after))
+    marks = marks[letter[marks - 1] | ((data[marks] == 0x0A) & plain[marks - 1])]  # a text begins with a space, so there is a byte before
     place = np.zeros(len(data), bool)
     place[block.offsets[:-1]] = True
-    place[spaces] = True
+    place[spaces[before(spaces)]] = True
+    place[marks] = True
     starts = np.flatnonzero(place)
     ends = np.append(starts[1:], len(data)) if len(starts) else starts
-    return starts, ends, np.searchsorted(block.offsets, starts, "right") - 1, after[starts] & before(ends)
+    return starts, ends, np.searchsorted(block.offsets, starts, "right") - 1, (after[starts] | (plain[starts] & heads[data[starts]])) & before(ends)
 
 
 class Part:
@@ -150,7 +161,9 @@ class Part:
             self.encode(held)
 
     def encode(self, units: list[bytes]) -> None:
-        found = self.t.tokens(b"".join(units)[1:].decode())
+        """Units that may stand side by side; one that begins with no space has LEAD before it, which does not count."""
+        spread = [x for u in units for x in ((u,) if u[:1] == b" " else (LEAD, u))]
+        found = self.t.tokens(b"".join(spread)[1:].decode())
         if found is None and len(units) > 1:
             self.encode(units[: len(units) // 2])
             self.encode(units[len(units) // 2 :])
@@ -161,26 +174,29 @@ class Part:
             self.texts.append("")
             return
         a, a_ends, b, b_ends = found
-        ends = np.cumsum([len(u) for u in units])
+        ends = np.cumsum([len(u) for u in spread])
         cuts = a_ends[b_ends[np.minimum(np.searchsorted(b_ends, a_ends), len(b_ends) - 1)] == a_ends]
         in_a, in_b, unit = np.searchsorted(cuts, a_ends), np.searchsorted(cuts, b_ends), np.searchsorted(ends, cuts)
         n_a, n_b = np.bincount(in_a, minlength=len(cuts)), np.bincount(in_b, minlength=len(cuts))
-        base, n = len(self.good), len(units)
-        sums = (np.bincount(unit, x, n).astype(np.int64) for x in (n_a, n_b, np.ones(len(cuts)), n_a * n_b))
-        self.counts.append(np.stack(list(sums), 1))
-        self.good += [True] * n
-        self.texts += self.written(a, b, in_a, in_b, n_a, n_b, unit, n)
+        texts = self.written(a, b, in_a, in_b, n_a, n_b, unit, len(spread))
+        real = np.array([x is not LEAD for x in spread], bool)
+        base, number = len(self.good), np.cumsum(real) - 1
+        sums = (np.bincount(unit, x, len(spread)).astype(np.int64) for x in (n_a, n_b, np.ones(len(cuts)), n_a * n_b))
+        self.counts.append(np.stack(list(sums), 1)[real])
+        self.good += [True] * len(units)
+        self.texts += [t for t, r in zip(texts, real.tolist(), strict=True) if r]
         first_a, first_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
-        listed = np.flatnonzero(n_a * n_b <= LISTED)
+        counts = real[unit]
+        listed = np.flatnonzero(counts & (n_a * n_b <= LISTED))
         many = (n_a * n_b)[listed]
         group = np.repeat(listed, many)
         rank = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         key = (a[first_a[group] + rank // n_b[group]] << 32) | b[first_b[group] + rank % n_b[group]]
-        self.links.append((base + unit[group], key, np.ones(len(key), np.int64)))
-        for g in np.flatnonzero(n_a * n_b > LISTED):
+        self.links.append(((base + number[unit[group]]).astype(np.int32), key, np.ones(len(key), np.int32)))
+        for g in np.flatnonzero(counts & (n_a * n_b > LISTED)):
             (ua, ca), (ub, cb) = (np.unique(ids[f[g] : f[g] + m[g]], return_counts=True) for ids, f, m in ((a, first_a, n_a), (b, first_b, n_b)))
             key = ((ua[:, None] << 32) | ub).ravel()
-            self.links.append((np.full(len(key), base + unit[g]), key, np.outer(ca, cb).ravel()))
+            self.links.append((np.full(len(key), base + number[unit[g]], np.int32), key, np.outer(ca, cb).ravel()))
 
     def written(self, a, b, in_a, in_b, n_a, n_b, unit, n) -> list[str]:
         """a1,a2|b1;a3|b2,b3 of each unit."""
@@ -197,7 +213,7 @@ class Part:
     def units_of(self, block: tk.Block) -> tuple[np.ndarray, np.ndarray]:
         """(text, unit) of every unit of a block of texts that begin with a space."""
         if self.t.parted:
-            starts, ends, owner, joins = cut_units(block)
+            starts, ends, owner, joins = cut_units(block, self.t.heads)
         else:
             starts, ends, owner, joins = block.offsets[:-1], block.offsets[1:], np.arange(block.n), np.zeros(block.n, bool)
         unique, first, back = np.unique(block.apart(starts, ends), return_index=True, return_inverse=True)
@@ -213,10 +229,14 @@ class Part:
 
     def closed(self, documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The pairs of the part, in how many documents each is, and links (unit, place of the pair, how often) by unit."""
-        unit, key, often = (np.concatenate([x[k] for x in self.links]) if self.links else np.zeros(0, np.int64) for k in range(3))
+        unit, key, often = (np.concatenate([x[k] for x in self.links]) if self.links else np.zeros(0, np.int32) for k in range(3))
+        self.links = []
         order = np.argsort(unit, kind="stable")
-        unit, often = unit[order], often[order]
-        keys, place = np.unique(key[order], return_inverse=True)
+        unit, often, key = unit[order], often[order], key[order]
+        del order
+        keys = distinct(key)
+        place = np.searchsorted(keys, key).astype(np.int32)
+        del key
         edges = np.searchsorted(unit, np.arange(len(self.good) + 1))
         held = np.zeros(len(keys), np.int64)
         for some in at_once(documents):
@@ -227,7 +247,7 @@ class Part:
             at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - edges[u], n)
             pair = distinct(np.repeat(document, n) * len(keys) + place[at])
             held += np.bincount(pair % len(keys), minlength=len(keys))
-        return keys, held, np.stack([unit, place, often]).astype(np.int64)
+        return keys.astype(np.int64), held, np.stack([unit, place, often])
 
 
 def distinct(x: np.ndarray) -> np.ndarray:
@@ -273,7 +293,8 @@ def parting(vocabulary: str, model: str):
         keys, held, links = part.closed(documents)
         for k in range(0, len(keys), KEYS):
             yield batch_of(1, part=[number], base=[k], keys=[keys[k : k + KEYS]], held=[held[k : k + KEYS].astype(np.int32)])
-        yield batch_of(1, part=[number], links=[links.astype("<i8").tobytes() if links.size and links.max() >= 2**31 else links.astype("<i4").tobytes()], base=[8 if links.size and links.max() >= 2**31 else 4])
+        width = 8 if links.max(initial=0) >= 2**31 else 4
+        yield batch_of(1, part=[number], links=[links.astype(f"<i{width}", copy=False).tobytes()], base=[width])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
