@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, chat, extract, fingerprint, jaccard, packing, pieces, pitman, quality, secrets, warc, whitening
+from . import alignment, chat, extract, fingerprint, jaccard, minhash, packing, pieces, pitman, quality, secrets, warc, whitening
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -15,7 +15,8 @@ QUERIES = {
     "op8_secret_scans": secrets.op8_secret_scans,
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_chat_formatting": chat.op10_chat_formatting,
+    "op11_minhash_near_dedup": minhash.op11_minhash_near_dedup,
     "op12_embedding_whitening": whitening.op12_embedding_whitening,
     "op13_tokenizer_alignment": alignment.op13_tokenizer_alignment,
 }
-ORACLES = {"op2_not_modified_revisits": warc.ORACLE, "op6_ngram_jaccard_join": jaccard.ORACLE, "op8_secret_scans": secrets.ORACLE, "op10_chat_formatting": chat.ORACLE}
+ORACLES = {"op2_not_modified_revisits": warc.ORACLE, "op6_ngram_jaccard_join": jaccard.ORACLE, "op8_secret_scans": secrets.ORACLE, "op10_chat_formatting": chat.ORACLE, "op11_minhash_near_dedup": minhash.ORACLE}
