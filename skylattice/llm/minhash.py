@@ -10,7 +10,9 @@ Points are distinct sets. Buckets of two points or more are kept; nothing ever l
 turns each bucket whose points links have not joined yet chooses a pivot in its largest component, and every
 point outside is compared with the pivot it meets in most buckets: one pair for each point and turn. What is
 left, points outside of their bucket's largest component, then meets the bucket's points of other components,
-in blocks of BLOCK. Links become components by alternating large-star and small-star steps.
+in blocks of BLOCK: the sets of these points get FINE further minima, a bit of each, and a task compares those of a
+block at once and lists a pair, in the first bucket that it shares, only if they differ in FINE_APART bits at most,
+which a link does not with probability 1e-9. So points that are alike but no link make few pairs. Links become components by alternating large-star and small-star steps.
 
 Defined results: a null or wordless text has no shingles and is alone; fewer words than a shingle make one
 shingle of the whole sequence; words are lower-cased in ASCII; shingles are told by 64 bits of hashes, equal
@@ -36,20 +38,24 @@ HASHES = BANDS * ROWS
 #: Differing bits of two sketches beyond which a pair is no link: 6 standard deviations over what J = 0.85 has.
 MOST_APART = 54
 SKETCH = -(-HASHES // 64)
+#: Further minima of points that are hard to tell, and the bits that two of them may differ in: 6 standard deviations again.
+FINE, FINE_APART = 3072, 318
+#: Words of sketches that a task compares at once; shingles that it hashes at once.
+COMPARED, HASHED = 2_000_000, 80_000
 #: Layout only: turns of pivots before the rest is compared, points of a block of a bucket.
 STARS, BLOCK = 3, 4096
 SIGNED = "doc_id long, text_key long, point long, n long, buckets array<long>, sketch array<long>"
 
 
-def functions(hashes: int) -> tuple[np.ndarray, np.ndarray]:
+def functions(hashes: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """Odd factors and shifts of the hash functions, the same everywhere."""
-    rng = np.random.default_rng(11)
+    rng = np.random.default_rng(seed)
     return rng.integers(0, 2**63, hashes, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**64, hashes, np.uint64)
 
 
-def minima(token: np.ndarray, starts: np.ndarray, hashes: int) -> np.ndarray:
+def minima(token: np.ndarray, starts: np.ndarray, hashes: int, seed: int = 11) -> np.ndarray:
     """hashes x sets: the least value of every function over each run of tokens that begins at starts."""
-    factor, shift = functions(hashes)
+    factor, shift = functions(hashes, seed)
     out, h = np.empty((hashes, len(starts)), np.uint64), np.empty_like(token)
     for k in range(hashes):
         np.multiply(token, factor[k], out=h)
@@ -68,8 +74,8 @@ def buckets_of(signature: np.ndarray) -> np.ndarray:
 
 
 def sketch_of(signature: np.ndarray) -> np.ndarray:
-    """sets x SKETCH: a bit of every minimum, 64 in a long."""
-    bits = np.zeros((SKETCH * 64, signature.shape[1]), np.uint8)
+    """sets x longs: a bit of every minimum, 64 in a long."""
+    bits = np.zeros((-(-len(signature) // 64) * 64, signature.shape[1]), np.uint8)
     bits[: len(signature)] = (tk.mix(signature) & np.uint64(1)).astype(np.uint8)
     return np.packbits(bits, axis=0, bitorder="little").T.copy().view(np.uint64)
 
@@ -169,15 +175,81 @@ def star_pairs(held: DataFrame, turn: int, percent: int) -> DataFrame:
     return met.groupBy("a").agg(F.max_by(F.struct("b", "n_a", "n_b"), F.struct("met", "b")).alias("x")).select("a", "x.b", "x.n_a", "x.n_b")
 
 
-def rest_pairs(held: DataFrame, percent: int) -> DataFrame:
+def refining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(point, shingles) to (point, fine): the sketches of FINE further minima, as bytes."""
+    for batch in batches:
+        column = batch.column("shingles")
+        edges = column.offsets.to_numpy()
+        token = column.values.to_numpy(zero_copy_only=False).view(np.uint64)
+        cut = np.append(np.flatnonzero(np.diff((edges[:-1] - edges[0]) // HASHED, prepend=-1)), batch.num_rows) if batch.num_rows else []
+        found = [sketch_of(minima(token[edges[i] : edges[j]], edges[i:j] - edges[i], FINE, 12)) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("point"), pa.array([row.tobytes() for part in found for row in part], pa.binary())], ["point", "fine"])
+
+
+def block_pairs(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of one block that their sizes and fine sketches allow: outside (first) with any of another component,
+    each pair once, and only in the first bucket that it shares."""
+    column = {c: rows.column(c).to_numpy() for c in ("bucket", "outer", "point", "n", "component", "main")}
+    fine = np.frombuffer(b"".join(rows.column("fine").to_pylist()), np.uint64).reshape(len(rows), -1)
+    buckets = rows.column("own").combine_chunks().flatten().to_numpy().reshape(len(rows), -1)
+    first, second = np.flatnonzero(column["outer"]), np.flatnonzero(~column["outer"])
+    band = int(np.argmax(buckets[0] == column["bucket"][0]))
+    out = []
+    step = max(1, COMPARED // max(1, len(second) * fine.shape[1]))
+    for k in range(0, len(first), step):
+        a = first[k : k + step]
+        n_a, n_b = column["n"][a][:, None], column["n"][second][None]
+        open_ = (column["component"][a][:, None] != column["component"][second][None]) & (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b))
+        open_ &= (column["component"][second] == column["main"][second])[None] | (column["point"][a][:, None] < column["point"][second][None])
+        i, j = np.nonzero(open_)
+        i, j = a[i], second[j]
+        for m in range(0, len(i), max(1, COMPARED // fine.shape[1])):
+            x, y = (v[m : m + max(1, COMPARED // fine.shape[1])] for v in (i, j))
+            near_ = np.bitwise_count(fine[x] ^ fine[y]).sum(1, dtype=np.int64) <= FINE_APART
+            x, y = x[near_], y[near_]
+            once = np.argmax(buckets[x] == buckets[y], 1) == band
+            out.append((x[once], y[once]))
+    return tuple(np.concatenate(v) for v in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def comparing(percent: int):
+    """Blocks, whole and in order of their key, to (a, b, n_a, n_b)."""
+
+    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        x, y = block_pairs(rows, percent)
+        if len(x):
+            point, n = rows.column("point").to_numpy(), rows.column("n").to_numpy()
+            x, y = np.where(point[x] < point[y], x, y), np.where(point[x] < point[y], y, x)
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (point[x], point[y], n[x], n[y])], ["a", "b", "n_a", "n_b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([held, rows]) if held is not None else rows
+            key = rows.column("key").to_numpy()
+            cut = np.append(0, np.flatnonzero(key[1:] != key[:-1]) + 1)
+            for i, j in zip(cut[:-1], cut[1:], strict=True):
+                yield from pairs(rows.slice(i, j - i))
+            held = rows.slice(int(cut[-1]))
+        if held is not None:
+            yield from pairs(held)
+
+    return run
+
+
+def rest_pairs(spark: SparkSession, held: DataFrame, heads: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b, n_a, n_b): points outside of a bucket's largest component and its points of other components, in blocks."""
-    blocks = F.expr(f"cast(1 + points div {BLOCK} as int)")
-    a, b = (held.select("bucket", "main", blocks.alias("blocks"), *(F.col(c).alias(f"{c}_{k}") for c in ("point", "n", "sketch", "component"))) for k in "ab")
-    a = a.where("component_a <> main").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).drop("blocks")
-    b = b.withColumn("block", F.expr("cast(pmod(xxhash64(point_b), blocks) as int)")).drop("blocks", "main").withColumnsRenamed({"bucket": "bucket_b", "block": "block_b"})
-    new = "component_a <> component_b and (component_b = main or point_a < point_b)"
-    met = a.join(b, (a["bucket"] == b["bucket_b"]) & (a["block"] == b["block_b"]) & F.expr(new) & F.expr(alike(percent)))
-    return met.select(F.least("point_a", "point_b").alias("a"), F.greatest("point_a", "point_b").alias("b"), F.expr("if(point_a < point_b, n_a, n_b)").alias("n_a"), F.expr("if(point_a < point_b, n_b, n_a)").alias("n_b")).distinct()
+    points = held.select("point").distinct()
+    fine = sets.join(points, "point", "left_semi").mapInArrow(refining, "point long, fine binary")
+    known = tk.materialize(spark, fine.join(heads.select("point", F.col("buckets").alias("own")), "point"), "fine")
+    rows = held.select("bucket", "main", "point", "n", "component", F.expr(f"cast(1 + points div {BLOCK} as int)").alias("blocks")).join(known, "point")
+    rows = rows.withColumn("block", F.expr("cast(pmod(xxhash64(point), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    sides = [rows.where("component <> main").withColumn("key", F.xxhash64("bucket", "block", "other")), rows.withColumn("key", F.xxhash64("bucket", "other", "block"))]
+    both = [df.select("key", "bucket", F.lit(outer).alias("outer"), "point", "n", "component", "main", "fine", "own") for df, outer in zip(sides, (True, False), strict=True)]
+    return both[0].unionByName(both[1]).repartition("key").sortWithinPartitions("key").mapInArrow(comparing(percent), "a long, b long, n_a long, n_b long")
 
 
 def linked_points(spark: SparkSession, texts: DataFrame, heads: DataFrame, words: int, percent: int) -> DataFrame | None:
@@ -195,7 +267,7 @@ def linked_points(spark: SparkSession, texts: DataFrame, heads: DataFrame, words
         if held.isEmpty():
             tk.discard(spark, held)
             break
-        pairs = star_pairs(held, turn, percent) if turn < STARS else rest_pairs(held, percent)
+        pairs = star_pairs(held, turn, percent) if turn < STARS else rest_pairs(spark, held, heads, sets, percent)
         links = tk.materialize(spark, measured(pairs, sets).where(near(percent)).select("a", "b"), "links")
         component = with_links(spark, component, links)
         tk.discard(spark, held, links)
