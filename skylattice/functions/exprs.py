@@ -155,3 +155,27 @@ def cyclic(value: Column, period: float) -> tuple[Column, Column]:
 def uniform(*key: Column | str, salt: int = 0) -> Column:
     """A number in [0, 1) that depends on the key alone, so samples do not depend on partitions."""
     return F.pmod(F.xxhash64(F.lit(salt), *key), F.lit(1 << 30)) / float(1 << 30)
+
+
+#: A multiplicative generator modulo a prime, 2**31 - 1; all products fit a long.
+DRAW_PRIME, DRAW_FACTOR = 2_147_483_647, 48_271
+
+
+def draw(*key: Column | str, salt: int = 0) -> Column:
+    """As uniform, by whole-number arithmetic that any engine can repeat; keys are whole numbers from 0 up to 2**31."""
+    seed = F.lit(salt * 15_485_863 + 1).cast("long")
+    for k, part in enumerate(key):
+        seed = (seed + (F.col(part) if isinstance(part, str) else part) * (40_503 + 1_299_709 * k)) % DRAW_PRIME
+        for _ in range(3):
+            seed = (seed + 12_345) * DRAW_FACTOR % DRAW_PRIME
+    return seed / float(DRAW_PRIME)
+
+
+def draw_sql(*key: str, salt: int = 0) -> str:
+    """draw, as SQL."""
+    seed = f"{salt * 15_485_863 + 1}::bigint"
+    for k, part in enumerate(key):
+        seed = f"(({seed} + {part} * {40_503 + 1_299_709 * k}) % {DRAW_PRIME})"
+        for _ in range(3):
+            seed = f"((({seed} + 12345) * {DRAW_FACTOR}) % {DRAW_PRIME})"
+    return f"({seed} / {DRAW_PRIME}.0::double)"

@@ -10,22 +10,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .windows import range_cuts, range_of
+
 
 def configured(df: DataFrame, most: int = 5_000) -> DataFrame:
-    """df to be broadcast, after its rows were counted: more than `most` are an error, as configuration is small."""
-    if df.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} rows are no configuration")
-    return F.broadcast(df)
+    """df to be broadcast: more than `most` rows are an error, as configuration is small. The rows are counted in the plan
+    that uses them, on one more than `most` at most, so what df is made of runs once."""
+    counted = df.limit(most + 1).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
+    few = F.when(F.col("__n") <= most, F.lit(True)).otherwise(F.raise_error(F.lit(f"more than {most} rows are no configuration")).cast("boolean"))
+    return F.broadcast(counted.where(few).drop("__n"))
 
 
 #: Rows of a time slice of asof_nearest where no key spreads them, about.
 SLICE_ROWS = 200_000
 
 
-def slice_width(left: DataFrame, right: DataFrame, time: str) -> int:
-    """Width of slices that hold about SLICE_ROWS rows of evenly spread times."""
-    found = left.select(time).unionByName(right.select(time)).agg(F.count(time), F.min(time), F.max(time)).first()
-    return max(1, (found[2] - found[1]) // max(1, found[0] // SLICE_ROWS) + 1) if found[0] else 1
+def slice_of(left: DataFrame, right: DataFrame, time: str) -> Column:
+    """Numbers of slices of about SLICE_ROWS rows each, cut at quantiles of all times, so stray times leave the others spread."""
+    times = left.select(time).unionByName(right.select(time)).where(F.col(time).isNotNull())
+    return range_of(time, range_cuts(times, time, rows=SLICE_ROWS))
 
 
 def asof_nearest(left: DataFrame, right: DataFrame, time: str, by: list[str], values: list[str], tie: str, tolerance: int | None = None, slice_: int | None = None) -> DataFrame:
@@ -36,12 +39,12 @@ def asof_nearest(left: DataFrame, right: DataFrame, time: str, by: list[str], va
     so a key with very much history is spread. Rows look back in both orders of time, as a frame of all that
     follows would be scanned anew for every row. Of right rows at one time, an earlier one counts by its largest
     tie, a later one by its smallest."""
-    slice_ = slice_ or (86_400_000_000 if by else slice_width(left, right, time))
+    number = slice_of(left, right, time) if not by and slice_ is None else F.floor(F.col(time) / (slice_ or 86_400_000_000))
     found = F.struct(F.col(time).alias("t"), F.col(tie).alias("k"), *values)
-    rows = right.where(F.col(time).isNotNull()).withColumns({"__slice": F.floor(F.col(time) / slice_), "__row": found})
+    rows = right.where(F.col(time).isNotNull()).withColumns({"__slice": number, "__row": found})
     keys = [*by, "__slice"]
     edges = rows.groupBy(*keys).agg(F.min("__row").alias("__first"), F.max("__row").alias("__last"))
-    asked = left.withColumn("__slice", F.floor(F.col(time) / slice_))
+    asked = left.withColumn("__slice", number)
     spine = asked.select(*keys).unionByName(rows.select(*keys)).distinct().join(edges, keys, "left")
     earlier, later = (Window.partitionBy(*by).orderBy(c).rowsBetween(Window.unboundedPreceding, -1) for c in (F.asc("__slice"), F.desc("__slice")))
     carried = spine.select(*keys, F.last("__last", True).over(earlier).alias("__before"), F.last("__first", True).over(later).alias("__after"))
@@ -110,3 +113,25 @@ def same_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     left, right = (x.select(key).distinct() for x in (a, b))
     both = left.withColumn("l", F.lit(1)).join(right.withColumn("r", F.lit(1)), key, "full")
     return both.agg(F.count_if(F.col("r").isNull()).alias("only_left"), F.count_if(F.col("l").isNull()).alias("only_right"))
+
+
+def interval_overlay(df: DataFrame, key: list[str], start: str, end: str, rank: list[str | Column], values: list[str], width: int) -> DataFrame:
+    """(key, start, end, values): for every stretch of time that some interval [start, end) of a key covers, the values of the one
+    of greatest rank; neighbouring stretches of equal values are one. Ranks must tell intervals of a key apart.
+
+    Intervals are cut into buckets of `width`, within which each piece between two neighbouring ends is compared with the
+    intervals of its bucket, so a key's history is spread over tasks; only what changes meets in one row of pieces at the end."""
+    spread = df.where(F.col(end) > F.col(start)).withColumns({"__rank": F.struct(*rank), "__v": F.struct(*values)})
+    spread = spread.withColumn("__b", F.explode(buckets(F.col(start), F.col(end) - 1, width)))
+    held = spread.select(*key, "__b", "__rank", "__v", F.greatest(F.col(start), F.col("__b") * width).alias("__lo"), F.least(F.col(end), (F.col("__b") + 1) * width).alias("__hi"))
+    w = Window.partitionBy(*key, "__b").orderBy("__at")
+    pieces = held.select(*key, "__b", F.explode(F.array("__lo", "__hi")).alias("__at")).distinct().withColumn("__to", F.lead("__at").over(w)).where("__to is not null")
+    same = F.col("__b") == F.col("__c")
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    inside = (F.col("__lo") <= F.col("__at")) & (F.col("__hi") >= F.col("__to"))
+    won = pieces.join(held.withColumnsRenamed({k: f"__{k}" for k in key} | {"__b": "__c"}), same & inside).groupBy(*key, "__at", "__to").agg(F.max_by("__v", "__rank").alias("__v"))
+    along = Window.partitionBy(*key).orderBy("__at")
+    changed = ~F.coalesce((F.lag("__to").over(along) == F.col("__at")) & F.lag("__v").over(along).eqNullSafe(F.col("__v")), F.lit(False))
+    runs = won.withColumn("__run", F.sum(changed.cast("int")).over(along))
+    return runs.groupBy(*key, "__run").agg(F.min("__at").alias(start), F.max("__to").alias(end), F.first("__v").alias("__v")).select(*key, start, end, "__v.*")

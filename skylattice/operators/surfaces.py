@@ -140,9 +140,9 @@ class PrismTable:
         self.radial = np.array([r["z_form"] == "radial" for r in rows], bool)
         self.corners = np.array([[(p["x"], p["y"]) for p in r["ring"]] or [(nan, nan)] * 4 for r in rows], float).reshape(-1, 4, 2)
 
-    def distances(self, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
-        """Signed distance of every point to every prism."""
-        f, (x, y, z) = self.fields, (v[:, None] for v in (x, y, z))
+    def footprints(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Signed distance of every point (columns) to every prism's outline in the plane, negative inside."""
+        f = self.fields
         gap, inside = np.full((len(x), len(self.surface)), np.inf), np.zeros((len(x), len(self.surface)), bool)
         for k in range(4):
             (ax, ay), (bx, by) = self.corners[:, k].T, self.corners[:, (k + 1) % 4].T
@@ -152,7 +152,12 @@ class PrismTable:
             straddles = (ay > y) != (by > y)
             inside ^= straddles & (x < ax + py * ex / np.where(straddles, ey, 1.0))
         away = np.sqrt((x - f["cx"]) ** 2 + (y - f["cy"]) ** 2)
-        flat = np.where(np.isnan(f["r_out"]), np.where(inside, -gap, gap), np.fmax(away - f["r_out"], f["r_in"] - away))
+        return np.where(np.isnan(f["r_out"]), np.where(inside, -gap, gap), np.fmax(away - f["r_out"], f["r_in"] - away))
+
+    def distances(self, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """Signed distance of every point to every prism."""
+        f, (x, y, z) = self.fields, (v[:, None] for v in (x, y, z))
+        flat, away = self.footprints(x, y), np.sqrt((x - f["cx"]) ** 2 + (y - f["cy"]) ** 2)
         top = np.where(self.radial, f["c"] + f["slope"] * (away - f["r0"]), f["a"] * x + f["b"] * y + f["c"])
         high = np.maximum(z - top, f["z_low"] - z)
         return np.where((flat <= 0) & (high <= 0), np.maximum(flat, high), np.sqrt(np.maximum(flat, 0) ** 2 + np.maximum(high, 0) ** 2))
@@ -187,6 +192,45 @@ def prism_distances(points: DataFrame, prisms: DataFrame, key: list[str]) -> Dat
     return placed(points, key).mapInArrow(run, kinds.add("surface", "string").add("end_id", "string").add("sd", "double"))
 
 
+def prism_use(points: DataFrame, prisms: DataFrame) -> DataFrame:
+    """(surface, end_id, n_pairs, n_inside, sd) of the prisms: how many points were tested, how many are inside, and the least signed
+    distance. Batches are summed before anything leaves them, a row for each prism's kind and end."""
+    table = PrismTable(prisms)
+    groups = sorted(set(zip(table.surface, table.end, strict=True)))
+    member = np.array([groups.index(g) for g in zip(table.surface, table.end, strict=True)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tested, inside, least = np.zeros(len(groups), np.int64), np.zeros(len(groups), np.int64), np.full(len(groups), np.inf)
+        for _, sd in table.batches(batches):
+            tested += np.bincount(member, minlength=len(groups)) * len(sd)
+            inside += np.bincount(member, (sd <= 0).sum(axis=0), len(groups)).astype(np.int64)
+            np.minimum.at(least, member, sd.min(axis=0, initial=np.inf))
+        yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in groups], pa.string()) for k in (0, 1)] + [pa.array(tested), pa.array(inside), pa.array(least)], ["surface", "end_id", "n_pairs", "n_inside", "sd"])
+
+    found = placed(points, []).mapInArrow(run, "surface string, end_id string, n_pairs long, n_inside long, sd double")
+    return found.groupBy("surface", "end_id").agg(F.sum("n_pairs").alias("n_pairs"), F.sum("n_inside").alias("n_inside"), F.min("sd").alias("sd"))
+
+
+def family_distances(points: DataFrame, prisms: DataFrame, key: list[str], families: dict[str, list[str] | None]) -> DataFrame:
+    """(key, one column for each family): the plane distance of each point to the union of the footprints of a family's
+    surfaces (None: of all), 0 inside of it; infinite for a family without any. What overlaps needs no union: a point is
+    inside if it is in one footprint, and outside of all the nearest one is the nearest of the union."""
+    table, kinds = PrismTable(prisms), points.select(*key).schema
+    members = {name: np.array([surfaces is None or s in surfaces for s in table.surface], bool) for name, surfaces in families.items()}
+    for name in families:
+        kinds = kinds.add(name, "double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = max(1, PAIRS // max(1, len(table.surface)))
+        for batch in batches:
+            for k in range(0, batch.num_rows, size):
+                part = batch.slice(k, size)
+                flat = np.maximum(table.footprints(*(part.column(c).to_numpy(zero_copy_only=False)[:, None] for c in ("__x", "__y"))), 0.0)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in key), *(pa.array(flat[:, m].min(axis=1, initial=np.inf)) for m in members.values())], [*key, *families])
+
+    return points.select(*key, *(F.col(c).cast("double").alias(f"__{c}") for c in "xy")).mapInArrow(run, kinds)
+
+
 def near_prisms(points: DataFrame, prisms: DataFrame, key: list[str]) -> DataFrame:
     """(key, n_inside, sd, surface) of each point: in how many prisms it is, the least signed distance, and the surface
     that is nearest to a millionth; the first by surface and end wins ties. Nothing is shuffled."""

@@ -138,15 +138,52 @@ def temporal_holdout(df: DataFrame, day: str, key: list[str], share: float = 0.2
 RANGE_ROWS = 100_000
 
 
+def range_cuts(df: DataFrame, order: str, ranges: int | None = None, rows: int | None = None) -> list[float]:
+    """Values of a column that cut df into ranges of about `rows` rows (RANGE_ROWS); the driver knows only these."""
+    ranges = ranges or max(1, min(1024, df.count() // (rows or RANGE_ROWS)))
+    return sorted(set(df.approxQuantile(order, [k / ranges for k in range(1, ranges)], 0.5 / ranges))) if ranges > 1 else []
+
+
+def range_of(order: str, cuts: list[float]) -> Column:
+    """Number of the range that a value lies in."""
+    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(order))) if cuts else F.lit(0)
+
+
+def fifo_scan(arrivals: DataFrame, key: list[str], order: list[str], at: str, service: str, ranges: int | None = None) -> DataFrame:
+    """fifo_waits where one server may hold very many arrivals: a (max, plus) scan in two passes over ranges.
+
+    Serving a stretch of arrivals turns the time a server is free, D, into max(D + S, M): S is the stretch's service
+    time and M the end of its service had the server been free throughout. Such maps compose, so ranges of the first
+    column of order are scanned by themselves, and each takes over what the maps of those before it, one row a
+    range, make of an idle server. A null time or service is an error of the caller's."""
+    placed = arrivals.withColumn("__range", range_of(order[0], range_cuts(arrivals, order[0], ranges)))
+    w = Window.partitionBy(*key, "__range").orderBy(*order).rowsBetween(*RUNNING)
+    inner = placed.withColumn("__s", F.sum(service).over(w))
+    inner = inner.withColumn("__m", F.max(F.col(at) - (F.col("__s") - F.col(service))).over(w))
+    maps = placed_maps(inner, key, service)
+    earlier = Window.partitionBy(*key).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    maps = maps.withColumn("__before", F.coalesce(F.sum("__all").over(earlier), F.lit(0)))
+    maps = maps.withColumn("__since", F.max(F.col("__late") - F.col("__before")).over(earlier))
+    carried = maps.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(key)), F.col("__range").alias("__r"), "__before", "__since")
+    same = F.col("__range") == F.col("__r")
+    for i, k in enumerate(key):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    found = inner.join(carried, same)
+    latest = F.greatest(F.col("__m"), F.col("__since") + F.col("__before"))  # greatest skips nulls: nothing came before
+    return found.withColumn("wait", F.col("__s") + latest - F.col(service) - F.col(at)).drop("__s", "__m", "__range", "__r", "__before", "__since", *(f"__k{i}" for i in range(len(key))))
+
+
+def placed_maps(inner: DataFrame, key: list[str], service: str) -> DataFrame:
+    """(key, __range, __all, __late): of each range its service time, and the latest start less service before it."""
+    return inner.groupBy(*key, "__range").agg(F.sum(service).alias("__all"), F.max("__m").alias("__late"))
+
+
 def running_sums(df: DataFrame, order: str, sums: dict[str, str], ranges: int | None = None) -> DataFrame:
     """Running sums over the whole table in the order of a column of distinct values, by default in ranges of about RANGE_ROWS.
 
     The table is cut into ranges of values, of which the driver knows only the cuts; each range is
     summed by itself and shifted by the totals of those before it, one row for each range."""
-    ranges = ranges or max(1, min(1024, df.count() // RANGE_ROWS))
-    cuts = sorted(set(df.approxQuantile(order, [k / ranges for k in range(1, ranges)], 0.5 / ranges))) if ranges > 1 else []
-    place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(order))) if cuts else F.lit(0)
-    placed = df.withColumn("__range", place)
+    placed = df.withColumn("__range", range_of(order, range_cuts(df, order, ranges)))
     totals = placed.groupBy("__range").agg(*(F.sum(c).alias(n) for n, c in sums.items()))
     earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     shift = totals.select("__range", *(F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"__{n}") for n in sums))

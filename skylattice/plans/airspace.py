@@ -18,7 +18,8 @@ from ..operators import surfaces as S
 from ..operators import voxels as V
 from ..operators import windows as W
 from ..sources import readers as R
-from .bridge import ENDS, OBS, PATH_ORDER, SECOND, SLICE, WAYPOINTS, WX, ends, obs, table, waypoints, wx
+from . import kpis, spatial, tracks
+from .bridge import ENDS, EPOCH, OBS, PATH_ORDER, SECOND, SLICE, SPAN, WAYPOINTS, WX, ends, obs, table, waypoints, wx
 from .spatial import GRID, LOW, SEGMENTS, SHAPE, STEP, distances, segments, traffic_of
 
 QUERIES, ORACLES = {}, {}
@@ -82,7 +83,11 @@ def active_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of a few kilometres with their active ends; some have no arrival, some no departure end."""
     k = F.col("seg_id")
     seg = segments(spark, sf_dir).withColumns({"x1": F.col("x0") + 2000 - k * 13 % 4001, "y1": F.col("y0") + 2000 - k * 29 % 4001})
-    seg = seg.withColumns({"arr_at": F.when(k % 7 > 0, k % 5), "dep_at": F.when(k % 11 > 0, (k * 3 + 2) % 5)})
+    return with_ends(spark, sf_dir, seg.withColumns({"arr_at": F.when(k % 7 > 0, k % 5), "dep_at": F.when(k % 11 > 0, (k * 3 + 2) % 5)}))
+
+
+def with_ends(spark: SparkSession, sf_dir: str, seg: DataFrame) -> DataFrame:
+    """seg with its active ends (by arr_at and dep_at, null for none) and its middle."""
     e = ends(spark, sf_dir)
     for p in ("arr", "dep"):
         seg = seg.join(L.ends_as(e, f"{p}_"), F.col(f"{p}_at") == F.col(f"{p}_pos"), "left")
@@ -119,16 +124,17 @@ def axis_sql(p: str) -> str:
     return f"coalesce({t} between 0 and 1 and {a0} + {t} * ({a1} - {a0}) between -200 and {p}.length + 200 and s.z0 + {t} * (s.z1 - s.z0) <= 609.6, false)"
 
 
-ACTIVE = f"""{ENDS}, {OBS}, {SEGMENTS}, act as (select * replace (x0 + 2000 - seg_id * 13 % 4001 as x1, y0 + 2000 - seg_id * 29 % 4001 as y1), case when seg_id % 7 > 0 then seg_id % 5 end as arr_at, case when seg_id % 11 > 0 then (seg_id * 3 + 2) % 5 end as dep_at, (t0 + t1) // 2 as mid_t from segments),
-runway as (select s.seg_id, min(sqrt(pow(al - least(greatest(al, 0), length), 2) + ac * ac + mz * mz)) as d_runway from (select seg_id, (x0 + x1) / 2.0 as mx, (y0 + y1) / 2.0 as my, (z0 + z1) / 2.0 as mz from act) s, lateral (select length, (mx - x0) * ux + (my - y0) * uy as al, (my - y0) * ux - (mx - x0) * uy as ac from ends) group by s.seg_id),
+ACT = f"""{SEGMENTS}, act as (select * replace (x0 + 2000 - seg_id * 13 % 4001 as x1, y0 + 2000 - seg_id * 29 % 4001 as y1), case when seg_id % 7 > 0 then seg_id % 5 end as arr_at, case when seg_id % 11 > 0 then (seg_id * 3 + 2) % 5 end as dep_at, (t0 + t1) // 2 as mid_t from segments)"""
+AROUND = f"""runway as (select s.seg_id, min(sqrt(pow(al - least(greatest(al, 0), length), 2) + ac * ac + mz * mz)) as d_runway from (select seg_id, (x0 + x1) / 2.0 as mx, (y0 + y1) / 2.0 as my, (z0 + z1) / 2.0 as mz from act) s, lateral (select length, (mx - x0) * ux + (my - y0) * uy as al, (my - y0) * ux - (mx - x0) * uy as ac from ends) group by s.seg_id),
 mids as (select s.*, (x0 + x1) / 2.0 as mx, (y0 + y1) / 2.0 as my, (z0 + z1) / 2.0 as mz, d_runway from act s join runway using (seg_id))"""
+ACTIVE = f"{ENDS}, {OBS}, {ACT}, {AROUND}"
 MID, SAMPLE = volumes("s.mx", "s.my", "s.mz"), volumes("(s.x0 + t * (s.x1 - s.x0))", "(s.y0 + t * (s.y1 - s.y0))", "(s.z0 + t * (s.z1 - s.z0))")
 SD = f"coalesce(case when {MID['approach']} or {MID['missed']} or {MID['departure']} then -1 else 1 end * least({MID['d_approach']}, {MID['d_departure']}), d_runway)"
 
 
-def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Causes of conflict of each segment, and its distance to the active volumes halfway."""
-    seg = active_segments(spark, sf_dir)
+def labelled(spark: SparkSession, sf_dir: str, seg: DataFrame | None = None) -> DataFrame:
+    """Causes of conflict of each segment, by default of the orders', and its distance to the active volumes halfway."""
+    seg = active_segments(spark, sf_dir) if seg is None else seg
     mid = tuple(F.col(f"mid_{c}") for c in "xyz")
     runway = nearest_runway(spark, sf_dir, seg)
     traffic = traffic_of(spark, sf_dir, seg).select("seg_id", F.col("near").alias("traffic"))
@@ -153,17 +159,57 @@ def nearest_runway(spark: SparkSession, sf_dir: str, seg: DataFrame) -> DataFram
 TRAFFIC = f"""b as (select seg_id, t0, t1, x0, x1, y0, y1, z0, z1, unnest(range(t0 // {SLICE}, t1 // {SLICE} + 1)) as bucket from act), ob as (select *, t // {SLICE} as slot from obs),
 traffic as (select seg_id, bool_or(sqrt(pow(x - x0 - f * (x1 - x0), 2) + pow(y - y0 - f * (y1 - y0), 2)) < 2778 and abs(z - z0 - f * (z1 - z0)) < 304.8) as near from
   (select b.*, ob.x, ob.y, ob.z, (ob.t - t0) / (t1 - t0)::double as f from b join ob on slot = bucket and ob.t >= t0 and ob.t <= t1) group by seg_id)"""
-LABELLED = f"""{ACTIVE}, {TRAFFIC}, hits as (select s.seg_id, bool_or({SAMPLE['approach']}) as approach, bool_or({SAMPLE['departure']}) as departure, bool_or({SAMPLE['missed']}) as missed
+CAUSES = f"""{TRAFFIC}, hits as (select s.seg_id, bool_or({SAMPLE['approach']}) as approach, bool_or({SAMPLE['departure']}) as departure, bool_or({SAMPLE['missed']}) as missed
   from mids s cross join (select i / 15.0::double as t from range(16) r(i)) left join ends a on a.pos = s.arr_at left join ends d on d.pos = s.dep_at group by s.seg_id),
 flags as (select s.seg_id, coalesce(near, false) as near, {axis_sql('a')} or {axis_sql('d')} as axis, approach, departure, missed, {SD} as sd from mids s left join ends a on a.pos = s.arr_at left join ends d on d.pos = s.dep_at join hits h on h.seg_id = s.seg_id left join traffic q on q.seg_id = s.seg_id),
 labelled as (select *, concat_ws(',', case when near then 'adsb_near' end, case when axis then 'axis_cross' end, case when approach then 'approach_prism' end, case when departure then 'departure_prism' end, case when missed then 'missed_approach' end, case when sd < 30 then 'sdf_buffer' end) as cause from flags)"""
 
 
+LABELLED = f"{ACTIVE}, {CAUSES}"
+
+
 @query(f"with {LABELLED} select seg_id, cause, cast(cause <> '' as integer) as conflict, round(sd, 3) as sdf_mid from labelled")
 def segment_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled(spark, sf_dir).select("seg_id", "cause", (F.col("cause") != "").cast("int").alias("conflict"), F.round("sdf_mid", 3).alias("sdf_mid"))
 
 
+#: Flights drawn for each time slice, and their box.
+DRAWN_EACH, HALF_M, LOW_M, HIGH_M = 2, 10_000.0, 200.0, 3_500.0
+U, V_ = (lambda salt: X.draw_sql("seg_id", "try_no", salt=salt)), (lambda salt: X.draw_sql("seg_id", salt=salt))
+CLIMB, DESCENT = M.angle_limits()
+DRAWN = f"""slices as (select slice, row_number() over (order by slice) - 1 as slice_no, slice * {SLICE} + {SLICE // 2} as t, case when slice % 7 > 0 then slice % 5 end as arr_at, case when slice % 11 > 0 then (slice * 3 + 2) % 5 end as dep_at from (select distinct t // {SLICE} as slice from obs)),
+ports as (select n_nationkey as port_no, n_nationkey * 700 - 8400 as px, n_nationkey * 1100 % 9001 - 4500 as py, n_nationkey * 3 as pz from nation),
+tries as (select *, cbrt({U(2)} * ({80.0**3 - 8.0**3}::double) + {8.0**3}::double) / 72::double - 8 / 72::double as h, 2 * pi() * {U(4)} as a from (select seg_id, try_no, cast(floor({U(1)} * (select count(*) from ports)) as bigint) as port_no from range((select {DRAWN_EACH} * count(*) from slices)) s(seg_id), range({M.TRIES}) r(try_no)) join ports using (port_no)),
+spots as (select seg_id, try_no, port_no, round(px + sqrt({U(3)}) * (8 + 72 * h) * cos(a), 3) as x0, round(py + sqrt({U(3)}) * (8 + 72 * h) * sin(a), 3) as y0, round(pz + h * 300::double, 3) as z0,
+  round(({U(5)} * 2 - 1) * {HALF_M}::double, 3) as x1, round(({U(6)} * 2 - 1) * {HALF_M}::double, 3) as y1, round({LOW_M}::double + {U(7)} * {HIGH_M - LOW_M}::double, 3) as z1 from tries),
+fit as (select * from spots where sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) >= 200 and degrees(atan2(z1 - z0, sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)))) between {-DESCENT!r}::double and {CLIMB!r}::double),
+chosen as (select * from fit qualify row_number() over (partition by seg_id order by try_no) = 1),
+timed as (select c.*, t, arr_at, dep_at, sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2) + pow(z1 - z0, 2)) / 67.0::double as d from chosen c join slices on slice_no = cast(floor({V_(8)} * (select count(*) from slices)) as bigint)),
+begun as (select *, t + cast(floor((case when d < 900 then {V_(9)} * (900::double - d) else 0 end - 450::double) * 1e6::double) as bigint) as t0 from timed),
+ended as (select *, t0 + cast(floor(d * 1e6::double) as bigint) as t1 from begun),
+act as (select * exclude (t), (t0 + t1) // 2 as mid_t from ended)"""
+
+
+def drawn_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flights drawn over the time slices that have traffic, from a vertiport for each nation, with the slices' active ends."""
+    o = obs(spark, sf_dir).select(F.floor(F.col("t") / SLICE).cast("long").alias("slice")).distinct()
+    k = F.col("slice")
+    slices = W.running_sums(o.withColumn("one", F.lit(1)), "slice", {"nth": "one"}).select(
+        (F.col("nth") - 1).alias("slice_no"), (k * SLICE + SLICE // 2).alias("t"), F.when(k % 7 > 0, k % 5).alias("arr_at"), F.when(k % 11 > 0, (k * 3 + 2) % 5).alias("dep_at"),
+    )
+    n = F.col("n_nationkey")
+    ports = table(spark, sf_dir, "nation").select(n.cast("long").alias("port_no"), (n * 700 - 8400).alias("px"), (n * 1100 % 9001 - 4500).alias("py"), (n * 3).alias("pz"))
+    n_slices, n_ports = o.count(), ports.count()
+    return M.draw_flights(spark, DRAWN_EACH * n_slices, slices, n_slices, ports, n_ports, HALF_M, LOW_M, HIGH_M, SLICE / 1e6, funnel=(S.FUNNEL_LOW, S.FUNNEL_HIGH, S.FUNNEL_TOP))
+
+
+@query(f"with {ENDS}, {OBS}, {DRAWN}, {AROUND}, {CAUSES} select l.seg_id, port_no, x0, z0, x1, z1, t0, t1, cause, cast(cause <> '' as integer) as conflict, round(sd, 3) as sdf_mid from labelled l join act using (seg_id)")
+def sampled_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flights drawn out of funnels over all time slices, with their causes of conflict: sampling and labels in one plan."""
+    found = labelled(spark, sf_dir, with_ends(spark, sf_dir, drawn_flights(spark, sf_dir)))
+    return found.select("seg_id", "port_no", "x0", "z0", "x1", "z1", "t0", "t1", "cause", (F.col("cause") != "").cast("int").alias("conflict"), F.round("sdf_mid", 3).alias("sdf_mid"))
+
+
 @query(f"with {LABELLED} select seg_id % 5 as config, count(*) as n, cast(count_if(cause <> '') as bigint) as n_conflict, round(avg(case when cause <> '' then 1.0 else 0.0 end), 6) as rate from labelled group by 1")
 def conflict_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = F.col("cause") != ""
@@ -172,9 +218,9 @@ def conflict_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with {ACTIVE}, {WX}, wide as (select x, y, z, t, unnest([t // {300 * SECOND} - 1, t // {300 * SECOND}, t // {300 * SECOND} + 1]) as wt from obs),
 dense as (select seg_id, count(*) as n from mids join wide w on w.wt = mid_t // {300 * SECOND} and abs(x - mx) < 1500 and abs(y - my) < 1500 and abs(z - mz) < 150 and abs(t - mid_t) <= {300 * SECOND} group by 1),
-report as (select seg_id, arg_min({{'d': wind_dir, 'v': vis, 'c': ceil}}, (abs(m.mid_t - w.t), w.t, w.event_id)) as r from mids m, wx w group by seg_id)
+report as (select seg_id, arg_min({{'d': wind_dir, 's': event_id % 40, 'v': vis, 'c': ceil}}, (abs(m.mid_t - w.t), w.t, w.event_id)) as r from mids m, wx w group by seg_id)
 select s.seg_id, round(abs({SD}), 3) as d_ols_m, round(d_runway, 3) as d_runway_m, round(coalesce({MID['d_approach']}, 1e6), 3) as d_approach_m, round(coalesce({MID['d_departure']}, 1e6), 3) as d_departure_m,
-  round(coalesce(n, 0) / (9e6 * 300 * 600) * 1e12, 6) as traffic_density, round(sin(radians(r.d)), 6) as wind_dir_sin, round(cos(radians(r.d)), 6) as wind_dir_cos, round(r.v * 1609.344::double, 3) as visibility_m, round(r.c * 0.3048::double, 3) as ceiling_m,
+  round(coalesce(n, 0) / (9e6 * 300 * 600) * 1e12, 6) as traffic_density, round(sin(radians(r.d)), 6) as wind_dir_sin, round(cos(radians(r.d)), 6) as wind_dir_cos, round(r.s * 0.514444::double, 4) as wind_speed_mps, round(r.v * 1609.344::double, 3) as visibility_m, round(r.c * 0.3048::double, 3) as ceiling_m,
   round(sin(mid_t // 60000000 % 1440 / 60.0 * (2 * pi() / 24)), 6) as hour_sin, round(cos(mid_t // 60000000 % 1440 / 60.0 * (2 * pi() / 24)), 6) as hour_cos, {', '.join(f'cast(arr_at is not null and arr_at = {k} as integer) as cfg_{k}' for k in range(5))}
 from mids s left join ends a on a.pos = s.arr_at left join ends d on d.pos = s.dep_at left join dense q on q.seg_id = s.seg_id join report w on w.seg_id = s.seg_id""")
 def segment_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,15 +231,15 @@ def segment_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     close = (F.abs(F.col("x") - x) < 1500) & (F.abs(F.col("y") - y) < 1500) & (F.abs(F.col("z") - z) < 150) & (F.abs(F.col("t") - F.col("mid_t")) <= 300 * SECOND)
     asks = seg.select("seg_id", "mid_x", "mid_y", "mid_z", "mid_t")
     dense = J.box_join(asks, o, {("mid_x", "x"): 1500, ("mid_y", "y"): 1500, ("mid_t", "t"): 300 * SECOND}, close).groupBy("seg_id").agg(F.count("*").alias("n"))
-    reports = wx(spark, sf_dir).select(F.col("t").alias("mid_t"), "event_id", "wind_dir", "vis", "ceil")
-    weather = J.asof_nearest(asks.select("seg_id", "mid_t"), reports, "mid_t", [], ["wind_dir", "vis", "ceil"], "event_id").drop("mid_t")
+    reports = wx(spark, sf_dir).select(F.col("t").alias("mid_t"), "event_id", "wind_dir", (F.col("event_id") % 40).alias("wind_kt"), "vis", "ceil")
+    weather = J.asof_nearest(asks.select("seg_id", "mid_t"), reports, "mid_t", [], ["wind_dir", "wind_kt", "vis", "ceil"], "event_id").drop("mid_t")
     seg = seg.join(nearest_runway(spark, sf_dir, seg), "seg_id").join(dense, "seg_id", "left").join(weather, "seg_id")
     sd = L.active_distance(x, y, z, "arr_", "dep_", F.col("d_runway"))
     (wind_sin, wind_cos), (hour_sin, hour_cos) = X.cyclic(F.col("wind_dir"), 360.0), X.cyclic(F.floor(F.col("mid_t") / 60_000_000) % 1440 / 60.0, 24.0)
     columns = {
         "d_ols_m": (F.abs(sd), 3), "d_runway_m": (F.col("d_runway"), 3),
         "d_approach_m": (F.coalesce(L.beside(L.approach_of(x, y, "arr_"), z, "arr_"), F.lit(L.NOWHERE_M)), 3), "d_departure_m": (F.coalesce(L.beside(L.departure_of(x, y, "dep_"), z, "dep_"), F.lit(L.NOWHERE_M)), 3),
-        "traffic_density": (F.coalesce("n", F.lit(0)) / F.lit(9e6 * 300 * 600) * 1e12, 6), "wind_dir_sin": (wind_sin, 6), "wind_dir_cos": (wind_cos, 6),
+        "traffic_density": (F.coalesce("n", F.lit(0)) / F.lit(9e6 * 300 * 600) * 1e12, 6), "wind_dir_sin": (wind_sin, 6), "wind_dir_cos": (wind_cos, 6), "wind_speed_mps": (F.col("wind_kt") * X.KT_MS, 4),
         "visibility_m": (F.col("vis") * X.SM_M, 3), "ceiling_m": (F.col("ceil") * X.FT_M, 3), "hour_sin": (hour_sin, 6), "hour_cos": (hour_cos, 6),
     }
     configs = (F.coalesce((F.col("arr_at") == k).cast("int"), F.lit(0)).alias(f"cfg_{k}") for k in range(5))
@@ -328,27 +374,44 @@ def corridor_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("path", F.round(road, 4).alias("road_min"), F.round(F.col("km") / 5 * 60 + 1, 4).alias("walk_min"), F.round(road - flight, 4).alias("saving_min"), F.round((road - flight) * F.col("weight") * (1 + share), 3).alias("pax_score"))
 
 
-@query(f"""with {SAFETY}, {CAPACITY}, {ACCESS}, c as (select o_orderkey as path, o_orderstatus <> 'P' as feasible from orders)
+def of_path(name: str) -> str:
+    return f"left join ({spatial.ORACLES[name]}) {name} using (path)"
+
+
+@query(f"""with {SAFETY}, {CAPACITY}, {ACCESS}, c as (select o_orderkey as path, o_orderstatus <> 'P' as feasible, o_orderkey % 5 as pos, ({EPOCH} + o_orderkey * 977 % {SPAN}) // 86400 as day, ({EPOCH} + o_orderkey * 977 % {SPAN}) // 3600 % 24 as flown from orders)
 select path, feasible, case when feasible then violation_rate else 1.0 end as violation_rate, case when feasible then min_margin end as min_margin, case when feasible then approach_s else 0 end as approach_s, case when feasible then departure_s else 0 end as departure_s,
-  case when feasible then funnel_ok else 0 end as funnel_ok, case when feasible then cross_s else -1 end as cross_s, case when feasible then ops_per_hour else 0 end as ops_per_hour, road_min, walk_min, case when feasible then saving_min else 0 end as saving_min, case when feasible then pax_score else 0 end as pax_score
-from c join safety using (path) join capacity using (path) join access using (path)""")
+  case when feasible then funnel_ok else 0 end as funnel_ok, case when feasible then cross_s else -1 end as cross_s, case when feasible then ops_per_hour else 0 end as ops_per_hour, road_min, walk_min, case when feasible then saving_min else 0 end as saving_min, case when feasible then pax_score else 0 end as pax_score,
+  case when feasible then min_lateral_nm end as min_lateral_nm, case when feasible then min_vertical_ft end as min_vertical_ft, case when feasible then coalesce(crossings, 0) else 0 end as crossings, case when feasible then coalesce(n_aircraft, 0) else 0 end as n_aircraft,
+  case when feasible then closure_rate end as closure_rate, case when feasible then coalesce(extra_us, 0) end as extra_us, case when feasible then coalesce(throughput_share, 1) end as throughput_share, reliability_pct
+from c left join safety using (path) left join capacity using (path) left join access using (path) {of_path("path_min_separation")} {of_path("crossings_sign")} {of_path("proximity_distinct")} {of_path("voxel_closure_rate")}
+left join ({tracks.ORACLES["throughput_share"]}) t on t.pos = c.pos and t.hour = c.day left join ({kpis.ORACLES["weather_reliability"]}) w on w.hour = c.flown""")
 def kpi_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each corridor with all indicators; infeasible ones have the defaults."""
-    c = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path"), (F.col("o_orderstatus") != "P").alias("feasible"))
-    k = reduce(lambda a, b: a.join(b, "path"), (f(spark, sf_dir) for f in (corridor_safety, corridor_capacity, corridor_access)), c)
+    """One row for each corridor with all indicators; infeasible ones have the defaults. Delay and throughput are those of
+    the corridor's runway and hour, weather reliability that of its hour of the day. What an absent table would tell is null."""
+    key = F.col("o_orderkey")
+    begun = F.lit(EPOCH) + key * 977 % SPAN
+    c = table(spark, sf_dir, "orders").select(key.alias("path"), (F.col("o_orderstatus") != "P").alias("feasible"), (key % 5).alias("pos"), F.floor(begun / 86400).alias("hour"), (F.floor(begun / 3600) % 24).alias("flown"))
+    k = reduce(lambda a, b: a.join(b, "path", "left"), (f(spark, sf_dir) for f in (corridor_safety, corridor_capacity, corridor_access, spatial.path_min_separation, spatial.crossings_sign, spatial.voxel_closure_rate)), c)
+    k = k.join(spatial.proximity_distinct(spark, sf_dir).select("path", "n_aircraft"), "path", "left")
+    k = k.join(tracks.throughput_share(spark, sf_dir).select("pos", "hour", "extra_us", "throughput_share"), ["pos", "hour"], "left")
+    k = k.join(kpis.weather_reliability(spark, sf_dir).select(F.col("hour").alias("flown"), "reliability_pct"), "flown", "left")
+    k = k.fillna({"crossings": 0, "n_aircraft": 0, "extra_us": 0, "throughput_share": 1.0})
     defaults = {"violation_rate": 1.0, "min_margin": None, "approach_s": 0.0, "departure_s": 0.0, "funnel_ok": 0, "cross_s": -1.0, "ops_per_hour": 0.0, "saving_min": 0.0, "pax_score": 0.0}
+    defaults |= {"crossings": 0, "n_aircraft": 0} | dict.fromkeys(("min_lateral_nm", "min_vertical_ft", "closure_rate", "extra_us", "throughput_share"))
     kept = {n: F.when(F.col("feasible"), F.col(n)).otherwise(F.lit(v)).alias(n) for n, v in defaults.items()}
-    return k.select("path", "feasible", *(kept.get(n, n) for n in ("violation_rate", "min_margin", "approach_s", "departure_s", "funnel_ok", "cross_s", "ops_per_hour", "road_min", "walk_min", "saving_min", "pax_score")))
+    columns = ("violation_rate", "min_margin", "approach_s", "departure_s", "funnel_ok", "cross_s", "ops_per_hour", "road_min", "walk_min", "saving_min", "pax_score")
+    columns += ("min_lateral_nm", "min_vertical_ft", "crossings", "n_aircraft", "closure_rate", "extra_us", "throughput_share", "reliability_pct")
+    return k.select("path", "feasible", *(kept.get(n, n) for n in columns))
 
 
 @query(f"""with {WAYPOINTS}, {ENDS}, {GRID}, {FIELD}, v as (select ix, iy, iz, count(*) as n from inside group by all), w as (select *, {AT} from waypoints),
 d as (select *, x - lag(x) over o as dx, y - lag(y) over o as dy, z - lag(z) over o as dz from w window o as (partition by path order by k1, k2, k3)),
 e as (select d.path, dz, sqrt(dx * dx + dy * dy + dz * dz) as len, coalesce(n, 0) as n, sd from d join field using (ix, iy, iz) left join v using (ix, iy, iz) where dx is not null),
 t as (select *, len / case when dz > 0 then 30.0 when dz < 0 then 25.0 else 67.0 end as dt from e),
-q as (select *, case when dt > 0 then 250 + 600 * least(abs(dz) / dt / 7, 1) else 250 end * 1000 * dt as energy, n * len as noise, least(greatest(1 - sd / 1500, 0), 1) as impact, coalesce(dt > 0 and (dz / nullif(dt, 0) > 7 or dz / nullif(dt, 0) < -5), false) or sd <= 0 as banned from t)
-select path, round(sum(dt), 3) as time_s, round(sum(energy) / 1e6, 4) as energy_mj, round(sum(noise) / 1000, 3) as noise, round(sum(impact), 4) as impact, cast(count_if(banned) as bigint) as n_banned, round(sum(dt + 5e-4 * energy + 1e-3 * noise + 100 * impact), 1) as cost from q group by path""")
+q as (select *, case when dt > 0 then 250 + 600 * least(abs(dz) / dt / 7, 1) else 250 end * 1000 * dt as energy, n * len as noise, least(greatest(1 - sd / 1500, 0), 1) as impact, least(n / 50.0::double, 1) * dt as risk, coalesce(dt > 0 and (dz / nullif(dt, 0) > 7 or dz / nullif(dt, 0) < -5), false) or sd <= 0 as banned from t)
+select path, round(sum(dt), 3) as time_s, round(sum(energy) / 1e6, 4) as energy_mj, round(sum(noise) / 1000, 3) as noise, round(sum(impact), 4) as impact, round(sum(risk), 4) as risk_s, cast(count_if(banned) as bigint) as n_banned, round(sum(dt + 5e-4 * energy + 1e-3 * noise + 100 * impact), 1) as cost from q group by path""")
 def path_integrals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Time, energy, noise, capacity impact and cost along each path, and how many of its edges no flight may take."""
+    """Time, energy, noise, capacity impact, risk over time and cost along each path, and how many of its edges no flight may take."""
     w = on_grid(waypoints(spark, sf_dir))
     o = Window.partitionBy("path").orderBy(*PATH_ORDER)
     edges = w.withColumns({f"d{c}": F.col(c) - F.lag(c).over(o) for c in "xyz"}).where("dx is not null")
@@ -359,9 +422,9 @@ def path_integrals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rate = F.col("dz") / F.nullif(F.col("dt"), F.lit(0.0))
     power = F.when(F.col("dt") > 0, 250 + 600 * F.least(F.abs(dz) / F.nullif(F.col("dt"), F.lit(0.0)) / v.climb_limit, F.lit(1.0))).otherwise(250.0)
     banned = F.coalesce((rate > v.climb_limit) | (rate < -v.descent_limit), F.lit(False)) | (F.col("sd") <= 0)
-    q = edges.select("path", "dt", (power * 1000 * F.col("dt")).alias("energy"), (F.coalesce("n", F.lit(0)) * F.col("len")).alias("noise"), X.clip(1 - F.col("sd") / 1500).alias("impact"), banned.alias("banned"))
+    q = edges.select("path", "dt", (power * 1000 * F.col("dt")).alias("energy"), (F.coalesce("n", F.lit(0)) * F.col("len")).alias("noise"), X.clip(1 - F.col("sd") / 1500).alias("impact"), (X.clip(F.coalesce("n", F.lit(0)) / 50.0) * F.col("dt")).alias("risk"), banned.alias("banned"))
     cost = F.col("dt") + 5e-4 * F.col("energy") + 1e-3 * F.col("noise") + 100 * F.col("impact")
-    return q.groupBy("path").agg(F.round(F.sum("dt"), 3).alias("time_s"), F.round(F.sum("energy") / 1e6, 4).alias("energy_mj"), F.round(F.sum("noise") / 1000, 3).alias("noise"), F.round(F.sum("impact"), 4).alias("impact"), F.count_if("banned").alias("n_banned"), F.round(F.sum(cost), 1).alias("cost"))
+    return q.groupBy("path").agg(F.round(F.sum("dt"), 3).alias("time_s"), F.round(F.sum("energy") / 1e6, 4).alias("energy_mj"), F.round(F.sum("noise") / 1000, 3).alias("noise"), F.round(F.sum("impact"), 4).alias("impact"), F.round(F.sum("risk"), 4).alias("risk_s"), F.count_if("banned").alias("n_banned"), F.round(F.sum(cost), 1).alias("cost"))
 
 
 @query(f"""with {OBS}, t as (select distinct icao24, case icao24 % 3 when 0 then 'arrival' else 'departure' end as category from obs where icao24 % 4 > 0)

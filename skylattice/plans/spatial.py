@@ -11,7 +11,8 @@ from ..operators import joins as J
 from ..operators import surfaces as S
 from ..operators import voxels as V
 from ..operators import windows as W
-from .bridge import AXES, ENDS, OBS, PATH_ORDER, SECOND, SLICE, WAYPOINTS, ends, obs, table, waypoints
+from ..operators.nearest import nearest
+from .bridge import AXES, ENDS, EPOCH, OBS, PATH_ORDER, SECOND, SLICE, SPAN, WAYPOINTS, ends, obs, table, waypoints
 
 QUERIES, ORACLES = {}, {}
 LOW, STEP, SHAPE = (-10_000.0, -10_000.0, 0.0), (1000.0, 1000.0, 150.0), (20, 20, 12)
@@ -92,11 +93,21 @@ def nearest_prism(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.near_prisms(obs(spark, sf_dir), prisms, ["event_id"]).select("event_id", F.round("sd", 3).alias("sd"), "surface")
 
 
+FAMILIES = {"d_ols": None, "d_runway": ["strip"], "d_approach": ["approach"], "d_departure": ["takeoff"]}
+
+
+@query(f"""with {DISTANCES} select event_id, round(min(greatest(d, 0)), 3) as d_ols, {", ".join(f"round(min(greatest(d, 0)) filter (surface = '{s[0]}'), 3) as {n}" for n, s in FAMILIES.items() if s)} from boxed group by event_id""")
+def family_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plane distances to the unions of all footprints, of runway strips, approaches and departures; 0 inside."""
+    found = S.family_distances(obs(spark, sf_dir), S.prisms_of(ends(spark, sf_dir)), ["event_id"], FAMILIES)
+    return found.select("event_id", *(F.round(n, 3).alias(n) for n in FAMILIES))
+
+
 @query(f"with {DISTANCES} select surface, cast(count(distinct end_id) as bigint) as n_ends, cast(count(*) as bigint) as n_pairs, cast(count_if(sd <= 0) as bigint) as n_inside, round(min(sd), 3) as sd from boxed group by surface")
 def prism_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each kind of surface, its ends and how many observations are in one of its prisms."""
-    pairs = S.prism_distances(obs(spark, sf_dir), S.prisms_of(ends(spark, sf_dir)), ["event_id"])
-    return pairs.groupBy("surface").agg(F.count_distinct("end_id").alias("n_ends"), F.count("*").alias("n_pairs"), F.count_if(F.col("sd") <= 0).alias("n_inside"), F.round(F.min("sd"), 3).alias("sd"))
+    used = S.prism_use(obs(spark, sf_dir), S.prisms_of(ends(spark, sf_dir))).groupBy("surface")
+    return used.agg(F.count_distinct("end_id").alias("n_ends"), F.sum("n_pairs").alias("n_pairs"), F.sum("n_inside").alias("n_inside"), F.round(F.min("sd"), 3).alias("sd"))
 
 
 @query(f"with {OBS} select event_id, round(greatest(sqrt((x - 500) * (x - 500) + y * y) - (8 + 72 * least(greatest(z / 300.0, 0), 1)), -z, z - 300.0), 4) as sd from obs")
@@ -120,10 +131,6 @@ def box_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("event_id").join(counts, "event_id", "left").select("event_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-SPAN = 2_592_000
-EPOCH = 1_704_067_200
-
-
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flight segments: one for each order."""
     k = F.col("o_orderkey")
@@ -177,16 +184,28 @@ w as (select *, unnest([-1, 0, 1]) + cast(floor(x / 500.0) as bigint) as wx, cas
 d as (select path, icao24, sqrt(pow(v.x - c.x, 2) + pow(v.y - c.y, 2)) as lat, abs(v.z - c.z) as vert from v join cells c on c.cx = wx and c.cy = wy)
 select path, round(min(lat), 4) as min_lat, cast(count(distinct case when vert < 152.4 then icao24 end) as bigint) as n_aircraft from d where lat <= 500 group by path""")
 def proximity_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Paths share positions, so each position looks around itself once, and paths gather what theirs found.
-    w = waypoints(spark, sf_dir).select("path", "x", "y", "z")
+    # Paths share positions, so each position looks around itself once; paths then count distinct pairs of what theirs found.
+    w = waypoints(spark, sf_dir).select("path", "x", "y", "z").distinct()
     o = obs(spark, sf_dir).select("icao24", *(F.col(c).alias(f"o{c}") for c in "xyz"))
     near = F.sqrt(F.pow(F.col("x") - F.col("ox"), 2) + F.pow(F.col("y") - F.col("oy"), 2))
     places = w.select("x", "y", "z").distinct()
-    lat = J.nearest_within(places.select("x", "y").distinct(), o.select("ox", "oy"), [("x", "ox"), ("y", "oy")], near, ["x", "y"], 500.0)
-    low = J.box_join(places, o, {("x", "ox"): 500, ("y", "oy"): 500, ("z", "oz"): 152.4}, (near <= 500) & (F.abs(F.col("z") - F.col("oz")) < 152.4))
-    aircraft = low.groupBy("x", "y", "z").agg(F.collect_set("icao24").alias("aircraft"))
-    found = w.distinct().join(lat, ["x", "y"]).join(aircraft, ["x", "y", "z"], "left").groupBy("path").agg(F.min("distance").alias("lat"), F.collect_list("aircraft").alias("aircraft"))
-    return found.select("path", F.round("lat", 4).alias("min_lat"), F.size(F.array_distinct(F.flatten("aircraft"))).cast("long").alias("n_aircraft"))
+    lat = J.nearest_within(places.select("x", "y").distinct(), o.select("ox", "oy").distinct(), [("x", "ox"), ("y", "oy")], near, ["x", "y"], 500.0)
+    low = J.box_join(places, o.distinct(), {("x", "ox"): 500, ("y", "oy"): 500, ("z", "oz"): 152.4}, (near <= 500) & (F.abs(F.col("z") - F.col("oz")) < 152.4))
+    aircraft = w.join(low.select("x", "y", "z", "icao24").distinct(), ["x", "y", "z"]).groupBy("path").agg(F.count_distinct("icao24").alias("n"))
+    found = w.select("path", "x", "y").join(lat, ["x", "y"]).groupBy("path").agg(F.min("distance").alias("lat"))
+    return found.join(aircraft, "path", "left").select("path", F.round("lat", 4).alias("min_lat"), F.coalesce("n", F.lit(0)).cast("long").alias("n_aircraft"))
+
+
+@query(f"""with {WAYPOINTS}, {OBS}, p as (select distinct x, y from waypoints), o as (select distinct x as ox, y as oy from obs), v as (select distinct z from waypoints), h as (select distinct z as oz from obs),
+lat as (select x, y, sqrt(min((x - ox) * (x - ox) + (y - oy) * (y - oy))) as lat from p, o group by x, y), vert as (select z, min(abs(z - oz)) as vert from v, h group by z)
+select path, round(min(lat) / 1852, 6) as min_lateral_nm, round(min(vert) / 0.3048, 4) as min_vertical_ft from waypoints join lat using (x, y) join vert using (z) group by path""")
+def path_min_separation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least lateral and least vertical distance of every path to any traffic, however far, each by itself."""
+    w, o = waypoints(spark, sf_dir).select("path", "x", "y", "z"), obs(spark, sf_dir).select(*(F.col(c).alias(f"o{c}") for c in "xyz"))
+    lat = nearest(w, o, [("x", "ox"), ("y", "oy")]).withColumnRenamed("distance", "lat")
+    vert = nearest(w, o, [("z", "oz")]).withColumnRenamed("distance", "vert")
+    found = w.join(lat, ["x", "y"]).join(vert, "z").groupBy("path").agg(F.min("lat").alias("lat"), F.min("vert").alias("vert"))
+    return found.select("path", F.round(F.col("lat") / 1852, 6).alias("min_lateral_nm"), F.round(F.col("vert") / 0.3048, 4).alias("min_vertical_ft"))
 
 
 @query(f"""with {WAYPOINTS}, {ENDS}, p as (select w.*, (w.x - e.x0) * -ux + (w.y - e.y0) * -uy as along, abs((w.y - e.y0) * -ux - (w.x - e.x0) * -uy) as across, end_id from waypoints w, ends e),

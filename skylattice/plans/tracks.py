@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..functions import geodesy as G
 from ..operators import aggs as A
 from ..operators import joins as J
 from ..operators import windows as W
-from .bridge import ENDS, OBS, SECOND, SLICE, WX, ends, obs, table, wx
+from ..sources import readers as R
+from .bridge import ENDS, EPOCH, OBS, SECOND, SLICE, SPAN, WX, ends, obs, table, wx
 
 QUERIES, ORACLES = {}, {}
 
@@ -178,6 +180,85 @@ def fifo_extra_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return waits[0].withColumnRenamed("w", "plain").join(waits[1], "icao24").select("icao24", F.round(F.col("w") - F.col("plain"), 2).alias("extra_delay"))
 
 
+@query(f"""with {WX}, g as (select event_id % 7 as station, event_id as issue, t as issued, k, case k when 0 then 'BASE' else ['FM', 'BECMG', 'TEMPO'][(event_id + k) % 3 + 1] end as kind,
+  t + case k when 0 then 0 else (k * 5 + event_id % 4) * 3600000000 end as a, case k when 0 then vis else (event_id + k * 5) % 11 end as vis, case k when 0 then ceil else (event_id * 3 + k * 17) % 50 * 100 end as ceil from wx, range(4) r(k)),
+i as (select *, case kind when 'TEMPO' then a + 7200000000 else issued + 86400000000 end as b, case kind when 'BASE' then 0 when 'TEMPO' then 2 else 1 end as rank from g),
+ends as (select distinct station, unnest([a, b]) as edge from i), pieces as (select station, edge, lead(edge) over (partition by station order by edge) as upto from ends),
+won as (select p.station, edge, upto, arg_max({{'issue': issue, 'k': k, 'kind': kind, 'vis': vis, 'ceil': ceil}}, (issued, issue, rank, a, k)) as v from pieces p join i on i.station = p.station and a <= edge and b >= upto where upto is not null group by p.station, edge, upto),
+runs as (select *, sum(case when prev = edge and was = v then 0 else 1 end) over (partition by station order by edge) as run from (select *, lag(upto) over w as prev, lag(v) over w as was from won window w as (partition by station order by edge)))
+select station, min(edge) as from_us, max(upto) as to_us, any_value(v.issue) as issue, any_value(v.kind) as kind, any_value(v.vis) as vis, any_value(v.ceil) as ceil from runs group by station, run""")
+def forecast_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terminal forecasts, one for each sign-up, with three change groups each: the group that counts at every moment."""
+    e, k, hour = F.col("event_id"), F.col("k"), 3_600_000_000
+    g = wx(spark, sf_dir).select("event_id", "t", "vis", "ceil", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+    kind = F.when(k == 0, "BASE").otherwise(F.get(F.array(*map(F.lit, ("FM", "BECMG", "TEMPO"))), ((e + k) % 3).cast("int")))
+    begin = F.col("t") + F.when(k == 0, 0).otherwise((k * 5 + e % 4) * hour)
+    g = g.select((e % 7).alias("station"), e.alias("issue"), F.struct("t", "event_id").alias("issued"), k.alias("group_no"), kind.alias("kind"), begin.alias("from_us"), F.when(kind == "TEMPO", begin + 2 * hour).otherwise(F.col("t") + 24 * hour).alias("to_us"), F.when(k == 0, F.col("vis")).otherwise((e + k * 5) % 11).alias("vis"), F.when(k == 0, F.col("ceil")).otherwise((e * 3 + k * 17) % 50 * 100).alias("ceil"))
+    return R.forecast_timeline(g, hour).select("station", "from_us", "to_us", "issue", "kind", "vis", "ceil")
+
+
+def geodesic_sql(rounds: int = G.ROUNDS) -> str:
+    """CTEs up to plane (event_id, x, y): east and north of each place by the geodesic from the origin, round by round."""
+    f, b = "(1 / 298.257223563::double)", 6378137.0 * (1 - 1 / 298.257223563)
+    (s1, c1), e2 = G.reduced(33.9425), (6378137.0**2 - b**2) / b**2
+    s1, c1 = f"{s1!r}::double", f"{c1!r}::double"
+    out = [f"g0 as (select event_id, sin(u) as s2, cos(u) as c2, l, l as lam from (select event_id, atan((1 - {f}) * tan(radians(lat))) as u, radians(lon + 118.4081::double) as l from places))"]
+    for k in range(rounds + 1):
+        out.append(f"a{k} as (select *, c2 * sin(lam) as e, {c1} * s2 - {s1} * c2 * cos(lam) as n, {s1} * s2 + {c1} * c2 * cos(lam) as cs from g{k})")
+        out.append(f"b{k} as (select *, sqrt(e * e + n * n) as sn, atan2(sqrt(e * e + n * n), cs) as arc from a{k})")
+        out.append(f"c{k} as (select *, case when sn = 0 then 0 else {c1} * c2 * sin(lam) / sn end as al from b{k})")
+        out.append(f"d{k} as (select *, 1 - al * al as sq, case when 1 - al * al = 0 then 0 else cs - 2 * {s1} * s2 / (1 - al * al) end as mid from c{k})")
+        if k < rounds:
+            out.append(f"e{k} as (select *, {f} / 16 * sq * (4 + {f} * (4 - 3 * sq)) as kk from d{k})")
+            out.append(f"g{k + 1} as (select event_id, s2, c2, l, l + (1 - kk) * {f} * al * (arc + kk * sn * (mid + kk * cs * (2 * mid * mid - 1))) as lam from e{k})")
+    out.append(f"h as (select *, sq * {e2!r}::double as u2 from d{rounds})")
+    out.append("i as (select *, 1 + u2 / 16384 * (4096 + u2 * (-768 + u2 * (320 - 175 * u2))) as aa, u2 / 1024 * (256 + u2 * (-128 + u2 * (74 - 47 * u2))) as bb from h)")
+    out.append(f"j as (select *, {b!r}::double * aa * (arc - bb * sn * (mid + bb / 4 * (cs * (2 * mid * mid - 1) - bb / 6 * mid * (4 * sn * sn - 3) * (4 * mid * mid - 3)))) as s from i)")
+    out.append("plane as (select event_id, case when sn = 0 then 0 else s * e / sn end as x, case when sn = 0 then 0 else s * n / sn end as y from j)")
+    return ", ".join(out)
+
+
+@query(f"with {OBS}, places as (select event_id, 33.9425::double + y / 20000.0::double as lat, -118.4081::double + x / 20000.0::double as lon from obs), {geodesic_sql()} select p.event_id, round(x, 2) as x, round(y, 2) as y, round(lat, 7) as lat, round(lon, 7) as lon from plane p join places using (event_id)")
+def geodesic_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places within about 75 km of an origin on the azimuthal plane of the ellipsoid, and back again: lat and lon are the way back."""
+    places = obs(spark, sf_dir).select("event_id", (33.9425 + F.col("y") / 20000.0).alias("lat"), (-118.4081 + F.col("x") / 20000.0).alias("lon"))
+    plane = G.to_plane(places, "lat", "lon", 33.9425, -118.4081).drop("lat", "lon")
+    back = G.from_plane(plane, "x", "y", 33.9425, -118.4081)
+    return back.select("event_id", *(F.round(c, d).alias(c) for c, d in (("x", 2), ("y", 2), ("lat", 7), ("lon", 7))))
+
+
+#: Runway use: the bundled events are thin, so a day of them counts as an hour; service and block in microseconds.
+HOUR, SERVED, BLOCKED = 3_600_000_000, 60_000_000, 30_000_000
+
+
+@query(f"""with {OBS}, arrivals as (select event_id % 5 as pos, t // 86400000000 as hour, t % 86400000000 // 24 as due, {SERVED} as service, 0 as block, event_id as id from obs where event_type = 'click'),
+crossings as (select o_orderkey % 5 as pos, t0 // 86400000000 as hour, t0 % 86400000000 // 24 as due, {BLOCKED} as service, 1 as block, o_orderkey as id from (select o_orderkey, ({EPOCH} + o_orderkey * 977 % {SPAN}) * 1000000 as t0 from orders where o_orderstatus = 'P')),
+held as (select *, sum(service) over w as s from (select * from arrivals union all select * from crossings) window w as (partition by pos, hour order by due, block, id)),
+plain as (select *, sum(service) over w as s from arrivals window w as (partition by pos, hour order by due, block, id)),
+p as (select pos, hour, due, s + max(due - s + service) over (partition by pos, hour order by due, block, id) - service - due as wait from plain),
+h as (select pos, hour, due, block, s + max(due - s + service) over (partition by pos, hour order by due, block, id) - service - due as wait from held),
+x as (select pos, hour, count(*) as n_arrivals, sum(wait) as wait, count(*) filter (due + wait < {HOUR}) as served from p group by pos, hour),
+y as (select pos, hour, count(*) filter (block = 1) as n_crossings, sum(wait) filter (block = 0) as wait, count(*) filter (block = 0 and due + wait < {HOUR}) as served from h group by pos, hour)
+select x.pos, x.hour, n_arrivals, n_crossings, cast(x.wait as bigint) as wait_us, cast(y.wait - x.wait as bigint) as extra_us, round(y.served / greatest(x.served, 1)::double, 6) as throughput_share from x join y on y.pos = x.pos and y.hour = x.hour""")
+def throughput_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrivals of each runway and hour with and without crossings that block it: extra wait, and the share still begun within the hour."""
+    day = 24 * HOUR
+
+    def use(df: DataFrame, key: str, t: str, service: int, block: int) -> DataFrame:
+        at = F.expr(f"{t} % {day} div 24")
+        return df.select((F.col(key) % 5).alias("pos"), F.expr(f"{t} div {day}").alias("hour"), at.alias("at"), F.lit(service).cast("long").alias("service"), F.lit(block).alias("block"), F.col(key).alias("id"))
+
+    arrivals = use(obs(spark, sf_dir).where("event_type = 'click'"), "event_id", "t", SERVED, 0)
+    crossing = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_orderkey", ((F.lit(EPOCH) + F.col("o_orderkey") * 977 % SPAN) * 1_000_000).alias("t0"))
+    held = arrivals.unionByName(use(crossing, "o_orderkey", "t0", BLOCKED, 1))
+    key, order, begun = ["pos", "hour"], ["at", "block", "id"], F.col("at") + F.col("wait") < HOUR
+    x = W.fifo_scan(arrivals, key, order, "at", "service").groupBy(*key).agg(F.count("*").alias("n_arrivals"), F.sum("wait").alias("wait_us"), F.count_if(begun).alias("served"))
+    mine = F.col("block") == 0
+    y = W.fifo_scan(held, key, order, "at", "service").groupBy(*key).agg(F.count_if(~mine).alias("n_crossings"), F.sum(F.when(mine, F.col("wait"))).alias("held_us"), F.count_if(mine & begun).alias("held_served"))
+    share = F.col("held_served") / F.greatest(F.col("served"), F.lit(1))
+    return x.join(y, key).select(*key, "n_arrivals", "n_crossings", "wait_us", (F.col("held_us") - F.col("wait_us")).alias("extra_us"), F.round(share, 6).alias("throughput_share"))
+
+
 @query(f"""with {OBS}, d as (select *, t // 86400000000 as day from obs), m as (select max(day) as last from d)
 select day = last as held_out, count(*) as n, round(avg(speed), 4) as mean_speed from d, m group by 1""")
 def temporal_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..operators.joins import interval_overlay
 
 STATE_FIELDS = {"time_utc": "timestamp", "icao24": "string", "callsign": "string", "lon_wgs": "float", "lat_wgs": "float", "baro_alt_m": "float", "geo_alt_m": "float", "velocity_ms": "float", "track_deg": "float", "vert_rate_ms": "float", "on_ground": "boolean"}
 
@@ -168,6 +169,40 @@ def weather_archive(spark: SparkSession, path: str) -> DataFrame:
     return weather_table(spark.read.option("header", True).option("comment", "#").option("nullValue", "M").csv(path))
 
 
+FORECAST = "array<struct<icaoId:string,issueTime:string,validTimeFrom:bigint,validTimeTo:bigint,fcsts:array<struct<timeFrom:bigint,timeTo:bigint,timeBec:bigint,fcstChange:string,probability:int,wdir:string,wspd:int,wgst:int,visib:string,clouds:array<struct<cover:string,base:int>>>>>>"
+#: Which change group counts where several of one forecast hold: passing ones over lasting ones over the first group.
+GROUP_RANK = {"BASE": 0, "FM": 1, "BECMG": 1, "TEMPO": 2, "PROB": 2}
+
+
+def forecast_groups(lines: DataFrame, value: str) -> DataFrame:
+    """Change groups of terminal forecasts (JSON documents of one forecast or a list): when each holds, its wind, visibility,
+    ceiling and flight rule. The first group is BASE; a becoming group holds from the end of its change. What a group
+    does not say is null; groups that do not end after they begin, and texts that do not parse, give no rows."""
+    docs = lines.select(F.inline(F.from_json(value, FORECAST))).where("icaoId is not null")
+    groups = docs.select(F.trim("icaoId").alias("station"), F.to_timestamp("issueTime").alias("issued"), F.posexplode("fcsts").alias("group_no", "g"))
+    kind = F.when(F.col("g.fcstChange").isNull() & (F.col("group_no") == 0), "BASE").otherwise(F.regexp_extract(F.coalesce("g.fcstChange", F.lit("FM")), r"^(FM|BECMG|TEMPO|PROB)", 1))
+    begin = F.when(kind == "BECMG", F.coalesce("g.timeBec", "g.timeFrom")).otherwise(F.col("g.timeFrom"))
+    visible = F.regexp_extract("g.visib", r"^([\d.]+)", 1).try_cast("double")
+    ceiling = F.array_min(F.transform(F.filter("g.clouds", lambda c: c["cover"].isin("BKN", "OVC", "OVX", "VV")), lambda c: c["base"])).cast("double")
+    found = groups.select(
+        "station", "issued", "group_no", kind.alias("kind"), F.timestamp_seconds(begin).alias("valid_from"), F.timestamp_seconds("g.timeTo").alias("valid_to"), F.col("g.probability").alias("probability"),
+        F.col("g.wdir").try_cast("double").alias("wind_dir_deg"), F.col("g.wspd").cast("double").alias("wind_kt"), F.col("g.wgst").cast("double").alias("wind_gust_kt"), visible.alias("vis_sm"), ceiling.alias("ceiling_ft"),
+    )
+    return found.where("valid_to > valid_from and kind <> ''").withColumn("flight_rule", X.flight_rule(F.col("vis_sm"), F.col("ceiling_ft")))
+
+
+def forecast_timeline(groups: DataFrame, width: int = 6 * 3_600_000_000) -> DataFrame:
+    """(station, from_us, to_us, kind, ..): at every moment the change group that counts: of the latest forecast, passing groups
+    over lasting ones, the later begun over the earlier. groups: forecast_groups, or its columns station, issued, group_no,
+    kind, from_us, to_us and what else is to be carried; an unknown kind counts as BASE."""
+    if "from_us" not in groups.columns:
+        groups = groups.withColumns({n: X.micros(c) for n, c in (("from_us", "valid_from"), ("to_us", "valid_to"), ("issued", "issued"))}).drop("valid_from", "valid_to")
+    ranks = F.create_map(*(F.lit(x) for kv in GROUP_RANK.items() for x in kv))
+    ranked = groups.withColumns({"__kind": F.coalesce(F.try_element_at(ranks, F.col("kind")), F.lit(0)), "__from": F.col("from_us")})
+    carried = [c for c in groups.columns if c not in ("station", "from_us", "to_us")]
+    return interval_overlay(ranked, ["station"], "from_us", "to_us", ["issued", "__kind", "__from", "group_no"], carried, width)
+
+
 MARKET_NAMES = {"itin_id": ("ItinID", "bigint"), "origin": ("Origin", "string"), "dest": ("Dest", "string"), "reporting_carrier": ("Reporting_Airline,RPCarrier,TkCarrier", "string"), "passengers": ("Passengers", "double"), "market_fare": ("MktFare", "float"), "market_distance": ("MktDistance", "float"), "quarter": ("Quarter", "tinyint"), "year": ("Year", "smallint")}
 
 
@@ -372,6 +407,22 @@ def voxel_slice(spark: SparkSession, path: str, at: int) -> DataFrame:
     return voxels.where(F.col("slice") == nearest[0][0]) if nearest else voxels.where("false")
 
 
+def voxel_box(spark: SparkSession, path: str, box: dict[str, tuple[int, int]], slices: tuple[int, int] | None = None) -> DataFrame:
+    """Voxels of a field below path/voxels whose indices lie in a box (first and last, both inside), in slices from one to
+    another: plain comparisons, so folders, files and row groups that hold none are not read."""
+    found = spark.read.parquet(f"{path}/voxels")
+    for column, (low, high) in (box | ({"slice": slices} if slices else {})).items():
+        found = found.where(F.col(column).between(low, high))
+    return found
+
+
+def optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The parquet table at a path, or one of the schema without rows where there is none, so that what is joined to it is null."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    return spark.read.parquet(path) if there else spark.createDataFrame([], schema)
+
+
 def map_shapes(elements: DataFrame) -> DataFrame:
     """(id, shape, points) of map elements (id, type, lon, lat, line array<struct<lon,lat>>): points, polygons (closed, of four
     points at least), lines of two points at least; what is neither gives no row."""

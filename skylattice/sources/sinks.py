@@ -60,6 +60,31 @@ def write_summary(path: str, name: str, stages: list[Observation], **more) -> di
 def write_voxels(voxels: DataFrame, grid: dict, path: str) -> None:
     """A field as voxels and its grid, as voxel_table reads them."""
     voxels.write.mode("overwrite").parquet(f"{path}/voxels")
+    write_grid(voxels.sparkSession, grid, path)
+
+
+def write_grid(spark: SparkSession, grid: dict, path: str) -> None:
     fields = ("x_min", "y_min", "z_min", "dx", "dy", "dz", "nx", "ny", "nz")
     kinds = ", ".join(f"{f} {'int' if f[0] == 'n' else 'double'}" for f in fields)
-    voxels.sparkSession.createDataFrame([tuple(grid[f] for f in fields)], kinds).coalesce(1).write.mode("overwrite").parquet(f"{path}/grid")
+    spark.createDataFrame([tuple(grid[f] for f in fields)], kinds).coalesce(1).write.mode("overwrite").parquet(f"{path}/grid")
+
+
+def curve(*index: str, bits: int = 16) -> Column:
+    """Place of a voxel on a space-filling curve: the bits of its indices in turn, so near voxels have near places."""
+    return sum((F.shiftleft(F.shiftright(F.col(i), b).bitwiseAND(F.lit(1)).cast("long"), len(index) * b + k) for b in range(bits) for k, i in enumerate(index)), F.lit(0).cast("long"))
+
+
+#: Voxels of a file of write_slices, about.
+FILE_VOXELS = 500_000
+
+
+def write_slices(voxels: DataFrame, grid: dict, path: str, slices: str = "slice", index: tuple[str, ...] = ("ix", "iy", "iz"), file_voxels: int = FILE_VOXELS) -> None:
+    """A field over time, as voxel_slice and voxel_box read it: a folder for each slice, files of about file_voxels voxels that
+    are cut and sorted along a curve, so that a box of voxels meets few files' and row groups' statistics; and its grid.
+
+    Voxels of one slice go to several tasks where a slice is large, and slices to as many tasks as the rows ask for."""
+    placed = voxels.withColumn("__c", curve(*index))
+    files = max(1, -(-placed.count() // file_voxels))
+    along = placed.repartitionByRange(files, slices, "__c").sortWithinPartitions(slices, "__c").drop("__c")
+    along.write.mode("overwrite").partitionBy(slices).parquet(f"{path}/voxels")
+    write_grid(voxels.sparkSession, grid, path)
