@@ -35,12 +35,14 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 
 VOCABULARY, MODEL = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Layout only: bytes of text of a part; of units encoded in one call; links of a group that are listed one by one; units of documents counted at once; pairs of a row.
-PART_BYTES, CALL_BYTES, LISTED, AT_ONCE, KEYS = 32_000_000, 2_000, 4096, 100_000, 50_000
+#: Layout only: bytes of text of a part; of units encoded in one call; links of a group that are listed one by one; units of documents counted at once; pairs or links of a row (large values cost a JVM much memory).
+PART_BYTES, CALL_BYTES, LISTED, AT_ONCE, ROWS_EACH = 12_000_000, 2_000, 4096, 100_000, 20_000
 PARTS = "part long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, units binary, base int, keys array<long>, held array<int>, links binary"
 DIGESTS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 #: A letter for units that begin with a mark or a line end to follow, as in the text.
 LEAD = b" a"
+#: Links in binary: numbers of units, places of pairs, how often.
+LINK = ("<i4", "<i4", "<i8")
 GROUPS = "doc_id long, groups array<struct<start: long, stop: long, a: array<int>, b: array<int>>>"
 
 
@@ -227,7 +229,7 @@ class Part:
         self.learn([data[i:j] for i, j in zip(starts[where].tolist(), ends[where].tolist(), strict=True)], joins[where].tolist())
         return owner, number[back]
 
-    def closed(self, documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def closed(self, documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """The pairs of the part, in how many documents each is, and links (unit, place of the pair, how often) by unit."""
         unit, key, often = (np.concatenate([x[k] for x in self.links]) if self.links else np.zeros(0, np.int32) for k in range(3))
         self.links = []
@@ -247,7 +249,7 @@ class Part:
             at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - edges[u], n)
             pair = distinct(np.repeat(document, n) * len(keys) + place[at])
             held += np.bincount(pair % len(keys), minlength=len(keys))
-        return keys.astype(np.int64), held, np.stack([unit, place, often])
+        return keys.astype(np.int64), held, (unit, place, often)
 
 
 def distinct(x: np.ndarray) -> np.ndarray:
@@ -291,10 +293,10 @@ def parting(vocabulary: str, model: str):
 
     def closing(number: int, part: Part, documents: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         keys, held, links = part.closed(documents)
-        for k in range(0, len(keys), KEYS):
-            yield batch_of(1, part=[number], base=[k], keys=[keys[k : k + KEYS]], held=[held[k : k + KEYS].astype(np.int32)])
-        width = 8 if links.max(initial=0) >= 2**31 else 4
-        yield batch_of(1, part=[number], links=[links.astype(f"<i{width}", copy=False).tobytes()], base=[width])
+        for k in range(0, len(keys), ROWS_EACH):
+            yield batch_of(1, part=[number], base=[k], keys=[keys[k : k + ROWS_EACH]], held=[held[k : k + ROWS_EACH].astype(np.int32)])
+        for k in range(0, max(1, len(links[0])), ROWS_EACH):
+            yield batch_of(1, part=[number], base=[k], links=[b"".join(x[k : k + ROWS_EACH].astype(kind).tobytes() for x, kind in zip(links, LINK, strict=True))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
@@ -328,8 +330,8 @@ def parting(vocabulary: str, model: str):
 def counted(_, left: pa.Table, right: pa.Table) -> pa.Table:
     """Documents of a part with what the counts of its pairs add up to."""
     left = left.combine_chunks()
-    links = left.filter(left.column("links").is_valid())
-    unit, place, often = np.frombuffer(links.column("links")[0].as_py(), f"<i{links.column('base')[0].as_py()}").reshape(3, -1).astype(np.int64)
+    links = [x.as_py() for x in left.column("links").drop_null()]
+    unit, place, often = (np.concatenate([np.frombuffer(x, kind, len(x) // 16, 4 * k * (len(x) // 16)) for x in links]) for k, kind in enumerate(LINK))
     size = int(unit.max(initial=-1)) + 1
     count, best = np.zeros((2, int(place.max(initial=-1)) + 1), np.int64)
     at = right.column("place").to_numpy()
