@@ -67,7 +67,7 @@ def chunk_symbols(block: tk.Block, hashes: np.ndarray, size: np.ndarray) -> tupl
     opening = rank == 0
     starts[opening] = block.offsets[text[opening]]
     symbols = np.zeros((block.n, SYMBOLS), np.int16)
-    symbols[text, rank] = (block.spans(starts, ends) & np.uint64(4095)).astype(np.int16) + 1
+    symbols[text, rank] = (block.apart(starts, ends) & np.uint64(4095)).astype(np.int16) + 1
     return symbols, np.bincount(text, minlength=block.n)
 
 

@@ -4,7 +4,8 @@ A text is escaped as the vocabulary asks (one mark before it and for every space
 units at runs of marks and line feeds, which no piece crosses. The distinct units of a
 block that are equally long advance together: at each end position the hashes of the substrings of
 every length probe the sorted keys of the pieces, the vectorised maximum of the path scores wins,
-and its length is the backpointer. The longer piece wins ties. The lone mark,
+and its length is the backpointer. A long unit has few of its length beside it: all its substrings of a length
+probe together, and only those that are pieces are tried. The longer piece wins ties. The lone mark,
 which the file may rule out as a merge, counts one less than the worst piece. A code point that no piece covers
 costs ten more than the worst piece and becomes its UTF-8 bytes' pieces.
 
@@ -32,6 +33,8 @@ from . import textkit as tk
 VOCABULARY = "piece_bpe_32k.model"
 MARK, LINE_FEED = 0x2581, 0x0A
 UNKNOWN_COST = 10.0
+#: Layout only: code points beyond which a unit advances alone, by the pieces that occur in it; code points of it that are looked at together.
+LONG, STRETCH = 400, 50_000
 DIGEST = "doc_id long, n_chars long, n_pieces long, ids_crc32 long, decoded_sha256 string, same boolean"
 
 
@@ -119,6 +122,54 @@ def best_paths(block: tk.Block, starts: np.ndarray, length: int, v: Vocabulary)
     return np.concatenate(units), np.concatenate(places), np.concatenate(tokens)
 
 
+def matches(points: np.ndarray, base: int, low: int, high: int, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(end, size, score, token) of every piece that ends past `low` and at `high` at most, and of every code point, in order of end
+    and size. points begins at `base`; each length's substrings are hashed and probed together."""
+    block, found = tk.Block(points, np.array([0, len(points)])), []
+    for size in range(1, v.longest + 1):
+        ends = np.arange(max(low + 1, size), high + 1)
+        if not len(ends):
+            break
+        hashes = block.spans(ends - size - base, ends - base)
+        at = np.minimum(np.searchsorted(v.keys, hashes), len(v.keys) - 1)
+        hit = v.keys[at] == hashes
+        score, token = np.where(hit, v.scores[at], v.unknown), np.where(hit, v.ids[at], -1 - points[ends - size - base].astype(np.int64))
+        kept = slice(None) if size == 1 else hit
+        found.append((ends[kept], np.full(len(ends), size)[kept], score[kept], token[kept]))
+    ends, size, score, token = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((size, ends))
+    return ends[order], size[order], score[order], token[order]
+
+
+def long_path(points: np.ndarray, v: Vocabulary) -> np.ndarray:
+    """Tokens of the best segmentation of one long unit, as best_paths finds it, last one first: a stretch at a time the pieces
+    that occur are found, and only those are tried."""
+    length = len(points)
+    best, back, chosen = [0.0] * (length + 1), np.zeros(length + 1, np.int16), np.zeros(length + 1, np.int64)
+    for low in range(0, length, STRETCH):
+        high = min(length, low + STRETCH)
+        base = max(0, low + 1 - v.longest)
+        end, size, score, token = matches(points[base:high], base, low, high, v)
+        sizes, picked = np.zeros(high - low, np.int16), np.zeros(high - low, np.int64)
+        now, top, pick = low + 1, -np.inf, 0
+        for k, (e, z, s) in enumerate(zip(end.tolist(), size.tolist(), score.tolist(), strict=True)):
+            if e != now:
+                best[now], picked[now - low - 1] = top, pick
+                now, top = e, -np.inf
+            s += best[e - z]
+            if s >= top:
+                top, pick = s, k
+        best[now], picked[now - low - 1] = top, pick
+        sizes[:], chosen[low + 1 : high + 1] = size[picked], token[picked]
+        back[low + 1 : high + 1] = sizes
+    at, tokens = length, []
+    step = back.tolist()
+    while at:
+        tokens.append(at)
+        at -= step[at]
+    return chosen[np.array(tokens, np.int64)]
+
+
 def with_bytes(tokens: np.ndarray, owner: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Tokens with each uncovered code point replaced by its bytes' pieces."""
     rare = np.flatnonzero(tokens < 0)
@@ -143,11 +194,16 @@ def encode_texts(texts: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarra
     opens[offsets[:-1]] = True
     starts = np.flatnonzero(opens)
     ends = np.append(starts[1:], len(points))
-    _, first, unit = np.unique(block.spans(starts, ends), return_index=True, return_inverse=True)
+    _, first, unit = np.unique(block.apart(starts, ends), return_index=True, return_inverse=True)
     starts_, length = starts[first], (ends - starts)[first]
     parts = []
     order = np.argsort(length, kind="stable")
     for rows in np.split(order, np.flatnonzero(np.diff(length[order])) + 1):
+        if length[rows[0]] > LONG:
+            for k in rows.tolist():
+                tokens = long_path(points[starts_[k] : starts_[k] + length[k]], v)
+                parts.append((np.full(len(tokens), k), np.arange(len(tokens)), tokens))
+            continue
         units, places, tokens = best_paths(block, starts_[rows], int(length[rows[0]]), v)
         parts.append((rows[units], places, tokens))
     owner, place, token = (np.concatenate(x) for x in zip(*parts, strict=True))

@@ -490,6 +490,42 @@ def test_bin_completion_finds_fillings_of_many_pieces():
     assert sum(k for _, k in patterns) == packing.least_sequences(counts) == 6
 
 
+def test_long_units_take_the_same_paths_in_stretches(monkeypatch):
+    """Units without spaces, stretch by stretch, as the batched search finds them; a megabyte takes seconds."""
+    import time
+
+    v = pieces.vocabulary(pieces.VOCABULARY)
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzABC+/=0123456789é日𝄞") for _ in range(n)) for n in (1, 2, 17, 400, 401, 900, 2500)]
+    texts += ["the" * 500, "ab" * 700 + "日本語" * 50, "x" * 1000]
+    whole = [pieces.encode_texts([t], v)[0].tolist() for t in texts]
+    for long, stretch in ((1, 7), (1, 100), (10, 16), (10**9, 1)):
+        monkeypatch.setattr(pieces, "LONG", long)
+        monkeypatch.setattr(pieces, "STRETCH", stretch)
+        assert [pieces.encode_texts([t], v)[0].tolist() for t in texts] == whole
+    monkeypatch.undo()
+    long = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=1_000_000))
+    began = time.process_time()
+    ids, offsets = pieces.encode_texts([long], v)
+    assert time.process_time() - began < 30
+    assert pieces.decode_ids(ids, offsets, v) == [long.encode()]
+
+
+def test_prints_of_a_very_long_text_come_in_stretches():
+    """Five megabytes: the same prints as in one piece, with blocks cut at half a megabyte."""
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(3000)]
+    text = " ".join(rng.choices(words, k=900_000))
+    block = tk.string_block(pa.array([text, "short", ""]))
+    assert len(block.data) > 5_000_000
+    apart = fingerprint.Prints(block).strings()
+    starts, ends, _ = block.words()
+    assert (block.apart(starts[::50], ends[::50]) == tk.Block(block.data, block.offsets).spans(starts[::50], ends[::50])).all()
+    assert apart[1:] == fingerprint.Prints(tk.string_block(pa.array(["short", ""]))).strings() and apart[0].count(":") == 2
+
+
 def test_runs_of_spaces_are_pieces_by_the_scores_of_the_file():
     import public_tokenizers as P
     import sentencepiece
