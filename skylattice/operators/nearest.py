@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Points that a point of the right side finds in its own cell at the bottom, about, and levels at most.
-CROWD, LEVELS = 1, 30
+CROWD, LEVELS = 4, 30
 
 
 def nearest(left: DataFrame, right: DataFrame, on: list[tuple[str, str]]) -> DataFrame:
