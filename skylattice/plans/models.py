@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import exprs as X
 from ..operators import aggs as A
 from ..operators import planner as P
 from ..operators import risk as M
@@ -86,6 +87,22 @@ def risk_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.evaluate(tested, "risky").crossJoin(F.broadcast(cover))
 
 
+@query()
+def risk_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Risk of every voxel with traffic in every hour of the day, by a model fitted on all events, with intervals whose width
+    comes from days that the scoring model had not seen."""
+    o = obs(spark, sf_dir).withColumns({"day": F.floor(F.col("t") / 86_400_000_000).cast("long"), "risky": (F.col("z") + F.col("x") / 20 > 900).cast("int")})
+    sin, cos = X.cyclic(F.floor(F.col("t") / 60_000_000) % 1440 / 60.0, 24.0)
+    features = ["x", "y", "z", "hour_sin", "hour_cos"]
+    known = o.select("day", "risky", *(F.col(c).cast("double").alias(c) for c in "xyz"), sin.alias("hour_sin"), cos.alias("hour_cos"))
+    model, half = M.fit_calibrated(known, features, "risky", "day", folds=3, kind="lr")
+    v = A.voxel_counts(o, [], LOW, STEP, SHAPE).select(*V.KEY, *((F.col(i) * s + a + s / 2).alias(c) for i, c, a, s in zip(V.KEY, "xyz", LOW, STEP, strict=True)))
+    sin, cos = X.cyclic(F.col("hour"), 24.0)
+    hours = spark.range(24).select(F.col("id").alias("hour")).withColumns({"hour_sin": sin, "hour_cos": cos})
+    found = M.with_interval(M.score_grid(model, hours, v), half)
+    return found.select("hour", *V.KEY, *(F.round(c, 6).alias(n) for c, n in (("p", "risk"), ("low", "low"), ("high", "high"))))
+
+
 @query()
 def sampled_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments drawn over the time slices that events cover, ten for each slice."""

@@ -416,6 +416,11 @@ def voxel_box(spark: SparkSession, path: str, box: dict[str, tuple[int, int]], s
     return found
 
 
+def voxels_under(spark: SparkSession, path: str, value: str, limit: float, box: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """Voxels of a stored field whose value is `limit` at most: what a threshold closes, read from the file alone; null values never are."""
+    return voxel_box(spark, path, box or {}).where(F.col(value) <= limit)
+
+
 def optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The parquet table at a path, or one of the schema without rows where there is none, so that what is joined to it is null."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

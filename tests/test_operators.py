@@ -198,17 +198,33 @@ def test_planner_cost_is_least_without_turns():
     assert cost == pytest.approx(best.get(goal, math.inf))
 
 
-def test_simplified_lines_stay_within_epsilon(spark):
+def farthest_first(line: list, epsilon: float) -> list:
+    """Line simplification by its recursive definition, in plain Python."""
+    (ax, ay), (bx, by) = line[0], line[-1]
+    size = math.hypot(bx - ax, by - ay)
+    off = [abs((x - ax) * (by - ay) - (y - ay) * (bx - ax)) / size if size else math.hypot(x - ax, y - ay) for x, y in line]
+    far = max(range(len(line)), key=lambda k: (off[k] if 0 < k < len(line) - 1 else -1.0, -k))
+    if len(line) < 3 or off[far] <= epsilon:
+        return [line[0], line[-1]]
+    return farthest_first(line[: far + 1], epsilon)[:-1] + farthest_first(line[far:], epsilon)
+
+
+@pytest.mark.parametrize("epsilon", [0.5, 5.0, 15.0, 60.0])
+def test_simplified_lines_stay_within_epsilon(spark, epsilon):
     rng = np.random.default_rng(5)
-    line = np.cumsum(rng.normal(0, 10, (60, 2)), axis=0)
-    keep = P.simplify_line(line, 15.0)
-    ends = np.flatnonzero(keep)
-    for a, b in zip(ends[:-1], ends[1:], strict=True):
-        for p in line[a : b + 1]:
+    lines = [np.cumsum(rng.normal(0, 10, (n, 2)), axis=0) for n in (2, 3, 60, 200)] + [np.array([[0.0, 0], [5, 5], [0, 0]])]
+    for line in lines:
+        keep = P.simplify_line(line, epsilon)
+        assert [tuple(p) for p in line[keep]] == [tuple(p) for p in farthest_first([tuple(p) for p in line], epsilon)]
+        ends = np.flatnonzero(keep)
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
             chord = line[b] - line[a]
-            t = np.clip(np.dot(p - line[a], chord) / max(np.dot(chord, chord), 1e-9), 0, 1)
-            assert np.linalg.norm(p - line[a] - t * chord) < 40
+            if np.hypot(*chord):
+                assert (np.abs((line[a : b + 1] - line[a]) @ np.array([chord[1], -chord[0]])) / np.hypot(*chord) <= epsilon + 1e-9).all()
     assert P.simplify_line(np.array([[0, 0], [1, 0], [2, 0.0]]), 0.1).tolist() == [True, False, True]
+    rows = [(k, i, float(x), float(y)) for k, line in enumerate(lines) for i, (x, y) in enumerate(line)]
+    found = P.simplify(spark.createDataFrame(rows, "k int, i int, x double, y double").repartition(3), "k", ["i"], epsilon).collect()
+    assert sorted((r["k"], r["i"]) for r in found) == [(k, int(i)) for k, line in enumerate(lines) for i in np.flatnonzero(P.simplify_line(line, epsilon))]
 
 
 def test_segments_do_not_depend_on_partitions_and_models_learn(spark):
