@@ -72,7 +72,7 @@ def corpus() -> list[tuple]:
 ROWS = corpus()
 
 
-@pytest.mark.parametrize(("stars", "block"), [(minhash.STARS, minhash.BLOCK), (0, 2), (1, 7)])
+@pytest.mark.parametrize(("stars", "block"), [(minhash.STARS, minhash.BLOCK), (0, 2)])
 def test_near_duplicates_match_brute_force(spark, monkeypatch, stars, block):
     monkeypatch.setattr(minhash, "STARS", stars)
     monkeypatch.setattr(minhash, "BLOCK", block)
