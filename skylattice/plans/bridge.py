@@ -29,8 +29,9 @@ TABLES = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder; one that is absent has no rows."""
-    return optional(spark, f"{sf_dir.rstrip('/')}/{name}.parquet", TABLES[name])
+    """A table of the folder; one of TABLES that is absent has no rows."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    return optional(spark, path, TABLES[name]) if name in TABLES else spark.read.parquet(path)
 
 
 def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
