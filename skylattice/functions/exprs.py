@@ -157,7 +157,7 @@ def uniform(*key: Column | str, salt: int = 0) -> Column:
     return F.pmod(F.xxhash64(F.lit(salt), *key), F.lit(1 << 30)) / float(1 << 30)
 
 
-#: A multiplicative generator modulo a prime, 2**31 - 1; all products fit a long.
+#: Quadratic steps modulo a prime, 2**31 - 1, as linear ones would leave draws of neighbouring keys in line; all products fit a long.
 DRAW_PRIME, DRAW_FACTOR = 2_147_483_647, 48_271
 
 
@@ -166,8 +166,8 @@ def draw(*key: Column | str, salt: int = 0) -> Column:
     seed = F.lit(salt * 15_485_863 + 1).cast("long")
     for k, part in enumerate(key):
         seed = (seed + (F.col(part) if isinstance(part, str) else part) * (40_503 + 1_299_709 * k)) % DRAW_PRIME
-        for _ in range(3):
-            seed = (seed + 12_345) * DRAW_FACTOR % DRAW_PRIME
+        for _ in range(2):
+            seed = (seed * seed % DRAW_PRIME + seed * DRAW_FACTOR + 12_345) % DRAW_PRIME
     return seed / float(DRAW_PRIME)
 
 
@@ -176,6 +176,6 @@ def draw_sql(*key: str, salt: int = 0) -> str:
     seed = f"{salt * 15_485_863 + 1}::bigint"
     for k, part in enumerate(key):
         seed = f"(({seed} + {part} * {40_503 + 1_299_709 * k}) % {DRAW_PRIME})"
-        for _ in range(3):
-            seed = f"((({seed} + 12345) * {DRAW_FACTOR}) % {DRAW_PRIME})"
+        for _ in range(2):
+            seed = f"(({seed} * {seed} % {DRAW_PRIME} + {seed} * {DRAW_FACTOR} + 12345) % {DRAW_PRIME})"
     return f"({seed} / {DRAW_PRIME}.0::double)"

@@ -312,7 +312,7 @@ def voxel_closure_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = w.join(shut, V.KEY).select("path", "pos", "landing").distinct().join(active, ["pos", "landing"]).groupBy("path").agg(F.count_distinct("slice").alias("n"))
     slices = active.agg(F.count_distinct("slice").alias("slices"))
     found = w.select("path").distinct().join(hit, "path", "left").crossJoin(F.broadcast(slices))
-    return found.select("path", F.round(F.coalesce("n", F.lit(0)) * 100.0 / F.col("slices"), 6).alias("closure_rate"))
+    return found.select("path", F.round(F.coalesce("n", F.lit(0)) * 100.0 / F.nullif("slices", F.lit(0)), 6).alias("closure_rate"))
 
 
 @query(f"""with {WAYPOINTS}, {ENDS}, a as (select w.path, k1, k2, k3, (w.x - e.x0) * ux + (w.y - e.y0) * uy as along, (w.y - e.y0) * ux - (w.x - e.x0) * uy as across from waypoints w join ends e on e.pos = w.path % 5),

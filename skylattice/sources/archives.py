@@ -181,7 +181,9 @@ class MemberReader(DataSourceReader):
         if held:
             yield Members(path, held)
 
-    def read(self, partition: Members) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Members | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # there are no partitions
+            return
         rows = self.streamed(partition.path) if partition.members is None else self.ranged(partition)
         for name, size, content in rows:
             yield pa.RecordBatch.from_arrays([pa.array([partition.path]), pa.array([name]), pa.array([size], pa.int64()), pa.array([content], pa.binary())], ["archive", "member", "size", "content"])

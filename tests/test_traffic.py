@@ -160,7 +160,7 @@ def test_members_of_archives_by_byte_ranges(members, tmp_path):
         rows = df.collect()
         assert {r["member"]: bytes(r["content"]) for r in rows} == dict(files) and len(rows) == len(files), name
         assert {r["archive"] for r in rows} == {str(tmp_path / name)}
-        assert (df.rdd.getNumPartitions() > 3) == (name != "stream.tgz")
+        assert (df.rdd.getNumPartitions() > 2) == (name != "stream.tgz")
     assert members(tmp_path).count() == 4 * len(files) and members(tmp_path / "no.txt").count() == 0 and members(tmp_path / "*.none").count() == 0
     assert members(tmp_path / "*.tar", pattern="traces/00*.json").count() == 20
 
@@ -174,7 +174,7 @@ def test_cut_off_and_broken_members(members, tmp_path, spark):
         assert found == dict(files[: max(0, (cut - 512 + 512 * 7 - 3000) // (512 * 7))] if cut >= 3512 else []), cut
     (tmp_path / "cut.tgz").write_bytes(gzip.compress(whole)[:-40])
     assert set(r["member"] for r in members(tmp_path / "cut.tgz").collect()) <= {n for n, _ in files}
-    broken = gzip.compress(b"text" * 500)
+    broken = gzip.compress(random.Random(1).randbytes(2000))
     (tmp_path / "bad.tar").write_bytes(tar_of([("ok.gz", gzip.compress(b"ok")), ("bad.gz", broken[:40]), ("worse.gz", broken[:20] + b"zzzz" + broken[24:])]))
     assert {r["member"]: r["content"] and bytes(r["content"]) for r in members(tmp_path / "bad.tar").collect()} == {"ok.gz": b"ok", "bad.gz": None, "worse.gz": None}
     with zipfile.ZipFile(tmp_path / "cut.zip", "w") as z:
