@@ -115,23 +115,65 @@ def same_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return both.agg(F.count_if(F.col("r").isNull()).alias("only_left"), F.count_if(F.col("l").isNull()).alias("only_right"))
 
 
+#: Ends of intervals that share a bucket of a key, about, where interval_overlay compares pieces with intervals; parts of a bucket that is split.
+ENDS_EACH, PARTS = 256, 64
+
+
+def overlay_widths(df: DataFrame, key: list[str], start: str, end: str, width: int) -> list[int]:
+    """Widths of nested buckets, coarse to fine: `width` or a little more, then parts of it until few ends share a bucket where most ends are."""
+    ends = df.select(*key, F.explode(F.array(start, end)).alias("__at"))
+    fine = [max(1, width)]
+    while fine[-1] > 1:
+        crowd = ends.groupBy(*key, F.floor(F.col("__at") / fine[-1]).alias("__b")).count()
+        if (crowd.agg(F.sum(F.col("count") * F.col("count")) / F.sum("count")).first()[0] or 0) <= ENDS_EACH:
+            break
+        fine.append(max(1, fine[-1] // PARTS))
+    return [fine[-1] * PARTS ** (len(fine) - 1 - k) for k in range(len(fine))]
+
+
+def overlay_split(rows: DataFrame, width: int) -> DataFrame:
+    """(__key, __b, __lo, __hi, __won, __done) of intervals cut at buckets of width: one row for each bucket that intervals cover whole,
+    of the greatest rank of them, and the ends of intervals that reach into a bucket with a greater rank than that.
+
+    Whole buckets are taken by dyadic runs, a few for each interval, and what is done is passed on."""
+    lo, hi, w = "__lo", "__hi", f"{width}L"
+    a, b = f"ceil({lo} / {w})", f"floor({hi} / {w})"  # whole buckets: a <= bucket < b
+    level = "cast(greatest(0, ceil(log2(greatest(1, __e - __a)))) as int)"
+    runs = f"""case when __a < __e then flatten(transform(sequence(0, {level}), j -> filter(array(
+        if(-shiftright(-__a, j) < shiftright(__e, j) and -shiftright(-__a, j) & 1 != 0, named_struct('j', j, 'i', -shiftright(-__a, j), 'lo', 0L, 'hi', 0L), null),
+        if(-shiftright(-__a, j) < shiftright(__e, j) and shiftright(__e, j) & 1 != 0, named_struct('j', j, 'i', shiftright(__e, j) - 1, 'lo', 0L, 'hi', 0L), null)), n -> n is not null))) else array() end"""
+    first, last = f"floor({lo} / {w})", f"floor(({hi} - 1) / {w})"
+    tips = f"""filter(array(
+        if({lo} % {w} != 0 or {hi} < ({first} + 1) * {w}, named_struct('j', -1, 'i', {first}, 'lo', {lo}, 'hi', least({hi}, ({first} + 1) * {w})), null),
+        if({last} > {first} and {hi} % {w} != 0, named_struct('j', -1, 'i', {last}, 'lo', {last} * {w}, 'hi', {hi}), null)), n -> n is not null)"""
+    kept = f"array(named_struct('j', -2, 'i', {first}, 'lo', {lo}, 'hi', {hi}))"
+    cut = rows.withColumns({"__a": F.expr(a), "__e": F.expr(b)}).withColumn("__n", F.explode(F.expr(f"case when __done then {kept} else concat({runs}, {tips}) end")))
+    best = lambda df, *by: df.groupBy("__key", *by).agg(F.max_by("__won", "__won.rank").alias("__won"))
+    cut = best(cut.select("__key", "__n.*", "__won"), "j", "i", "lo", "hi")
+    each = f"case when j < 0 then array(i) else sequence(shiftleft(i, j), shiftleft(i + 1, j) - 1) end"
+    cells = cut.withColumn("__b", F.explode(F.expr(each))).select("__key", "__b", F.least("j", F.lit(0)).alias("__kind"), F.expr(f"if(j < 0, lo, __b * {w})").alias(lo), F.expr(f"if(j < 0, hi, (__b + 1) * {w})").alias(hi), "__won")
+    cells = best(cells.repartition("__key", "__b"), "__b", "__kind", lo, hi)
+    bucket = Window.partitionBy("__key", "__b")
+    whole = F.col("__kind") != -1
+    cells = cells.withColumn("__top", F.max(F.when(whole, F.col("__won.rank"))).over(bucket)).where(whole | F.col("__top").isNull() | (F.col("__won.rank") > F.col("__top")))
+    return cells.withColumn("__done", F.max(~whole).over(bucket) == F.lit(False)).select("__key", "__b", lo, hi, "__won", "__done")
+
+
 def interval_overlay(df: DataFrame, key: list[str], start: str, end: str, rank: list[str | Column], values: list[str], width: int) -> DataFrame:
     """(key, start, end, values): for every stretch of time that some interval [start, end) of a key covers, the values of the one
     of greatest rank; neighbouring stretches of equal values are one. Ranks must tell intervals of a key apart.
 
-    Intervals are cut into buckets of `width`, within which each piece between two neighbouring ends is compared with the
-    intervals of its bucket, so a key's history is spread over tasks; only what changes meets in one row of pieces at the end."""
-    spread = df.where(F.col(end) > F.col(start)).withColumns({"__rank": F.struct(*rank), "__v": F.struct(*values)})
-    spread = spread.withColumn("__b", F.explode(buckets(F.col(start), F.col(end) - 1, width)))
-    held = spread.select(*key, "__b", "__rank", "__v", F.greatest(F.col(start), F.col("__b") * width).alias("__lo"), F.least(F.col(end), (F.col("__b") + 1) * width).alias("__hi"))
-    w = Window.partitionBy(*key, "__b").orderBy("__at")
-    pieces = held.select(*key, "__b", F.explode(F.array("__lo", "__hi")).alias("__at")).distinct().withColumn("__to", F.lead("__at").over(w)).where("__to is not null")
-    same = F.col("__b") == F.col("__c")
-    for k in key:
-        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    Intervals are cut at buckets of `width`, and crowded ones at parts of them. What covers a bucket whole is one row
+    of it and rules out all ends of lower rank; the rest of a bucket is compared with the pieces between its ends. So
+    a key's history is spread over tasks; only what changes meets in one row of pieces at the end."""
+    spread = df.where(F.col(end) > F.col(start)).select(F.struct(*key).alias("__key"), F.col(start).cast("long").alias("__lo"), F.col(end).cast("long").alias("__hi"), F.struct(F.struct(*rank).alias("rank"), F.struct(*values).alias("v")).alias("__won"), F.lit(False).alias("__done"))
+    for w in overlay_widths(df, key, start, end, width):
+        spread = overlay_split(spread, w)
+    pieces = spread.select("__key", "__b", F.explode(F.array("__lo", "__hi")).alias("__at")).distinct()
+    pieces = pieces.withColumn("__to", F.lead("__at").over(Window.partitionBy("__key", "__b").orderBy("__at"))).where("__to is not null")
     inside = (F.col("__lo") <= F.col("__at")) & (F.col("__hi") >= F.col("__to"))
-    won = pieces.join(held.withColumnsRenamed({k: f"__{k}" for k in key} | {"__b": "__c"}), same & inside).groupBy(*key, "__at", "__to").agg(F.max_by("__v", "__rank").alias("__v"))
-    along = Window.partitionBy(*key).orderBy("__at")
+    won = pieces.join(spread, ["__key", "__b"]).where(inside).groupBy("__key", "__b", "__at", "__to").agg(F.max_by("__won.v", "__won.rank").alias("__v"))
+    along = Window.partitionBy("__key").orderBy("__at")
     changed = ~F.coalesce((F.lag("__to").over(along) == F.col("__at")) & F.lag("__v").over(along).eqNullSafe(F.col("__v")), F.lit(False))
     runs = won.withColumn("__run", F.sum(changed.cast("int")).over(along))
-    return runs.groupBy(*key, "__run").agg(F.min("__at").alias(start), F.max("__to").alias(end), F.first("__v").alias("__v")).select(*key, start, end, "__v.*")
+    return runs.groupBy("__key", "__run").agg(F.min("__at").alias(start), F.max("__to").alias(end), F.first("__v").alias("__v")).select("__key.*", start, end, "__v.*")

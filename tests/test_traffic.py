@@ -225,6 +225,25 @@ def test_overlay_of_intervals_equals_a_raster(spark, width):
         assert all(p[1] < q[0] or p[2] != q[2] for p, q in zip(runs, runs[1:], strict=False))
 
 
+def test_crowded_overlay_splits_its_buckets(spark, monkeypatch):
+    monkeypatch.setattr(J, "ENDS_EACH", 16)
+    rng = random.Random(4)
+    rows = [(1, a := rng.randrange(-5_000, 5_000), a + rng.randrange(1, 4_000), i, i % 3) for i in range(3_000)]
+    df = spark.createDataFrame(rows, "k int, a long, b long, r int, v int")
+    widths = J.overlay_widths(df, ["k"], "a", "b", 100_000)
+    assert len(widths) > 1 and all(p == q * J.PARTS for p, q in zip(widths, widths[1:], strict=False))
+    cells: dict = {}
+    for _, a, b, r, v in rows:
+        for t in range(a, b):
+            cells[t] = max(cells.get(t, (-1, -1)), (r, v))
+    found = J.interval_overlay(df, ["k"], "a", "b", ["r"], ["v"], 100_000).collect()
+    assert {t: r["v"] for r in found for t in range(r["a"], r["b"])} == {t: v for t, (_, v) in cells.items()}
+    split = df.select(F.struct("k").alias("__key"), F.col("a").alias("__lo"), F.col("b").alias("__hi"), F.struct(F.struct("r").alias("rank"), F.struct("v").alias("v")).alias("__won"), F.lit(False).alias("__done"))
+    for w in widths:
+        split = J.overlay_split(split, w)
+    assert split.groupBy("__key", "__b").count().agg(F.max("count")).first()[0] <= 32  # of 3,000 that share the first bucket
+
+
 def test_families_of_surfaces(spark):
     """By plain loops over the corners; inside of one footprint of a family is inside of the union."""
     base = S.prisms_of(spark.createDataFrame([("09", 0.0, 0.0, 1.0, 0.0, 3000.0)], "end_id string, x0 double, y0 double, ux double, uy double, length double"), airport=False)
