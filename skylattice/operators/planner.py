@@ -51,10 +51,14 @@ BASELINES = {"B0": (False, False, False, False), "B1": (False, False, False, Fal
 def snap(queries: DataFrame, allowed: DataFrame, key: str, radius: int = 5) -> DataFrame:
     """The nearest allowed voxel of each query (key, ix, iy, iz) by rings, then by neighbour order; none within radius gives no row."""
     grid = F.expr(f"flatten(transform(sequence(-{radius}, {radius}), i -> flatten(transform(sequence(-{radius}, {radius}), j -> transform(sequence(-{radius}, {radius}), k -> struct(greatest(abs(i), abs(j), abs(k)) as ring, i as di, j as dj, k as dk))))))")
-    spread = queries.select(key, "ix", "iy", "iz", F.explode(grid).alias("o"))
-    there = spread.select(key, "o", *((F.col(c) + F.col(f"o.{d}")).alias(c) for c, d in zip(("ix", "iy", "iz"), ("di", "dj", "dk"), strict=True)))
-    found = there.join(allowed.select("ix", "iy", "iz"), ["ix", "iy", "iz"])
-    return found.groupBy(key).agg(F.min_by(F.struct("ix", "iy", "iz", F.col("o.ring").alias("ring")), F.col("o")).alias("s")).select(key, "s.*")
+    cell = ["ix", "iy", "iz"]
+    spread = queries.select(*cell).distinct().withColumn("o", F.explode(grid))  # queries share cells, each looks around itself once
+    there = spread.select("o", *(F.col(c).alias(f"q_{c}") for c in cell), *((F.col(c) + F.col(f"o.{d}")).alias(c) for c, d in zip(cell, ("di", "dj", "dk"), strict=True)))
+    # The planner does not see that rows multiply: without the hint it would broadcast them.
+    found = there.join(allowed.select(*cell).hint("merge"), cell)
+    found = found.groupBy(*(f"q_{c}" for c in cell)).agg(F.min(F.struct("o", *cell)).alias("s"))
+    met = queries.select(key, *(F.col(c).alias(f"q_{c}") for c in cell)).join(found, [f"q_{c}" for c in cell])
+    return met.groupBy(key).agg(F.min("s").alias("s")).select(key, *(F.col(f"s.{c}").alias(c) for c in cell), F.col("s.o.ring").alias("ring"))
 
 
 def straight(queries: DataFrame, n: int = 200) -> DataFrame:

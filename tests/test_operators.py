@@ -171,6 +171,22 @@ def test_planner_is_short_detours_and_respects_gates(spark):
     assert planned("B2", closed={(5, j) for j in range(12)})["feasible"] is True
 
 
+def test_snapping_looks_around_a_cell_once_and_broadcasts_no_rings(spark):
+    asks = spark.range(2_000).select(F.col("id").alias("query"), (F.col("id") % 3).alias("ix"), (F.col("id") % 2).alias("iy"), F.lit(0).cast("long").alias("iz"))
+    free = spark.createDataFrame([(4, 0, 0), (0, 2, 1), (9, 9, 9)], "ix long, iy long, iz long")
+    found = P.snap(asks, free, "query", 2)
+    assert found._jdf.queryExecution().sparkPlan().toString().count("Generate explode") == 1
+    joins = [x for x in found._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in x]
+    assert any("SortMergeJoin" in x for x in joins)
+    got = {(r["query"], r["ix"], r["iy"], r["iz"], r["ring"]) for r in found.collect()}
+
+    def best(q):
+        offsets = [(tuple(a - b for a, b in zip(f, (q % 3, q % 2, 0), strict=True)), f) for f in ((4, 0, 0), (0, 2, 1), (9, 9, 9))]
+        return min(((max(map(abs, o)), o, f) for o, f in offsets if max(map(abs, o)) <= 2), default=None)
+
+    assert got == {(q, *b[2], b[0]) for q in range(2_000) if (b := best(q))}
+
+
 def test_planner_cost_is_least_without_turns():
     import heapq
 
