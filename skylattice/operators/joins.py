@@ -103,6 +103,51 @@ def nearest_within(a: DataFrame, b: DataFrame, on: list[tuple[str, str]], distan
     return close.unionByName(within(a.join(close, key, "left_anti"), reach))
 
 
+#: Rows that share a bucket of time and a cell, about, where near_moving looks for a first witness.
+WITNESSES = 48
+
+
+def near_moving(points: DataFrame, segments: DataFrame, key: str, flat: float, high: float, width: int) -> DataFrame:
+    """The distinct keys of segments (key, t0, t1, x0..z1) that some point (t, x, y, z) comes nearer than `flat` aside and `high`
+    above or below, both at once, while the segment is flown from its first end to its second.
+
+    One point is enough: segments first meet the points of one short bucket of time, in the cell where they are halfway, and
+    only those that find none there meet all points of their time in the cells around. So where traffic is dense
+    a segment meets a few points, and where it is thin there are few to meet."""
+    o = points.select(F.col("t").alias("__t"), *(F.col(c).alias(f"__{c}") for c in "xyz")).dropna().withColumns({"__cx": F.floor(F.col("__x") / flat), "__cy": F.floor(F.col("__y") / flat)})
+    seg = segments.select(key, "t0", "t1", *(f"{c}{k}" for c in "xyz" for k in (0, 1))).where("t0 < t1").dropna()
+    span = width
+    while span > 1:
+        crowd = o.groupBy(F.floor(F.col("__t") / span).alias("b"), "__cx", "__cy").count()
+        seen = crowd.agg(F.sum(F.col("count") * F.col("count")) / F.sum("count")).first()[0] or 0
+        if seen <= WITNESSES:
+            break
+        span = max(1, int(span // max(2.0, seen / WITNESSES)))
+
+    def at(c: str, t: Column) -> Column:
+        return F.col(f"{c}0") + (t - F.col("t0")) / (F.col("t1") - F.col("t0")).cast("double") * (F.col(f"{c}1") - F.col(f"{c}0"))
+
+    now = F.col("__t")
+    aside = F.sqrt(F.pow(F.col("__x") - at("x", now), 2) + F.pow(F.col("__y") - at("y", now), 2)) < flat
+    meets = now.between(F.col("t0"), F.col("t1")) & aside & (F.abs(F.col("__z") - at("z", now)) < high)
+
+    def met(asked: DataFrame, there: DataFrame) -> DataFrame:
+        return asked.join(there.hint("merge"), ["__b", "__cx", "__cy"]).where(meets).select(key).distinct()
+
+    halfway = F.expr("t0 + (t1 - t0) div 2")
+    first = seg.withColumns({"__b": F.floor(halfway / span), "__cx": F.floor(at("x", halfway) / flat), "__cy": F.floor(at("y", halfway) / flat)})
+    found = met(first, o.withColumn("__b", F.floor(now / span)))
+    rest = seg.join(found, key, "left_anti").withColumn("__b", F.explode(buckets(F.col("t0"), F.col("t1"), width)))
+    since, until = F.greatest("t0", F.col("__b") * width), F.least("t1", (F.col("__b") + 1) * width)
+    for c in "xy":
+        ends = [F.floor(at(c, t) / flat) for t in (since, until)]
+        rest = rest.withColumn(f"__c{c}", F.explode(F.sequence(F.least(*ends), F.greatest(*ends))))
+    around = o.withColumn("__b", F.floor(now / width))
+    for c in ("__cx", "__cy"):
+        around = around.withColumn(c, F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
+    return found.unionByName(met(rest, around))
+
+
 def best_match(pairs: DataFrame, key: list[str], score: str, order: str, values: list[str]) -> DataFrame:
     """The pair of least score for each key; the smaller order wins ties."""
     return pairs.groupBy(*key).agg(F.min_by(F.struct(score, *values), F.struct(score, order)).alias("__best")).select(*key, "__best.*")

@@ -20,7 +20,7 @@ from ..operators import windows as W
 from ..sources import readers as R
 from . import kpis, spatial, tracks
 from .bridge import ENDS, EPOCH, OBS, PATH_ORDER, SECOND, SLICE, SPAN, WAYPOINTS, WX, ends, obs, table, waypoints, wx
-from .spatial import GRID, LOW, SEGMENTS, SHAPE, STEP, distances, segments, traffic_of
+from .spatial import GRID, LOW, SEGMENTS, SHAPE, STEP, distances, segments
 
 QUERIES, ORACLES = {}, {}
 CELLS = SHAPE[0] * SHAPE[1] * SHAPE[2]
@@ -137,7 +137,7 @@ def labelled(spark: SparkSession, sf_dir: str, seg: DataFrame | None = None) ->
     seg = active_segments(spark, sf_dir) if seg is None else seg
     mid = tuple(F.col(f"mid_{c}") for c in "xyz")
     runway = nearest_runway(spark, sf_dir, seg)
-    traffic = traffic_of(spark, sf_dir, seg).select("seg_id", F.col("near").alias("traffic"))
+    traffic = J.near_moving(obs(spark, sf_dir), seg, "seg_id", 2778.0, 304.8, SLICE).withColumn("traffic", F.lit(True))
     seg = seg.join(traffic, "seg_id", "left").join(runway, "seg_id").withColumn("sdf_mid", L.active_distance(*mid, "arr_", "dep_", F.col("d_runway")))
     flags = {
         "adsb_near": F.coalesce("traffic", F.lit(False)),

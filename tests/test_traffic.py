@@ -244,6 +244,26 @@ def test_crowded_overlay_splits_its_buckets(spark, monkeypatch):
     assert split.groupBy("__key", "__b").count().agg(F.max("count")).first()[0] <= 32  # of 3,000 that share the first bucket
 
 
+@pytest.mark.parametrize("n", [40, 3_000])
+def test_moving_segments_meet_few_points_where_traffic_is_dense(spark, n, monkeypatch):
+    monkeypatch.setattr(J, "WITNESSES", 4)
+    rng = random.Random(n)
+    points = [(rng.randrange(1_000), rng.uniform(-50, 50), rng.uniform(-50, 50), rng.uniform(0, 40)) for _ in range(n)] + [(None, 0.0, 0.0, 0.0)]
+    rows = [(i, a := rng.randrange(1_000), a + rng.choice([-3, 0, 30, 200]), *(rng.uniform(-60, 60) for _ in range(4)), rng.uniform(0, 60), rng.uniform(0, 60)) for i in range(120)]
+    o = spark.createDataFrame(points, "t long, x double, y double, z double")
+    seg = spark.createDataFrame(rows, "k long, t0 long, t1 long, x0 double, x1 double, y0 double, y1 double, z0 double, z1 double")
+    want = set()
+    for k, a, b, x0, x1, y0, y1, z0, z1 in rows:
+        for t, x, y, z in points[:-1]:
+            if a < b and a <= t <= b:
+                f = (t - a) / (b - a)
+                if math.hypot(x - x0 - f * (x1 - x0), y - y0 - f * (y1 - y0)) < 8 and abs(z - z0 - f * (z1 - z0)) < 5:
+                    want.add(k)
+    found = J.near_moving(o, seg, "k", 8.0, 5.0, 100)
+    assert sorted(r["k"] for r in found.collect()) == sorted(want)
+    assert 0 < len(want) < 120
+
+
 def test_families_of_surfaces(spark):
     """By plain loops over the corners; inside of one footprint of a family is inside of the union."""
     base = S.prisms_of(spark.createDataFrame([("09", 0.0, 0.0, 1.0, 0.0, 3000.0)], "end_id string, x0 double, y0 double, ux double, uy double, length double"), airport=False)
