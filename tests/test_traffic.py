@@ -20,6 +20,7 @@ from skylattice.operators import joins as J
 from skylattice.operators import risk as M
 from skylattice.operators import surfaces as S
 from skylattice.operators import windows as W
+from skylattice.operators import proximity as N
 from skylattice.operators.nearest import nearest
 from skylattice.sources import archives as A
 from skylattice.sources import readers as R
@@ -264,6 +265,29 @@ def test_moving_segments_meet_few_points_where_traffic_is_dense(spark, n, monkey
     assert 0 < len(want) < 120
 
 
+@pytest.mark.parametrize("limits", [{}, {"GROUP_POINTS": 150, "PART_PLACES": 60, "PAIRS": 7, "TOGETHER": 3, "SEEN": 5, "MANY": 4}])
+def test_owners_near_paths_are_counted_in_blocks(spark, limits, monkeypatch):
+    for name, value in limits.items():
+        monkeypatch.setattr(N, name, value)
+    rng = random.Random(5)
+    spot = lambda: (rng.uniform(-60, 60), float(rng.randrange(-60, 60)), rng.uniform(0, 40))
+    points = [(rng.choice([*range(40), None]), *spot()) for _ in range(400)] + [(41, None, 0.0, 0.0), (42, 0.0, 0.0, None), (43, 3.0, 4.0, 5.0)]
+    places = [(rng.choice([*range(50), None]), *spot()) for _ in range(200)] + [(90, *spot()) for _ in range(40)] + [(91, 900.0, 0.0, 0.0), (92, 0.0, 0.0, None), (93, 0.0, 0.0, 5.0), (None, 0.0, 0.0, 1.0)]
+    want = {}
+    for k, x, y, z in places:
+        for w, a, b, c in points:
+            if a is not None and (d := math.hypot(x - a, y - b)) <= 10:
+                lat, near = want.get(k, (math.inf, set()))
+                high = None not in (z, c, w) and abs(z - c) < 6
+                want[k] = (min(lat, d), near | ({w} if high else set()))
+    w = spark.createDataFrame(places, "path long, x double, y double, z double")
+    o = spark.createDataFrame(points, "who long, x double, y double, z double")
+    got = {r["path"]: (r["lat"], r["n"]) for r in N.near_owners(w, o, "path", "who", 10.0, 6.0).collect()}
+    assert got == {k: (pytest.approx(lat, abs=1e-9), len(near)) for k, (lat, near) in want.items()}
+    assert 91 not in got and got[92][1] == 0 and max(n for _, n in got.values()) > 20
+    assert N.near_owners(w.limit(0), o, "path", "who", 10.0, 6.0).collect() == N.near_owners(w, o.limit(0), "path", "who", 10.0, 6.0).collect() == []
+
+
 def test_families_of_surfaces(spark):
     """By plain loops over the corners; inside of one footprint of a family is inside of the union."""
     base = S.prisms_of(spark.createDataFrame([("09", 0.0, 0.0, 1.0, 0.0, 3000.0)], "end_id string, x0 double, y0 double, ux double, uy double, length double"), airport=False)
