@@ -161,8 +161,16 @@ def plan_shared(queries: DataFrame, grid: pd.DataFrame, cell: tuple[float, float
     """PATHS of queries over one grid (ix, iy, iz, sdf, open, risk) of bounded size, which goes to each executor once."""
     if len(grid) > SHARED_MOST:
         raise ValueError(f"{len(grid)} voxels are more than {SHARED_MOST}")
-    one, shared = answering(cell, BASELINES[baseline], v, w), queries.sparkSession.sparkContext.broadcast(grid)
-    return queries.groupBy("query").applyInPandas(lambda ask: one(ask, shared.value), PATHS)
+    context = queries.sparkSession.sparkContext
+    one, shared = answering(cell, BASELINES[baseline], v, w), context.broadcast(grid)
+    ends = [f"{p}_{c}" for p in "sg" for c in ("ix", "iy", "iz")]
+    # Queries share ends, so each pair of ends is searched once; a given number of tasks stays, where small rows would be packed into one.
+    asked = queries.select(*ends).dropna().distinct().repartition(4 * context.defaultParallelism, *ends).withColumn("query", F.lit(0))
+    schema = ", ".join(f"{c} {queries.schema[c].dataType.simpleString()}" for c in ends)
+    searched = asked.groupBy(*ends).applyInPandas(lambda ask: pd.concat([ask[ends], one(ask, shared.value)], axis=1), f"{schema}, {PATHS}").drop("query")
+    none = {"feasible": F.lit(False), "n_expansions": F.lit(0).cast("long"), "n_waypoints": F.lit(0), "path": F.array().cast(PATHS.rpartition(" ")[2])}
+    found = queries.select(F.col("query").cast("long").alias("query"), *ends).join(searched, ends, "left")
+    return found.select("query", *(F.coalesce(c, none[c]).alias(c) if c in none else c for c in ("feasible", "cost", "n_expansions", "n_waypoints", "path")))
 
 
 def simplify_line(points: np.ndarray, epsilon: float) -> np.ndarray:

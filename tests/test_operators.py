@@ -332,6 +332,34 @@ def test_planned_corridors_climb_over_closed_layers(spark, sf, monkeypatch):
     assert all(got[k] == all(x != 10 or z >= 5 for x, z in e) for k, e in ends.items())
 
 
+def test_queries_with_equal_ends_are_searched_once(spark):
+    import pandas as pd
+
+    grid = pd.DataFrame([(i, j, 0, 100.0 + 7 * i, i != 2 or j == 3, 0.1 * j) for i in range(5) for j in range(4)], columns=["ix", "iy", "iz", "sdf", "open", "risk"])
+    rows = [(k, 0, k % 3, 0, 4 if k % 5 else 2, k % 2, 0) for k in range(40)] + [(7, 0, 0, 0, 1, 1, 0), (50, None, 0, 0, 1, 1, 0)]
+    asks = spark.createDataFrame(rows, "query long, s_ix int, s_iy int, s_iz int, g_ix int, g_iy int, g_iz int")
+    searches, answering = spark.sparkContext.accumulator(0), P.answering
+
+    def counted(*a):
+        answer = answering(*a)
+
+        def one(ask, voxels):
+            searches.add(len(ask))
+            return answer(ask, voxels)
+
+        return one
+
+    cell, v = (100.0, 100.0, 10.0), P.Vehicle()
+    want = P.answering(cell, P.BASELINES["B3"], v, P.Weights())(pd.DataFrame(rows[:-1], columns=asks.columns), grid)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(P, "answering", counted)
+        got = P.plan_shared(asks, grid, cell, "B3", v).collect()
+    plain = lambda r: (r["query"], r["feasible"], r["cost"], r["n_expansions"], r["n_waypoints"], [tuple(p) if not isinstance(p, dict) else tuple(p.values()) for p in r["path"]])
+    expected = [plain({**r, "cost": None if r["cost"] != r["cost"] else r["cost"]}) for r in want.to_dict("records")] + [(50, False, None, 0, 0, [])]
+    assert sorted(map(repr, map(plain, got))) == sorted(map(repr, expected))
+    assert searches.value == len({r[1:] for r in rows[:-1]})
+
+
 def test_forests_perceptrons_and_saved_models(spark, tmp_path):
     rows = [(float(k % 7), float(k % 5), int(k % 7 > 3)) for k in range(210)]
     df = spark.createDataFrame(rows, "a double, b double, y int")
