@@ -265,6 +265,40 @@ def test_moving_segments_meet_few_points_where_traffic_is_dense(spark, n, monkey
     assert 0 < len(want) < 120
 
 
+@pytest.mark.parametrize("n, limits", [(30, {}), (4_000, {}), (4_000, {"PART_SEGMENTS": 20, "SEGMENTS_AT_ONCE": 7, "PAIRS": 50, "FEW": 0})])
+def test_least_distances_of_moving_segments_match_brute_force(spark, n, limits, monkeypatch):
+    for name, value in limits.items():
+        monkeypatch.setattr(N, name, value)
+    rng = random.Random(n)
+    points = [(rng.randrange(1_000), rng.uniform(-500, 500), rng.uniform(-500, 500), rng.uniform(0, 400)) for _ in range(n)] + [(None, 0.0, 0.0, 0.0), (5, 0.0, None, 0.0)]
+    far = lambda: rng.choice([600, 60, 5_000])
+    rows = [(i, a := rng.randrange(1_100), a + rng.choice([-3, 2, 30, 400]), *(rng.uniform(-d, d) for d in (far(), far(), far(), far())), rng.uniform(0, 600), rng.uniform(0, 600)) for i in range(150)]
+    o = spark.createDataFrame(points, "t long, x double, y double, z double")
+    seg = spark.createDataFrame([*rows, (None,) * 9], "k long, t0 long, t1 long, x0 double, x1 double, y0 double, y1 double, z0 double, z1 double")
+    want = {}
+    for k, a, b, x0, x1, y0, y1, z0, z1 in rows:
+        met = []
+        for t, x, y, z in points[:-2]:
+            if a < b and a <= t <= b:
+                f = (t - a) / (b - a)
+                met.append((math.hypot(x - x0 - f * (x1 - x0), y - y0 - f * (y1 - y0)), abs(z - z0 - f * (z1 - z0))))
+        if met:
+            want[k] = (pytest.approx(min(d for d, _ in met), abs=1e-9), pytest.approx(min(h for _, h in met), abs=1e-9), any(d < 80 and h < 50 for d, h in met))
+    got = {r["k"]: (r["lat"], r["vert"], r["near"]) for r in N.least_moving(o, seg, "k", 80.0, 50.0, 100).collect()}
+    assert got == want
+    assert n == 30 or {near for *_, near in got.values()} == {True, False}
+
+
+def test_bounded_search_of_moving_segments_meets_few_points(monkeypatch):
+    met, pairs, rng = [], N.pairs, np.random.default_rng(1)
+    monkeypatch.setattr(N, "pairs", lambda start, count: met.append(int(count.sum())) or pairs(start, count))
+    for n in (2_000, 8_000):
+        traffic = N.Traffic(rng.integers(0, 900, n), {c: rng.uniform(0, 10_000, n) for c in "xyz"}, 0, 900, 500.0, 500.0)
+        s = {c: rng.uniform(0, 10_000, 300) for c in ("x0", "y0", "z0", "z1")}
+        traffic.meet(s | {"t0": np.zeros(300, int), "t1": np.full(300, 899), "x1": s["x0"] + 50, "y1": s["y0"] + 50})
+    assert sum(met) < 300 * 10_000 / 5
+
+
 @pytest.mark.parametrize("limits", [{}, {"GROUP_POINTS": 150, "PART_PLACES": 60, "PAIRS": 7, "TOGETHER": 3, "SEEN": 5, "MANY": 4}])
 def test_owners_near_paths_are_counted_in_blocks(spark, limits, monkeypatch):
     for name, value in limits.items():
