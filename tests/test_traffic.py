@@ -299,6 +299,23 @@ def test_bounded_search_of_moving_segments_meets_few_points(monkeypatch):
     assert sum(met) < 300 * 10_000 / 5
 
 
+@pytest.mark.parametrize("parts", [50_000, 9])
+def test_points_around_are_counted_in_buckets_of_time(spark, parts, monkeypatch):
+    monkeypatch.setattr(N, "PART_SEGMENTS", parts)
+    rng = random.Random(parts)
+    spot = lambda d: (rng.randrange(-300, 300), rng.choice([rng.randrange(-40, 40), 7_000]), rng.uniform(-40, 40), rng.uniform(-d, d))
+    points, rows = [spot(20) for _ in range(3_000)], [(k % 140, *spot(60)) for k in range(150)]
+    want = {}
+    for k, *q in rows:
+        n = sum(abs(p[0] - q[0]) <= 30 and abs(p[1] - q[1]) < 10 and abs(p[2] - q[2]) < 10 and abs(p[3] - q[3]) < 5 for p in points)
+        if n:
+            want[k] = want.get(k, 0) + n
+    o = spark.createDataFrame([*points, (None, 0, 0.0, 0.0)], "t long, x long, y double, z double")
+    asks = spark.createDataFrame([*rows, (900, None, 0, 0.0, 0.0)], "k long, t long, x long, y double, z double")
+    made = N.count_around(o, asks, "k", 10.0, 5.0, 30, 100)
+    assert {r["k"]: r["n"] for r in made.collect()} == want and 20 < len(want) < 140
+
+
 @pytest.mark.parametrize("limits", [{}, {"GROUP_POINTS": 150, "PART_PLACES": 60, "PAIRS": 7, "TOGETHER": 3, "SEEN": 5, "MANY": 4}])
 def test_owners_near_paths_are_counted_in_blocks(spark, limits, monkeypatch):
     for name, value in limits.items():
