@@ -53,7 +53,9 @@ def nearest(left: DataFrame, right: DataFrame, on: list[tuple[str, str]]) -> Dat
         most = sum(((d + 1) * (d + 1) for d in apart), F.lit(0))
         pairs = pairs.withColumns({"__least": least, "__most": F.min(most).over(Window.partitionBy(*q))}).where("__least <= __most").drop("__least", "__most")
         above = level
-    met = a.join(pairs, q).join(b.withColumnsRenamed({c: f"__{c}" for c in theirs}), o)
+    # Cells get their points first, so the left side is shuffled once and multiplied only where it is aggregated.
+    held = pairs.join(b.withColumnsRenamed({c: f"__{c}" for c in theirs}), o).drop(*o)
+    met = a.join(held, q)
     square = sum((F.pow(F.col(x) - F.col(f"__{y}"), 2) for x, y in on), F.lit(0.0))
     return met.groupBy(*mine).agg(F.sqrt(F.min(square)).alias("distance"))
 

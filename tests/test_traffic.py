@@ -56,6 +56,13 @@ def test_nearest_without_reach_matches_brute_force(spark, kind):
     assert all(one[x] == pytest.approx(np.abs(right[:, 0] - x).min(), abs=1e-9) for x, _ in whole)
 
 
+def test_nearest_multiplies_the_left_side_in_its_last_join(spark):
+    left, right = (spark.createDataFrame([(float(k * 7 % 90), float(k % 50)) for k in range(200)], f"{x} double, {y} double") for x, y in (("x", "y"), ("ox", "oy")))
+    plan = nearest(left, right, [("x", "ox"), ("y", "oy")])._jdf.queryExecution().optimizedPlan().toString()
+    last = next(line for line in plan.splitlines() if "Join Inner" in line)
+    assert "__q0" in last and "__o0" not in last
+
+
 def test_nearest_of_nothing(spark):
     a, none = spark.createDataFrame([(1.0, 2.0)], "x double, y double"), spark.createDataFrame([], "ox double, oy double")
     on = [("x", "ox"), ("y", "oy")]
