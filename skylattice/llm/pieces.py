@@ -1,11 +1,10 @@
 """SentencePiece encoding by batched Viterbi, and decoding, over a published vocabulary file.
 
 A text is escaped as the vocabulary asks (one mark before it and for every space) and falls into
-units at runs of marks and line feeds, which no piece crosses. The distinct units of a
-block that are equally long advance together: at each end position the hashes of the substrings of
-every length probe the sorted keys of the pieces, the vectorised maximum of the path scores wins,
-and its length is the backpointer. A long unit has few of its length beside it: all its substrings of a length
-probe together, and only those that are pieces are tried. The longer piece wins ties. The lone mark,
+units at runs of marks and line feeds, which no piece crosses. The hashes of all substrings of a length of
+a block's distinct units probe the sorted keys of the pieces together, and only those that are pieces are tried: the units
+advance by one code point at a time, side by side, and the vectorised maximum of the path scores wins. A long
+unit advances alone, stretch by stretch. The longer piece wins ties. The lone mark,
 which the file may rule out as a merge, counts one less than the worst piece. A code point that no piece covers
 costs ten more than the worst piece and becomes its UTF-8 bytes' pieces.
 
@@ -33,8 +32,10 @@ from . import textkit as tk
 VOCABULARY = "piece_bpe_32k.model"
 MARK, LINE_FEED = 0x2581, 0x0A
 UNKNOWN_COST = 10.0
-#: Layout only: code points beyond which a unit advances alone, by the pieces that occur in it; code points of it that are looked at together.
-LONG, STRETCH = 400, 50_000
+#: Layout only: code points beyond which a unit advances alone; code points of it that are looked at together, and of other units.
+LONG, STRETCH, TOGETHER = 400, 50_000, 500_000
+#: Leading bits of a hash that tell most substrings from all pieces.
+SEEN_BITS = 20
 DIGEST = "doc_id long, n_chars long, n_pieces long, ids_crc32 long, decoded_sha256 string, same boolean"
 
 
@@ -62,6 +63,8 @@ class Vocabulary:
         keys = tk.Block(points, offsets).spans(offsets[:-1], offsets[1:])
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(usable)[order]
+        self.seen = np.zeros(1 << SEEN_BITS, bool)
+        self.seen[self.keys >> np.uint64(64 - SEEN_BITS)] = True
         self.scores = np.array([model.get_score(i) for i in usable], float)[order]
         if any(chr(MARK) in words[i].lstrip(chr(MARK)) or "\n" in words[i][1:] for i in usable):
             raise ValueError("a piece crosses the start of a unit")
@@ -91,35 +94,62 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - ends + lengths, lengths)
 
 
-def best_paths(block: tk.Block, starts: np.ndarray, length: int, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(unit, place from the end, token) of the best segmentation of units of one length; -1 - code point where no piece fits."""
-    n = len(starts)
-    best = np.full((n, length + 1), -np.inf)
-    best[:, 0] = 0
-    back = np.zeros((n, length + 1), np.int8)
-    token = np.zeros((n, length + 1), np.int64)
-    for end in range(1, length + 1):
-        for size in range(1, min(end, v.longest) + 1):
-            a = starts + (end - size)
-            hashes = block.spans(a, a + size)
-            at = np.minimum(np.searchsorted(v.keys, hashes), len(v.keys) - 1)
-            hit = v.keys[at] == hashes
-            score = np.where(hit, v.scores[at], v.unknown if size == 1 else -np.inf) + best[:, end - size]
-            better = score >= best[:, end]
-            better &= score > -np.inf
-            best[better, end] = score[better]
-            back[better, end] = size
-            token[better, end] = np.where(hit, v.ids[at], -1 - block.data[a].astype(np.int64))[better]
-    units, places, tokens = [], [], []
-    live, where, step = np.arange(n), np.full(n, length), 0
+def probed(hashes: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the hashes that are pieces, and where those are among the keys."""
+    maybe = np.flatnonzero(v.seen[hashes >> np.uint64(64 - SEEN_BITS)])
+    at = np.minimum(np.searchsorted(v.keys, hashes[maybe]), len(v.keys) - 1)
+    hit = v.keys[at] == hashes[maybe]
+    return maybe[hit], at[hit]
+
+
+def best_paths(block: tk.Block, starts: np.ndarray, length: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(unit, place from the end, token) of the best segmentation of units, none empty; -1 - code point where no piece fits.
+
+    Nodes are numbered by their distance from the start of their unit, then by unit, longest first, so those of one distance are
+    one stretch. The pieces that occur are found length by length, and all units advance by one code point together."""
+    order = np.argsort(-length, kind="stable")
+    starts, length = starts[order], length[order]
+    n = len(starts) - np.searchsorted(length[::-1], np.arange(length[0] + 1))  # units that have a node so far from their start
+    level = np.concatenate([[0], np.cumsum(n)])
+    unit, at = ragged(np.zeros(len(n) - 1, np.int64), n[1:]), np.repeat(np.arange(len(n) - 1), n[1:])
+    left, ends, begins, scores, tokens = length[unit] - at, [], [], [], []
+    for size in range(1, min(v.longest, int(length[0])) + 1):
+        if size > 1:
+            kept = left >= size
+            unit, at, left = unit[kept], at[kept], left[kept]
+        first = starts[unit] + at
+        k, key = probed(block.spans(first, first + size), v)
+        score, token = v.scores[key], v.ids[key]
+        if size == 1:
+            score, token = np.full(len(unit), v.unknown), -1 - block.data[first].astype(np.int64)
+            score[k], token[k] = v.scores[key], v.ids[key]
+            k = np.arange(len(unit))
+        ends.append(level[at[k] + size] + unit[k])
+        begins.append(level[at[k]] + unit[k])
+        scores.append(score)
+        tokens.append(token)
+    end = np.concatenate(ends)
+    by_end = np.argsort(end, kind="stable")  # shorter pieces first
+    end, begin, score, token = (np.concatenate(x)[by_end] for x in (ends, begins, scores, tokens))
+    runs = np.append(np.flatnonzero(np.diff(end, prepend=-1)), len(end))
+    best, chosen = np.zeros(level[-1]), np.zeros(level[-1], np.int64)
+    for e in range(1, len(n)):
+        low, high = level[e], level[e + 1]
+        a, b = runs[low - n[0]], runs[high - n[0]]
+        total = score[a:b] + best[begin[a:b]]
+        best[low:high] = np.maximum.reduceat(total, runs[low - n[0] : high - n[0]] - a)
+        top = a + np.flatnonzero(total == best[end[a:b]])
+        chosen[end[top]] = top  # of equal ones the last stays
+    units, places, found = [], [], []
+    live, where, step = np.arange(len(starts)), level[length] + np.arange(len(starts)), 0
     while len(live):
         units.append(live)
         places.append(np.full(len(live), step))
-        tokens.append(token[live, where])
-        where = where - back[live, where]
-        live, where = live[where > 0], where[where > 0]
+        found.append(token[chosen[where]])
+        where = begin[chosen[where]]
+        live, where = live[where >= n[0]], where[where >= n[0]]
         step += 1
-    return np.concatenate(units), np.concatenate(places), np.concatenate(tokens)
+    return order[np.concatenate(units)], np.concatenate(places), np.concatenate(found)
 
 
 def matches(points: np.ndarray, base: int, low: int, high: int, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -197,15 +227,14 @@ def encode_texts(texts: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarra
     _, first, unit = np.unique(block.apart(starts, ends), return_index=True, return_inverse=True)
     starts_, length = starts[first], (ends - starts)[first]
     parts = []
-    order = np.argsort(length, kind="stable")
-    for rows in np.split(order, np.flatnonzero(np.diff(length[order])) + 1):
-        if length[rows[0]] > LONG:
-            for k in rows.tolist():
-                tokens = long_path(points[starts_[k] : starts_[k] + length[k]], v)
-                parts.append((np.full(len(tokens), k), np.arange(len(tokens)), tokens))
-            continue
-        units, places, tokens = best_paths(block, starts_[rows], int(length[rows[0]]), v)
-        parts.append((rows[units], places, tokens))
+    for k in np.flatnonzero(length > LONG).tolist():
+        tokens = long_path(points[starts_[k] : starts_[k] + length[k]], v)
+        parts.append((np.full(len(tokens), k), np.arange(len(tokens)), tokens))
+    short = np.flatnonzero(length <= LONG)
+    for rows in np.split(short, np.flatnonzero(np.diff(np.cumsum(length[short]) // TOGETHER)) + 1):
+        if len(rows):
+            units, places, tokens = best_paths(block, starts_[rows], length[rows], v)
+            parts.append((rows[units], places, tokens))
     owner, place, token = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((-place, owner))
     token, owner = with_bytes(token[order], owner[order], v)

@@ -563,3 +563,20 @@ def test_rows_of_null_or_repeated_ids_keep_their_links(spark):
         groups[low if n else (i, low)].append(i)
     brute = [min((i for i in ids if i is not None), default=None) for ids in groups.values()]
     assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted(brute, key=repr)
+
+
+def test_units_of_all_lengths_advance_together(monkeypatch):
+    """Substrings are hashed once for each length of pieces, however many lengths the units have; the paths are those of units alone."""
+    v = pieces.vocabulary(pieces.VOCABULARY)
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("etaoin shrdlu\nxQ9é世😀 ") for _ in range(n)) for n in range(300)] + ["ab" * n for n in range(1, 190)] + [""]
+    calls, spans = [], tk.Block.spans
+    monkeypatch.setattr(tk.Block, "spans", lambda self, a, b: calls.append(len(a)) or spans(self, a, b))
+    ids, offsets = pieces.encode_texts(texts, v)
+    assert len(calls) <= v.longest + 1
+    monkeypatch.setattr(pieces, "LONG", 0)
+    alone, edges = pieces.encode_texts(texts, v)
+    assert ids.tolist() == alone.tolist() and offsets.tolist() == edges.tolist()
+    monkeypatch.setattr(pieces, "LONG", 400)
+    monkeypatch.setattr(pieces, "TOGETHER", 50)
+    assert pieces.encode_texts(texts, v)[0].tolist() == ids.tolist()
