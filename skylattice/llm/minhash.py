@@ -11,8 +11,10 @@ turns each bucket whose points links have not joined yet chooses a pivot in its
 point outside is compared with the pivot it meets in most buckets: one pair for each point and turn. What is
 left, points outside of their bucket's largest component, then meets the bucket's points of other components,
 in blocks of BLOCK: the sets of these points get FINE further minima, a bit of each, and a task compares those of a
-block at once and lists a pair, in the first bucket that it shares, only if they differ in FINE_APART bits at most,
-which a link does not with probability 1e-9. So points that are alike but no link make few pairs. Links become components by alternating large-star and small-star steps.
+block at once. A pair counts, in the first bucket that it shares, only if they differ in FINE_APART bits at most, which
+a link does not with probability 1e-9. Points with such a pair get their whole sets and meet again in their blocks: there pairs that
+no link of the block has joined yet are confirmed, and only links that join come out, fewer than the block has points. So
+no pairs are listed, however many points are alike. Links become components by alternating large-star and small-star steps.
 
 Defined results: a null or wordless text has no shingles and is alone; fewer words than a shingle make one
 shingle of the whole sequence; words are lower-cased in ASCII; shingles are told by 64 bits of hashes, equal
@@ -42,9 +44,10 @@ SKETCH = -(-HASHES // 64)
 FINE, FINE_APART = 3072, 318
 #: Words of sketches that a task compares at once; shingles that it hashes at once.
 COMPARED, HASHED = 2_000_000, 80_000
-#: Layout only: turns of pivots before the rest is compared, points of a block of a bucket.
-STARS, BLOCK = 3, 4096
+#: Layout only: turns of pivots before the rest is compared; points of a block of a bucket, and shingles of them.
+STARS, BLOCK, BLOCK_SHINGLES = 3, 4096, 4_000_000
 SIGNED = "doc_id long, text_key long, point long, n long, buckets array<long>, sketch array<long>"
+MET = "key long, bucket long, outer boolean, point long, n long, component long, main long"
 
 
 def functions(hashes: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
@@ -158,10 +161,10 @@ def alike(percent: int, a: str = "a", b: str = "b") -> str:
 
 
 def open_rows(spark: SparkSession, crowds: DataFrame, component: DataFrame) -> DataFrame:
-    """crowds with components, of the buckets whose points are not all in one; main: the largest of the bucket, of `points` points."""
+    """crowds with components, of the buckets whose points are not all in one; main: the largest of the bucket, of `points` points with `shingles`."""
     held = crowds.join(component.withColumnRenamed("id", "point"), "point", "left").withColumn("component", F.coalesce("component", "point"))
-    parts = held.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket")
-    parts = parts.agg(F.sum("c").alias("points"), F.count("*").alias("parts"), F.max_by("component", F.struct("c", "component")).alias("main")).where("parts > 1")
+    parts = held.groupBy("bucket", "component").agg(F.count("*").alias("c"), F.sum("n").alias("s")).groupBy("bucket")
+    parts = parts.agg(F.sum("c").alias("points"), F.sum("s").alias("shingles"), F.count("*").alias("parts"), F.max_by("component", F.struct("c", "component")).alias("main")).where("parts > 1")
     return tk.materialize(spark, held.join(parts.drop("parts"), "bucket"), "open")
 
 
@@ -186,15 +189,14 @@ def refining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("point"), pa.array([row.tobytes() for part in found for row in part], pa.binary())], ["point", "fine"])
 
 
-def block_pairs(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs of one block that their sizes and fine sketches allow: outside (first) with any of another component,
-    each pair once, and only in the first bucket that it shares."""
+def block_pairs(rows: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs of one block that their sizes and fine sketches allow, some at a time: outside (first) with any of another
+    component, each pair once, and only in the first bucket that it shares."""
     column = {c: rows.column(c).to_numpy() for c in ("bucket", "outer", "point", "n", "component", "main")}
     fine = np.frombuffer(b"".join(rows.column("fine").to_pylist()), np.uint64).reshape(len(rows), -1)
     buckets = rows.column("own").combine_chunks().flatten().to_numpy().reshape(len(rows), -1)
     first, second = np.flatnonzero(column["outer"]), np.flatnonzero(~column["outer"])
     band = int(np.argmax(buckets[0] == column["bucket"][0]))
-    out = []
     step = max(1, COMPARED // max(1, len(second) * fine.shape[1]))
     for k in range(0, len(first), step):
         a = first[k : k + step]
@@ -208,48 +210,92 @@ def block_pairs(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
             near_ = np.bitwise_count(fine[x] ^ fine[y]).sum(1, dtype=np.int64) <= FINE_APART
             x, y = x[near_], y[near_]
             once = np.argmax(buckets[x] == buckets[y], 1) == band
-            out.append((x[once], y[once]))
-    return tuple(np.concatenate(v) for v in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            yield x[once], y[once]
 
 
-def comparing(percent: int):
-    """Blocks, whole and in order of their key, to (a, b, n_a, n_b)."""
+def whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each key, of rows in order of it."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = pa.concat_tables([held, rows]) if held is not None else rows
+        key = rows.column("key").to_numpy()
+        cut = np.append(0, np.flatnonzero(key[1:] != key[:-1]) + 1)
+        for i, j in zip(cut[:-1], cut[1:], strict=True):
+            yield rows.slice(i, j - i)
+        held = rows.slice(int(cut[-1]))
+    if held is not None:
+        yield held
 
-    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        x, y = block_pairs(rows, percent)
-        if len(x):
-            point, n = rows.column("point").to_numpy(), rows.column("n").to_numpy()
-            x, y = np.where(point[x] < point[y], x, y), np.where(point[x] < point[y], y, x)
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (point[x], point[y], n[x], n[y])], ["a", "b", "n_a", "n_b"])
+
+def comparing(percent: int):
+    """Rows of blocks that have a pair in theirs, as MET."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
+        for rows in whole_blocks(batches):
+            met = np.zeros(len(rows), bool)
+            for x, y in block_pairs(rows, percent):
+                met[x] = met[y] = True
+            if met.any():
+                yield from rows.select([c.split()[0] for c in MET.split(", ")]).filter(pa.array(met)).combine_chunks().to_batches()
+
+    return run
+
+
+def block_links(rows: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """Places of links of one block that join what its components and its links before do not."""
+    sets = rows.column("shingles").combine_chunks()
+    n = np.diff(sets.offsets.to_numpy())
+    ends = np.cumsum(n)
+    code = np.unique(sets.flatten().to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    _, joined = np.unique(rows.column("component").to_numpy(), return_inverse=True)
+    mine, links = np.zeros(int(code.max(initial=-1)) + 1, bool), []
+    for first, second in block_pairs(rows, percent):
+        for x in np.unique(first).tolist():
+            others = second[first == x]
+            others = others[joined[others] != joined[x]]
+            if not len(others):
                 continue
-            rows = pa.Table.from_batches([batch])
-            rows = pa.concat_tables([held, rows]) if held is not None else rows
-            key = rows.column("key").to_numpy()
-            cut = np.append(0, np.flatnonzero(key[1:] != key[:-1]) + 1)
-            for i, j in zip(cut[:-1], cut[1:], strict=True):
-                yield from pairs(rows.slice(i, j - i))
-            held = rows.slice(int(cut[-1]))
-        if held is not None:
-            yield from pairs(held)
+            mine[code[ends[x] - n[x] : ends[x]]] = True
+            starts = np.cumsum(n[others]) - n[others]
+            held = code[np.arange(n[others].sum()) + np.repeat(ends[others] - n[others] - starts, n[others])]
+            common = np.add.reduceat(mine[held], starts, dtype=np.int64)
+            mine[code[ends[x] - n[x] : ends[x]]] = False
+            for y in others[100 * common >= percent * (n[x] + n[others] - common)].tolist():
+                if joined[y] != joined[x]:
+                    joined[joined == joined[y]] = joined[x]
+                    links.append((x, y))
+    return links
+
+
+def linking(percent: int):
+    """Blocks with whole sets to links (a, b), fewer than they have points."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_blocks(batches):
+            links = np.array(block_links(rows, percent), np.int64).reshape(-1, 2)
+            if len(links):
+                point = rows.column("point").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(point[links[:, 0]]), pa.array(point[links[:, 1]])], ["a", "b"])
 
     return run
 
 
-def rest_pairs(spark: SparkSession, held: DataFrame, heads: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, n_a, n_b): points outside of a bucket's largest component and its points of other components, in blocks."""
+def rest_links(spark: SparkSession, held: DataFrame, heads: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that join points outside of a bucket's largest component and its points of other components, in blocks."""
     points = held.select("point").distinct()
     fine = sets.join(points, "point", "left_semi").mapInArrow(refining, "point long, fine binary")
     known = tk.materialize(spark, fine.join(heads.select("point", F.col("buckets").alias("own")), "point"), "fine")
-    rows = held.select("bucket", "main", "point", "n", "component", F.expr(f"cast(1 + points div {BLOCK} as int)").alias("blocks")).join(known, "point")
+    blocks = F.expr(f"cast(1 + greatest(points div {BLOCK}, shingles div {BLOCK_SHINGLES}) as int)").alias("blocks")
+    rows = held.select("bucket", "main", "point", "n", "component", blocks).join(known, "point")
     rows = rows.withColumn("block", F.expr("cast(pmod(xxhash64(point), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     sides = [rows.where("component <> main").withColumn("key", F.xxhash64("bucket", "block", "other")), rows.withColumn("key", F.xxhash64("bucket", "other", "block"))]
     both = [df.select("key", "bucket", F.lit(outer).alias("outer"), "point", "n", "component", "main", "fine", "own") for df, outer in zip(sides, (True, False), strict=True)]
-    return both[0].unionByName(both[1]).repartition("key").sortWithinPartitions("key").mapInArrow(comparing(percent), "a long, b long, n_a long, n_b long")
+    met = both[0].unionByName(both[1]).repartition("key").sortWithinPartitions("key").mapInArrow(comparing(percent), MET)
+    met = tk.materialize(spark, met, "met").join(known.join(sets, "point"), "point")
+    return met.repartition("key").sortWithinPartitions("key").mapInArrow(linking(percent), "a long, b long")
 
 
 def linked_points(spark: SparkSession, texts: DataFrame, heads: DataFrame, words: int, percent: int) -> DataFrame | None:
@@ -267,8 +313,8 @@ def linked_points(spark: SparkSession, texts: DataFrame, heads: DataFrame, words
         if held.isEmpty():
             tk.discard(spark, held)
             break
-        pairs = star_pairs(held, turn, percent) if turn < STARS else rest_pairs(spark, held, heads, sets, percent)
-        links = tk.materialize(spark, measured(pairs, sets).where(near(percent)).select("a", "b"), "links")
+        found = measured(star_pairs(held, turn, percent), sets).where(near(percent)).select("a", "b") if turn < STARS else rest_links(spark, held, heads, sets, percent)
+        links = tk.materialize(spark, found, "links")
         component = with_links(spark, component, links)
         tk.discard(spark, held, links)
     tk.discard(spark, crowds, sets)

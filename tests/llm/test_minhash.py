@@ -145,3 +145,31 @@ def test_query_and_sql_agree(spark, sf):
     con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
     theirs = con.sql(f"select doc_id, n_shingles, component_id, kept from ({minhash.ORACLE})").fetchall()
     assert sorted(tuple(r) for r in minhash.op11_minhash_near_dedup(spark, sf).collect()) == sorted(theirs)
+
+
+def test_a_crowd_lists_no_pairs():
+    """300 sets, all pairs alike and many of them links: a block gives fewer links than points, with the components of all pairs."""
+    rng = np.random.default_rng(5)
+    core = rng.integers(-(2**63), 2**63, 400)
+    sets = [np.concatenate([rng.permutation(core)[: 400 - 20 - k % 26], rng.integers(-(2**63), 2**63, 3)]) for k in range(300)]
+    fine = [minhash.sketch_of(minhash.minima(s.view(np.uint64), np.array([0]), minhash.FINE, 12))[0].tobytes() for s in sets]
+    outer = [True] * 300 + [False] * 300
+    columns = {"key": [1] * 600, "bucket": [7] * 600, "outer": outer, "point": [*range(300)] * 2, "n": [len(s) for s in sets] * 2, "component": [*range(300)] * 2, "main": [299] * 600}
+    kinds = dict.fromkeys(columns, pa.int64()) | {"outer": pa.bool_()}
+    rows = pa.table({c: pa.array(v, kinds[c]) for c, v in columns.items()} | {"fine": pa.array(fine * 2, pa.binary()), "own": pa.array([[7] * minhash.BANDS] * 600, pa.list_(pa.int64())), "shingles": pa.array([s.tolist() for s in sets] * 2, pa.list_(pa.int64()))})
+    rows = rows.filter(pa.array([not o or k != 299 for k, o in zip([*range(300)] * 2, outer, strict=True)]))
+    both = [(x, y) for x in range(300) for y in range(x)]
+    linked = [(x, y) for x, y in both if 100 * (c := len(np.intersect1d(sets[x], sets[y]))) >= 85 * (len(sets[x]) + len(sets[y]) - c)]
+    batches = [b for k in range(0, len(rows), 97) for b in rows.slice(k, 97).to_batches()]
+    marked = pa.Table.from_batches(list(minhash.comparing(85)(iter(batches))))
+    links = pa.Table.from_batches(list(minhash.linking(85)(iter(batches)))).to_pylist()
+    assert len(linked) > 5_000 and sum(len(x) for x, _ in minhash.block_pairs(rows, 85)) > 30_000
+    assert len(marked) <= len(rows) and len(links) < 300 and all(tuple(sorted((r["a"], r["b"]), reverse=True)) in set(linked) for r in links)
+
+    def parts(pairs) -> set:
+        root = list(range(300))
+        for x, y in pairs:
+            root = [root[x] if r == root[y] else r for r in root]
+        return {frozenset(k for k in range(300) if root[k] == r) for r in root}
+
+    assert parts((r["a"], r["b"]) for r in links) == parts(linked)
