@@ -506,3 +506,16 @@ def test_risk_of_voxels_follows_what_the_model_learned(spark, sf):
     assert len(rows) == 24 * n and all(0 <= r["low"] <= r["risk"] <= r["high"] <= 1 for r in rows)
     truth = [(r["iz"] * 150 + 75 + (r["ix"] * 1000 - 9500) / 20 > 900, r["risk"] > 0.5) for r in rows]
     assert sum(a == b for a, b in truth) / len(truth) > 0.9
+
+
+def test_indicators_of_paths_share_one_shuffle_of_their_keys(spark, sf):
+    """Safety, capacity and access order the same paths: one shuffle of waypoints by path, reused; closures are shuffled as numbers."""
+    from skylattice.plans import airspace, spatial
+
+    found = airspace.corridor_safety(spark, sf).join(airspace.corridor_capacity(spark, sf), "path").join(airspace.corridor_access(spark, sf), "path")
+    assert found.count() > 0 and len(found.collect()) == found.select("path").distinct().count()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    dealt = [line for line in plan.splitlines() if "REPARTITION_BY_COL" in line]
+    assert sum("ReusedExchange" not in line for line in dealt) == 1 and sum("ReusedExchange" in line for line in dealt) >= 3
+    closures = spatial.voxel_closure_rate(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "bit_or" in closures and "collect_set" not in closures
