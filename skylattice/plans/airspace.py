@@ -308,7 +308,7 @@ def corridor_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of waypoints inside the protection surfaces, least margin, seconds in the runways' cones, and whether both ends lie in their vertiports' funnels."""
     w = waypoints(spark, sf_dir)
     ordered = waypoints(spark, sf_dir, by_path=True)
-    margins = on_grid(w).join(field(spark, sf_dir), V.KEY).groupBy("path").agg(F.round(F.avg((F.col("sd") <= 0).cast("double")), 6).alias("violation_rate"), F.round(F.min("sd"), 4).alias("min_margin"))
+    margins = on_grid(w).join(J.configured(field(spark, sf_dir)), V.KEY).groupBy("path").agg(F.round(F.avg((F.col("sd") <= 0).cast("double")), 6).alias("violation_rate"), F.round(F.min("sd"), 4).alias("min_margin"))
     o = Window.partitionBy("path").orderBy(*PATH_ORDER)
     steps = ordered.withColumns({"px": F.lag("x").over(o), "py": F.lag("y").over(o)}).withColumn("dt", F.sqrt(F.pow(F.col("x") - F.col("px"), 2) + F.pow(F.col("y") - F.col("py"), 2)) / 67.0)
     steps = steps.crossJoin(L.ends_as(ends(spark, sf_dir), "e_"))
