@@ -11,6 +11,7 @@ import tarfile
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -346,6 +347,34 @@ def test_owners_near_paths_are_counted_in_blocks(spark, limits, monkeypatch):
     assert N.near_owners(w.limit(0), o, "path", "who", 10.0, 6.0).collect() == N.near_owners(w, o.limit(0), "path", "who", 10.0, 6.0).collect() == []
 
 
+@pytest.mark.parametrize(("limits", "spread"), [({}, False), ({"THIN": 0, "SEEN": 50}, False), ({"LAYERS": 2_000}, False), ({"LAYERS": 40_000, "PAIRS": 20_000}, True), ({}, True)])
+def test_owners_around_a_place_are_stretches(limits, spread, monkeypatch):
+    """What is surely near is marked without a look at each point; only points of cells and layers that a reach cuts are tested."""
+    met, pairs, rng = [], N.pairs, np.random.default_rng(3)
+    for name, value in limits.items():
+        monkeypatch.setattr(N, name, value)
+    monkeypatch.setattr(N, "pairs", lambda start, count: met.append(int(count.sum())) or pairs(start, count))
+    n, m = 40_000 if spread else 6_000, 200
+    x, y = (rng.uniform(-30, 30, n) if spread else 7.0 * rng.integers(-4, 5, n) for _ in "xy")
+    z, who = rng.integers(0, 90, n).astype(float), rng.integers(0, 400, n)
+    key, (px, py), pz = np.sort(rng.integers(0, 60, m)), (rng.uniform(-40, 40, m) for _ in "xy"), rng.integers(0, 90, m).astype(float)
+    z[5], pz[7] = np.nan, np.nan
+    near = (np.hypot(x - px[:, None], y - py[:, None]) <= 10) & (np.abs(z - pz[:, None]) < 30)
+    got = N.Block(pa.array(who), x, y, z, 10.0, 30.0).owners_near(key, 60, px, py, pz)
+    assert got.tolist() == [len(set(who[near[key == k].any(axis=0)].tolist())) for k in range(60)] and got.max() > 100
+    assert sum(met) < near.sum() / (1.2 if limits or spread else 20)
+
+
+def test_rows_of_blocks_are_packed(spark):
+    """What a block gets is a few rows of compressed columns, so copies of points and places cost their bytes, not their rows."""
+    df = spark.range(0, 40_000, 1, 2).select("id", *(F.pmod(F.hash("id", F.lit(c)), F.lit(20_001)).alias(c) for c in "xyz"))
+    rows = N.packed(df, "id", F.col("id") % 3).collect()
+    assert len(rows) == 6 and sum(len(r["__rows"]) for r in rows) < 40_000 * 12
+    ids, x, _, z = N.unpacked([pa.py_buffer(r["__rows"]) for r in rows], "id")
+    want = {r["id"]: (r["x"], r["z"]) for r in df.collect()}
+    assert dict(zip(ids.to_pylist(), zip(x.tolist(), z.tolist(), strict=True), strict=True)) == want
+
+
 def test_families_of_surfaces(spark):
     """By plain loops over the corners; inside of one footprint of a family is inside of the union."""
     base = S.prisms_of(spark.createDataFrame([("09", 0.0, 0.0, 1.0, 0.0, 3000.0)], "end_id string, x0 double, y0 double, ux double, uy double, length double"), airport=False)
