@@ -375,6 +375,38 @@ def test_rows_of_blocks_are_packed(spark):
     assert dict(zip(ids.to_pylist(), zip(x.tolist(), z.tolist(), strict=True), strict=True)) == want
 
 
+@pytest.mark.parametrize(("kind", "group"), [("even", 12_000_000), ("even", 40), ("far", 25), ("crowd", 90), ("ring", 12_000_000)])
+def test_least_distances_of_paths_are_found_in_blocks(spark, kind, group, monkeypatch):
+    """Places are shuffled once, packed and by their paths; however far traffic is, and where much of it is at one spot."""
+    monkeypatch.setattr(N, "GROUP_POINTS", group)
+    monkeypatch.setattr(N, "MANY", 7)
+    left, right = clouds(kind)
+    whole = left[:-1]
+    heights = [float(k % 13 * 7) for k in range(len(right))]
+    rows = [(k % 40 if k % 41 else None, *map(float, p), float(k % 60)) for k, p in enumerate(whole)]
+    w = spark.createDataFrame([*rows, (90, None, 1.0, 1.0), (91, 1.0, 1.0, None)], "path long, x double, y double, z double")
+    o = spark.createDataFrame([*((*map(float, p), h) for p, h in zip(right, heights, strict=True)), (None, 0.0, 3.0), (0.0, None, None)], "x double, y double, z double")
+    heights.append(3.0)
+    lat, vert = {}, {}
+    for path, x, y, z in rows:
+        lat[path] = min(lat.get(path, np.inf), np.hypot(right[:, 0] - x, right[:, 1] - y).min())
+        vert[path] = min(vert.get(path, np.inf), min(abs(z - h) for h in heights))
+    found = N.least_apart(w, o, "path")
+    got = {r["path"]: (r["lat"], r["vert"]) for r in found.collect()}
+    assert got == {k: (pytest.approx(v, abs=1e-9), vert[k]) for k, v in lat.items()} and None in got
+    assert N.least_apart(w, o.limit(0), "path").collect() == N.least_apart(w.limit(0), o, "path").collect() == []
+    assert "SortMergeJoin" not in found._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_crowds_of_positions_are_not_all_met(monkeypatch):
+    met, pairs, rng = [], N.pairs, np.random.default_rng(4)
+    monkeypatch.setattr(N, "pairs", lambda start, count: met.append(int(count.sum())) or pairs(start, count))
+    x, y = (np.concatenate([rng.normal(0, 0.01, 20_000), [1e6, -1e6]]) for _ in "xy")
+    px, py = (np.concatenate([rng.normal(0, 0.02, 300), rng.uniform(-1e7, 1e7, 50)]) for _ in "xy")
+    got = N.Spots(x, y).least(px, py)
+    assert got == pytest.approx(np.hypot(x - px[:, None], y - py[:, None]).min(axis=1), rel=1e-12) and sum(met) < 350 * 200
+
+
 def test_families_of_surfaces(spark):
     """By plain loops over the corners; inside of one footprint of a family is inside of the union."""
     base = S.prisms_of(spark.createDataFrame([("09", 0.0, 0.0, 1.0, 0.0, 3000.0)], "end_id string, x0 double, y0 double, ux double, uy double, length double"), airport=False)
