@@ -306,9 +306,7 @@ safety as (select path, violation_rate, min_margin, round(approach_s, 3) as appr
 @query(f"with {SAFETY} select * from safety")
 def corridor_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of waypoints inside the protection surfaces, least margin, seconds in the runways' cones, and whether both ends lie in their vertiports' funnels."""
-    w = waypoints(spark, sf_dir)
     ordered = waypoints(spark, sf_dir, by_path=True)
-    margins = on_grid(w).join(J.configured(field(spark, sf_dir)), V.KEY).groupBy("path").agg(F.round(F.avg((F.col("sd") <= 0).cast("double")), 6).alias("violation_rate"), F.round(F.min("sd"), 4).alias("min_margin"))
     o = Window.partitionBy("path").orderBy(*PATH_ORDER)
     steps = ordered.withColumns({"px": F.lag("x").over(o), "py": F.lag("y").over(o)}).withColumn("dt", F.sqrt(F.pow(F.col("x") - F.col("px"), 2) + F.pow(F.col("y") - F.col("py"), 2)) / 67.0)
     steps = steps.crossJoin(L.ends_as(ends(spark, sf_dir), "e_"))
@@ -322,11 +320,14 @@ def corridor_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.round(F.sum(F.when(tests[0] & tests[1], F.col("dt")).otherwise(0.0)), 3)
 
     sums = steps.groupBy("path").agg(both(False).alias("approach_s"), both(True).alias("departure_s"))
-    here = F.struct("x", "y", "z")
-    tips = ordered.groupBy("path").agg(F.count("*").alias("n"), F.min_by(here, F.struct(*PATH_ORDER)).alias("a"), F.max_by(here, F.struct(*PATH_ORDER)).alias("b"))
+    # Margins and tips are one pass over whole rows of keys, or the shuffle by path would be another one without some of them.
+    here, sd = F.struct("x", "y", "z"), F.col("sd")
+    margins = {"violation_rate": F.round(F.avg((sd <= 0).cast("double")), 6), "min_margin": F.round(F.min(sd), 4), "inside": F.count(sd)}
+    tips = {"n": F.count("*"), "a": F.min_by(here, F.struct(*PATH_ORDER)), "b": F.max_by(here, F.struct(*PATH_ORDER))}
+    whole = on_grid(ordered).join(J.configured(field(spark, sf_dir)), V.KEY, "left").groupBy("path").agg(*(c.alias(n) for n, c in (margins | tips).items())).where("inside > 0")
     port = lambda p: S.funnel_distance(F.pmod(p["x"], F.lit(200)) - 100.0, F.pmod(p["y"], F.lit(200)) - 100.0, p["z"].cast("double")) < 0
     ok = F.when(F.col("n") < 2, -1).when(port(F.col("a")) & port(F.col("b")), 1).otherwise(0)
-    return margins.join(sums, "path").join(tips, "path").select("path", "violation_rate", "min_margin", "approach_s", "departure_s", F.col("departure_s").alias("missed_s"), ok.alias("funnel_ok"))
+    return whole.join(sums, "path").select("path", "violation_rate", "min_margin", "approach_s", "departure_s", F.col("departure_s").alias("missed_s"), ok.alias("funnel_ok"))
 
 
 CAPACITY = f"""legs as (select *, coalesce(sqrt(pow(x - lag(x) over o, 2) + pow(y - lag(y) over o, 2)), 0) as leg from waypoints window o as (partition by path order by k1, k2, k3)),
@@ -393,7 +394,10 @@ def kpi_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
     begun = F.lit(EPOCH) + key * 977 % SPAN
     c = table(spark, sf_dir, "orders").select(key.alias("path"), (F.col("o_orderstatus") != "P").alias("feasible"), (key % 5).alias("pos"), F.floor(begun / 86400).alias("hour"), (F.floor(begun / 3600) % 24).alias("flown"))
-    k = reduce(lambda a, b: a.join(b, "path", "left"), (f(spark, sf_dir) for f in (corridor_safety, corridor_capacity, corridor_access, spatial.path_min_separation, spatial.crossings_sign, spatial.voxel_closure_rate)), c)
+    # What has no path is left out before closures are shuffled, or the join would do so on one of the two uses of that shuffle only.
+    closures = spatial.closure_rate(spark, sf_dir, waypoints(spark, sf_dir).where("path is not null"))
+    of_path = (f(spark, sf_dir) for f in (corridor_safety, corridor_capacity, corridor_access, spatial.path_min_separation, spatial.crossings_sign))
+    k = reduce(lambda a, b: a.join(b, "path", "left"), (*of_path, closures), c)
     k = k.join(spatial.proximity_distinct(spark, sf_dir).select("path", "n_aircraft"), "path", "left")
     # Five runways by days and hours of the day are few, so the wide rows stay where their paths are.
     k = k.join(F.broadcast(tracks.throughput_share(spark, sf_dir).select("pos", "hour", "extra_us", "throughput_share")), ["pos", "hour"], "left")

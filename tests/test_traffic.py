@@ -580,3 +580,18 @@ def test_indicators_of_paths_share_one_shuffle_of_their_keys(spark, sf):
     assert sum("ReusedExchange" not in line for line in dealt) == 1 and sum("ReusedExchange" in line for line in dealt) >= 3
     closures = spatial.voxel_closure_rate(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "bit_or" in closures and "collect_set" not in closures
+
+
+def test_table_of_indicators_shuffles_paths_once(spark, sf):
+    """Margins and crossings use the shared shuffle of keys by path too, and closures are shuffled once for both of their uses."""
+    from skylattice.plans import airspace, spatial
+
+    found = airspace.corridor_safety(spark, sf).join(spatial.crossings_sign(spark, sf), "path", "left")
+    assert found.count() > 0 and len(found.collect()) > 0
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert sum("REPARTITION_BY_COL" in line and "ReusedExchange" not in line for line in plan.splitlines()) == 1
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning(path" in line and "REPARTITION_BY_COL" not in line]
+    table = airspace.kpi_table(spark, sf)
+    assert len(table.collect()) > 0
+    plan = table._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines()
+    assert len([line for line in plan if "partial_bit_or(uses" in line]) == 1
